@@ -418,6 +418,70 @@ def compared_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(comparison.events(events.documents(stories(spark, sf_dir), language=None)), "doc_id", "n", "text", "action", "actors", "locations", "temporal_anchors", "temporal_category", "relation_to_previous")
 
 
+@query(r"SELECT doc_id, id, CASE WHEN len(text) <= 44 THEN text ELSE rtrim(text[1:43]) || '...' END AS label FROM ev")
+def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stories(spark, sf_dir).events.select("doc_id", "id", X.label(F.col("text")).alias("label"))
+
+
+@query("SELECT event_id, replace(replace(replace(replace(replace(props || '<''&>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM events")
+def text_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", X.escape(F.concat("props", F.lit("<'&>"))).alias("escaped"))
+
+
+@query(r"SELECT doc_id, list_position(p, s) AS first_place, s AS sentence FROM (SELECT DISTINCT doc_id, p, unnest(p) AS s FROM (SELECT doc_id, list_filter(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM docs))")
+def text_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = stories(spark, sf_dir).select("doc_id", events.sentence_split(F.col("text")).alias("p"))
+    return s.select("doc_id", F.explode(F.array_distinct("p")).alias("sentence"), "p").select("doc_id", F.array_position("p", F.col("sentence")).alias("first_place"), "sentence")
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'en' WHEN 1 THEN 'ro' WHEN 2 THEN NULL WHEN 3 THEN 'en' WHEN 4 THEN 'ro' END AS strict, CASE WHEN event_id % 6 IN (1, 4) THEN 'ro' ELSE 'en' END AS lenient FROM events")
+def text_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.element_at(F.array(*map(F.lit, ("ENG", " română", "fr", "english", "ROM", ""))), (F.col("event_id") % 6 + 1).cast("int"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", names.alias("name"))
+    return e.select("event_id", X.language_strict(F.col("name")).alias("strict"), X.language(F.col("name")).alias("lenient"))
+
+
+@query("SELECT doc_id, rel AS key, count(*) AS cnt, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, rel) AS rank FROM rel GROUP BY doc_id, rel")
+def story_relation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(report.count_by(_stories(spark, sf_dir).relations, "rel", "ord"), "doc_id", "key", "cnt", "rank")
+
+
+@query("SELECT sg.doc_id, track_id, string_agg(id, '|' ORDER BY story_order, seg_no) AS segment_ids, count(*) AS n_segments FROM sg GROUP BY sg.doc_id, track_id")
+def story_track_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _stories(spark, sf_dir).segments.groupBy("doc_id", "track_id").agg(F.sort_array(F.collect_list(F.struct("story_order", "seg_no", "id"))).alias("x"), F.count("*").alias("n_segments"))
+    return s.select("doc_id", "track_id", F.concat_ws("|", F.transform("x", lambda r: r["id"])).alias("segment_ids"), "n_segments")
+
+
+@query("SELECT e.doc_id, e.ord, string_agg('A' || ac.n, '|' ORDER BY k) AS actor_ids FROM (SELECT doc_id, ord, actors, unnest(range(1, len(actors) + 1)) AS k FROM ev) e JOIN ac ON ac.doc_id = e.doc_id AND upper(ac.name) = upper(e.actors[k]) GROUP BY ALL")
+def story_event_actor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storyloom.operators import dimensions
+
+    c = _stories(spark, sf_dir)
+    return _flat(dimensions.ids_of(c.events, "order", "actors", c.actors).withColumnRenamed("order", "ord"), "doc_id", "ord", "actor_ids")
+
+
+def _compared(name: str) -> str:
+    return f"regexp_matches(chunk, {_q(_C(name, 'compared').re2)})"
+
+
+# Ends of sentences are marked first, for patterns can't look behind here.
+_SEPARATORS = _q("(?i)" + chr(1) + "|" + L.boundary("compared").body.partition("|")[2])
+_CHUNKS = rf"""
+, chunks AS (SELECT doc_id, k, regexp_replace(parts[k], '^\s+|\s+$', '', 'g') AS chunk FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM (
+    SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), {_SEPARATORS}) AS parts FROM docs))),
+verbs AS (SELECT *, regexp_extract(chunk, {_q(_C("verb", "compared").re2)}, 0) AS verb FROM chunks WHERE chunk <> ''),
+isled AS (SELECT *, sum((verb <> '')::INT) OVER (PARTITION BY doc_id ORDER BY k) AS n FROM verbs),
+pe AS (SELECT doc_id, n, first(chunk ORDER BY k) AS chunk, first(verb ORDER BY k) AS action, string_agg(chunk, ' ' ORDER BY k) AS text FROM isled WHERE n > 0 GROUP BY doc_id, n)
+SELECT doc_id, n::BIGINT AS n, text, action, CASE WHEN {_compared("future")} THEN 'Future' WHEN {_compared("past")} THEN 'Past' ELSE 'Present' END AS temporal_category,
+  CASE WHEN n = 1 THEN NULL WHEN {_compared("simultaneous")} THEN 'SIMULTANEOUS' WHEN {_compared("before")} THEN 'BEFORE' WHEN {_compared("after")} THEN 'AFTER' ELSE 'IMMEDIATELY_BEFORE' END AS relation_to_previous FROM pe"""
+
+
+@query(_CHUNKS)
+def compared_event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(comparison.events(events.documents(stories(spark, sf_dir), language=None)), "doc_id", "n", "text", "action", "temporal_category", "relation_to_previous")
+
+
 @query("""SELECT user_id AS doc_id, event_id, CASE WHEN event_type = 'error' THEN 'Request body must include a non-empty string field named ''text''.'
   WHEN event_type = 'click' THEN '''options.layout'' must be one of: both, text_order, time_yard.' WHEN event_type = 'view' THEN '''options.language'' must be one of: en, ro.' END AS error FROM events""")
 def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
