@@ -14,7 +14,7 @@ Method.
 3. A set takes over the answers of the similar sets it was joined with: pairs within one component are never looked at
    again. In lists that hold more than one component, entries stand in blocks by position; for each set, size and position bounds turn
    every block into a range of sizes, and blocks whose range is empty are skipped. Every pair of different components that is left
-   is checked by parity bitmaps and then in full.
+   is checked by parity bitmaps there and then, and in full afterwards.
 Lists that are long are dealt to many tasks: salted in step 2, and split in pairs of blocks of at most ``BLOCK`` members in step 3.
 
 Shingles and sets are compared by 64-bit digests: for n sets about n^2 / 2^65 wrong equalities are expected.
@@ -226,14 +226,21 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(*held)
 
 
-def cross_pairs(n: np.ndarray, p: np.ndarray, cls: np.ndarray, root: np.ndarray, side: np.ndarray, both: bool) -> Iterator[np.ndarray]:
+def close(w: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets i and j can link by their parity bitmaps w: sets differ in at least as many shingles as their bitmaps in bits."""
+    apart = np.bitwise_count(w[:, i].view(U) ^ w[:, j].view(U)).sum(axis=0, dtype=np.int64)  # of signed numbers it would count the absolute value
+    # |A ^ B| = |A| + |B| - 2 |A & B| <= (|A| + |B|) * (100 - PERCENT) / (100 + PERCENT) for links.
+    return apart * (100 + PERCENT) <= (n[i] + n[j]) * (100 - PERCENT)
+
+
+def cross_pairs(n: np.ndarray, p: np.ndarray, cls: np.ndarray, root: np.ndarray, side: np.ndarray, w: np.ndarray, both: bool) -> Iterator[np.ndarray]:
     """Pairs of classes of different roots in an index list that may link; with both, only of different sides.
 
     The list stands in blocks by position, each by size. For a set, a block is a range of sizes, often empty.
     """
     k = 100 + PERCENT
     at = np.lexsort((cls, n, p))
-    n, p, cls, root, side = n[at], p[at], cls[at], root[at], side[at]
+    n, p, cls, root, side, w = n[at], p[at], cls[at], root[at], side[at], w[:, at]
     starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
     ends = np.append(starts[1:], len(p))
     high = ((k - PERCENT) * n - k * p) // PERCENT  # largest partner by this set's position
@@ -245,29 +252,49 @@ def cross_pairs(n: np.ndarray, p: np.ndarray, cls: np.ndarray, root: np.ndarray,
         x = np.flatnonzero(last > first)
         if not len(x):
             continue
-        for part in np.array_split(x, max(1, int((last - first)[x].sum()) // 2_000_000)):
+        for part in np.array_split(x, max(1, int((last - first)[x].sum()) // 1_000_000)):
             width = (last - first)[part]
             i = np.repeat(part, width)
             j = s + np.repeat(first[part] - np.cumsum(width) + width, width) + np.arange(width.sum())
             good = (cls[i] < cls[j]) & (root[i] != root[j])
             if both:
                 good &= side[i] != side[j]
+            i, j = i[good], j[good]
+            good = close(w, n, i, j)
             if good.any():
                 yield np.stack([cls[i[good]], cls[j[good]]], 1)
 
 
+#: Index lists of at most so many entries are paired together, by distance.
+SHORT = 12
+CROSSED = ["token", "i", "j", "side", "pack", "cls", "root", *(f"w{k}" for k in range(BITS))]
+
+
 def _crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From entries (token, i, j, side, pack, cls, root) sorted by (token, i, j): pairs of different components."""
-    held = [np.zeros(0, np.int64)] * 7
+    """From entries (CROSSED) sorted by (token, i, j): pairs of different components that may link."""
+    held = [np.zeros(0, np.int64)] * len(CROSSED)
 
     def work(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, i, j, side, pack, cls, root = arrays
-        new = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        token, i, j, side, pack, cls, root = arrays[:7]
+        w = np.stack(arrays[7:])
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        heads = np.flatnonzero(new)
+        sizes = np.diff(np.append(heads, len(token)))
         n, p, _ = unpack(pack)
+        of = np.cumsum(new) - 1
+        short = sizes[of] <= SHORT
         found = []
-        for s, e in zip(new.tolist(), [*new[1:].tolist(), len(token)], strict=True):
-            if (root[s:e] != root[s]).any():
-                found += cross_pairs(n[s:e], p[s:e], cls[s:e], root[s:e], side[s:e], bool(i[s] != j[s]))
+        for d in range(1, SHORT):
+            x = np.flatnonzero(short[:-d] & (of[:-d] == of[d:]) & (root[:-d] != root[d:])) if len(of) > d else ()
+            if not len(x):
+                continue
+            y = x + d
+            x, y = (z[((i[x] == j[x]) | (side[x] != side[y])) & may_link(n[x], p[x], n[y], p[y])] for z in (x, y))
+            x, y = (z[close(w, n, x, y)] for z in (x, y))
+            found.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])], 1))
+        for s, size in zip(heads[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
+            e = s + size
+            found += cross_pairs(n[s:e], p[s:e], cls[s:e], root[s:e], side[s:e], w[:, s:e], bool(i[s] != j[s]))
             if sum(map(len, found)) > 200_000:
                 yield batch_of(found)
                 found = []
@@ -339,7 +366,6 @@ def check(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     side = lambda s: small.select(F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in small.columns if c != "cls"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     apart = sum((F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in range(BITS)), F.lit(0))
-    # |A ^ B| = |A| + |B| - 2 |A & B| <= (|A| + |B|) * (100 - PERCENT) / (100 + PERCENT) for links.
     left = both.filter(apart * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)).select("a", "b")
     texts = lambda s: nodes.select(F.col("cls").alias(s), F.col("z").alias(f"z_{s}"))
     return left.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "z_a", "z_b").mapInArrow(_verify, "a long, b long, ok boolean")
@@ -381,6 +407,7 @@ def join(docs: DataFrame) -> DataFrame:
     left = labelled.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("token", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), F.col("own").cast("long").alias("side"), "pack", "cls", "root")
+    left = left.join(nodes.drop("n", "z"), "cls").select(*CROSSED)
     pairs = left.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_crossings, "a long, b long").distinct()
     more = settle(check(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), nodes))
 
