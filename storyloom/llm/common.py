@@ -47,6 +47,31 @@ def n_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits of the filters of :func:`marks`: a table of 2 MB, whatever the input.
+MARK_BITS = 1 << 24
+
+
+def _mark(key: str) -> tuple[Column, Column]:
+    at = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
+    return (at / 32768).cast("long"), (at % 32768).cast("long")
+
+
+def marks(ids: DataFrame, key: str) -> DataFrame:
+    """A bitmap of the ids' hashes, in rows of 4 KB; at most MARK_BITS bits, so it may be broadcast. More ids only make it coarser."""
+    bucket, bit = _mark(key)
+    return settle(ids.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.expr("bitmap_construct_agg(_bit)").alias("_bits")))
+
+
+def split_by_marks(df: DataFrame, key: str, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key may be among the marked ids, and those whose key isn't."""
+    bucket, bit = _mark(key)
+    rows = df.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(marked), "_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    held = F.coalesce(F.expr("shiftright(_byte, cast(_bit % 8 as int)) & 1") == 1, F.lit(False))
+    rows = rows.withColumn("_byte", byte)
+    return rows.filter(held).select(*df.columns), rows.filter(~held).select(*df.columns)
+
+
 def only_first(df: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of df whose key is in kept, one for each key, with the columns of df.
 

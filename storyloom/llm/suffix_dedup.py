@@ -14,7 +14,7 @@ Method.
    walk, in step over all contexts of a shard. Runs of suffixes with LENGTH bytes in common are equal windows; all but the first are removed.
 3. An anchor of more than ``SPLIT`` contexts is split over several shards. What is first in a shard is merged with the other shards': digests of
    their windows are dealt and sorted, and each looks up the first of its kind by binary search.
-4. Removed spans are gathered by document and applied to its text.
+4. Removed spans are gathered by document and applied to its text. Only texts that a bitmap of fixed size marks as asked for are dealt, here and in step 2.
 
 Contexts and merged windows are compared by 128 bits of digests, suffixes byte by byte.
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import settle, text_of
+from storyloom.llm.common import marks, settle, split_by_marks, text_of
 from storyloom.llm.jaccard import U, mix
 
 LENGTH, GRAM = 100, 32
@@ -397,7 +397,8 @@ def removed(docs: DataFrame) -> DataFrame:
     seen = texts.mapInArrow(_scan, "key long, ctx long, doc long, pos long")
     first = settle(seen.repartition("key").sortWithinPartitions(*ROW).mapInArrow(_settle_contexts, kind))
     asked = first.filter(f"kind = {CUT}").groupBy("doc").agg(F.collect_list(F.struct("a", "b", "key", "salt")).alias("asked"))
-    pieces = texts.join(asked.hint("shuffle_hash"), "doc").select("doc", "text", "asked").mapInArrow(_cut, "key long, salt long, doc long, a long, piece binary")
+    some, _ = split_by_marks(texts, "doc", marks(first.filter(f"kind = {CUT}"), "doc"))  # other texts aren't dealt
+    pieces = some.join(asked.hint("shuffle_hash"), "doc").select("doc", "text", "asked").mapInArrow(_cut, "key long, salt long, doc long, a long, piece binary")
     second = settle(pieces.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_shards, kind))
     merged = second.filter(f"kind = {CUT}").select("b", "key", "doc", "a").repartition("b", "key").sortWithinPartitions("b", "key", "doc", "a").mapInArrow(_merge, kind)
     spans = lambda df: df.filter(f"kind = {SPAN}").select("doc", "a", "b")
@@ -427,7 +428,11 @@ def _apply(keep_text: bool):
 def dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs, and the text that is left (whole characters)."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_of().alias("text"))
-    spans = removed(docs).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    found = removed(docs)
+    some, whole = split_by_marks(texts, "doc", marks(found, "doc"))
+    spans = found.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
-    rows = texts.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", "spans").mapInArrow(_apply(keep_text), schema)
+    rows = some.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", "spans").mapInArrow(_apply(keep_text), schema)
+    none = F.lit(0).cast("long")
+    rows = rows.unionByName(whole.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *(["text"] * keep_text)))
     return rows.withColumn("doc", F.when(F.col("doc") != NO_ID, F.col("doc"))).withColumnRenamed("doc", "doc_id")
