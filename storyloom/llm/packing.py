@@ -32,7 +32,7 @@ GROUP = 256
 #: Windows that differencing may add, as a part of their number, before surplus is cut.
 SLACK = 0
 #: Chunks that an encoder remembers; a full memory is emptied.
-MEMORY = 500_000
+MEMORY = 1_000_000
 
 
 class _Chunks(dict):
@@ -55,6 +55,8 @@ class Encoder:
     """
 
     ODD = re.compile("[\x1c-\x1f]")
+    #: A full stop or comma that ends a chunk after a letter or digit is a token of its own, so it may stand apart.
+    ENDS = re.compile(r"(?<=[a-z0-9\u00df-\u00f6\u00f8-\u00ff])([.,])(?=\s|$)")
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -67,12 +69,22 @@ class Encoder:
         self.chunks, self.ids = _Chunks(), np.zeros(1 << 20, np.uint32)
         self.starts, self.n = np.zeros(MEMORY + (1 << 20) + 1, np.int64), 0
 
+    def plain(self, text: str) -> str:
+        """A text with the same ids and fewer different chunks: the tokenizer lowers its letters too, and of Latin letters as Python does."""
+        if "<|" in text:  # a special token's name, which isn't lowered
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return self.ENDS.sub(r" \1", text.lower())
+
     def encode(self, texts: list[str], last: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by last; how many each text has."""
         if len(self.chunks) > MEMORY:
             self.forget()
         odd = {k: self.tokenizer.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts) if self.ODD.search(t)}
-        split = [() if k in odd else t.split() for k, t in enumerate(texts)]
+        split = [() if k in odd else self.plain(t).split() for k, t in enumerate(texts)]
         index = [np.fromiter(map(self.chunks.__getitem__, s), np.int64, len(s)) for s in split]
         self.learn()
         counts = np.empty(len(texts), np.int64)
