@@ -45,7 +45,9 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    """Dealt by doc_id before they are analysed: files of one row group are read by one task, and the windows over documents need no further exchange."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition(n, "doc_id")
 
 
 def _stories(spark: SparkSession, sf_dir: str, keep: bool = False) -> Corpus:
