@@ -15,6 +15,10 @@ from storyloom.llm import exact_dedup, jaccard, mixing, packing, toxicity
 from storyloom.llm.common import shared_folder, table
 
 
+#: Near copies of the stage: five words and a similarity of 0.8. The query op3_jaccard has a rule of its own.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
@@ -24,7 +28,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, NEAR_SHINGLE, NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """N-gram Jaccard join with set-relation skipping (operator 3).
 
-A document's set: the distinct shingles of ``SHINGLE`` words of its whole text, A-Z in lower case; with fewer words, the
+A document's set: the distinct shingles of ``size`` words of its whole text, A-Z in lower case; with fewer words, the
 whole sequence as one; without words or text, empty and linked with nothing. Documents link when
-``100 * |A & B| >= 90 * |A | B|``; the result is each document's component under these links. The join is exact.
+``100 * |A & B| >= percent * |A | B|``; the result is each document's component under these links. The join is exact.
+size and percent are ``SHINGLE`` and ``PERCENT`` for the query op3_jaccard; the pipeline's stage passes its own.
 
 Method.
 1. One scan reduces each document to (doc_id, set size, digest of the set) and counts shingles in a table of
    ``CELLS`` counters; equal sets are one class from here on, and copies are never paired. The counters, coarsened, give one global order,
    rare shingles first; its quality affects only speed, so its size is fixed.
-2. A second scan emits the prefix of each class, ``n - ceil(0.9 n) + 1`` shingles, as index entries. Index lists of one
+2. A second scan emits the prefix of each class, ``n - ceil(percent / 100 * n) + 1`` shingles, as index entries. Index lists of one
    class vanish. Within a list, members are chained in a few pseudo-random orders: links between neighbours in a chain are checked
    first, which joins the members of a group of near copies with work linear in its size.
 3. A set takes over the answers of the similar sets it was joined with: pairs within one component are never looked at
@@ -84,39 +85,43 @@ def digest(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63)
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    return n - -(-percent * n // 100) + 1
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sets link."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return bool(both) and 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return bool(both) and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(size: int):
     """Documents as (doc_id, n, class), and the task's counters as chunks."""
-    from pyspark import TaskContext
 
-    counts = np.zeros(CELLS, np.int64)
-    empty = lambda n, kind: pa.nulls(n, kind)
-    names = ["doc_id", "n", "cls", "chunk", "part", "counts"]
-    for batch in batches:
-        ns, keys = [], []
-        for text in batch.column(1).to_pylist():
-            s = shingles(text)
-            ns.append(len(s))
-            keys.append(digest(s))
-            if len(s):
-                np.add.at(counts, (s & U(CELLS - 1)).astype(np.int64), 1) if len(s) < 64 else np.add(counts, np.bincount((s & U(CELLS - 1)).astype(np.int64), minlength=CELLS), out=counts) if len(s) > CELLS // 8 else _add(counts, s)
-        n = len(ns)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.binary())], names)
-    part = TaskContext.get().partitionId()
-    k = CELLS // CHUNK
-    rows = [counts[c * CHUNK : (c + 1) * CHUNK].astype("<i8") for c in range(k)]
-    rows = [(c, r) for c, r in enumerate(rows) if r.any()]
-    n = len(rows)
-    yield pa.RecordBatch.from_arrays([empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), pa.array([c for c, _ in rows], pa.int64()), pa.array([part] * n, pa.int64()), pa.array([zstandard.compress(r.tobytes(), 1) for _, r in rows], pa.binary())], names)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        counts = np.zeros(CELLS, np.int64)
+        empty = lambda n, kind: pa.nulls(n, kind)
+        names = ["doc_id", "n", "cls", "chunk", "part", "counts"]
+        for batch in batches:
+            ns, keys = [], []
+            for text in batch.column(1).to_pylist():
+                s = shingles(text, size)
+                ns.append(len(s))
+                keys.append(digest(s))
+                if len(s):
+                    np.add.at(counts, (s & U(CELLS - 1)).astype(np.int64), 1) if len(s) < 64 else np.add(counts, np.bincount((s & U(CELLS - 1)).astype(np.int64), minlength=CELLS), out=counts) if len(s) > CELLS // 8 else _add(counts, s)
+            n = len(ns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.binary())], names)
+        part = TaskContext.get().partitionId()
+        k = CELLS // CHUNK
+        rows = [counts[c * CHUNK : (c + 1) * CHUNK].astype("<i8") for c in range(k)]
+        rows = [(c, r) for c, r in enumerate(rows) if r.any()]
+        n = len(rows)
+        yield pa.RecordBatch.from_arrays([empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), pa.array([c for c, _ in rows], pa.int64()), pa.array([part] * n, pa.int64()), pa.array([zstandard.compress(r.tobytes(), 1) for _, r in rows], pa.binary())], names)
+
+    return read
 
 
 def _add(counts: np.ndarray, s: np.ndarray) -> None:
@@ -145,7 +150,7 @@ def order_of(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 SALT_BITS, POS_BITS = 10, 25
 
 
-def _entries(ranks, top):
+def _entries(ranks, top, size: int, percent: int):
     """Index entries (key, packed size, position and salt, class) of each class the first time a task meets it."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +161,7 @@ def _entries(ranks, top):
         for batch in batches:
             keys, packs, classes = [], [], []
             for text in batch.column(0).to_pylist():
-                s = shingles(text)
+                s = shingles(text, size)
                 n = len(s)
                 c = digest(s)
                 if not n or c in seen:
@@ -165,7 +170,7 @@ def _entries(ranks, top):
                     seen.clear()
                 seen.add(c)
                 r = rank[(s & U(CELLS - 1)).astype(np.int64)]
-                s, r = (x[np.lexsort((s, r))[: prefix_length(n)]] for x in (s, r))
+                s, r = (x[np.lexsort((s, r))[: prefix_length(n, percent)]] for x in (s, r))
                 over = np.maximum(0, least[r] - 2 * mean)
                 salts = np.minimum(1 << SALT_BITS, 1 + over // SALT)
                 salt = (mix(s ^ U(c & (1 << 64) - 1)) % salts.astype(U)).astype(np.int64)
@@ -186,67 +191,71 @@ def unpack(pack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pack >> (POS_BITS + SALT_BITS), (pack >> SALT_BITS) & ((1 << POS_BITS) - 1), pack & ((1 << SALT_BITS) - 1)
 
 
-def may_link(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray) -> np.ndarray:
+def may_link(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether sets of n and m shingles can link if p and q of them come before the first that both have."""
-    k = 100 + PERCENT
-    return np.minimum(n - p, m - q) * k >= PERCENT * (n + m)
+    k = 100 + percent
+    return np.minimum(n - p, m - q) * k >= percent * (n + m)
 
 
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chains(percent: int):
     """From entries sorted by key: pairs of neighbours in a chain (kind 0), and the entries of lists of several classes (kind 1)."""
-    held = [np.zeros(0, np.int64)] * 3
-
-    def work(key: np.ndarray, pack: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
-        turn = mix(mix((key.view(U) % U(CHAINS)) + U(1)) ^ cls.view(U))
-        at = np.lexsort((cls, turn, key))
-        key, pack, cls = key[at], pack[at], cls[at]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-        key, pack, cls = key[new], pack[new], cls[new]  # a class that several tasks met counts once
-        n, p, salt = unpack(pack)
-        near = np.flatnonzero(key[1:] == key[:-1])
-        near = near[may_link(n[near], p[near], n[near + 1], p[near + 1])]
-        a, b = np.minimum(cls[near], cls[near + 1]), np.maximum(cls[near], cls[near + 1])
-        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        same = np.concatenate([[False], key[1:] == key[:-1], [False]])
-        several = same[1:] | same[:-1] | (salt > 0)
-        token = np.where(salt > 0, (key.view(U) ^ mix(salt.astype(U))).view(np.int64), key)[several]
-        k = len(token)
-        columns = [np.concatenate([np.zeros(len(pairs), np.int64), np.ones(k, np.int64)]), np.concatenate([pairs[:, 0], cls[several]]), np.concatenate([pairs[:, 1], token]), np.concatenate([np.zeros(len(pairs), np.int64), pack[several]])]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "a", "b", "pack"])
-
-    for batch in batches:
-        arrays = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
-        if not len(arrays[0]):
-            continue
-        cut = int(np.searchsorted(arrays[0], arrays[0][-1])) if len(arrays[0]) < 1_000_000 else len(arrays[0])  # the last list may go on; a very long one is chained piece by piece
-        if cut:
-            yield work(*(a[:cut] for a in arrays))
-        held = [a[cut:] for a in arrays]
-    if len(held[0]):
-        yield work(*held)
 
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+
+        def work(key: np.ndarray, pack: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+            turn = mix(mix((key.view(U) % U(CHAINS)) + U(1)) ^ cls.view(U))
+            at = np.lexsort((cls, turn, key))
+            key, pack, cls = key[at], pack[at], cls[at]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
+            key, pack, cls = key[new], pack[new], cls[new]  # a class that several tasks met counts once
+            n, p, salt = unpack(pack)
+            near = np.flatnonzero(key[1:] == key[:-1])
+            near = near[may_link(n[near], p[near], n[near + 1], p[near + 1], percent)]
+            a, b = np.minimum(cls[near], cls[near + 1]), np.maximum(cls[near], cls[near + 1])
+            pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            same = np.concatenate([[False], key[1:] == key[:-1], [False]])
+            several = same[1:] | same[:-1] | (salt > 0)
+            token = np.where(salt > 0, (key.view(U) ^ mix(salt.astype(U))).view(np.int64), key)[several]
+            k = len(token)
+            columns = [np.concatenate([np.zeros(len(pairs), np.int64), np.ones(k, np.int64)]), np.concatenate([pairs[:, 0], cls[several]]), np.concatenate([pairs[:, 1], token]), np.concatenate([np.zeros(len(pairs), np.int64), pack[several]])]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "a", "b", "pack"])
+
+        for batch in batches:
+            arrays = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            if not len(arrays[0]):
+                continue
+            cut = int(np.searchsorted(arrays[0], arrays[0][-1])) if len(arrays[0]) < 1_000_000 else len(arrays[0])  # the last list may go on; a very long one is chained piece by piece
+            if cut:
+                yield work(*(a[:cut] for a in arrays))
+            held = [a[cut:] for a in arrays]
+        if len(held[0]):
+            yield work(*held)
+
+    return chain
 
-def close(w: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+
+def close(w: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether sets i and j can link by their parity bitmaps w: sets differ in at least as many shingles as their bitmaps in bits."""
     apart = np.bitwise_count(w[:, i].view(U) ^ w[:, j].view(U)).sum(axis=0, dtype=np.int64)  # of signed numbers it would count the absolute value
-    # |A ^ B| = |A| + |B| - 2 |A & B| <= (|A| + |B|) * (100 - PERCENT) / (100 + PERCENT) for links.
-    return apart * (100 + PERCENT) <= (n[i] + n[j]) * (100 - PERCENT)
+    # |A ^ B| = |A| + |B| - 2 |A & B| <= (|A| + |B|) * (100 - percent) / (100 + percent) for links.
+    return apart * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
 
 
-def cross_pairs(n: np.ndarray, p: np.ndarray, cls: np.ndarray, root: np.ndarray, side: np.ndarray, w: np.ndarray, both: bool) -> Iterator[np.ndarray]:
+def cross_pairs(n: np.ndarray, p: np.ndarray, cls: np.ndarray, root: np.ndarray, side: np.ndarray, w: np.ndarray, both: bool, percent: int = PERCENT) -> Iterator[np.ndarray]:
     """Pairs of classes of different roots in an index list that may link; with both, only of different sides.
 
     The list stands in blocks by position, each by size. For a set, a block is a range of sizes, often empty.
     """
-    k = 100 + PERCENT
+    k = 100 + percent
     at = np.lexsort((cls, n, p))
     n, p, cls, root, side, w = n[at], p[at], cls[at], root[at], side[at], w[:, at]
     starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
     ends = np.append(starts[1:], len(p))
-    high = ((k - PERCENT) * n - k * p) // PERCENT  # largest partner by this set's position
+    high = ((k - percent) * n - k * p) // percent  # largest partner by this set's position
     for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
         q, sizes = p[s], n[s:e]
-        low = -(-(PERCENT * n + k * q) // (k - PERCENT))  # smallest partner at position q
+        low = -(-(percent * n + k * q) // (k - percent))  # smallest partner at position q
         first = np.searchsorted(sizes, low, "left")
         last = np.searchsorted(sizes, high, "right")
         x = np.flatnonzero(last > first)
@@ -260,7 +269,7 @@ def cross_pairs(n: np.ndarray, p: np.ndarray, cls: np.ndarray, root: np.ndarray,
             if both:
                 good &= side[i] != side[j]
             i, j = i[good], j[good]
-            good = close(w, n, i, j)
+            good = close(w, n, i, j, percent)
             if good.any():
                 yield np.stack([cls[i[good]], cls[j[good]]], 1)
 
@@ -270,72 +279,80 @@ SHORT = 12
 CROSSED = ["token", "i", "j", "side", "pack", "cls", "root", *(f"w{k}" for k in range(BITS))]
 
 
-def _crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _crossings(percent: int):
     """From entries (CROSSED) sorted by (token, i, j): pairs of different components that may link."""
-    held = [np.zeros(0, np.int64)] * len(CROSSED)
-
-    def work(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, i, j, side, pack, cls, root = arrays[:7]
-        w = np.stack(arrays[7:])
-        new = np.concatenate([[True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        heads = np.flatnonzero(new)
-        sizes = np.diff(np.append(heads, len(token)))
-        n, p, _ = unpack(pack)
-        of = np.cumsum(new) - 1
-        short = sizes[of] <= SHORT
-        found = []
-        for d in range(1, SHORT):
-            x = np.flatnonzero(short[:-d] & (of[:-d] == of[d:]) & (root[:-d] != root[d:])) if len(of) > d else ()
-            if not len(x):
-                continue
-            y = x + d
-            x, y = (z[((i[x] == j[x]) | (side[x] != side[y])) & may_link(n[x], p[x], n[y], p[y])] for z in (x, y))
-            x, y = (z[close(w, n, x, y)] for z in (x, y))
-            found.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])], 1))
-        for s, size in zip(heads[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
-            e = s + size
-            found += cross_pairs(n[s:e], p[s:e], cls[s:e], root[s:e], side[s:e], w[:, s:e], bool(i[s] != j[s]))
-            if sum(map(len, found)) > 200_000:
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * len(CROSSED)
+
+        def work(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            token, i, j, side, pack, cls, root = arrays[:7]
+            w = np.stack(arrays[7:])
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            heads = np.flatnonzero(new)
+            sizes = np.diff(np.append(heads, len(token)))
+            n, p, _ = unpack(pack)
+            of = np.cumsum(new) - 1
+            short = sizes[of] <= SHORT
+            found = []
+            for d in range(1, SHORT):
+                x = np.flatnonzero(short[:-d] & (of[:-d] == of[d:]) & (root[:-d] != root[d:])) if len(of) > d else ()
+                if not len(x):
+                    continue
+                y = x + d
+                x, y = (z[((i[x] == j[x]) | (side[x] != side[y])) & may_link(n[x], p[x], n[y], p[y], percent)] for z in (x, y))
+                x, y = (z[close(w, n, x, y, percent)] for z in (x, y))
+                found.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])], 1))
+            for s, size in zip(heads[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
+                e = s + size
+                found += cross_pairs(n[s:e], p[s:e], cls[s:e], root[s:e], side[s:e], w[:, s:e], bool(i[s] != j[s]), percent)
+                if sum(map(len, found)) > 200_000:
+                    yield batch_of(found)
+                    found = []
+            if found:
                 yield batch_of(found)
-                found = []
-        if found:
-            yield batch_of(found)
 
-    def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], ["a", "b"])
+        def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], ["a", "b"])
 
-    for batch in batches:
-        arrays = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
-        if not len(arrays[0]):
-            continue
-        last = (arrays[0] == arrays[0][-1]) & (arrays[1] == arrays[1][-1]) & (arrays[2] == arrays[2][-1])
-        cut = len(last) - int(last.sum())
-        if cut:
-            yield from work([a[:cut] for a in arrays])
-        held = [a[cut:] for a in arrays]
-    if len(held[0]):
-        yield from work(held)
+        for batch in batches:
+            arrays = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            if not len(arrays[0]):
+                continue
+            last = (arrays[0] == arrays[0][-1]) & (arrays[1] == arrays[1][-1]) & (arrays[2] == arrays[2][-1])
+            cut = len(last) - int(last.sum())
+            if cut:
+                yield from work([a[:cut] for a in arrays])
+            held = [a[cut:] for a in arrays]
+        if len(held[0]):
+            yield from work(held)
 
+    return cross
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _verify(size: int, percent: int):
     """Pairs (a, b, packed texts) with ok."""
-    sets: dict[int, np.ndarray] = {}
 
-    def get(c: int, z: bytes) -> np.ndarray:
-        if c not in sets:
-            if len(sets) > 500:
-                sets.clear()
-            sets[c] = shingles(zstandard.decompress(z))
-        return sets[c]
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+
+        def get(c: int, z: bytes) -> np.ndarray:
+            if c not in sets:
+                if len(sets) > 500:
+                    sets.clear()
+                sets[c] = shingles(zstandard.decompress(z), size)
+            return sets[c]
+
+        for batch in batches:
+            a, b, x, y = (c.to_pylist() for c in batch.columns)
+            ok = [linked(get(i, u), get(j, v), percent) for i, j, u, v in zip(a, b, x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    for batch in batches:
-        a, b, x, y = (c.to_pylist() for c in batch.columns)
-        ok = [linked(get(i, u), get(j, v)) for i, j, u, v in zip(a, b, x, y, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+    return verify
 
 
-def _candidates(wanted):
+def _candidates(wanted, size: int):
     """(cls, n, parity words, packed text) of classes that may be candidates, the first time a task meets each."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +361,7 @@ def _candidates(wanted):
             rows = []
             for text in batch.column(0).to_pylist():
                 raw = text.encode("utf-8", "surrogatepass")
-                s = shingles(raw)
+                s = shingles(raw, size)
                 c = digest(s)
                 at = (c & (1 << 63) - 1) % FILTER_BITS
                 if not len(s) or c in seen or not bits[at >> 3] >> (at & 7) & 1:
@@ -360,15 +377,15 @@ def _candidates(wanted):
     return emit
 
 
-def check(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def check(pairs: DataFrame, nodes: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) with ok. Parity bitmaps go first: the sets differ in at least as many shingles as the bitmaps in bits."""
     small = nodes.drop("z")
     side = lambda s: small.select(F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in small.columns if c != "cls"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     apart = sum((F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in range(BITS)), F.lit(0))
-    left = both.filter(apart * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)).select("a", "b")
+    left = both.filter(apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b")
     texts = lambda s: nodes.select(F.col("cls").alias(s), F.col("z").alias(f"z_{s}"))
-    return left.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "z_a", "z_b").mapInArrow(_verify, "a long, b long, ok boolean")
+    return left.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "z_a", "z_b").mapInArrow(_verify(size, percent), "a long, b long, ok boolean")
 
 
 def bitmap_of(classes: DataFrame) -> bytes:
@@ -381,24 +398,24 @@ def bitmap_of(classes: DataFrame) -> bytes:
     return bytes(out)
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     spark = docs.sparkSession
     texts = docs.select(text_of().alias("text"))
-    first = settle(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_read, "doc_id long, n long, cls long, chunk long, part long, counts binary"))
+    first = settle(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_read(size), "doc_id long, n long, cls long, chunk long, part long, counts binary"))
     rows = first.filter("chunk IS NULL").select("doc_id", "n", "cls")
     ranks, least = order_of(first)
     mean = int(rows.agg(F.sum("n")).first()[0] or 0) // CELLS
     shared = spark.sparkContext.broadcast((ranks, least))
 
-    entries = texts.mapInArrow(_entries(shared, mean), "key long, pack long, cls long")
-    listed = settle(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_chains, "kind long, a long, b long, pack long"))
+    entries = texts.mapInArrow(_entries(shared, mean, size, percent), "key long, pack long, cls long")
+    listed = settle(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_chains(percent), "kind long, a long, b long, pack long"))
     chains = listed.filter("kind = 0").select("a", "b").distinct()
     lists = listed.filter("kind = 1").select(F.col("a").alias("cls"), F.col("b").alias("token"), "pack")
 
     wanted = spark.sparkContext.broadcast(bitmap_of(lists.select("cls").distinct()))
-    nodes = settle(texts.mapInArrow(_candidates(wanted), "cls long, n long, z binary, " + ", ".join(f"w{k} long" for k in range(BITS))).dropDuplicates(["cls"]))
-    tried = settle(check(chains, nodes))
+    nodes = settle(texts.mapInArrow(_candidates(wanted, size), "cls long, n long, z binary, " + ", ".join(f"w{k} long" for k in range(BITS))).dropDuplicates(["cls"]))
+    tried = settle(check(chains, nodes, size, percent))
     roots = components(tried.filter("ok"))
 
     # Lists that hold several components; a list's number of entries gives the blocks it is cut in.
@@ -408,8 +425,8 @@ def join(docs: DataFrame) -> DataFrame:
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("token", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), F.col("own").cast("long").alias("side"), "pack", "cls", "root")
     left = left.join(nodes.drop("n", "z"), "cls").select(*CROSSED)
-    pairs = left.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_crossings, "a long, b long").distinct()
-    more = settle(check(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), nodes))
+    pairs = left.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_crossings(percent), "a long, b long").distinct()
+    more = settle(check(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), nodes, size, percent))
 
     # Components of components, then the smallest doc_id of each.
     name = lambda s: F.coalesce(f"r_{s}", s).alias(s)
@@ -425,7 +442,7 @@ def join(docs: DataFrame) -> DataFrame:
     return rows.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs of which component_id is their own doc_id, with their columns: one of each component, and all empty ones."""
-    named = join(docs)
+    named = join(docs, size, percent)
     return only_first(docs, named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
