@@ -2,8 +2,11 @@
 
 Token counts by (source, language, topic) are raked until their sums over each of the three match target shares: each
 step scales the cells of one value to its target, for the three in turn, until no sum is off by more than
-``tolerance`` of its target or ``rounds`` are over. A cell's rate is its raked weight by its tokens; documents are then drawn with
-probability ``min(1, scale * rate)`` of their cell, where scale makes the expected tokens ``budget`` of the total.
+``tolerance`` of its target or ``rounds`` are over. A cell's rate is its raked weight by its tokens. A cell gives at most its
+tokens, so a second raking is bounded: each step gives the cells of one value the factor at which their tokens, full cells held at what
+they have, meet the value's share of ``budget`` tokens; documents are then drawn with the probability of their cell. A value with
+fewer tokens than its share gives all of them, and the other values share the rest by their targets.
+The query op1_mixing follows its SQL instead: probability ``min(1, scale * rate)`` with one scale for the budget, which misses targets once cells are full.
 The draw compares the probability with a digest of doc_id and seed, so it is the same on any cluster.
 
 The default target of a value is its share of tokens to the power ``temperature``, normalised, which lifts small sources.
@@ -16,7 +19,7 @@ without tokens has rate 0; repeated rows are drawn alike; an empty table gives n
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ from storyloom.llm.common import WORD, settle, text_of
 DIMENSIONS = ("source", "lang", "topic")
 TEMPERATURE, BUDGET, SEED = 0.7, 0.6, "mix-1"
 ROUNDS, TOLERANCE = 10, 1e-12
+#: Of the bounded raking: it ends when no value's tokens are off by more than a millionth.
+BOUNDED_ROUNDS, BOUNDED_TOLERANCE = 60, 1e-6
 #: Rounds in one job.
 STRIDE = 5
 BROADCAST_CELLS = 100_000
@@ -77,24 +82,60 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     return out
 
 
-def scaled(cells: DataFrame, budget: float) -> DataFrame:
-    """Raked cells with rate, and prob: the rate by a common scale, at most 1, for which budget of all tokens is expected.
+def _scale(rows: DataFrame, amount: float) -> float:
+    """The factor of weight at which the rows' weights, each at most its tokens, add up to amount.
 
-    Raising the scale fills cells up, and each step sets those aside that are full; every step is one small aggregate.
+    Raising the scale fills rows up, and each step sets those aside that are full; every step is one small aggregate.
     """
-    cells = cells.withColumn("rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     scale = 0.0
     for _ in range(1000):
-        full = F.col("rate") * F.lit(scale) >= 1
-        held, free = cells.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        full = (F.col("weight") > 0) & (F.col("weight") * F.lit(scale) >= F.col("tokens"))
+        held, free = rows.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
         if not free:
             break
-        new = (budget * total - float(held or 0)) / float(free)
+        new = (amount - float(held or 0)) / float(free)
         if new <= scale * (1 + 1e-12):
             break
         scale = new
-    return cells.withColumn("prob", F.least(F.lit(1.0), F.col("rate") * F.lit(scale)))
+    return scale
+
+
+def _rate() -> Column:
+    return F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
+
+
+def scaled(cells: DataFrame, budget: float) -> DataFrame:
+    """Raked cells with rate, and prob: the rate by a common scale, at most 1, for which budget of all tokens is expected."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    return cells.withColumn("rate", _rate()).withColumn("prob", F.least(F.lit(1.0), F.col("rate") * F.lit(_scale(cells, budget * total))))
+
+
+def bounded(cells: DataFrame, budget: float, rounds: int = BOUNDED_ROUNDS, tolerance: float = BOUNDED_TOLERANCE) -> DataFrame:
+    """Raked cells with rate, and prob: at most 1, for which budget of all tokens, or all that targets allow, is expected in target shares."""
+    usable = F.when(F.col("weight") > 0, F.col("tokens")).otherwise(0)
+    total, most = (float(x or 0) for x in cells.agg(F.sum("tokens"), F.sum(usable)).first())
+    amount = min(budget * total, most)
+    out = cells.withColumn("rate", _rate())
+    for d in DIMENSIONS:
+        values = settle(cells.groupBy(d).agg(F.sum(usable).alias("tokens"), F.first(f"want_{d}").alias("weight")).withColumn("weight", F.when(F.col("tokens") > 0, F.col("weight")).otherwise(0.0)))
+        held = F.sum(usable).over(Window.partitionBy(d))
+        out = out.withColumn(f"aim_{d}", F.least(held.cast("double"), F.col(f"want_{d}") * F.lit(_scale(values, amount))))
+    taken = F.least(F.col("tokens").cast("double"), F.col("weight"))
+    for k in range(rounds):
+        for d in DIMENSIONS:
+            # With cells by falling rate, the first of them full, each number of full cells gives a factor; the largest is the one that fits.
+            order = Window.partitionBy(d).orderBy(_rate().desc(), *DIMENSIONS)
+            full = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            free = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+            out = out.withColumn("_factor", F.when(free > 0, (F.col(f"aim_{d}") - full) / free))
+            factor = F.coalesce(F.max("_factor").over(Window.partitionBy(d)), F.lit(0.0))
+            out = out.withColumn("weight", F.least(F.col("weight") * factor, F.col("tokens") * F.lit(1e9)))  # cells that can't meet their values' shares don't grow forever
+        if k % STRIDE == STRIDE - 1 or k == rounds - 1:
+            out = settle(out.drop("_factor"))
+            off = [out.groupBy(d).agg((F.abs(F.sum(taken) - F.first(f"aim_{d}")) / F.greatest(F.first(f"aim_{d}"), F.lit(1e-9))).alias("off")).select("off") for d in DIMENSIONS[:-1]]
+            if (off[0].unionByName(off[1]).agg(F.max("off")).first()[0] or 0) <= tolerance:
+                break
+    return out.withColumn("prob", F.when(F.col("tokens") > 0, taken / F.col("tokens")).otherwise(0.0))
 
 
 def draw(doc_id: Column, seed: str) -> Column:
@@ -103,14 +144,14 @@ def draw(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def weigh(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, seed: str = SEED) -> DataFrame:
-    """docs' doc_id, dimensions and n_tokens with rate, prob and sampled."""
-    return _with_cells(measured(docs), docs, targets, budget, temperature, seed)
+def weigh(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, seed: str = SEED, law: Callable[[DataFrame, float], DataFrame] = bounded) -> DataFrame:
+    """docs' doc_id, dimensions and n_tokens with rate, prob and sampled; law gives the raked cells their prob."""
+    return _with_cells(measured(docs), docs, targets, budget, temperature, seed, law)
 
 
-def _with_cells(rows: DataFrame, docs: DataFrame, targets, budget: float, temperature: float, seed: str) -> DataFrame:
+def _with_cells(rows: DataFrame, docs: DataFrame, targets, budget: float, temperature: float, seed: str, law) -> DataFrame:
     cells = settle(measured(docs).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    cells = settle(scaled(rake(cells, targets, temperature), budget).select(*DIMENSIONS, "rate", "prob"))
+    cells = settle(law(rake(cells, targets, temperature), budget).select(*DIMENSIONS, "rate", "prob"))
     side = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
     return rows.join(side, list(DIMENSIONS)).withColumn("sampled", draw(F.col("doc_id"), seed) < F.col("prob"))
 
@@ -121,7 +162,7 @@ def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None =
     keys = {"source": "_source", "lang": "_lang", "topic": "_topic"}
     rows = docs.withColumns({"_source": plain("source"), "_lang": plain("lang"), "_topic": topic_of(text_of())})
     cells = settle(measured(docs).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    cells = settle(scaled(rake(cells, targets, temperature), budget).select(*(F.col(k).alias(v) for k, v in keys.items()), F.col("prob").alias("_prob")))
+    cells = settle(bounded(rake(cells, targets, temperature), budget).select(*(F.col(k).alias(v) for k, v in keys.items()), F.col("prob").alias("_prob")))
     side = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
     return rows.join(side, list(keys.values())).filter(draw(F.col("doc_id"), seed) < F.col("_prob")).select(*docs.columns)
 

@@ -12,7 +12,7 @@ from storyloom.llm.common import table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.weigh(table(spark, sf_dir, "documents"))
+    rows = mixing.weigh(table(spark, sf_dir, "documents"), law=mixing.scaled)  # the law of its SQL
     return rows.select("doc_id", *mixing.DIMENSIONS, "n_tokens", F.round("rate", 6).alias("rate"), F.round("prob", 6).alias("prob"), "sampled")
 
 

@@ -3,7 +3,9 @@
 import itertools
 import random
 
-from storyloom.llm import jaccard
+import pytest
+
+from storyloom.llm import jaccard, mixing
 
 from test_operators import LOW, SCHEMA, corpus, words
 
@@ -46,3 +48,25 @@ def test_jaccard_of_other_sizes(spark):
             for a, b in links:
                 least[a] = least[b] = min(least[a], least[b])
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, size, percent).collect()} == {r[0]: (len(shingle_set(r[1], size)), least[r[0]]) for r in rows}
+
+
+def drawn(rows, d):
+    """Shares of the expected tokens by the values of a dimension."""
+    total = sum(r.n_tokens * r.prob for r in rows)
+    return {v: sum(r.n_tokens * r.prob for r in rows if r[d] == v) / total for v in {r[d] for r in rows}}
+
+
+def test_drawn_shares_meet_targets_when_cells_are_full(spark):
+    sizes = {("a", "x"): 100, ("a", "y"): 200, ("b", "x"): 300, ("b", "y"): 400}
+    docs = [(k * 1000 + i, "w " * 10, lang, source) for k, ((source, lang), n) in enumerate(sizes.items()) for i in range(n // 10)]
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.6, "y": 0.4}}
+    rows = mixing.weigh(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), targets, budget=0.4).collect()
+    assert sum(r.n_tokens * r.prob for r in rows) == pytest.approx(400, rel=1e-5) and max(r.prob for r in rows) == 1
+    assert drawn(rows, "source") == pytest.approx(targets["source"], rel=1e-5)
+    assert drawn(rows, "lang") == pytest.approx(targets["lang"], rel=1e-5)
+
+
+def test_values_with_too_few_tokens_give_all(spark):
+    docs = [(k, "w " * 10, "x", "a" if k < 5 else "b" if k < 50 else "c") for k in range(100)]
+    rows = mixing.weigh(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), {"source": {"a": 0.5, "b": 0.3, "c": 0.2}}, budget=0.5).collect()
+    assert drawn(rows, "source") == pytest.approx({"a": 0.1, "b": 0.54, "c": 0.36}, rel=1e-5)
