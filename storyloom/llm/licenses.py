@@ -2,8 +2,10 @@
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z in lower case; null counts as empty. Base labels
 come from phrases whose words stand consecutively. The method adds a label for each template of which a text block
-holds at least ``CONTAINMENT`` of the distinct words; blocks are the lines of a text, and every two neighbouring lines together,
-since license lines are often wrapped.
+holds at least ``CONTAINMENT`` of the distinct words; blocks are the lines of a text, every two neighbouring lines together, and every
+window of as many words as the template has over ``CONTAINMENT``, across any line ends. A text is first taken as one block: only for templates
+that it holds do windows slide. Overlapping windows are one block, the fullest, and the shortest of these; those within two lines are left to the lines.
+The SQL knows lines and pairs only: it has the same rows where no license text is wrapped over more lines.
 
 The join is exact: template words are ordered by how many documents of the corpus hold them, rarest first, from one
 pass over all texts that counts only template words. A block that meets the threshold for a template of n words lacks
@@ -13,11 +15,13 @@ length filter; those of which too few words are left after the first one met go
 left is counted. Templates are a library of fixed size, so nothing else is broadcast and nothing is shuffled but the counts.
 
 Cases: null and empty texts have no words, no labels and score 0; repeated rows get a row each; very long texts are
-read whole, line by line; an empty table gives no rows; further columns are not read.
+read whole; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator, Mapping
@@ -75,6 +79,8 @@ class Templates:
                 self.index.setdefault(word, []).append((t, at))
         self.prefixes = frozenset(self.index)
         self.sets = [frozenset(w) for w in self.words]
+        self.at = {k: t for t, k in enumerate(self.labels)}
+        self.window = [int(len(words_of(templates[k])) / containment + 1e-9) for k in self.labels]
 
     def match(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
         """Labels of the templates that the block holds, with the containment."""
@@ -90,6 +96,31 @@ class Templates:
                     yield self.labels[t], held / n
 
 
+    def slide(self, label: str, words: list[bytes]) -> Iterator[tuple[int, int, float]]:
+        """First and last word, and containment, of the windows of a text that hold the template; of those that overlap, the best."""
+        t = self.at[label]
+        known, size = self.sets[t], self.window[t]
+        places = [i for i, w in enumerate(words) if w in known]
+        held: Counter[bytes] = Counter()
+        found: list[tuple[int, int, int]] = []
+        first = 0
+        for i in places:
+            held[words[i]] += 1
+            while (j := places[first]) <= i - size or held[words[j]] > 1:  # a word that comes again isn't needed at the start
+                held[words[j]] -= 1
+                if not held[words[j]]:
+                    del held[words[j]]
+                first += 1
+            if len(held) >= self.need[t]:
+                found.append((-len(held), i - j, j))
+        kept: list[tuple[int, int, float]] = []
+        for n, wide, j in sorted(found):
+            at = bisect.bisect_left(kept, (j,))
+            if (at == 0 or kept[at - 1][1] < j) and (at == len(kept) or kept[at][0] > j + wide):
+                kept.insert(at, (j, j + wide, -n / len(known)))
+        yield from kept
+
+
 def _counter(words: frozenset[bytes]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[bytes] = Counter()
@@ -123,7 +154,8 @@ def scan_text(text: str, templates: Templates, phrases: Mapping[bytes, str]) ->
     labels, score, blocks = set(base), 1.0 if base else 0.0, []
     held = templates.prefixes.intersection(words)
     if held:
-        lines = [set(x.split()) for x in raw.translate(_LINES).split(b"\n")]
+        rows = [x.split() for x in raw.translate(_LINES).split(b"\n")]
+        lines = [set(x) for x in rows]
         for k, line in enumerate(lines):
             pair = lines[k + 1] if k + 1 < len(lines) else set()
             for block, n in ((line, 1), (line | pair, 2)):
@@ -132,6 +164,14 @@ def scan_text(text: str, templates: Templates, phrases: Mapping[bytes, str]) ->
                         labels.add(label)
                         score = max(score, part)
                         blocks.append((k, n, label, part))
+        ends = list(itertools.accumulate(map(len, rows)))
+        for label, _ in templates.match(set(words)):
+            for i, j, part in templates.slide(label, words):
+                k, last = bisect.bisect_right(ends, i), bisect.bisect_right(ends, j)
+                if last - k > 1:
+                    labels.add(label)
+                    score = max(score, part)
+                    blocks.append((k, last - k + 1, label, part))
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, blocks
 
 

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from storyloom.llm import jaccard, mixing
+from storyloom.llm import jaccard, licenses, mixing
 
 from test_operators import LOW, SCHEMA, corpus, words
 
@@ -70,3 +70,29 @@ def test_values_with_too_few_tokens_give_all(spark):
     docs = [(k, "w " * 10, "x", "a" if k < 5 else "b" if k < 50 else "c") for k in range(100)]
     rows = mixing.weigh(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), {"source": {"a": 0.5, "b": 0.3, "c": 0.2}}, budget=0.5).collect()
     assert drawn(rows, "source") == pytest.approx({"a": 0.1, "b": 0.54, "c": 0.36}, rel=1e-5)
+
+
+def test_licenses_wrapped_over_many_lines(spark):
+    grant, bsd = (licenses.TEMPLATES[k].split() for k in ("mit-grant", "bsd-grant"))
+    boxed = lambda w, n: "\n".join(f" * {' '.join(w[k : k + n])} *" for k in range(0, len(w), n))
+    rows = [
+        (1, "Some words before.\n" + boxed(grant, 4) + "\nand after"), (2, "code and text; " + "\n\n".join(" ".join(bsd[k : k + 11]) for k in range(0, len(bsd), 11))),
+        (3, "\n".join(" filler " * 4 + w for w in grant)), (4, boxed(grant[:12], 4)), (5, boxed(grant, 4) + "\nfiller" * 40 + "\n" + boxed(grant[:-1], 3)),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[k].labels, got[k].score) for k in (1, 2, 3, 4)] == [("mit-grant", 1.0), ("bsd-grant", 1.0), ("", 0.0), ("", 0.0)]
+    assert [(b.line, b.lines, b.label) for b in got[1].blocks] == [(1, 5, "mit-grant")]
+    assert [(b.line, b.lines) for b in got[5].blocks] == [(0, 5), (45, 7)] and got[5].blocks[1].containment < 1
+
+
+def test_license_windows_match_plain_search():
+    rnd = random.Random(12)
+    known = licenses.Templates(licenses.TEMPLATES, {})
+    for _ in range(300):
+        label = rnd.choice(known.labels)
+        t = known.at[label]
+        w = [x if rnd.random() < 0.85 else b"other" for _ in range(3) for x in [*licenses.words_of(licenses.TEMPLATES[label]), *[b"gap"] * rnd.randint(0, 30)]]
+        want = {i for i in range(len(w)) if len(known.sets[t] & set(w[i : i + known.window[t]])) >= known.need[t]}
+        got = list(known.slide(label, w))
+        assert bool(got) == bool(want) and all(b - a < known.window[t] and len(known.sets[t] & set(w[a : b + 1])) == round(part * len(known.sets[t])) >= known.need[t] for a, b, part in got)
+        assert all(any(i - known.window[t] < b and a < i + known.window[t] for a, b, _ in got) for i in want)
