@@ -72,14 +72,15 @@ def split_by_marks(df: DataFrame, key: str, marked: DataFrame) -> tuple[DataFram
     return rows.filter(held).select(*df.columns), rows.filter(~held).select(*df.columns)
 
 
-def only_first(df: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of df whose key is in kept, one for each key, with the columns of df.
+def row_key() -> Column:
+    """A digest of doc_id and text: rows that share it are repeated rows. Never null, so null ids don't gather."""
+    return F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.lit("\x00"), text_of()))
 
-    df is dealt by the key once; of rows that repeat a key, one stays. A null key counts as a key of its own.
-    """
+
+def only_first(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of df whose :func:`row_key` is in kept (row_key), one for each, with the columns of df; df is dealt by it once."""
     from pyspark.sql import Window
 
-    kept = kept.select(F.col(key).alias("_kept")).distinct()
-    rows = df.join(kept, df[key].eqNullSafe(kept["_kept"]), "left_semi")
-    first = Window.partitionBy(key).orderBy(F.length(text_of()).desc(), F.xxhash64(text_of()))
-    return rows.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+    kept = kept.select(F.col("row_key").alias("_row_key")).distinct()
+    rows = df.withColumn("_row_key", row_key()).join(kept, "_row_key", "left_semi")
+    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))).filter("_nth = 1").select(*df.columns)

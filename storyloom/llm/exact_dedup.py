@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import SPACE, only_first, settle, text_of
+from storyloom.llm.common import SPACE, only_first, row_key, settle, text_of
 
 COUNTERS = 4096
 
@@ -29,6 +29,7 @@ def digests(docs: DataFrame) -> DataFrame:
     text = text_of()
     return docs.select(
         "doc_id",
+        row_key().alias("row_key"),
         F.length(text).cast("long").alias("n_points"),
         F.sha2(F.regexp_replace(text, f"{SPACE}+", ""), 256).alias("text_sha256"),
     )
@@ -36,6 +37,11 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _judged(docs, counters).drop("row_key")
+
+
+def _judged(docs: DataFrame, counters: int) -> DataFrame:
+    """The rows of dedup() with their row_key."""
     rows = settle(digests(docs)).withColumn("row_id", F.monotonically_increasing_id())
     order = (F.col("n_points").desc(), F.col("doc_id").asc_nulls_last(), F.col("row_id"))
     best = F.struct((-F.col("n_points")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("keep_id"), F.col("row_id").alias("keep_row"))
@@ -58,13 +64,13 @@ def dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
         .withColumn("group_size", F.count("*").over(group))
         .withColumn("kept", F.col("nth") == 1)
     )
-    out = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    out = ("doc_id", "keep_id", "group_size", "kept", "text_sha256", "row_key")
     return heavy.select(*out).unionByName(light.select(*out))
 
 
 def keep_one(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The rows of docs that stay, with their columns."""
-    return only_first(docs, dedup(docs, counters).filter("kept"))
+    return only_first(docs, _judged(docs, counters).filter("kept"))
 
 
 SQL = r"""

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import only_first, settle, text_of
+from storyloom.llm.common import only_first, row_key, settle, text_of
 from storyloom.llm.graph import components
 
 SHINGLE, PERCENT = 3, 90
@@ -96,14 +96,14 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def _read(size: int):
-    """Documents as (doc_id, n, class), and the task's counters as chunks."""
+    """Documents as (doc_id, n, class, row_key), and the task's counters as chunks."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         counts = np.zeros(CELLS, np.int64)
         empty = lambda n, kind: pa.nulls(n, kind)
-        names = ["doc_id", "n", "cls", "chunk", "part", "counts"]
+        names = ["doc_id", "n", "cls", "row_key", "chunk", "part", "counts"]
         for batch in batches:
             ns, keys = [], []
             for text in batch.column(1).to_pylist():
@@ -113,13 +113,13 @@ def _read(size: int):
                 if len(s):
                     np.add.at(counts, (s & U(CELLS - 1)).astype(np.int64), 1) if len(s) < 64 else np.add(counts, np.bincount((s & U(CELLS - 1)).astype(np.int64), minlength=CELLS), out=counts) if len(s) > CELLS // 8 else _add(counts, s)
             n = len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), batch.column(2), empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.binary())], names)
         part = TaskContext.get().partitionId()
         k = CELLS // CHUNK
         rows = [counts[c * CHUNK : (c + 1) * CHUNK].astype("<i8") for c in range(k)]
         rows = [(c, r) for c, r in enumerate(rows) if r.any()]
         n = len(rows)
-        yield pa.RecordBatch.from_arrays([empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), pa.array([c for c, _ in rows], pa.int64()), pa.array([part] * n, pa.int64()), pa.array([zstandard.compress(r.tobytes(), 1) for _, r in rows], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.string()), pa.array([c for c, _ in rows], pa.int64()), pa.array([part] * n, pa.int64()), pa.array([zstandard.compress(r.tobytes(), 1) for _, r in rows], pa.binary())], names)
 
     return read
 
@@ -400,10 +400,15 @@ def bitmap_of(classes: DataFrame) -> bytes:
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
+    return _named(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _named(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n, row_key, component_id and top, a class that names the component, for each row of docs."""
     spark = docs.sparkSession
     texts = docs.select(text_of().alias("text"))
-    first = settle(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_read(size), "doc_id long, n long, cls long, chunk long, part long, counts binary"))
-    rows = first.filter("chunk IS NULL").select("doc_id", "n", "cls")
+    first = settle(docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), row_key().alias("row_key")).mapInArrow(_read(size), "doc_id long, n long, cls long, row_key string, chunk long, part long, counts binary"))
+    rows = first.filter("chunk IS NULL").select("doc_id", "n", "cls", "row_key")
     ranks, least = order_of(first)
     mean = int(rows.agg(F.sum("n")).first()[0] or 0) // CELLS
     shared = spark.sparkContext.broadcast((ranks, least))
@@ -438,11 +443,13 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
 
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(final, "cls", "left").withColumn("top", F.coalesce("top", "cls"))
     tops = classes.groupBy("top").agg(F.min("least").alias("component_id"))
-    named = classes.join(tops, "top").select("cls", "component_id")
-    return rows.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = classes.join(tops, "top").select("cls", "top", "component_id")
+    return rows.join(named, "cls", "left").select("doc_id", "n", "row_key", "top", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs of which component_id is their own doc_id, with their columns: one of each component, and all empty ones."""
-    named = join(docs, size, percent)
-    return only_first(docs, named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One row of each component, that of the smallest doc_id, and all empty ones, with their columns; repeated rows count once."""
+    named = settle(_named(docs, size, percent))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), "row_key")).alias("first")
+    ones = named.filter("n > 0").groupBy("top").agg(first).select("first.row_key")
+    return only_first(docs, ones.unionByName(named.filter("n = 0").select("row_key")))

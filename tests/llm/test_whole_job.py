@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from storyloom.llm import jaccard, licenses, mixing
+from storyloom.llm import exact_dedup, jaccard, licenses, mixing
 
 from test_operators import LOW, SCHEMA, corpus, words
 
@@ -96,3 +96,18 @@ def test_license_windows_match_plain_search():
         got = list(known.slide(label, w))
         assert bool(got) == bool(want) and all(b - a < known.window[t] and len(known.sets[t] & set(w[a : b + 1])) == round(part * len(known.sets[t])) >= known.need[t] for a, b, part in got)
         assert all(any(i - known.window[t] < b and a < i + known.window[t] for a, b, _ in got) for i in want)
+
+
+def test_stages_tell_rows_of_one_id_apart(spark):
+    """Different texts with a null id or a repeated one stay, but for copies and near copies."""
+    rnd = random.Random(13)
+    texts = [words(rnd, 90) for _ in range(6)]
+    near = texts[0].split()
+    near[40] = "changed"
+    rows = [(None, t) for t in texts[:4]] + [(None, " ".join(near)), (None, texts[1]), (None, ""), (7, texts[4]), (7, texts[5]), (7, texts[2] + "  "), (7, texts[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    copies = exact_dedup.keep_one(df)
+    left = sorted(map(tuple, copies.collect()), key=str)
+    assert left == sorted([(None, t) for t in (texts[0], texts[1], texts[3], " ".join(near), "")] + [(7, t) for t in (texts[4], texts[5], texts[2] + "  ")], key=str)
+    apart = [tuple(r) for r in jaccard.keep_one(copies).collect()]
+    assert len(apart) == 7 and len([r for r in apart if r[1] in (texts[0], " ".join(near))]) == 1 and set(apart) < set(left)
