@@ -16,6 +16,8 @@ Method.
    again. In lists that hold more than one component, entries stand in blocks by position; for each set, size and position bounds turn
    every block into a range of sizes, and blocks whose range is empty are skipped. Every pair of different components that is left
    is checked by parity bitmaps there and then, and in full afterwards.
+:func:`join` and the query op3_jaccard return components and no links. :func:`links` returns every link: it crosses lists in the same way, each
+class a component of its own, and checks all that is left; it doesn't derive a set's partners from a similar set's, since every link is verified.
 Lists that are long are dealt to many tasks: salted in step 2, and split in pairs of blocks of at most ``BLOCK`` members in step 3.
 
 Shingles and sets are compared by 64-bit digests: for n sets about n^2 / 2^65 wrong equalities are expected.
@@ -403,8 +405,22 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     return _named(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _named(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, row_key, component_id and top, a class that names the component, for each row of docs."""
+def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """a, b, doc_a, doc_b: every link between different sets, by their classes (a < b) and the smallest doc_id of each.
+
+    Nothing is skipped inside a component, so work and rows grow with the square of a group of near copies, as its links do. Documents with equal
+    sets are linked too, and to what the others of their class are linked with; they share a class and have no rows of their own.
+    """
+    rows, lists, nodes, tried = _prepared(docs, size, percent)
+    pairs = _crossed(lists.withColumn("root", F.col("cls")), nodes, percent)
+    more = check(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), nodes, size, percent)
+    least = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    named = lambda s: least.select(F.col("cls").alias(s), F.col("least").alias(f"doc_{s}"))
+    return tried.unionByName(more).filter("ok").select("a", "b").join(named("a"), "a").join(named("b"), "b").select("a", "b", "doc_a", "doc_b")
+
+
+def _prepared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """rows (doc_id, n, cls, row_key), lists (cls, token, pack), nodes of the lists' classes, and the neighbours in chains (a, b) with ok."""
     spark = docs.sparkSession
     texts = docs.select(text_of().alias("text"))
     first = settle(docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), row_key().alias("row_key")).mapInArrow(_read(size), "doc_id long, n long, cls long, row_key string, chunk long, part long, counts binary"))
@@ -420,17 +436,26 @@ def _named(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     wanted = spark.sparkContext.broadcast(bitmap_of(lists.select("cls").distinct()))
     nodes = settle(texts.mapInArrow(_candidates(wanted, size), "cls long, n long, z binary, " + ", ".join(f"w{k} long" for k in range(BITS))).dropDuplicates(["cls"]))
-    tried = settle(check(chains, nodes, size, percent))
-    roots = components(tried.filter("ok"))
+    return rows, lists, nodes, settle(check(chains, nodes, size, percent))
 
-    # Lists that hold several components; a list's number of entries gives the blocks it is cut in.
-    labelled = lists.join(roots, lists["cls"] == roots["node"], "left").select("token", "pack", "cls", F.coalesce("root", "cls").alias("root"))
+
+def _crossed(labelled: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different roots that may link, from lists (token, pack, cls, root)."""
+    # Lists that hold several roots; a list's number of entries gives the blocks it is cut in.
     mixed = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).filter("lo <> hi").select("token", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
     left = labelled.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("token", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), F.col("own").cast("long").alias("side"), "pack", "cls", "root")
     left = left.join(nodes.drop("n", "z"), "cls").select(*CROSSED)
-    pairs = left.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_crossings(percent), "a long, b long").distinct()
+    return left.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_crossings(percent), "a long, b long").distinct()
+
+
+def _named(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n, row_key, component_id and top, a class that names the component, for each row of docs."""
+    rows, lists, nodes, tried = _prepared(docs, size, percent)
+    roots = components(tried.filter("ok"))
+    labelled = lists.join(roots, lists["cls"] == roots["node"], "left").select("token", "pack", "cls", F.coalesce("root", "cls").alias("root"))
+    pairs = _crossed(labelled, nodes, percent)
     more = settle(check(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), nodes, size, percent))
 
     # Components of components, then the smallest doc_id of each.

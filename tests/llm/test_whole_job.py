@@ -111,3 +111,22 @@ def test_stages_tell_rows_of_one_id_apart(spark):
     assert left == sorted([(None, t) for t in (texts[0], texts[1], texts[3], " ".join(near), "")] + [(7, t) for t in (texts[4], texts[5], texts[2] + "  ")], key=str)
     apart = [tuple(r) for r in jaccard.keep_one(copies).collect()]
     assert len(apart) == 7 and len([r for r in apart if r[1] in (texts[0], " ".join(near))]) == 1 and set(apart) < set(left)
+
+
+def test_links_inside_components(spark, monkeypatch):
+    rnd = random.Random(14)
+    base = words(rnd, 150).split()
+    rows = []
+    for k in range(40):
+        v = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            v[rnd.randrange(len(v))] = f"n{rnd.random()}"
+        rows.append((k, " ".join(v)))
+    rows += [(100 + k, words(rnd, 30)) for k in range(10)]
+    first = {}
+    for k, t in rows:
+        first.setdefault(shingle_set(t, 3), k)
+    want = {(a, b) for a, b in brute_links(rows, 3, 90) if {a, b} <= set(first.values())}
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    got = [(min(r.doc_a, r.doc_b), max(r.doc_a, r.doc_b)) for r in jaccard.links(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > len(rows)
