@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of most operators: runs of anything but ASCII white space.
@@ -62,14 +65,31 @@ def marks(ids: DataFrame, key: str) -> DataFrame:
     return settle(ids.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.expr("bitmap_construct_agg(_bit)").alias("_bits")))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that df, whatever its columns are called, doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def split_by_marks(df: DataFrame, key: str, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of df whose key may be among the marked ids, and those whose key isn't."""
     bucket, bit = _mark(key)
-    rows = df.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(marked), "_bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    held = F.coalesce(F.expr("shiftright(_byte, cast(_bit % 8 as int)) & 1") == 1, F.lit(False))
-    rows = rows.withColumn("_byte", byte)
-    return rows.filter(held).select(*df.columns), rows.filter(~held).select(*df.columns)
+    at, of, bits, byte = fresh(df, "_bucket", "_bit", "_bits", "_byte")
+    rows = df.withColumns({at: bucket, of: bit}).join(F.broadcast(marked.select(F.col("_bucket").alias(at), F.col("_bits").alias(bits))), at, "left")
+    held = F.coalesce(F.expr(f"shiftright({byte}, cast({of} % 8 as int)) & 1") == 1, F.lit(False))
+    rows = rows.withColumn(byte, F.conv(F.hex(F.expr(f"substring({bits}, cast({of} div 8 as int) + 1, 1)")), 16, 10).cast("int"))
+    return rows.filter(held).select(*columns_of(df)), rows.filter(~held).select(*columns_of(df))
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of df by their names, also names with dots."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
 def row_key() -> Column:
@@ -79,8 +99,28 @@ def row_key() -> Column:
 
 def only_first(df: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of df whose :func:`row_key` is in kept (row_key), one for each, with the columns of df; df is dealt by it once."""
-    from pyspark.sql import Window
+    key, nth = fresh(df, "_row_key", "_nth")
+    kept = kept.select(F.col("row_key").alias(key)).distinct()
+    rows = df.withColumn(key, row_key()).join(kept, key, "left_semi")
+    return rows.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(nth) == 1).select(*columns_of(df))
+
+
+def free() -> None:
+    """Gives memory that this Python process holds, but doesn't use, back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives its memory back after each task: Spark uses its Python processes again."""
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            free()
 
-    kept = kept.select(F.col("row_key").alias("_row_key")).distinct()
-    rows = df.withColumn("_row_key", row_key()).join(kept, "_row_key", "left_semi")
-    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))).filter("_nth = 1").select(*df.columns)
+    return once

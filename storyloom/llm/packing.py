@@ -1,11 +1,11 @@
 """Packing documents into token windows by multiway Karmarkar-Karp differencing (operator 10).
 
 Texts become token ids by a public tokenizer, and a closing id ends each document. Documents of a window and more are
-cut at its multiples. The rest of each goes, with others of its partition, into as few windows as their tokens need:
-differencing merges the two partial partitions of the largest spread, largest sums against smallest, until one is left,
-which gives windows of nearly equal sums. If one exceeds the capacity, the window count rises; beyond one, and ``SLACK`` more
-windows, the surplus of full windows is cut off and fills free room instead. Nothing is shuffled: each task packs the
-rows it reads, ``GROUP`` windows at a time, so memory and padding are bounded at any size of input.
+cut at its multiples, and what is left of them in pieces of a quarter of a window at most. These go, with others of the partition, into as few
+windows as their tokens need: differencing merges the two partial partitions of the largest spread, largest sums against smallest, until one
+is left, which gives windows of nearly equal sums. As long as one exceeds the capacity, the window count rises and differencing begins anew;
+sums of such short pieces lie so near to each other that a few windows in a thousand are enough. Pieces of a document that meet again in a window
+are one piece. Nothing is shuffled: each task packs the rows it reads, ``GROUP`` windows at a time, so memory and padding are bounded at any size of input.
 
 Null and empty texts have the closing id alone. Repeated rows and null doc_ids are packed like others. An empty table gives no rows.
 Sequence ids are the partition's number in the high bits and a counter in the low 33.
@@ -14,106 +14,145 @@ Sequence ids are the partition's number in the high bits and a counter in the lo
 from __future__ import annotations
 
 import heapq
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import text_of
+from storyloom.llm.common import lean, text_of
 
 CAPACITY = 2048
 #: Windows that are packed at a time.
 GROUP = 256
-#: Windows that differencing may add, as a part of their number, before surplus is cut.
-SLACK = 0
-#: Chunks that an encoder remembers; a full memory is emptied.
-MEMORY = 1_000_000
-
-
-class _Chunks(dict):
-    """Numbers new chunks of text and notes them."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = n = len(self)
-        self.new.append(chunk)
-        return n
+#: Rests longer than this part of a window are cut before differencing, so that sums come near to each other.
+CUT = 4
+#: Chunks in each of the two generations of an encoder's memory, about 30 MB each.
+MEMORY = 150_000
+#: Characters of text that are encoded at a time.
+SLICE = 6_000_000
+
+#: The parts of a tokenizer file under which a chunk between white space may be encoded by itself, in lower case, and the ends of words be told by "</w>".
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+# End of fixed values.
 
 
 class Encoder:
     """Token ids of texts, as ``tokenizers`` gives them for whole texts.
 
-    The tokenizer cuts at white space before it merges, so each chunk between white space is encoded once and remembered.
-    Texts with U+001C to U+001F, which Python alone takes for white space, are encoded whole.
+    Of a tokenizer file that cuts at white space, lowers letters and marks the ends of words (``NORMALIZER``, ``SPLITTER``), each different
+    chunk between white space is encoded once and remembered in two generations of bounded size: the younger becomes the older when full.
+    With any other file, and for texts with a special token's name or with U+001C to U+001F, which not all take for white space, whole texts are encoded.
     """
 
-    ODD = re.compile("[\x1c-\x1f]")
-    #: A full stop or comma that ends a chunk after a letter or digit is a token of its own, so it may stand apart.
-    ENDS = re.compile(r"(?<=[a-z0-9\u00df-\u00f6\u00f8-\u00ff])([.,])(?=\s|$)")
-
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            known = json.load(file)
+        model = known["model"]
+        self.cuts = known.get("normalizer") == NORMALIZER and known.get("pre_tokenizer") == SPLITTER and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not known.get("truncation") and not known.get("padding")
+        # Special tokens are found before anything is lowered or cut; odd() knows those that begin with "<|".
+        self.cuts = self.cuts and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in known["added_tokens"])
+        self.ends = np.zeros(0, bool)
+        if self.cuts:
+            self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.ends[[n for t, n in model["vocab"].items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.chunks, self.ids = _Chunks(), np.zeros(1 << 20, np.uint32)
-        self.starts, self.n = np.zeros(MEMORY + (1 << 20) + 1, np.int64), 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def plain(self, text: str) -> str:
+    @staticmethod
+    def plain(text: str) -> str:
         """A text with the same ids and fewer different chunks: the tokenizer lowers its letters too, and of Latin letters as Python does."""
-        if "<|" in text:  # a special token's name, which isn't lowered
-            return text
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
-        return self.ENDS.sub(r" \1", text.lower())
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        return text.lower()
+
+    def odd(self, text: str) -> bool:
+        """Whether a text must be encoded whole."""
+        return not self.cuts or any(x in text for x in ("<|", "\x1c", "\x1d", "\x1e", "\x1f"))
 
     def encode(self, texts: list[str], last: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by last; how many each text has."""
-        if len(self.chunks) > MEMORY:
-            self.forget()
-        odd = {k: self.tokenizer.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts) if self.ODD.search(t)}
-        split = [() if k in odd else self.plain(t).split() for k, t in enumerate(texts)]
-        index = [np.fromiter(map(self.chunks.__getitem__, s), np.int64, len(s)) for s in split]
-        self.learn()
-        counts = np.empty(len(texts), np.int64)
-        parts = []
-        for k, i in enumerate(index):
-            if k in odd:
-                ids = np.array(odd[k], np.uint32)
-            else:
-                at, size = self.starts[i], self.starts[i + 1] - self.starts[i]
-                ends = np.cumsum(size)
-                ids = self.ids[np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-            parts += [ids, np.array([last], np.uint32)]
-            counts[k] = len(ids) + 1
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), counts
-
-    def learn(self) -> None:
-        new, self.chunks.new = self.chunks.new, []
-        if len(self.chunks) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros(len(self.chunks), np.int64)])
-        k = len(self.chunks) - len(new)
-        for at in range(0, len(new), 20_000):
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(new[at : at + 20_000], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
-            while self.n + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.n : self.n + len(flat)] = flat
-            self.starts[k + 1 : k + 1 + len(got)] = self.n + np.cumsum(sizes)
-            self.n, k = self.n + len(flat), k + len(got)
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        odd = {k: self.whole(t) for k, t in enumerate(texts) if self.odd(t)}
+        split = pc.utf8_split_whitespace(pa.array(["" if k in odd else self.plain(t) for k, t in enumerate(texts)], pa.large_string()))
+        offsets, chunks = split.offsets.to_numpy(), split.values.dictionary_encode()
+        del split
+        ids, sizes = self.look_up(chunks.dictionary.to_pylist())
+        known = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(ids))
+        flat = known.take(chunks.indices).values.to_numpy()
+        ends = np.cumsum(sizes[chunks.indices.to_numpy()])
+        bounds = np.concatenate([[0], ends])[offsets - offsets[0]]
+        counts = np.diff(bounds)
+        if odd:
+            parts = np.split(flat, bounds[1:-1])
+            for k, own in odd.items():
+                parts[k], counts[k] = own, len(own)
+            flat = np.concatenate(parts)
+        return np.insert(flat, np.cumsum(counts), np.uint32(last)), counts + 1
+
+    def look_up(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different chunks one after the other, and how many each has."""
+        if len(self.young) > MEMORY:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        young[""] = b""
+        found = list(map(young.get, chunks))
+        gaps = [k for k, x in enumerate(found) if x is None]
+        missing = [c for k in gaps if young.setdefault(c := chunks[k], old.get(c)) is None]
+        # A full stop or comma that ends a chunk after an ASCII letter or digit is a token of its own.
+        parts = {c: (c[:-1], c[-1]) for c in missing if c[-1] in ".," and c[-2:-1].isascii() and c[-2:-1].isalnum()}
+        for x in {y for two in parts.values() for y in two}:
+            if young.get(x) is None and young.setdefault(x, old.get(x)) is None:
+                missing.append(x)
+        self.learn([c for c in dict.fromkeys(missing) if c not in parts])
+        for c, (word, stop) in parts.items():
+            young[c] = young[word] + young[stop]
+        for k in gaps:
+            found[k] = young[chunks[k]]
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def learn(self, chunks: list[str]) -> None:
+        """Letters alone are one word, so many such chunks are encoded as one text; others by themselves."""
+        words, others = [], []
+        for c in chunks:
+            (words if c.isalpha() and (c.isascii() or max(c) < "\u0100") else others).append(c)
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            raw, a = ids.tobytes(), 0
+            for c, b in zip(some, (4 * cut).tolist(), strict=True):
+                self.young[c], a = raw[a:b], b
+        for at in range(0, len(others), 5000):
+            some = others[at : at + 5000]
+            for c, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.young[c] = np.array(x.ids, "<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -165,31 +204,25 @@ def difference(sizes: list[int], m: int) -> list[list[int]]:
 
 
 def fill(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, start in the item, length), for items shorter than a window."""
-    total = sum(lengths)
-    least = m = max(1, -(-total // capacity))
-    parts = difference(lengths, m)
-    while max((sum(lengths[i] for i in p) for p in parts), default=0) > capacity and m < least + 1 + int(least * SLACK):
+    """Windows of (item, start in the item, length), for items shorter than a window; the window count rises until no sum exceeds the capacity."""
+    most = max(1, capacity // CUT)
+    pieces = [(i, at, min(most, n - at)) for i, n in enumerate(lengths) for at in range(0, n, most)]
+    sizes = [p[2] for p in pieces]
+    m = max(1, -(-sum(sizes) // capacity))
+    while sizes:
+        parts = difference(sizes, m)
+        if max(sum(sizes[k] for k in p) for p in parts) <= capacity:
+            break
         m += 1
-        parts = difference(lengths, m)
-    windows, over = [], []
-    for p in parts:
-        room, window = capacity, []
-        for i in sorted(p, key=lambda i: -lengths[i]):
-            n = min(room, lengths[i])
-            if n:
-                window.append((i, 0, n))
-            if n < lengths[i]:
-                over.append((i, n, lengths[i] - n))
-            room -= n
+    windows = []
+    for p in parts if sizes else ():
+        window: list[tuple[int, int, int]] = []
+        for i, start, n in sorted(pieces[k] for k in p):
+            if window and window[-1][0] == i and window[-1][1] + window[-1][2] == start:  # pieces that meet again
+                start, n = window[-1][1], window.pop()[2] + n
+            window.append((i, start, n))
         windows.append(window)
-    for i, start, n in over:
-        for window in windows:
-            room = capacity - sum(x[2] for x in window)
-            if n and room:
-                window.append((i, start, min(room, n)))
-                start, n = start + min(room, n), n - min(room, n)
-    return [w for w in windows if w]
+    return windows
 
 
 def _packer(path: str, last: int, capacity: int, group: int, ids_too: bool):
@@ -237,9 +270,11 @@ def _packer(path: str, last: int, capacity: int, group: int, ids_too: bool):
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 200):
-                flat, counts = coder.encode(texts[at : at + 200], last)
-                for name, ids in zip(names[at : at + 200], np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+            cuts = [0, *np.flatnonzero(np.diff(ends // SLICE)) + 1, len(texts)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                flat, counts = coder.encode(texts[a:b], last)
+                for name, ids in zip(names[a:b], np.split(flat, np.cumsum(counts)[:-1]), strict=True):
                     docs.append((name, ids))
                     held += len(ids)
                     if held >= group * capacity:
@@ -260,8 +295,8 @@ def default_tokenizer() -> str:
 def pack(docs: DataFrame, tokenizer: str | None = None, last: int = 1, capacity: int = CAPACITY, group: int = GROUP, ids: bool = True) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids themselves if wanted.
 
-    tokenizer: path of a ``tokenizers`` file whose pre-tokenizer cuts at white space, the same on all machines.
+    tokenizer: path of any ``tokenizers`` file, the same on all machines; see :class:`Encoder` for those that are quick.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * ids
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    return rows.mapInArrow(_packer(tokenizer or default_tokenizer(), last, capacity, group, ids), schema)
+    return rows.mapInArrow(lean(_packer(tokenizer or default_tokenizer(), last, capacity, group, ids)), schema)
