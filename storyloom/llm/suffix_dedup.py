@@ -13,13 +13,14 @@ Method.
    refined as Larsson and Sadakane do, unsorted groups alone, doubling the depth. Common prefixes come from Kasai's
    walk, in step over all contexts of a shard. Runs of suffixes with LENGTH bytes in common are equal windows; all but the first are removed.
 3. An anchor of more than ``SPLIT`` contexts is split over several shards. What is first in a shard is merged with the other shards': digests of
-   their windows are dealt and sorted, and each looks up the first of its kind by binary search.
+   their windows are dealt and sorted, and the first of each kind is searched for.
+   This is a merge of sorted digests, not a search of each shard's windows in each other shard's array, whose work would grow with the square of an anchor's shards.
 4. Removed spans are gathered by document and applied to its text. Only texts that a bitmap of fixed size marks as asked for are dealt, here and in step 2.
 
 Contexts and merged windows are compared by 128 bits of digests, suffixes byte by byte.
 
 Cases: null, empty and short texts lose nothing; rows of equal doc_id and text are one document and lose the same;
-if texts with one doc_id differ, spans of either apply to both; a null doc_id is the largest; very long texts are read in pieces of ``PIECE`` windows;
+different texts with one doc_id, or with a null one, which is the largest, are documents of their own, in the order of their digests; very long texts are read in pieces of ``PIECE`` windows;
 texts of one repeated character are contexts of at most ``LONGEST`` windows; an empty table gives no rows; further columns are not read.
 """
 
@@ -30,16 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import marks, settle, split_by_marks, text_of
+from storyloom.llm.common import lean, marks, n_partitions, settle, split_by_marks, text_of
 from storyloom.llm.jaccard import U, mix
 
 LENGTH, GRAM = 100, 32
-LONGEST, PIECE = 512, 1 << 20
-SHARD, SPLIT = 1 << 20, 4096
-NO_ID = (1 << 63) - 1
+LONGEST, PIECE = 512, 1 << 18
+SHARD, SPLIT = 1 << 18, 4096
+#: Contexts that a task holds at a time before equal ones are settled: about 30 MB.
+HELD = 250_000
 _ODD = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93)]
 _BASE = 0x5851F42D4C957F2D
 
@@ -77,6 +79,13 @@ def sliding(x: np.ndarray, w: int, smallest: bool) -> np.ndarray:
     return op(behind[: n - w + 1], ahead[w - 1 : n])
 
 
+def sliced(batches: Iterator[pa.RecordBatch], most: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that few texts are Python's at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
 def contexts(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """For the texts b[start:end]: place of the first window, number of windows, anchor and digest of each context, and whether its anchor occurs in it twice."""
     none = np.zeros(0, np.int64)
@@ -167,7 +176,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     pieces: list[tuple[int, int, bytes]] = []
     waiting = 0
-    for batch in batches:
+    for batch in sliced(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             for at in range(0, max(1, len(raw) - LENGTH + 1), PIECE):
@@ -178,7 +187,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if waiting >= PIECE:
                 take(pieces)
                 pieces, waiting = [], 0
-                if count >= 2_000_000:
+                if count >= HELD:
                     yield flush()
                     count = 0
     if pieces:
@@ -241,7 +250,7 @@ def _settle_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         if not len(key):
             continue
         cut, open_end = int(np.searchsorted(key, key[-1])), False
-        if len(key) - cut > 1_000_000:  # one anchor's contexts fill the memory: go on at the last digest
+        if len(key) - cut > HELD:  # one anchor's contexts fill the memory: go on at the last digest
             inner = cut + int(np.searchsorted(arrays[1][cut:], arrays[1][-1]))
             cut, open_end = (inner, True) if inner > cut else (cut, False)
         if cut:
@@ -253,7 +262,7 @@ def _settle_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of contexts."""
-    for batch in batches:
+    for batch in sliced(batches):
         out: list[tuple] = []
         for doc, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
@@ -390,26 +399,44 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _found(z + SPAN, d, s, e, z, z)
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """Spans (doc, a, b) of bytes to remove; those of a document may overlap. doc is doc_id, or NO_ID for null."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc, doc_id, text): doc orders documents by doc_id, null last, and tells apart different texts of one doc_id.
+
+    Where ids are unique and none is null, doc is doc_id. Else different (doc_id, text) are sorted, by digests of the texts within an id, and counted.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    if texts.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        return texts.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+    texts = texts.withColumn("digest", F.md5("text"))
+    order = (F.col("doc_id").asc_nulls_last(), F.col("digest"))
+    ranged = settle(texts.select("doc_id", "digest").distinct().repartitionByRange(n_partitions(docs), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33).alias("part")
+    sizes = ranged.groupBy(part).count()
+    before = sizes.withColumn("before", F.sum("count").over(Window.orderBy("part")) - F.col("count")).select("part", "before")  # a row for each partition
+    names = ranged.withColumn("part", part).join(F.broadcast(before), "part").select(F.col("doc_id").alias("id"), F.col("digest").alias("of"), (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("doc"))
+    return texts.join(names, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of"))).select("doc", "doc_id", "text")
+
+
+def removed(texts: DataFrame) -> DataFrame:
+    """Spans (doc, a, b) of bytes to remove from texts (doc, text), in which rows of equal doc have one text; those of a document may overlap."""
     kind = "kind long, doc long, a long, b long, key long, salt long"
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_of().alias("text"))
-    seen = texts.mapInArrow(_scan, "key long, ctx long, doc long, pos long")
-    first = settle(seen.repartition("key").sortWithinPartitions(*ROW).mapInArrow(_settle_contexts, kind))
+    texts = texts.select("doc", "text")
+    seen = texts.mapInArrow(lean(_scan), "key long, ctx long, doc long, pos long")
+    first = settle(seen.repartition("key").sortWithinPartitions(*ROW).mapInArrow(lean(_settle_contexts), kind))
     asked = first.filter(f"kind = {CUT}").groupBy("doc").agg(F.collect_list(F.struct("a", "b", "key", "salt")).alias("asked"))
     some, _ = split_by_marks(texts, "doc", marks(first.filter(f"kind = {CUT}"), "doc"))  # other texts aren't dealt
-    pieces = some.join(asked.hint("shuffle_hash"), "doc").select("doc", "text", "asked").mapInArrow(_cut, "key long, salt long, doc long, a long, piece binary")
-    second = settle(pieces.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_shards, kind))
-    merged = second.filter(f"kind = {CUT}").select("b", "key", "doc", "a").repartition("b", "key").sortWithinPartitions("b", "key", "doc", "a").mapInArrow(_merge, kind)
+    pieces = some.join(asked.hint("shuffle_hash"), "doc").select("doc", "text", "asked").mapInArrow(lean(_cut), "key long, salt long, doc long, a long, piece binary")
+    second = settle(pieces.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(lean(_shards), kind))
+    merged = second.filter(f"kind = {CUT}").select("b", "key", "doc", "a").repartition("b", "key").sortWithinPartitions("b", "key", "doc", "a").mapInArrow(lean(_merge), kind)
     spans = lambda df: df.filter(f"kind = {SPAN}").select("doc", "a", "b")
     return spans(first).unionByName(spans(second)).unionByName(spans(merged))
 
 
 def _apply(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []} | ({"text": []} if keep_text else {})
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 a, b = (np.array([min(x[k], len(raw)) for x in spans or ()], np.int64) for k in ("a", "b"))
                 real = b > a
@@ -420,19 +447,18 @@ def _apply(keep_text: bool):
                 if keep_text:
                     rows["text"].append(kept.decode("utf-8", "ignore"))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.string()] * keep_text)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True))], ["doc", *rows])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True))], ["doc_id", *rows])
 
     return run
 
 
 def dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs, and the text that is left (whole characters)."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_of().alias("text"))
-    found = removed(docs)
+    texts = numbered(docs)
+    found = removed(texts)
     some, whole = split_by_marks(texts, "doc", marks(found, "doc"))
     spans = found.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
-    rows = some.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", "spans").mapInArrow(_apply(keep_text), schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
+    rows = some.join(spans.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "spans").mapInArrow(lean(_apply(keep_text)), schema)
     none = F.lit(0).cast("long")
-    rows = rows.unionByName(whole.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *(["text"] * keep_text)))
-    return rows.withColumn("doc", F.when(F.col("doc") != NO_ID, F.col("doc"))).withColumnRenamed("doc", "doc_id")
+    return rows.unionByName(whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *(["text"] * keep_text)))
