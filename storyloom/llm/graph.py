@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import settle
+from storyloom.llm.common import lean, settle
 
 #: Edges that one task may contract: tens of MB of its memory. A graph of at most so many is done in one pass.
-LOCAL = 400_000
+LOCAL = 100_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,9 +49,9 @@ def components(edges: DataFrame) -> DataFrame:
     answer; else rounds of large star and small star follow, in which hubs are pre-aggregated and never gathered.
     """
     kind = "a long, b long"
-    now = settle(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(_contract, kind))
+    now = settle(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(lean(_contract), kind))
     if now.count() < LOCAL:
-        now = settle(now.coalesce(1).mapInArrow(_contract, kind))
+        now = settle(now.coalesce(1).mapInArrow(lean(_contract), kind))
     else:
         now = rounds(settle(now.distinct()))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -6,24 +6,26 @@ whole sequence as one; without words or text, empty and linked with nothing. Doc
 size and percent are ``SHINGLE`` and ``PERCENT`` for the query op3_jaccard; the pipeline's stage passes its own.
 
 Method.
-1. One scan reduces each document to (doc_id, set size, digest of the set) and counts shingles in a table of
-   ``CELLS`` counters; equal sets are one class from here on, and copies are never paired. The counters, coarsened, give one global order,
-   rare shingles first; its quality affects only speed, so its size is fixed.
-2. A second scan emits the prefix of each class, ``n - ceil(percent / 100 * n) + 1`` shingles, as index entries. Index lists of one
+1. A first scan counts shingles in a table of counters, four for each row but ``CELLS`` at least and ``MOST_CELLS`` at most. Their logarithms give one
+   global order, rare shingles first; its quality affects only speed.
+2. A second scan makes each document's set, once: (doc_id, set size, digest of the set), and for each class of equal sets, which are never
+   paired from here on, a parity bitmap and its prefix in the global order, ``n - ceil(percent / 100 * n) + 1`` shingles, as index entries. Lists of one
    class vanish. Within a list, members are chained in a few pseudo-random orders: links between neighbours in a chain are checked
    first, which joins the members of a group of near copies with work linear in its size.
-3. A set takes over the answers of the similar sets it was joined with: pairs within one component are never looked at
-   again. In lists that hold more than one component, entries stand in blocks by position; for each set, size and position bounds turn
-   every block into a range of sizes, and blocks whose range is empty are skipped. Every pair of different components that is left
-   is checked by parity bitmaps there and then, and in full afterwards.
-:func:`join` and the query op3_jaccard return components and no links. :func:`links` returns every link: it crosses lists in the same way, each
-class a component of its own, and checks all that is left; it doesn't derive a set's partners from a similar set's, since every link is verified.
-Lists that are long are dealt to many tasks: salted in step 2, and split in pairs of blocks of at most ``BLOCK`` members in step 3.
+3. Index-level skipping. In lists that hold more than one component, entries stand in blocks by position; for each set, size and position bounds turn
+   every block into a range of sizes, and blocks whose range is empty are skipped. Pairs within one component are never looked at, and every other
+   pair that is left is checked by the parity bitmaps there and then.
+4. Answer-level skipping. The chains' links give each set a leader, the most similar set it is known to be linked with, and the number of shingles in which they differ. For the pairs
+   that step 3 leaves, the difference is counted for their leaders, once for all pairs with the same two. A pair's answer is derived from
+   its leaders' by the triangle inequality; only where that leaves it open, the pair's own sets are compared.
+:func:`join` and the query op3_jaccard return components. :func:`links` returns every link: it crosses lists with each class as a component of its own, and derives
+the links of similar sets in the same way.
+Lists that are long are dealt to many tasks: salted in step 2, and in step 3 cut in blocks of about ``BLOCK`` members, of which only those are paired that hold different components.
 
 Shingles and sets are compared by 64-bit digests: for n sets about n^2 / 2^65 wrong equalities are expected.
 
 Cases: null and empty texts have n_shingles 0 and their own doc_id as component_id; repeated rows are copies; a null doc_id is never
-the smallest unless alone; very long texts are sets like others; an empty table gives no rows; further columns are not read.
+the smallest unless alone; very long texts are sets like others; an empty table gives no rows; further columns are not read; doc_id is a whole number.
 """
 
 from __future__ import annotations
@@ -32,22 +34,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import only_first, row_key, settle, text_of
+from storyloom.llm.common import lean, marks, only_first, row_key, settle, split_by_marks, text_of
 from storyloom.llm.graph import components
 
 SHINGLE, PERCENT = 3, 90
-CELLS = 1 << 20
+CELLS, MOST_CELLS = 1 << 20, 1 << 24
 CHUNK = 1 << 14  # counters in a row
-CHAINS, SALT, BLOCK = 3, 2048, 2048
+CHAINS, SALT, BLOCK = 3, 2048, 4096
 BITS = 8  # words of a parity bitmap
-FILTER_BITS = 1 << 24  # of the bitmap of candidate classes
+#: Rows that a task handles at a time, classes that it remembers, and index entries and pairs that it holds: some MB each.
+ROWS, SEEN, HELD, PAIRS = 500, 200_000, 250_000, 100_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 U = np.uint64
 
 
@@ -57,29 +62,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_words = _Words()
+#: Words of more bytes are digested one by one.
+LONG_WORD = 256
+
+
+def word_digests(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of all words of the texts, and how many each text has."""
+    data = (b" ".join(raws) + bytes([32] * 9)).translate(_LOWER)
+    space = _SPACE[np.frombuffer(data, np.uint8)]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.concatenate([[0], edge])
+    first, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))  # the 8 bytes from each place on
+    h = mix(size.astype(U) + U(1))
+    left = np.flatnonzero(size <= LONG_WORD)
+    k = 0
+    while len(left):
+        rest = np.minimum(size[left] - k, 8)
+        h[left] = mix(h[left] ^ (eight[first[left] + k] & (~U(0) >> (U(64) - 8 * rest.astype(U)))))
+        k += 8
+        left = left[size[left] > k]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[first[i] : first[i] + size[i]])
+    ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
+    return h, np.diff(np.searchsorted(first, ends), prepend=0)
+
+
+def all_shingles(raws: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the shingles of all texts, repeated ones too, and how many each text has."""
+    h, words = word_digests(raws)
+    n = max(0, len(h) - size + 1)
+    x = h[:n]
+    for k in range(1, size):
+        x = mix(x) ^ h[k : n + k]
+    x = mix(x)
+    ends = np.cumsum(words)
+    short = np.flatnonzero((words > 0) & (words < size))
+    counts = np.where(words >= size, words - size + 1, (words > 0).astype(np.int64))
+    at = np.repeat(ends - words - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    out = x[np.minimum(at, n - 1)] if n else np.zeros(len(at), U)
+    place = np.cumsum(counts) - counts
+    for i in short.tolist():
+        out[place[i]] = xxhash.xxh64_intdigest(h[ends[i] - words[i] : ends[i]].tobytes(), seed=int(words[i]))
+    return out, counts
+
+
+def sets_of(raws: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """For each text the sorted digests of its distinct shingles."""
+    x, counts = all_shingles(raws, size)
+    end = 0
+    for n in counts.tolist():
+        s = np.sort(x[end : end + n])
+        end += n
+        yield s[np.concatenate([[True], s[1:] != s[:-1]])] if n > 1 else s
 
 
 def shingles(text: str | bytes, size: int = SHINGLE) -> np.ndarray:
     """Sorted digests of the distinct shingles."""
-    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
-    words = raw.translate(_LOWER).split()
-    n = len(words)
-    if n < size:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=n)] if n else [], U)
-    h = np.fromiter(map(_words.__getitem__, words), U, n)
-    x = h[: n - size + 1]
-    for k in range(1, size):
-        x = mix(x) ^ h[k : n - size + 1 + k]
-    return np.unique(mix(x))
+    return next(sets_of([text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text], size))
 
 
 def digest(s: np.ndarray) -> int:
@@ -87,49 +128,44 @@ def digest(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63)
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1
+def slices(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Some rows at a time, with the bytes of their texts; very long texts come in fewer rows."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part, raws, held = batch.slice(at, ROWS), [], 0
+            for text in part.column(column):
+                raws.append(text.as_py().encode("utf-8", "surrogatepass"))
+                held += len(raws[-1])
+                if held > 1 << 21:
+                    break
+            at += len(raws)
+            yield part.slice(0, len(raws)), raws
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether two sets link."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return bool(both) and 100 * both >= percent * (len(a) + len(b) - both)
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    return n - -(-percent * n // 100) + 1
 
 
-def _read(size: int):
-    """Documents as (doc_id, n, class, row_key), and the task's counters as chunks."""
+def _count(size: int, cells: int):
+    """The task's counters of shingles, as chunks."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts = np.zeros(CELLS, np.int64)
-        empty = lambda n, kind: pa.nulls(n, kind)
-        names = ["doc_id", "n", "cls", "row_key", "chunk", "part", "counts"]
-        for batch in batches:
-            ns, keys = [], []
-            for text in batch.column(1).to_pylist():
-                s = shingles(text, size)
-                ns.append(len(s))
-                keys.append(digest(s))
-                if len(s):
-                    np.add.at(counts, (s & U(CELLS - 1)).astype(np.int64), 1) if len(s) < 64 else np.add(counts, np.bincount((s & U(CELLS - 1)).astype(np.int64), minlength=CELLS), out=counts) if len(s) > CELLS // 8 else _add(counts, s)
-            n = len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), batch.column(2), empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.binary())], names)
+        counts = np.zeros(cells, np.uint32)  # a task has fewer shingles than would overflow
+        for _, raws in slices(batches):
+            x, _ = all_shingles(raws, size)
+            at = np.sort((x & U(cells - 1)).astype(np.uint32))
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+            counts[at[first]] += np.diff(np.append(first, len(at))).astype(np.uint32)
         part = TaskContext.get().partitionId()
-        k = CELLS // CHUNK
-        rows = [counts[c * CHUNK : (c + 1) * CHUNK].astype("<i8") for c in range(k)]
-        rows = [(c, r) for c, r in enumerate(rows) if r.any()]
-        n = len(rows)
-        yield pa.RecordBatch.from_arrays([empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.string()), pa.array([c for c, _ in rows], pa.int64()), pa.array([part] * n, pa.int64()), pa.array([zstandard.compress(r.tobytes(), 1) for _, r in rows], pa.binary())], names)
+        for c in range(cells // CHUNK):
+            row = counts[c * CHUNK : (c + 1) * CHUNK].astype("<i8")
+            if row.any():
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([part], pa.int64()), pa.array([zstandard.compress(row.tobytes(), 1)], pa.binary())], ["chunk", "part", "counts"])
 
-    return read
-
-
-def _add(counts: np.ndarray, s: np.ndarray) -> None:
-    at = np.sort((s & U(CELLS - 1)).astype(np.int64))
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    counts[at[first]] += np.diff(np.append(first, len(at)))
+    return count
 
 
 def _total(table: pa.Table) -> pa.Table:
@@ -137,53 +173,69 @@ def _total(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk")[:1], "part": pa.array([0], pa.int64()), "counts": pa.array([zstandard.compress(total.astype("<i8").tobytes(), 1)], pa.binary())})
 
 
-def order_of(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """For each cell a rank by its count, in steps of about a tenth, and the count of the rank; CELLS bytes on the driver."""
+def _ranked(table: pa.Table) -> pa.Table:
+    counts = np.frombuffer(zstandard.decompress(_total(table).column("counts")[0].as_py()), "<i8")
+    ranks = np.minimum(255, np.log2(np.maximum(counts, 1)) * RANKS).astype(np.uint8)
+    return pa.table({"chunk": table.column("chunk")[:1], "total": pa.array([int(counts.sum())], pa.int64()), "ranks": pa.array([ranks.tobytes()], pa.binary())})
+
+
+#: Ranks to a doubling of the count.
+RANKS = 6
+
+
+def order_of(texts: DataFrame, size: int, cells: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each cell a rank by its count; the count of each rank; the mean count. On the driver, cells bytes."""
     kind = "chunk long, part long, counts binary"
-    some = rows.filter("chunk IS NOT NULL").select("chunk", (F.col("part") % 256).alias("part"), "counts")
-    chunks = some.groupBy("chunk", "part").applyInArrow(_total, kind).groupBy("chunk").applyInArrow(_total, kind).collect()
-    counts = np.zeros(CELLS, np.int64)
+    some = texts.mapInArrow(lean(_count(size, cells)), kind).withColumn("part", F.col("part") % 64)
+    chunks = some.groupBy("chunk", "part").applyInArrow(_total, kind).groupBy("chunk").applyInArrow(_ranked, "chunk long, total long, ranks binary").collect()
+    ranks = np.zeros(cells, np.uint8)
     for r in chunks:
-        counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zstandard.decompress(bytes(r["counts"])), "<i8")
-    ranks = np.minimum(255, np.log2(np.maximum(counts, 1)) * 7).astype(np.uint8)
-    return ranks, np.ceil(2.0 ** (np.arange(256) / 7)).astype(np.int64)
+        ranks[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["ranks"], np.uint8)
+    return ranks, np.ceil(2.0 ** (np.arange(256) / RANKS)).astype(np.int64), sum(r["total"] for r in chunks) // cells
 
 
 SALT_BITS, POS_BITS = 10, 25
+MADE = ["key", "pack", "cls", "doc", "extra"]
 
 
-def _entries(ranks, top, size: int, percent: int):
-    """Index entries (key, packed size, position and salt, class) of each class the first time a task meets it."""
+def _entries(ranks, mean: int, size: int, percent: int):
+    """Rows of MADE. Index entries: key, packed size, position and salt, class. With extra: documents (a key of its own, n, class, doc_id, row key),
+    and classes (class, n, class, digest of a text that has it, parity bitmap), the latter like entries the first time a task meets them."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, least = ranks.value
-        # Long lists only: shingles of cells that are far above the mean, by their surplus.
-        mean = top
         seen: set[int] = set()
-        for batch in batches:
-            keys, packs, classes = [], [], []
-            for text in batch.column(0).to_pylist():
-                s = shingles(text, size)
+        cells, number = len(rank), 0
+        for batch, raws in slices(batches, 1):
+            ids, names, hashes = (batch.column(c).to_pylist() for c in (0, 2, 3))
+            keys, packs, classes, rows = [], [], [], []
+            for raw_id, name, text, s in zip(ids, names, hashes, sets_of(raws, size), strict=True):
                 n = len(s)
                 c = digest(s)
+                number += 1
+                rows.append((xxhash.xxh64_intdigest(name, seed=number) - (1 << 63), n, c, raw_id, name))  # repeated rows too go to many tasks
                 if not n or c in seen:
                     continue
-                if len(seen) > 2_000_000:
+                if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(c)
-                r = rank[(s & U(CELLS - 1)).astype(np.int64)]
-                s, r = (x[np.lexsort((s, r))[: prefix_length(n, percent)]] for x in (s, r))
-                over = np.maximum(0, least[r] - 2 * mean)
-                salts = np.minimum(1 << SALT_BITS, 1 + over // SALT)
+                parity = np.packbits((np.bincount((s >> U(55)).astype(np.int64), minlength=64 * BITS) & 1).astype(np.uint8))
+                rows.append((c, n, c, text, parity.tobytes()))
+                r = rank[(s & U(cells - 1)).astype(np.int64)]
+                at = np.argsort(r, kind="stable")[: prefix_length(n, percent)]
+                s, r = s[at], r[at]
+                # Long lists only: shingles of cells that are far above the mean, by their surplus.
+                salts = np.minimum((1 << SALT_BITS) - 1, 1 + np.maximum(0, least[r] - 2 * mean) // SALT)
                 salt = (mix(s ^ U(c & (1 << 64) - 1)) % salts.astype(U)).astype(np.int64)
                 salt[salts > 1] += 1  # 0: the list isn't salted
                 salt = np.minimum(salt, (1 << SALT_BITS) - 1)
-                key = np.where(salt > 0, s ^ mix(salt.astype(U)), s)
-                keys.append(key.view(np.int64))
+                keys.append(np.where(salt > 0, s ^ mix(salt.astype(U)), s).view(np.int64))
                 packs.append((n << (POS_BITS + SALT_BITS)) | (np.arange(len(s)) << SALT_BITS) | salt)
                 classes.append(np.full(len(s), c, np.int64))
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(4)), pa.array([r[4] for r in rows], pa.binary())], MADE)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, packs, classes)], ["key", "pack", "cls"])
+                k = sum(map(len, keys))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in (keys, packs, classes)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], MADE)
 
     return emit
 
@@ -199,40 +251,69 @@ def may_link(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, percent
     return np.minimum(n - p, m - q) * k >= percent * (n + m)
 
 
+PAIR, ENTRY, DOCUMENT, CLASS = 0, 1, 2, 3
+LISTED = ["kind", "a", "b", "pack", "doc", "extra"]
+
+
 def _chains(percent: int):
-    """From entries sorted by key: pairs of neighbours in a chain (kind 0), and the entries of lists of several classes (kind 1)."""
+    """From rows of MADE sorted by key: pairs of neighbours in a chain (classes a, b), the entries of lists of several classes (class a, token b, pack), documents and classes (class a, n b)."""
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 4  # key, pack, class, and whether the entry was returned before
+        last_class: int | None = None
 
-        def work(key: np.ndarray, pack: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+        def work(part: bool) -> Iterator[pa.RecordBatch]:
+            """Handles the lists in held; of the list that goes on, if part, one entry stays there."""
+            nonlocal held
+            key, pack, cls, done = held
             turn = mix(mix((key.view(U) % U(CHAINS)) + U(1)) ^ cls.view(U))
-            at = np.lexsort((cls, turn, key))
-            key, pack, cls = key[at], pack[at], cls[at]
+            at = np.lexsort((-done, cls, turn, key))
+            key, pack, cls, done = (x[at] for x in (key, pack, cls, done))
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-            key, pack, cls = key[new], pack[new], cls[new]  # a class that several tasks met counts once
+            key, pack, cls, done = (x[new] for x in (key, pack, cls, done))  # a class that several tasks met counts once
+            if part and len(key) == 1:
+                held = [key, pack, cls, done]
+                return
             n, p, salt = unpack(pack)
             near = np.flatnonzero(key[1:] == key[:-1])
             near = near[may_link(n[near], p[near], n[near + 1], p[near + 1], percent)]
             a, b = np.minimum(cls[near], cls[near + 1]), np.maximum(cls[near], cls[near + 1])
             pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             same = np.concatenate([[False], key[1:] == key[:-1], [False]])
-            several = same[1:] | same[:-1] | (salt > 0)
+            several = (same[1:] | same[:-1] | (salt > 0) | (done > 0)) & (done == 0)
             token = np.where(salt > 0, (key.view(U) ^ mix(salt.astype(U))).view(np.int64), key)[several]
             k = len(token)
-            columns = [np.concatenate([np.zeros(len(pairs), np.int64), np.ones(k, np.int64)]), np.concatenate([pairs[:, 0], cls[several]]), np.concatenate([pairs[:, 1], token]), np.concatenate([np.zeros(len(pairs), np.int64), pack[several]])]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "a", "b", "pack"])
+            columns = [np.concatenate([np.full(len(pairs), PAIR), np.full(k, ENTRY)]), np.concatenate([pairs[:, 0], cls[several]]), np.concatenate([pairs[:, 1], token]), np.concatenate([np.zeros(len(pairs), np.int64), pack[several]])]
+            k += len(pairs)
+            held = [x[-1:] for x in (key, pack, cls, np.ones(len(key), np.int64))] if part else [np.zeros(0, np.int64)] * 4
+            if k:
+                yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], LISTED)
 
         for batch in batches:
-            arrays = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
-            if not len(arrays[0]):
+            mark = pc.is_valid(batch.column("extra"))
+            named = batch.filter(mark)
+            if named.num_rows:
+                key, n, cls, doc, extra = named.columns
+                kind = np.where(pc.binary_length(extra).to_numpy() == 8 * BITS, CLASS, DOCUMENT)
+                keep = np.ones(len(kind), bool)  # a class that several tasks met counts once: its rows are neighbours
+                of = cls.to_numpy()
+                for i in np.flatnonzero(kind == CLASS).tolist():
+                    keep[i], last_class = of[i] != last_class, int(of[i])
+                yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int64)), cls, n, pa.nulls(len(kind), pa.int64()), doc, extra], LISTED).filter(pa.array(keep))
+            plain = batch.filter(pc.invert(mark))
+            if not plain.num_rows:
                 continue
-            cut = int(np.searchsorted(arrays[0], arrays[0][-1])) if len(arrays[0]) < 1_000_000 else len(arrays[0])  # the last list may go on; a very long one is chained piece by piece
+            held = [np.concatenate([h, c]) for h, c in zip(held, [*(c.to_numpy() for c in plain.columns[:3]), np.zeros(plain.num_rows, np.int64)], strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last list may go on
             if cut:
-                yield work(*(a[:cut] for a in arrays))
-            held = [a[cut:] for a in arrays]
+                rest = [x[cut:] for x in held]
+                held = [x[:cut] for x in held]
+                yield from work(False)
+                held = rest
+            if len(held[0]) > HELD:
+                yield from work(True)
         if len(held[0]):
-            yield work(*held)
+            yield from work(False)
 
     return chain
 
@@ -244,6 +325,12 @@ def close(w: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: i
     return apart * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
 
 
+def bitmaps(column: pa.Array) -> np.ndarray:
+    """Parity bitmaps as BITS rows of words."""
+    raw = b"".join(column.to_pylist())
+    return np.ascontiguousarray(np.frombuffer(raw, np.int64).reshape(-1, BITS).T)
+
+
 def cross_pairs(n: np.ndarray, p: np.ndarray, cls: np.ndarray, root: np.ndarray, side: np.ndarray, w: np.ndarray, both: bool, percent: int = PERCENT) -> Iterator[np.ndarray]:
     """Pairs of classes of different roots in an index list that may link; with both, only of different sides.
 
@@ -263,7 +350,7 @@ def cross_pairs(n: np.ndarray, p: np.ndarray, cls: np.ndarray, root: np.ndarray,
         x = np.flatnonzero(last > first)
         if not len(x):
             continue
-        for part in np.array_split(x, max(1, int((last - first)[x].sum()) // 1_000_000)):
+        for part in np.array_split(x, max(1, int((last - first)[x].sum()) // PAIRS)):
             width = (last - first)[part]
             i = np.repeat(part, width)
             j = s + np.repeat(first[part] - np.cumsum(width) + width, width) + np.arange(width.sum())
@@ -278,18 +365,18 @@ def cross_pairs(n: np.ndarray, p: np.ndarray, cls: np.ndarray, root: np.ndarray,
 
 #: Index lists of at most so many entries are paired together, by distance.
 SHORT = 12
-CROSSED = ["token", "i", "j", "side", "pack", "cls", "root", *(f"w{k}" for k in range(BITS))]
+CROSSED = ["token", "i", "j", "side", "pack", "cls", "root"]
 
 
 def _crossings(percent: int):
-    """From entries (CROSSED) sorted by (token, i, j): pairs of different components that may link."""
+    """From entries (CROSSED, parity) sorted by (token, i, j): pairs of different components that may link."""
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * len(CROSSED)
+        held = [np.zeros(0, np.int64)] * (len(CROSSED) + BITS)
 
         def work(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            token, i, j, side, pack, cls, root = arrays[:7]
-            w = np.stack(arrays[7:])
+            token, i, j, side, pack, cls, root = arrays[: len(CROSSED)]
+            w = np.stack(arrays[len(CROSSED) :])
             new = np.concatenate([[True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             heads = np.flatnonzero(new)
             sizes = np.diff(np.append(heads, len(token)))
@@ -302,15 +389,18 @@ def _crossings(percent: int):
                 if not len(x):
                     continue
                 y = x + d
-                x, y = (z[((i[x] == j[x]) | (side[x] != side[y])) & may_link(n[x], p[x], n[y], p[y], percent)] for z in (x, y))
-                x, y = (z[close(w, n, x, y, percent)] for z in (x, y))
+                good = ((i[x] == j[x]) | (side[x] != side[y])) & may_link(n[x], p[x], n[y], p[y], percent)
+                x, y = x[good], y[good]
+                good = close(w, n, x, y, percent)
+                x, y = x[good], y[good]
                 found.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])], 1))
             for s, size in zip(heads[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
                 e = s + size
-                found += cross_pairs(n[s:e], p[s:e], cls[s:e], root[s:e], side[s:e], w[:, s:e], bool(i[s] != j[s]), percent)
-                if sum(map(len, found)) > 200_000:
-                    yield batch_of(found)
-                    found = []
+                for part in cross_pairs(n[s:e], p[s:e], cls[s:e], root[s:e], side[s:e], w[:, s:e], bool(i[s] != j[s]), percent):
+                    found.append(part)
+                    if sum(map(len, found)) > PAIRS:
+                        yield batch_of(found)
+                        found = []
             if found:
                 yield batch_of(found)
 
@@ -319,7 +409,8 @@ def _crossings(percent: int):
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            arrays = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            k = len(CROSSED)
+            arrays = [np.concatenate([h, c]) for h, c in zip(held, [*(c.to_numpy() for c in batch.columns[:k]), *bitmaps(batch.column(k))], strict=True)]
             if not len(arrays[0]):
                 continue
             last = (arrays[0] == arrays[0][-1]) & (arrays[1] == arrays[1][-1]) & (arrays[2] == arrays[2][-1])
@@ -333,71 +424,136 @@ def _crossings(percent: int):
     return cross
 
 
-def _verify(size: int, percent: int):
-    """Pairs (a, b, packed texts) with ok."""
+def _near(percent: int):
+    """The pairs (a, b, sizes, parity bitmaps) that may link by their bitmaps."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n = np.concatenate([batch.column(c).to_numpy() for c in (2, 3)])
+                w = np.concatenate([bitmaps(batch.column(c)) for c in (4, 5)], axis=1)
+                i = np.arange(batch.num_rows)
+                yield batch.select([0, 1]).filter(pa.array(close(w, n, i, i + batch.num_rows, percent)))
+
+    return near
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press, seen = zstandard.ZstdCompressor(level=1), set()
+    for batch, raws in slices(batches, 1):
+        new = []
+        for name, raw in zip(batch.column(0).to_pylist(), raws, strict=True):
+            if name not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(name)
+                new.append((name, press.compress(raw)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.int64()), pa.array([x[1] for x in new], pa.binary())], ["text_id", "z"])
+
+
+def _common(size: int):
+    """Pairs (a, b, packed texts) with the number of shingles that both sets have."""
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
 
         def get(c: int, z: bytes) -> np.ndarray:
             if c not in sets:
-                if len(sets) > 500:
+                if len(sets) > 100:
                     sets.clear()
                 sets[c] = shingles(zstandard.decompress(z), size)
             return sets[c]
 
         for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            ok = [linked(get(i, u), get(j, v), percent) for i, j, u, v in zip(a, b, x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-    return verify
-
-
-def _candidates(wanted, size: int):
-    """(cls, n, parity words, packed text) of classes that may be candidates, the first time a task meets each."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen, press = wanted.value, set(), zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                raw = text.encode("utf-8", "surrogatepass")
-                s = shingles(raw, size)
-                c = digest(s)
-                at = (c & (1 << 63) - 1) % FILTER_BITS
-                if not len(s) or c in seen or not bits[at >> 3] >> (at & 7) & 1:
-                    continue
-                if len(seen) > 2_000_000:
-                    seen.clear()
-                seen.add(c)
-                where = (s >> U(32)) % U(64 * BITS)
-                parity = np.packbits((np.bincount(where.astype(np.int64), minlength=64 * BITS) & 1).astype(np.uint8)).view(np.int64)
-                rows.append({"cls": c, "n": len(s), "z": press.compress(raw), **{f"w{k}": int(parity[k]) for k in range(BITS)}})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("z", pa.binary()), *((f"w{k}", pa.int64()) for k in range(BITS))]))
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                both = [len(np.intersect1d(get(a, x), get(b, y), assume_unique=True)) for a, b, x, y in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both, pa.int64())], ["a", "b", "both"])
 
-    return emit
+    return common
 
 
-def check(pairs: DataFrame, nodes: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) with ok. Parity bitmaps go first: the sets differ in at least as many shingles as the bitmaps in bits."""
-    small = nodes.drop("z")
-    side = lambda s: small.select(F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in small.columns if c != "cls"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = sum((F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in range(BITS)), F.lit(0))
-    left = both.filter(apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b")
-    texts = lambda s: nodes.select(F.col("cls").alias(s), F.col("z").alias(f"z_{s}"))
-    return left.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "z_a", "z_b").mapInArrow(_verify(size, percent), "a long, b long, ok boolean")
+class Sets:
+    """The classes of a table of documents, and how their sets are compared.
 
+    rows: doc_id, n, cls, row_key. lists: cls, token, pack. chains: neighbours (a, b). nodes: cls, n, text_id, parity.
+    """
 
-def bitmap_of(classes: DataFrame) -> bytes:
-    """A bitmap of FILTER_BITS bits with the classes' bits set; as large whatever their number."""
-    at = F.col("cls").bitwiseAND(F.lit((1 << 63) - 1)) % F.lit(FILTER_BITS)
-    rows = classes.select((at / 32768).cast("long").alias("bucket"), (at % 32768).alias("bit")).groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).collect()
-    out = bytearray(FILTER_BITS // 8)
-    for r in rows:
-        out[r["bucket"] * 4096 : r["bucket"] * 4096 + 4096] = r["bits"]
-    return bytes(out)
+    def __init__(self, docs: DataFrame, size: int, percent: int) -> None:
+        spark = docs.sparkSession
+        self.size, self.percent = size, percent
+        self.texts = docs.select(text_of().alias("text"))
+        cells = min(MOST_CELLS, max(CELLS, 1 << (4 * docs.count()).bit_length()))
+        ranks, least, mean = order_of(self.texts, size, cells)
+        shared = spark.sparkContext.broadcast((ranks, least))
+        named = docs.select(F.col("doc_id").cast("long").alias("doc"), text_of().alias("text"), row_key().alias("row_key")).select("doc", "text", F.unhex("row_key").alias("row_key"), F.xxhash64("text").alias("text_id"))
+        made = named.mapInArrow(lean(_entries(shared, mean, size, percent)), "key long, pack long, cls long, doc long, extra binary")
+        listed = settle(made.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_chains(percent)), "kind long, a long, b long, pack long, doc long, extra binary"))
+        self.rows = listed.filter(f"kind = {DOCUMENT}").select(F.col("doc").alias("doc_id"), F.col("b").alias("n"), F.col("a").alias("cls"), F.lower(F.hex("extra")).alias("row_key"))
+        self.nodes = listed.filter(f"kind = {CLASS}").select(F.col("a").alias("cls"), F.col("b").alias("n"), F.col("doc").alias("text_id"), F.col("extra").alias("parity"))
+        self.chains = listed.filter(f"kind = {PAIR}").select("a", "b").distinct()
+        self.lists = listed.filter(f"kind = {ENTRY}").select(F.col("a").alias("cls"), F.col("b").alias("token"), "pack")
+
+    def side(self, s: str, *columns: str) -> DataFrame:
+        return self.nodes.select(F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns))
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that may link by their parity bitmaps."""
+        both = pairs.join(self.side("a", "n", "parity"), "a").join(self.side("b", "n", "parity"), "b")
+        return both.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(lean(_near(self.percent)), "a long, b long")
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with n_a, n_b, and apart: the number of shingles that one of both sets has. Only the texts that are asked for are dealt."""
+        asked = settle(pairs.join(self.side("a", "n", "text_id"), "a").join(self.side("b", "n", "text_id"), "b"))
+        if asked.isEmpty():
+            return asked.select("a", "b", "n_a", "n_b", F.lit(0).cast("long").alias("apart"))
+        wanted = asked.select(F.explode(F.array("text_id_a", "text_id_b")).alias("text_id"))
+        some, _ = split_by_marks(self.texts.select(F.xxhash64("text").alias("text_id"), "text"), "text_id", marks(wanted, "text_id"))
+        bodies = settle(some.mapInArrow(lean(_pack_texts), "text_id long, z binary").join(wanted.distinct(), "text_id", "left_semi").groupBy("text_id").agg(F.first("z").alias("z")))
+        body = lambda s: bodies.select(F.col("text_id").alias(f"text_id_{s}"), F.col("z").alias(f"z_{s}"))
+        both = asked.join(body("a"), "text_id_a").join(body("b"), "text_id_b").select("a", "b", "z_a", "z_b").mapInArrow(lean(_common(self.size)), "a long, b long, both long")
+        return settle(both.join(asked.select("a", "b", "n_a", "n_b"), ["a", "b"]).select("a", "b", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - 2 * F.col("both")).alias("apart")))
+
+    def links(self, apart: str = "apart"):
+        """The condition that sets of n_a and n_b shingles link that differ in so many."""
+        return F.expr(f"({apart}) < n_a + n_b AND ({apart}) * {100 + self.percent} <= (n_a + n_b) * {100 - self.percent}")
+
+    def crossed(self, labelled: DataFrame) -> DataFrame:
+        """Pairs of classes of different roots that may link, from lists (token, pack, cls, root).
+
+        A list is cut in blocks: of a root of more than BLOCK entries by class, of the others together by root. Blocks of one root aren't paired with each other.
+        """
+        held = labelled.groupBy("token", "root").agg(F.count("*").alias("c"))
+        big = F.collect_list(F.when(F.col("c") > BLOCK, F.struct("root", F.ceil(F.col("c") / BLOCK).cast("int").alias("k")))).alias("big")
+        small = F.coalesce(F.sum(F.when(F.col("c") <= BLOCK, F.col("c"))), F.lit(0))
+        lists = held.groupBy("token").agg(F.count("*").alias("roots"), F.ceil(small / BLOCK).cast("int").alias("pooled"), big).filter("roots > 1").drop("roots")
+        left = labelled.join(lists, "token").withColumn("nth", F.expr("cast(array_position(transform(big, x -> x.root), root) as int)"))
+        left = left.withColumn("begin", F.expr("pooled + aggregate(slice(big, 1, greatest(nth - 1, 0)), 0, (n, x) -> n + x.k)")).withColumn("total", F.expr("pooled + aggregate(big, 0, (n, x) -> n + x.k)"))
+        left = left.withColumn("parts", F.expr("if(nth > 0, element_at(big, nth).k, 0)"))
+        left = left.withColumn("own", F.expr("cast(if(nth > 0, begin + pmod(xxhash64(cls), parts), pmod(xxhash64(root), pooled)) as int)"))
+        left = left.withColumn("other", F.explode(F.expr("filter(sequence(0, total - 1), x -> nth = 0 OR x < begin OR x >= begin + parts)")))
+        left = left.select("token", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), F.col("own").cast("long").alias("side"), "pack", "cls", "root")
+        left = left.join(self.nodes.select("cls", "parity"), "cls").select(*CROSSED, "parity")
+        return left.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lean(_crossings(self.percent)), "a long, b long").distinct()
+
+    def derived(self, pairs: DataFrame, tried: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link, derived from what their leaders differ in where that is enough; tried: compared neighbours."""
+        linked = tried.filter(self.links())
+        both = linked.select(F.col("a").alias("cls"), F.col("b").alias("leader"), "apart").unionByName(linked.select(F.col("b").alias("cls"), F.col("a").alias("leader"), "apart"))
+        # Of two sets that would lead each other the one with the smaller class leads.
+        leaders = both.filter("leader < cls").groupBy("cls").agg(F.min(F.struct("apart", "leader")).alias("m")).select("cls", "m.leader", "m.apart")
+        lead = lambda s: leaders.select(F.col("cls").alias(s), F.col("leader").alias(f"l_{s}"), F.col("apart").alias(f"d_{s}"))
+        led = pairs.join(lead("a"), "a", "left").join(lead("b"), "b", "left").join(self.side("a", "n"), "a").join(self.side("b", "n"), "b")
+        led = led.withColumns({"l_a": F.coalesce("l_a", "a"), "l_b": F.coalesce("l_b", "b"), "d": F.coalesce("d_a", F.lit(0)) + F.coalesce("d_b", F.lit(0))})
+        led = settle(led.select("a", "b", "n_a", "n_b", "d", F.least("l_a", "l_b").alias("x"), F.greatest("l_a", "l_b").alias("y")))
+        asked = led.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        known = tried.select("a", "b", "apart")
+        told = self.compared(asked.join(known, ["a", "b"], "left_anti")).select("a", "b", "apart").unionByName(known).select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("apart").alias("far"))
+        led = settle(led.join(told, ["x", "y"], "left").withColumn("far", F.coalesce("far", F.lit(0))))  # leaders that are one set
+        sure = led.filter(self.links("far + d"))
+        open_ = led.filter(self.links("greatest(far - d, 0)") & ~self.links("far + d")).select("a", "b")
+        own = self.compared(open_).filter(self.links())
+        return settle(sure.select("a", "b").unionByName(own.select("a", "b")))
 
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -411,65 +567,36 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataF
     Nothing is skipped inside a component, so work and rows grow with the square of a group of near copies, as its links do. Documents with equal
     sets are linked too, and to what the others of their class are linked with; they share a class and have no rows of their own.
     """
-    rows, lists, nodes, tried = _prepared(docs, size, percent)
-    pairs = _crossed(lists.withColumn("root", F.col("cls")), nodes, percent)
-    more = check(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), nodes, size, percent)
-    least = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    sets = Sets(docs, size, percent)
+    tried = sets.compared(sets.near(sets.chains))
+    pairs = sets.crossed(sets.lists.withColumn("root", F.col("cls"))).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    found = sets.derived(pairs, tried).unionByName(tried.filter(sets.links()).select("a", "b"))
+    least = sets.rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = lambda s: least.select(F.col("cls").alias(s), F.col("least").alias(f"doc_{s}"))
-    return tried.unionByName(more).filter("ok").select("a", "b").join(named("a"), "a").join(named("b"), "b").select("a", "b", "doc_a", "doc_b")
-
-
-def _prepared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """rows (doc_id, n, cls, row_key), lists (cls, token, pack), nodes of the lists' classes, and the neighbours in chains (a, b) with ok."""
-    spark = docs.sparkSession
-    texts = docs.select(text_of().alias("text"))
-    first = settle(docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), row_key().alias("row_key")).mapInArrow(_read(size), "doc_id long, n long, cls long, row_key string, chunk long, part long, counts binary"))
-    rows = first.filter("chunk IS NULL").select("doc_id", "n", "cls", "row_key")
-    ranks, least = order_of(first)
-    mean = int(rows.agg(F.sum("n")).first()[0] or 0) // CELLS
-    shared = spark.sparkContext.broadcast((ranks, least))
-
-    entries = texts.mapInArrow(_entries(shared, mean, size, percent), "key long, pack long, cls long")
-    listed = settle(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_chains(percent), "kind long, a long, b long, pack long"))
-    chains = listed.filter("kind = 0").select("a", "b").distinct()
-    lists = listed.filter("kind = 1").select(F.col("a").alias("cls"), F.col("b").alias("token"), "pack")
-
-    wanted = spark.sparkContext.broadcast(bitmap_of(lists.select("cls").distinct()))
-    nodes = settle(texts.mapInArrow(_candidates(wanted, size), "cls long, n long, z binary, " + ", ".join(f"w{k} long" for k in range(BITS))).dropDuplicates(["cls"]))
-    return rows, lists, nodes, settle(check(chains, nodes, size, percent))
-
-
-def _crossed(labelled: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different roots that may link, from lists (token, pack, cls, root)."""
-    # Lists that hold several roots; a list's number of entries gives the blocks it is cut in.
-    mixed = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).filter("lo <> hi").select("token", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
-    left = labelled.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("token", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), F.col("own").cast("long").alias("side"), "pack", "cls", "root")
-    left = left.join(nodes.drop("n", "z"), "cls").select(*CROSSED)
-    return left.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_crossings(percent), "a long, b long").distinct()
+    return found.join(named("a"), "a").join(named("b"), "b").select("a", "b", "doc_a", "doc_b")
 
 
 def _named(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n, row_key, component_id and top, a class that names the component, for each row of docs."""
-    rows, lists, nodes, tried = _prepared(docs, size, percent)
-    roots = components(tried.filter("ok"))
-    labelled = lists.join(roots, lists["cls"] == roots["node"], "left").select("token", "pack", "cls", F.coalesce("root", "cls").alias("root"))
-    pairs = _crossed(labelled, nodes, percent)
-    more = settle(check(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), nodes, size, percent))
+    sets = Sets(docs, size, percent)
+    tried = sets.compared(sets.near(sets.chains))
+    roots = components(tried.filter(sets.links()))
+    labelled = sets.lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("token", "pack", "cls", F.coalesce("root", "cls").alias("root"))
+    pairs = sets.crossed(labelled).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    more = sets.derived(pairs, tried)
 
     # Components of components, then the smallest doc_id of each.
     name = lambda s: F.coalesce(f"r_{s}", s).alias(s)
     side = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"r_{s}"))
-    over = components(more.filter("ok").join(side("a"), "a", "left").join(side("b"), "b", "left").select(name("a"), name("b")))
+    over = components(more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(name("a"), name("b")))
     final = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(F.col("node").alias("cls"), F.coalesce("top", "root").alias("top"))
     lone = over.join(roots, over["node"] == roots["node"], "left_anti").select(F.col("node").alias("cls"), F.col("root").alias("top"))
     final = final.unionByName(lone)
 
-    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(final, "cls", "left").withColumn("top", F.coalesce("top", "cls"))
+    classes = sets.rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(final, "cls", "left").withColumn("top", F.coalesce("top", "cls"))
     tops = classes.groupBy("top").agg(F.min("least").alias("component_id"))
     named = classes.join(tops, "top").select("cls", "top", "component_id")
-    return rows.join(named, "cls", "left").select("doc_id", "n", "row_key", "top", "component_id")
+    return sets.rows.join(named, "cls", "left").select("doc_id", "n", "row_key", "top", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
