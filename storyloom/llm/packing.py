@@ -32,10 +32,10 @@ CAPACITY = 2048
 GROUP = 256
 #: Rests longer than this part of a window are cut before differencing, so that sums come near to each other.
 CUT = 4
-#: Chunks in each of the two generations of an encoder's memory, about 30 MB each.
-MEMORY = 150_000
+#: Chunks in each of the two generations of an encoder's memory, about 60 MB each.
+MEMORY = 300_000
 #: Characters of text that are encoded at a time.
-SLICE = 6_000_000
+SLICE = 8_000_000
 
 #: The parts of a tokenizer file under which a chunk between white space may be encoded by itself, in lower case, and the ends of words be told by "</w>".
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -46,9 +46,18 @@ SPLITTER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: How byte-level models write bytes: printable ones of Latin-1 as themselves, the others, in order, from U+0100 on; here the space stays.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTES = {b: b if b in _SHOWN else 0x100 + sum(x not in _SHOWN for x in range(b)) for b in range(256)} | {0x20: 0x20}
 # End of fixed values.
 
 
+def latin(text: str) -> bool:
+    """Whether all characters are of Latin-1."""
+    return text.isascii() or max(text) < "\u0100"
+
+
 class Encoder:
     """Token ids of texts, as ``tokenizers`` gives them for whole texts.
 
@@ -72,6 +81,8 @@ class Encoder:
         if self.cuts:
             self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
             self.ends[[n for t, n in model["vocab"].items() if t.endswith("</w>")]] = True
+            # The same model without what lowers and cuts texts, for words of lower Latin letters.
+            self.merger = Tokenizer.from_str(json.dumps(known | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
         self.forget()
 
     def forget(self) -> None:
@@ -125,8 +136,8 @@ class Encoder:
         found = list(map(young.get, chunks))
         gaps = [k for k, x in enumerate(found) if x is None]
         missing = [c for k in gaps if young.setdefault(c := chunks[k], old.get(c)) is None]
-        # A full stop or comma that ends a chunk after an ASCII letter or digit is a token of its own.
-        parts = {c: (c[:-1], c[-1]) for c in missing if c[-1] in ".," and c[-2:-1].isascii() and c[-2:-1].isalnum()}
+        # Marks that end a chunk after letters are cut off from these.
+        parts = {c: (word, c[len(word) :]) for c in missing if c[-1] in MARKS and (word := c.rstrip(MARKS)).isalpha() and latin(word)}
         for x in {y for two in parts.values() for y in two}:
             if young.get(x) is None and young.setdefault(x, old.get(x)) is None:
                 missing.append(x)
@@ -141,10 +152,11 @@ class Encoder:
         """Letters alone are one word, so many such chunks are encoded as one text; others by themselves."""
         words, others = [], []
         for c in chunks:
-            (words if c.isalpha() and (c.isascii() or max(c) < "\u0100") else others).append(c)
+            (words if c.isalpha() and latin(c) else others).append(c)
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            text = " ".join(some).lower().encode("utf-8").decode("latin-1").translate(BYTES)
+            ids = np.array(self.merger.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             raw, a = ids.tobytes(), 0
             for c, b in zip(some, (4 * cut).tolist(), strict=True):
