@@ -6,8 +6,8 @@ null doc_id is the largest), then the first row read.
 
 Method. Each row is reduced once to (doc_id, code points, SHA-256), and that narrow table is kept in the shared folder.
 A frequent-items sketch of the Misra-Gries family (``approx_top_k``: a bounded table of counters per task, merged
-afterwards) names digests that may be frequent. Their exact counts and winners are computed with map-side combining and
-broadcast: at most ``counters`` rows, whatever the input. Rows of these digests get their answer where they lie; all
+afterwards) names digests that may be frequent. Their exact counts and winners are computed with map-side combining, and those verified
+to hold a part of ``1 / counters`` of all rows, and two rows at least, are broadcast: at most ``counters`` rows, whatever the input. Rows of these digests get their answer where they lie; all
 others are dealt by digest. A digest that the sketch missed can hold only about ``3.5 / counters`` of all rows, so no task gets a
 large group, and nothing depends on what the sketch finds but the route.
 
@@ -52,6 +52,7 @@ def _judged(docs: DataFrame, counters: int) -> DataFrame:
         rows.join(F.broadcast(named), "text_sha256")
         .groupBy("text_sha256")
         .agg(F.count("*").alias("group_size"), F.min(best).alias("best"))
+        .filter(F.col("group_size") >= max(2, rows.count() // counters))
         .select("text_sha256", "group_size", "best.keep_id", "best.keep_row")
     )
     heavy = rows.join(F.broadcast(winners), "text_sha256").withColumn("kept", F.col("row_id") == F.col("keep_row"))
