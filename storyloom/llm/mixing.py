@@ -1,12 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting (operator 1, native).
 
 Token counts by (source, language, topic) are raked until their sums over each of the three match target shares: each
-step scales the cells of one value to its target, for the three in turn, until no sum is off by more than
-``tolerance`` of its target or ``rounds`` are over. A cell's rate is its raked weight by its tokens. A cell gives at most its
+step scales the cells of one value to its target, for the three in turn, until no sum of any of them is off by more than
+``TOLERANCE`` of its target. Targets that can't be met together stop the raking when it no longer comes nearer, or after ``ROUNDS``, with a warning that names what is left.
+A cell's rate is its raked weight by its tokens. A cell gives at most its
 tokens, so a second raking is bounded: each step gives the cells of one value the factor at which their tokens, full cells held at what
 they have, meet the value's share of ``budget`` tokens; documents are then drawn with the probability of their cell. A value with
 fewer tokens than its share gives all of them, and the other values share the rest by their targets.
-The query op1_mixing follows its SQL instead: probability ``min(1, scale * rate)`` with one scale for the budget, which misses targets once cells are full.
 The draw compares the probability with a digest of doc_id and seed, so it is the same on any cluster.
 
 The default target of a value is its share of tokens to the power ``temperature``, normalised, which lifts small sources.
@@ -19,18 +19,18 @@ without tokens has rate 0; repeated rows are drawn alike; an empty table gives n
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import WORD, settle, text_of
+from storyloom.llm.common import WORD, columns_of, fresh, settle, text_of
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPERATURE, BUDGET, SEED = 0.7, 0.6, "mix-1"
-ROUNDS, TOLERANCE = 10, 1e-12
-#: Of the bounded raking: it ends when no value's tokens are off by more than a millionth.
-BOUNDED_ROUNDS, BOUNDED_TOLERANCE = 60, 1e-6
+ROUNDS, TOLERANCE = 1000, 1e-12
 #: Rounds in one job.
 STRIDE = 5
 BROADCAST_CELLS = 100_000
@@ -55,6 +55,32 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", plain("source"), plain("lang"), topic_of(text).alias("topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"))
 
 
+def _off(cells: DataFrame, value: Column, aim: str) -> float:
+    """By how much the sums of value over any of the dimensions miss their aims, as a part of these; aims of values without tokens don't count."""
+    parts = [
+        cells.groupBy(d).agg(F.max("tokens").alias("t"), (F.abs(F.sum(value) - F.first(f"{aim}_{d}")) / F.greatest(F.first(f"{aim}_{d}"), F.lit(1e-9))).alias("off")).filter("t > 0").select("off")
+        for d in DIMENSIONS
+    ]
+    return float(parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(F.max("off")).first()[0] or 0)
+
+
+def _until_settled(cells: DataFrame, step: Callable[[DataFrame, str], DataFrame], value: Column, aim: str, rounds: int, tolerance: float) -> DataFrame:
+    """cells after as many rounds of steps, one for each dimension, as it takes."""
+    off = math.inf
+    for k in range(rounds):
+        for d in DIMENSIONS:
+            cells = step(cells, d)
+        if k % STRIDE == STRIDE - 1 or k == rounds - 1:
+            cells = settle(cells)
+            before, off = off, _off(cells, value, aim)
+            if off <= tolerance:
+                return cells
+            if off >= before * 0.999:
+                break
+    warnings.warn(f"raking ended while a sum is off by {off:.3g} of its target", stacklevel=3)
+    return cells
+
+
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temperature: float = TEMPERATURE, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells (dimensions, tokens) with weight: the raked tokens; their total is that of tokens."""
     total = F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 0))
@@ -70,16 +96,12 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
             out = out.join(sums.select(d, (F.col("p") / F.lit(whole) * total).alias(f"want_{d}")), d)
     if cells.count() <= BROADCAST_CELLS:
         out = out.coalesce(1)  # a small table of proven size needs no shuffles
-    for k in range(rounds):
-        for d in DIMENSIONS:
-            now = F.sum("weight").over(Window.partitionBy(d))
-            out = out.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"want_{d}") / now).otherwise(0.0))
-        if k % STRIDE == STRIDE - 1 or k == rounds - 1:
-            out = settle(out)
-            off = [out.groupBy(d).agg((F.abs(F.sum("weight") - F.first(f"want_{d}")) / F.greatest(F.first(f"want_{d}"), F.lit(1e-9))).alias("off")).select("off") for d in DIMENSIONS[:-1]]
-            if (off[0].unionByName(off[1]).agg(F.max("off")).first()[0] or 0) <= tolerance:
-                break
-    return out
+
+    def step(now: DataFrame, d: str) -> DataFrame:
+        held = F.sum("weight").over(Window.partitionBy(d))
+        return now.withColumn("weight", F.when(held > 0, F.col("weight") * F.col(f"want_{d}") / held).otherwise(0.0))
+
+    return _until_settled(out, step, F.col("weight"), "want", rounds, tolerance)
 
 
 def _scale(rows: DataFrame, amount: float) -> float:
@@ -104,13 +126,7 @@ def _rate() -> Column:
     return F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
 
 
-def scaled(cells: DataFrame, budget: float) -> DataFrame:
-    """Raked cells with rate, and prob: the rate by a common scale, at most 1, for which budget of all tokens is expected."""
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    return cells.withColumn("rate", _rate()).withColumn("prob", F.least(F.lit(1.0), F.col("rate") * F.lit(_scale(cells, budget * total))))
-
-
-def bounded(cells: DataFrame, budget: float, rounds: int = BOUNDED_ROUNDS, tolerance: float = BOUNDED_TOLERANCE) -> DataFrame:
+def bounded(cells: DataFrame, budget: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """Raked cells with rate, and prob: at most 1, for which budget of all tokens, or all that targets allow, is expected in target shares."""
     usable = F.when(F.col("weight") > 0, F.col("tokens")).otherwise(0)
     total, most = (float(x or 0) for x in cells.agg(F.sum("tokens"), F.sum(usable)).first())
@@ -121,20 +137,18 @@ def bounded(cells: DataFrame, budget: float, rounds: int = BOUNDED_ROUNDS, toler
         held = F.sum(usable).over(Window.partitionBy(d))
         out = out.withColumn(f"aim_{d}", F.least(held.cast("double"), F.col(f"want_{d}") * F.lit(_scale(values, amount))))
     taken = F.least(F.col("tokens").cast("double"), F.col("weight"))
-    for k in range(rounds):
-        for d in DIMENSIONS:
-            # With cells by falling rate, the first of them full, each number of full cells gives a factor; the largest is the one that fits.
-            order = Window.partitionBy(d).orderBy(_rate().desc(), *DIMENSIONS)
-            full = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            free = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-            out = out.withColumn("_factor", F.when(free > 0, (F.col(f"aim_{d}") - full) / free))
-            factor = F.coalesce(F.max("_factor").over(Window.partitionBy(d)), F.lit(0.0))
-            out = out.withColumn("weight", F.least(F.col("weight") * factor, F.col("tokens") * F.lit(1e9)))  # cells that can't meet their values' shares don't grow forever
-        if k % STRIDE == STRIDE - 1 or k == rounds - 1:
-            out = settle(out.drop("_factor"))
-            off = [out.groupBy(d).agg((F.abs(F.sum(taken) - F.first(f"aim_{d}")) / F.greatest(F.first(f"aim_{d}"), F.lit(1e-9))).alias("off")).select("off") for d in DIMENSIONS[:-1]]
-            if (off[0].unionByName(off[1]).agg(F.max("off")).first()[0] or 0) <= tolerance:
-                break
+
+    def step(now: DataFrame, d: str) -> DataFrame:
+        # With cells by falling rate, the first of them full, each number of full cells gives a factor; the largest is the one that fits.
+        order = Window.partitionBy(d).orderBy(_rate().desc(), *DIMENSIONS)
+        full = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        free = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        now = now.withColumn("_factor", F.when(free > 0, (F.col(f"aim_{d}") - full) / free))
+        factor = F.coalesce(F.max("_factor").over(Window.partitionBy(d)), F.lit(0.0))
+        # Cells that can't meet their values' shares don't grow forever.
+        return now.withColumn("weight", F.least(F.col("weight") * factor, F.col("tokens") * F.lit(1e9))).drop("_factor")
+
+    out = _until_settled(out, step, taken, "aim", rounds, tolerance)
     return out.withColumn("prob", F.when(F.col("tokens") > 0, taken / F.col("tokens")).otherwise(0.0))
 
 
@@ -144,14 +158,16 @@ def draw(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def weigh(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, seed: str = SEED, law: Callable[[DataFrame, float], DataFrame] = bounded) -> DataFrame:
-    """docs' doc_id, dimensions and n_tokens with rate, prob and sampled; law gives the raked cells their prob."""
-    return _with_cells(measured(docs), docs, targets, budget, temperature, seed, law)
+def probabilities(rows: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, budget: float, temperature: float) -> DataFrame:
+    """The table of cells of measured rows: dimensions, rate and prob."""
+    cells = settle(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
+    return settle(bounded(rake(cells, targets, temperature), budget).select(*DIMENSIONS, "rate", "prob"))
 
 
-def _with_cells(rows: DataFrame, docs: DataFrame, targets, budget: float, temperature: float, seed: str, law) -> DataFrame:
-    cells = settle(measured(docs).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    cells = settle(law(rake(cells, targets, temperature), budget).select(*DIMENSIONS, "rate", "prob"))
+def weigh(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, seed: str = SEED) -> DataFrame:
+    """docs' doc_id, dimensions and n_tokens with rate, prob and sampled. Only the narrow table of these is kept, and the texts are read once."""
+    rows = settle(measured(docs))
+    cells = probabilities(rows, targets, budget, temperature)
     side = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
     return rows.join(side, list(DIMENSIONS)).withColumn("sampled", draw(F.col("doc_id"), seed) < F.col("prob"))
 
@@ -159,36 +175,54 @@ def _with_cells(rows: DataFrame, docs: DataFrame, targets, budget: float, temper
 def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, seed: str = SEED) -> DataFrame:
     """The rows of docs that are drawn, with their columns."""
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
-    keys = {"source": "_source", "lang": "_lang", "topic": "_topic"}
-    rows = docs.withColumns({"_source": plain("source"), "_lang": plain("lang"), "_topic": topic_of(text_of())})
-    cells = settle(measured(docs).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    cells = settle(bounded(rake(cells, targets, temperature), budget).select(*(F.col(k).alias(v) for k, v in keys.items()), F.col("prob").alias("_prob")))
+    *names, prob = fresh(docs, "_source", "_lang", "_topic", "_prob")
+    keys = dict(zip(DIMENSIONS, names, strict=True))
+    rows = docs.withColumns(dict(zip(names, (plain("source"), plain("lang"), topic_of(text_of())), strict=True)))
+    cells = probabilities(measured(docs), targets, budget, temperature)
+    cells = cells.select(*(F.col(k).alias(v) for k, v in keys.items()), F.col("prob").alias(prob))
     side = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
-    return rows.join(side, list(keys.values())).filter(draw(F.col("doc_id"), seed) < F.col("_prob")).select(*docs.columns)
+    return rows.join(side, names).filter(draw(F.col("doc_id"), seed) < F.col(prob)).select(*columns_of(docs))
 
 
-def sql(rounds: int = ROUNDS) -> str:
-    """DuckDB SQL with that many rounds, for tables on which the raking has settled by then."""
-    parts = [
-        r"""m AS MATERIALIZED (SELECT doc_id, coalesce(source, chr(0)) AS source, coalesce(lang, chr(0)) AS lang,
+def sql() -> str:
+    """DuckDB SQL: both rakings by recursion, until they have settled."""
+    m = r"""m AS MATERIALIZED (SELECT doc_id, coalesce(source, chr(0)) AS source, coalesce(lang, chr(0)) AS lang,
   CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'tables' WHEN contains(lower(coalesce(text, '')), 'licens') THEN 'legal'
        WHEN contains(coalesce(text, ''), '@') OR contains(coalesce(text, ''), '://') THEN 'contacts' WHEN contains(coalesce(text, ''), chr(10)) THEN 'articles' ELSE 'notes' END AS topic,
-  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents)""",
-        "c AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM m GROUP BY ALL)",
-    ]
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents)"""
+    parts = [m, "c AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM m GROUP BY ALL)"]
     for d in DIMENSIONS:
         parts.append(f"w_{d} AS MATERIALIZED (SELECT {d}, p / sum(p) OVER () * (SELECT sum(tokens) FROM c) AS want_{d} FROM (SELECT {d}, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {TEMPERATURE}) ELSE 0 END AS p FROM c GROUP BY ALL))")
-    parts.append("r0 AS MATERIALIZED (SELECT *, tokens AS weight FROM c JOIN w_source USING (source) JOIN w_lang USING (lang) JOIN w_topic USING (topic))")
-    n = 0
-    for _ in range(rounds):
+    off = lambda value, aim: "greatest(" + ", ".join(f"max(CASE WHEN tokens > 0 THEN abs(o_{d} - {aim}_{d}) / greatest({aim}_{d}, 1e-9) ELSE 0 END) OVER ()" for d in DIMENSIONS) + ")"
+    sums = lambda value: ", ".join(f"sum({value}) OVER (PARTITION BY {d}) AS o_{d}" for d in DIMENSIONS)
+
+    def until(name: str, start: str, step: str, value: str, aim: str) -> str:
+        """A recursive table: step, by the dimension, goes from the rows of {rows} to those with a new weight."""
+        rows = name
         for d in DIMENSIONS:
-            parts.append(f"r{n + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {d}) > 0 THEN weight * want_{d} / sum(weight) OVER (PARTITION BY {d}) ELSE 0 END AS weight) FROM r{n})")
-            n += 1
-    parts.append(f"s0 AS (SELECT source, lang, topic, tokens, weight, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS rate FROM r{n})")
-    # The scale at which cells are full: with cells by falling rate, the first k full, the budget gives a scale for which cell k + 1 isn't.
-    parts.append("s1 AS (SELECT *, coalesce(sum(tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM s0 WINDOW w AS (ORDER BY rate DESC, source, lang, topic))")
-    parts.append(f"s2 AS (SELECT scale FROM (SELECT *, ({BUDGET} * (SELECT sum(tokens) FROM c) - held) / free AS scale FROM s1 WHERE free > 0) WHERE scale * rate < 1 ORDER BY rate DESC, source, lang, topic LIMIT 1)")
-    return f"""WITH {", ".join(parts)}
-SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate, round(least(1, rate * scale), 6) AS prob,
-       ('0x' || substr(md5('{SEED}:' || doc_id), 1, 13))::BIGINT / pow(16, 13) < least(1, rate * scale) AS sampled
-FROM m JOIN s0 USING (source, lang, topic), s2"""
+            rows = step.format(d=d, rows=rows)
+            rows = f"({rows})"
+        names = ", ".join(["source", "lang", "topic", "tokens", "rate", *(f"{aim}_{d}" for d in DIMENSIONS)])
+        return f"{name} AS (SELECT 0 AS k, {names}, weight, 1::DOUBLE AS off FROM {start} UNION ALL SELECT k + 1, {names}, weight, {off(value, aim)} FROM (SELECT *, {sums(value)} FROM {rows}) WHERE k < {ROUNDS} AND off > {TOLERANCE})"
+
+    parts.append("r0 AS (SELECT *, tokens AS weight, 0::DOUBLE AS rate FROM c JOIN w_source USING (source) JOIN w_lang USING (lang) JOIN w_topic USING (topic))")
+    parts.append(until("r", "r0", "SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {d}) > 0 THEN weight * want_{d} / sum(weight) OVER (PARTITION BY {d}) ELSE 0 END AS weight) FROM {rows}", "weight", "want"))
+    parts.append("raked AS MATERIALIZED (SELECT * EXCLUDE (rate), CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS rate, CASE WHEN weight > 0 THEN tokens ELSE 0 END AS usable FROM r WHERE k = (SELECT max(k) FROM r))")
+    parts.append(f"amount AS (SELECT least({BUDGET} * sum(tokens), sum(usable)) AS amount FROM raked)")
+    for d in DIMENSIONS:
+        # With values by falling need, the first of them full, the amount gives a scale; the first for which a value isn't full is the one.
+        parts.append(f"v_{d} AS (SELECT {d}, sum(usable) AS held, CASE WHEN sum(usable) > 0 THEN max(want_{d}) ELSE 0 END AS want FROM raked GROUP BY ALL)")
+        parts.append(f"n_{d} AS (SELECT *, want / held AS need, coalesce(sum(held) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_, sum(want) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM v_{d} WHERE held > 0 AND want > 0 WINDOW w AS (ORDER BY want / held DESC, {d}))")
+        parts.append(f"x_{d} AS (SELECT (amount - full_) / free AS scale FROM n_{d}, amount WHERE (amount - full_) / free * need < 1 ORDER BY need DESC, {d} LIMIT 1)")
+        parts.append(f"a_{d} AS (SELECT {d}, least(held, want * coalesce((SELECT scale FROM x_{d}), 1e300)) AS aim_{d} FROM v_{d})")
+    parts.append("b0 AS (SELECT source, lang, topic, tokens, rate, weight, aim_source, aim_lang, aim_topic FROM raked JOIN a_source USING (source) JOIN a_lang USING (lang) JOIN a_topic USING (topic))")
+    now = "CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END"
+    full = f"coalesce(sum(tokens) OVER (PARTITION BY {{d}} ORDER BY {now} DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    free = f"sum(weight) OVER (PARTITION BY {{d}} ORDER BY {now} DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    step = f"SELECT * EXCLUDE (full_, free) REPLACE (least(weight * coalesce(max(CASE WHEN free > 0 THEN (aim_{{d}} - full_) / free END) OVER (PARTITION BY {{d}}), 0), tokens * 1e9) AS weight) FROM (SELECT *, {full} AS full_, {free} AS free FROM {{rows}})"
+    parts.append(until("b", "b0", step, "least(tokens, weight)", "aim"))
+    parts.append("s AS MATERIALIZED (SELECT source, lang, topic, rate, CASE WHEN tokens > 0 THEN least(tokens, weight) / tokens ELSE 0 END AS prob FROM b WHERE k = (SELECT max(k) FROM b))")
+    return f"""WITH RECURSIVE {", ".join(parts)}
+SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate, round(prob, 6) AS prob,
+       ('0x' || substr(md5('{SEED}:' || doc_id), 1, 13))::BIGINT / pow(16, 13) < prob AS sampled
+FROM m JOIN s USING (source, lang, topic)"""
