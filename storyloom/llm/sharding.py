@@ -1,16 +1,17 @@
 """Sharding along a Hilbert curve (operator 6).
 
 Several metadata dimensions are quantised to ``2 ** BITS`` steps of nearly equal numbers of rows, keeping their order: numbers by
-their value, strings by their first bytes. A row's steps give its place on the Hilbert curve; rows are sorted by that place and cut into runs
+quantiles, strings by the part of rows with a smaller string, whole strings compared. A row's steps give its place on the Hilbert curve; rows are sorted by that place and cut into runs
 of equal counts. Neighbours on the curve are near in every dimension, so each shard spans a small range of each, and readers can skip
 shards by the ranges of several columns at once. The law is ``rows``: shard sizes differ by one row at most.
 
 The sort is by range over (place, CRC-32 of the text, doc_id), so a value that holds a third of all rows is dealt to
 many tasks, and equal texts with equal metadata stand together. A row's rank is its partition's offset and its place
-there; only a count for each partition is gathered. Quantiles come from mergeable sketches of fixed accuracy.
+there; only a count for each partition is gathered. Quantiles come from mergeable sketches of fixed accuracy, and the smallest string of each step from a table of
+the different strings, sorted by range: they alone come to the driver.
 
 Cases: nulls are the smallest step of a dimension; a null text counts 0 bytes; ties are broken by doc_id, and repeated rows
-take any order among themselves; with fewer rows than shards, some shards are empty; an empty table gives no rows; further columns are not read.
+take any order among themselves; with fewer rows than shards, some shards are empty; an empty table gives no rows; further columns are not read, but :func:`write` writes them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import n_partitions, settle, text_of
+from storyloom.llm.common import columns_of, fresh, n_partitions, settle, text_of
 
 SHARDS, BITS = 40, 5
 DIMENSIONS = ("source", "lang", "size")
@@ -56,45 +57,71 @@ def hilbert(steps: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A number in the order of the column's values."""
-    if dict(df.dtypes)[name] == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(name, "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
-    return F.col(name).cast("double")
+def _before(rows: DataFrame, amount: Column) -> DataFrame:
+    """_part, _before and _all: the sums of amount in the partitions before, and in all. A row for each partition."""
+    sums = rows.groupBy("_part").agg(F.sum(amount).alias("_n"))
+    return sums.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(F.lit(0)))).drop("_n")
+
+
+def _sorted(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """rows sorted by range, with _part and _nth: their partition and place there."""
+    rows = settle(rows.repartitionByRange(n_partitions(rows), *order).sortWithinPartitions(*order)).withColumn("_id", F.monotonically_increasing_id())
+    return rows.withColumn("_part", F.shiftright("_id", 33)).withColumn("_nth", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+
+
+def string_steps(rows: DataFrame, name: str, bits: int) -> list[tuple[str, int]]:
+    """The smallest string of each step that occurs, and the step: the part of rows with smaller strings, in 2 ** bits steps."""
+    values = _sorted(rows.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("_v")).agg(F.count("*").alias("_c")), "_v")
+    ahead = F.sum("_c").over(Window.partitionBy("_part").orderBy("_nth")) - F.col("_c")
+    ranked = values.join(F.broadcast(_before(values, F.col("_c"))), "_part").withColumn("_step", ((F.col("_before") + ahead) * (1 << bits) / F.col("_all")).cast("int"))
+    return sorted((r["_v"], r["_step"]) for r in ranked.groupBy("_step").agg(F.min("_v").alias("_v")).collect())  # 2 ** bits rows at most
 
 
 def place(rows: DataFrame, dimensions: Sequence[str] = DIMENSIONS, bits: int = BITS) -> DataFrame:
     """rows with ``place``, on the curve through the dimensions."""
-    numbered = rows.withColumns({f"_d{k}": _number(rows, d) for k, d in enumerate(dimensions)})
+    kinds = dict(rows.dtypes)
+    numbers = [d for d in dimensions if kinds[d] != "string"]
     at = [k / 2**bits for k in range(1, 2**bits)]
-    cuts = numbered.agg(*(F.percentile_approx(f"_d{k}", at, 10_000).alias(f"_d{k}") for k in range(len(dimensions)))).first()
-    sorted_cuts = [np.unique(np.array(c if c is not None else [], "float64")) for c in cuts]
+    cuts = rows.agg(*(F.percentile_approx(F.col(d).cast("double"), at, 10_000).alias(d) for d in numbers)).first() if numbers else {}
+
+    def step(d: str) -> Column:
+        if d in numbers:
+            bounds = [(float(v), k + 1) for k, v in enumerate(np.unique(np.array(cuts[d] if cuts[d] is not None else [], "float64")))]
+        else:
+            bounds = string_steps(rows, d, bits)
+        if not bounds:
+            return F.lit(0)
+        held = F.col(d).cast("double") if d in numbers else F.col(d)
+        many = F.size(F.filter(F.array(*(F.lit(v) for v, _ in bounds)), lambda v: v <= held))
+        return F.coalesce(F.when(many > 0, F.element_at(F.array(*(F.lit(int(k)) for _, k in bounds)), many)), F.lit(0))
 
     @F.pandas_udf("long")
     def curve(*columns: pd.Series) -> pd.Series:
-        steps = [np.where(c.isna(), 0, np.searchsorted(cut, c.fillna(0).to_numpy("float64"), side="right")) for c, cut in zip(columns, sorted_cuts, strict=True)]
-        return pd.Series(hilbert(np.stack(steps, 1), bits))
+        return pd.Series(hilbert(np.stack([c.to_numpy("int64") for c in columns], 1), bits))
+
+    return rows.withColumn("place", curve(*(step(d) for d in dimensions)))
+
 
-    return numbered.withColumn("place", curve(*(F.col(f"_d{k}") for k in range(len(dimensions))))).drop(*(f"_d{k}" for k in range(len(dimensions))))
+def _measures() -> list[Column]:
+    return [F.col("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), (F.octet_length(text_of()) + 16).cast("long").alias("size"), F.crc32(F.encode(text_of(), "utf-8")).alias("text_crc32")]
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, the dimensions, size and text_crc32."""
-    data = F.encode(text_of(), "utf-8")
-    return docs.select("doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), (F.octet_length(text_of()) + 16).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
+    return docs.select(*_measures())
+
+
+def _dealt(rows: DataFrame, shards: int, dimensions: Sequence[str], bits: int) -> DataFrame:
+    """rows of measured(), and further columns, with place, shard and slot."""
+    rows = _sorted(place(settle(rows), dimensions, bits), "place", "text_crc32", "doc_id")
+    ranked = rows.join(F.broadcast(_before(rows, F.lit(1))), "_part").withColumn("_rank", F.col("_before") + F.col("_nth"))
+    ranked = ranked.withColumn("shard", F.expr(f"cast(_rank * {shards} div _all as int)"))
+    return ranked.withColumn("slot", F.col("_rank") - F.expr(f"(cast(shard as long) * _all + {shards} - 1) div {shards}")).drop("_part", "_nth", "_before", "_all", "_rank")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, dimensions: Sequence[str] = DIMENSIONS, bits: int = BITS) -> DataFrame:
     """A row for each row of docs, without its text: doc_id, the dimensions, size, text_crc32, place, shard and slot."""
-    rows = place(settle(measured(docs)), dimensions, bits)
-    n = n_partitions(docs)
-    rows = settle(rows.repartitionByRange(n, "place", "text_crc32", "doc_id").sortWithinPartitions("place", "text_crc32", "doc_id"))
-    rows = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)).withColumn("_nth", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(F.lit(0)))).drop("_n")
-    ranked = rows.join(F.broadcast(before), "_part").withColumn("_rank", F.col("_before") + F.col("_nth"))
-    ranked = ranked.withColumn("shard", F.expr(f"cast(_rank * {shards} div _all as int)"))
-    return ranked.withColumn("slot", F.col("_rank") - F.expr(f"(cast(shard as long) * _all + {shards} - 1) div {shards}")).drop("_id", "_part", "_nth", "_before", "_all", "_rank")
+    return _dealt(measured(docs), shards, dimensions, bits)
 
 
 def manifest(sharded: DataFrame, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
@@ -102,9 +129,13 @@ def manifest(sharded: DataFrame, dimensions: Sequence[str] = DIMENSIONS) -> Data
     return sharded.groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum("size").alias("n_bytes"), *(f(d).alias(f"{f.__name__}_{d}") for d in dimensions for f in (F.min, F.max)))
 
 
-def write(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
-    """Writes docs as Parquet in a folder for each shard, in the order of slots; returns the manifest. doc_id must be unique."""
-    plan = settle(shard(docs, shards))
-    joined = docs.join(plan.select("doc_id", "shard", "slot"), "doc_id")
-    joined.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("errorifexists").parquet(path)
-    return manifest(plan)
+def write(docs: DataFrame, path: str, shards: int = SHARDS, dimensions: Sequence[str] = DIMENSIONS, bits: int = BITS) -> DataFrame:
+    """Writes all rows of docs as Parquet in a folder for each shard, in the order of slots; returns the manifest. Folders are named by shard, or _shard if docs has such a column.
+
+    Whole rows are sorted and kept in the shared folder until they are written, so rows with null or repeated ids are neither lost nor multiplied.
+    """
+    plan = settle(_dealt(docs.select(F.struct(*columns_of(docs)).alias("row"), *_measures()), shards, dimensions, bits))
+    (name,) = fresh(docs, "shard")
+    rows = plan.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot").select("row.*", F.col("shard").alias(name))
+    rows.write.partitionBy(name).mode("errorifexists").parquet(path)
+    return manifest(plan, dimensions)
