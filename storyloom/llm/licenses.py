@@ -11,7 +11,7 @@ The join is exact: template words are ordered by how many documents of the corpu
 pass over all texts that counts only template words. A block that meets the threshold for a template of n words lacks
 at most ``n - ceil(CONTAINMENT * n)`` of them, so it holds a word of the template's prefix (that many rarest words, and one
 more). Words of prefixes point to their templates; of the templates met, those longer than the block allows go by the
-length filter; those of which too few words are left after the first one met go by the positional filter; what is
+length filter; those of which, or of the block, too few words are left from the first one in common on go by the positional filter; what is
 left is counted. Templates are a library of fixed size, so nothing else is broadcast and nothing is shuffled but the counts.
 
 Cases: null and empty texts have no words, no labels and score 0; repeated rows get a row each; very long texts are
@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import text_of
+from storyloom.llm.common import lean, text_of
 
 CONTAINMENT = 0.8
 
 #: Fixed by the contract: phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label and words of a statement or grant.
+#: Fixed by the licenses: label and words of a statement, grant or disclaimer.
 TEMPLATES: dict[str, str] = {
     "gpl-notice": "this work is licensed under the gnu general public license version 3",
     "apache-notice": "licensed under the apache license version 2 0",
@@ -49,6 +49,10 @@ TEMPLATES: dict[str, str] = {
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license",
     "public-domain": "this is free and unencumbered software released into the public domain",
     "all-rights": "all rights reserved no part of this publication may be reproduced or transmitted in any form",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "bsd-disclaimer": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages",
+    "apache-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "gpl-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
 }
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -78,23 +82,29 @@ class Templates:
             for at, word in enumerate(w[: len(w) - self.need[t] + 1]):
                 self.index.setdefault(word, []).append((t, at))
         self.prefixes = frozenset(self.index)
+        self.rank = {w: k for k, w in enumerate(sorted({w for words in self.words for w in words}, key=rank))}
         self.sets = [frozenset(w) for w in self.words]
         self.at = {k: t for t, k in enumerate(self.labels)}
         self.window = [int(len(words_of(templates[k])) / containment + 1e-9) for k in self.labels]
 
     def match(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
         """Labels of the templates that the block holds, with the containment."""
-        first: dict[int, int] = {}
-        for word in block & self.prefixes:
-            for t, at in self.index[word]:
-                first[t] = min(at, first.get(t, at))
-        for t, at in first.items():
-            n = len(self.words[t])
-            if len(block) >= self.need[t] and n - at >= self.need[t]:
-                held = len(self.sets[t] & block)
-                if held >= self.need[t]:
-                    yield self.labels[t], held / n
-
+        for t in self.candidates(block):
+            held = len(self.sets[t] & block)
+            if held >= self.need[t]:
+                yield self.labels[t], held / len(self.words[t])
+
+    def candidates(self, block: set[bytes]) -> Iterator[int]:
+        """Templates that pass the prefix, length and positional filters; words that no template has aren't looked at."""
+        words = sorted(block & self.rank.keys(), key=self.rank.__getitem__)
+        met: set[int] = set()
+        for place, word in enumerate(words):
+            for t, at in self.index.get(word, ()):
+                if t not in met:
+                    met.add(t)
+                    # The first word in common is at these places of both, so no more words than come from there on can be.
+                    if len(words) >= self.need[t] and min(len(self.words[t]) - at, len(words) - place) >= self.need[t]:
+                        yield t
 
     def slide(self, label: str, words: list[bytes]) -> Iterator[tuple[int, int, float]]:
         """First and last word, and containment, of the windows of a text that hold the template; of those that overlap, the best."""
@@ -135,7 +145,7 @@ def _counter(words: frozenset[bytes]):
 def document_counts(docs: DataFrame, templates: Mapping[str, str]) -> dict[str, int]:
     """How many documents hold each template word; at most one row for each of them comes to the driver."""
     words = frozenset(w for t in templates.values() for w in words_of(t))
-    rows = docs.select(text_of().alias("text")).mapInArrow(_counter(words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = docs.select(text_of().alias("text")).mapInArrow(lean(_counter(words)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {r["word"]: r["n"] for r in rows.collect()}
 
 
@@ -146,9 +156,10 @@ def scan_text(text: str, templates: Templates, phrases: Mapping[bytes, str]) ->
     flat = b" " + b" ".join(words) + b" "
     starts, base = [], set()
     for phrase, label in phrases.items():
-        at = flat.find(phrase)
+        at, before, last = flat.find(phrase), 0, 0
         while at >= 0:
-            starts.append(flat.count(b" ", 0, at))
+            before, last = before + flat.count(b" ", last, at), at
+            starts.append(before)
             base.add(label)
             at = flat.find(phrase, at + 1)
     labels, score, blocks = set(base), 1.0 if base else 0.0, []
@@ -190,7 +201,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phrases: Map
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip([*cols[:-1], blocks], kinds, strict=True))], ["doc_id", *names])
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<line:int,lines:int,label:string,containment:double>>"
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(lean(run), schema)
 
 
 def sql(containment: float = CONTAINMENT) -> str:
