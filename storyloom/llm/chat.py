@@ -147,9 +147,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def repair(conversations: DataFrame) -> DataFrame:
     """The repaired turns: conv_id, seq, turn, role, repaired_role, action, out_turn, rendered."""
-    order = ("conv_id", "turn", "role", "text")
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    rows = settle(rows.repartitionByRange(n_partitions(conversations), *order).sortWithinPartitions(*order))
+    order = ("conv_id", "turn", "role", "_digest")  # texts themselves don't go into the bounds of ranges, which the driver holds
+    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"), F.md5(F.col("text").cast("string")).alias("_digest"))
+    rows = settle(rows.repartitionByRange(n_partitions(conversations), *order).sortWithinPartitions(*order).drop("_digest"))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

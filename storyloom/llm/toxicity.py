@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import settle, text_of
+from storyloom.llm.common import lean, settle, text_of
 from storyloom.llm.licenses import words_of
 
 FIT_ROWS, MAX_FEATURES = 20_000, 50_000
 PRIOR, LEAST_PRIOR, ASSOCIATION, DRIFT, SIGNIFICANT = 500.0, 0.5, 15.0, -0.5, 3.0
 REJECT = 0.7
 STEMS = (4, 5)
+#: Words whose scores a task remembers.
+MEMORY = 100_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -94,7 +96,7 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> float:
         known = [f for f in features(word.decode("utf-8", "surrogatepass")) if f in self.weights]
-        if len(self) > 500_000:
+        if len(self) >= MEMORY:
             self.clear()
         self[word] = s = self.weights[max(known, key=self.ranks.__getitem__)] if known else 0.0
         return s
@@ -143,29 +145,44 @@ def log_odds(counts: DataFrame, limit: int = MAX_FEATURES) -> list[tuple[str, fl
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Model:
     rows = training(docs, labels, bound)
-    counts = rows.filter("half = 0").select("text", "toxic").mapInArrow(_count, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = rows.filter("half = 0").select("text", "toxic").mapInArrow(lean(_count), "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     found = log_odds(settle(counts))
     weights, ranks = {f: d for f, d, _ in found}, {f: g for f, _, g in found}
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each clean text the number of words and the best segment's score; of each score of a word how often clean texts have it."""
+        scores, held = _Words(weights, ranks), Counter()
+        for batch in batches:
+            sizes, best = [], []
+            for text in batch.column(0).to_pylist():
+                n, at, s = evidence(text, scores)
+                held.update(round(x, 3) for x in s)
+                sizes.append(n)
+                best.append(max((x for _, _, x in segments(at, s)), default=0.0))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(best, pa.float64()), pa.nulls(len(sizes), pa.int64())], ["n", "best", "times"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(held), pa.int64()), pa.array(list(held), pa.float64()), pa.array(list(held.values()), pa.int64())], ["n", "best", "times"])
+
+    half = rows.filter("half = 1").select("text", "toxic")
+    clean = settle(half.filter("toxic <= 0").mapInArrow(lean(look), "n long, best double, times long"))
+    clean = clean.filter("n IS NOT NULL").unionByName(clean.filter("n IS NULL").groupBy("n", "best").agg(F.sum("times").alias("times"))).collect()  # at most bound rows, and a row for each score of a feature
+    lam, log_k = extreme([(r["n"], r["best"]) for r in clean if r["n"] is not None], Counter({r["best"]: r["times"] for r in clean if r["n"] is None}))
+    draft = Model(weights, ranks, lam, log_k, (0, 0, 0))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Words(weights, ranks)
         for batch in batches:
-            got = [evidence(x, scores) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _, _ in got], pa.int64()), pa.array([a for _, a, _ in got], pa.list_(pa.int64())), pa.array([s for _, _, s in got], pa.list_(pa.float64()))], ["toxic", "n", "at", "s"])
+            got = [draft.measure(segments(at, s), n) for n, at, s in (evidence(x, scores) for x in batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x for x, _ in got], pa.float64()), pa.array([k for _, k in got], pa.int64())], ["toxic", "x", "passages"])
 
-    seen = rows.filter("half = 1").select("text", "toxic").mapInArrow(look, "toxic int, n long, at array<long>, s array<double>").collect()  # at most bound rows
-    clean = [r for r in seen if r["toxic"] <= 0]
-    lam, log_k = extreme(clean)
-    draft = Model(weights, ranks, lam, log_k, (0, 0, 0))
-    x = np.array([(1.0, (m := draft.measure(segments(r["at"], r["s"]), r["n"]))[0], math.log1p(m[1])) for r in seen]).reshape(-1, 3)
+    seen = half.mapInArrow(lean(place), "toxic int, x double, passages long").collect()  # at most bound rows
+    x = np.array([(1.0, r["x"], math.log1p(r["passages"])) for r in seen]).reshape(-1, 3)
     y = np.array([r["toxic"] > 0 for r in seen], float)
     return Model(weights, ranks, lam, log_k, logistic(x, y))
 
 
-def extreme(clean: list) -> tuple[float, float]:
-    """lambda and ln K of the scores of clean texts."""
-    total = sum(r["n"] for r in clean)
-    positive = Counter(round(s, 3) for r in clean for s in r["s"])
+def extreme(clean: list[tuple[int, float]], positive: Counter) -> tuple[float, float]:
+    """lambda and ln K of the scores of clean texts: words and best score of each, and how often each score of a word occurs."""
+    total = sum(n for n, _ in clean)
     positive[5.0] += 1  # one word more than was seen, so that a corpus without any has a law too
     total += 1
     drift = total - sum(positive.values())
@@ -180,7 +197,7 @@ def extreme(clean: list) -> tuple[float, float]:
         mid = (low + high) / 2
         low, high = (low, mid) if excess(mid) > 0 else (mid, high)
     lam = max(high, 1e-3)
-    best = [lam * max((s for _, _, s in segments(r["at"], r["s"])), default=0.0) - math.log(r["n"]) for r in clean if r["n"]]
+    best = [lam * s - math.log(n) for n, s in sorted(clean) if n]
     return lam, (float(np.mean(best)) if best else -6.0) - 0.5772156649
 
 
@@ -217,7 +234,7 @@ def score(docs: DataFrame, model: Model, passages: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, score double" + ", passages array<struct<first:long,last:long,score:double>>" * passages
-    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(lean(run), schema)
     return rows.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), *(["passages"] * passages))
 
 
