@@ -32,6 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, by the file system that it is on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared folder: lost executors don't lose them, and their partitions are fixed."""
     sc = df.sparkSession.sparkContext
