@@ -36,10 +36,25 @@ def count(text: Column, name: str, lang: Lang = None) -> Column:
     return by_language(lang, lambda k: F.regexp_count(text, F.lit(L.cue(name, k).java)))
 
 
+def bound(value: Column, make) -> Column:
+    """make(value), with value evaluated once although make uses it in a lambda or more than once."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
 def distinct_ci(items: Column) -> Column:
-    """Distinct strings whatever their case; the first spelling stays, in order."""
-    keys = F.transform(items, F.upper)
-    return F.filter(items, lambda x, i: F.array_position(keys, F.upper(x)) == i + 1)
+    """Distinct strings whatever their case; the first spelling stays, in order. Sorted by key and place, so long lists take little more than their length."""
+    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(F.upper(x).alias("k"), i.alias("i"), x.alias("x"))))
+    firsts = bound(keyed, lambda s: F.filter(s, lambda e, j: (j == 0) | (F.get(s, j - 1)["k"] != e["k"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
+
+
+def starts(parts: str) -> Column:
+    """Where each string of the column of arrays begins in all of them together. Sums are made in blocks, for an array is copied whenever it grows."""
+    so_far = "aggregate({items}, named_struct('at', 0, 'out', cast(array() as array<int>)), (a, x) -> named_struct('at', a.at + {value}, 'out', array_append(a.out, a.at)))"
+    block = so_far.format(items=f"slice({parts}, b * 256 + 1, 256)", value="length(x)")
+    blocks = f"transform(sequence(0, greatest(size({parts}) - 1, 0) div 256), b -> {block})"
+    offsets = so_far.format(items="s", value="x.at") + ".out"
+    return F.expr(f"transform(array({blocks}), s -> transform(array({offsets}), o -> flatten(transform(s, (x, b) -> transform(x.out, y -> y + o[b]))))[0])[0]")
 
 
 def same_set(a: Column, b: Column) -> Column:

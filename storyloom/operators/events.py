@@ -27,8 +27,7 @@ def sentences(docs: DataFrame) -> DataFrame:
     The text is tiled by such runs and single terminators, so places are sums of lengths.
     """
     tiles = docs.select("doc_id", "lang", F.regexp_extract_all("text", F.lit(rf"{SENTENCE}|[.!?]"), F.lit(0)).alias("tiles"))
-    ends = F.aggregate("tiles", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")), lambda a: a["starts"])
-    rows = tiles.select("doc_id", "lang", F.posexplode(F.arrays_zip(F.col("tiles").alias("tile"), ends.alias("at"))).alias("sent_no", "x"))
+    rows = tiles.select("doc_id", "lang", F.posexplode(F.arrays_zip(F.col("tiles").alias("tile"), X.starts("tiles").alias("at"))).alias("sent_no", "x"))
     rows = rows.select("doc_id", "lang", "sent_no", X.trim(F.col("x.tile")).alias("sentence"), (F.col("x.at") + F.length(F.regexp_extract(F.col("x.tile"), r"(?U)^\s*", 0))).alias("start"), F.col("x.tile").rlike(r"^[^.!?]").alias("real"))
     return rows.filter("real AND sentence <> ''").drop("real")
 
@@ -45,10 +44,8 @@ def clauses(sents: DataFrame) -> DataFrame:
     """sents with ``clauses``: an array of (text, start, end), each looked for after the end of the one before."""
     rows = sents.withColumn("parts", clauses_of(F.col("sentence"), F.col("lang")))
     walk = """aggregate(parts, named_struct('at', 0, 'out', cast(array() as array<struct<text:string,start:int,end:int>>)),
-      (a, p) -> named_struct(
-        'at', least(length(sentence), if(locate(p, sentence, a.at + 1) > 0, locate(p, sentence, a.at + 1) - 1, a.at) + length(p)),
-        'out', array_append(a.out, named_struct('text', p, 'start', start + if(locate(p, sentence, a.at + 1) > 0, locate(p, sentence, a.at + 1) - 1, a.at),
-                                               'end', start + if(locate(p, sentence, a.at + 1) > 0, locate(p, sentence, a.at + 1) - 1, a.at) + length(p)))),
+      (a, p) -> transform(array(coalesce(nullif(locate(p, sentence, a.at + 1), 0) - 1, a.at)), b -> named_struct(
+        'at', least(length(sentence), b + length(p)), 'out', array_append(a.out, named_struct('text', p, 'start', start + b, 'end', start + b + length(p)))))[0],
       a -> a.out)"""
     return rows.withColumn("clauses", F.expr(walk)).drop("parts")
 

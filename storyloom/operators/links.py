@@ -71,12 +71,16 @@ def endpoints(chain: DataFrame) -> DataFrame:
     return out.select("doc_id", ord_.alias("ord"), F.concat(F.lit("EP"), ord_).alias("id"), "r.type", "r.name", "r.track_ids", "segment_id")
 
 
-def tracks(segments: DataFrame, ends: DataFrame) -> DataFrame:
-    """doc_id, track_no, id, name, left_endpoint, right_endpoint: START and STOP unless endpoints say otherwise, the last of them."""
-    base = segments.groupBy("doc_id", "track_no", F.col("track_id").alias("id")).agg(F.min_by("track_name", "seg_no").alias("name"))
-    two = F.size("track_ids") > 1
-    side = lambda t, s: F.struct(t.alias("track"), F.lit(s).alias("side"))
-    wrote = F.when(two, F.array(side(F.col("track_ids")[0], "right"), side(F.get("track_ids", 1), "left"))).otherwise(F.array(side(F.col("track_ids")[0], "right")))
-    writes = ends.select("doc_id", "ord", F.col("id").alias("ep"), F.explode(wrote).alias("w")).groupBy("doc_id", F.col("w.track").alias("id"))
-    last = writes.agg(*(F.max_by("ep", F.when(F.col("w.side") == s, F.col("ord"))).alias(s) for s in ("left", "right")))
-    return base.join(last, ["doc_id", "id"], "left").select("doc_id", "track_no", "id", "name", F.coalesce("left", F.lit("START")).alias("left_endpoint"), F.coalesce("right", F.lit("STOP")).alias("right_endpoint"))
+def tracks(chain: DataFrame) -> DataFrame:
+    """doc_id, track_no, id, name, left_endpoint, right_endpoint: START and STOP unless endpoints say otherwise, the last of them. One pass over the chain."""
+    rupt = F.coalesce(F.col("ruptures"), F.lit(False))
+    n = (F.col("joins") & rupt).cast("int") + F.col("splits").cast("int")
+    rows = chain.withColumn("_n", n).withColumn("_ep", F.sum("_n").over(Window.partitionBy("doc_id").orderBy("seg_no")))  # the last endpoint so far
+    own = F.struct(F.col("track_id").alias("id"), F.col("track_no").alias("no"), F.struct(F.col("seg_no").cast("long").alias("seg_no"), F.col("track_name").alias("name")).alias("named"), F.lit(None).cast("string").alias("side"))
+    write = lambda t, s: F.struct(t.alias("id"), F.lit(None).cast("int").alias("no"), F.lit(None).cast("struct<seg_no:bigint,name:string>").alias("named"), F.lit(s).alias("side"))
+    wrote = F.when(n == 0, F.array(own)).when(rupt, F.array(own, write(F.col("prev_track_id"), "right"), write(F.col("track_id"), "left"))).otherwise(F.array(own, write(F.col("track_id"), "right")))
+    out = rows.select("doc_id", "_ep", F.explode(wrote).alias("w")).groupBy("doc_id", F.col("w.id").alias("id")).agg(
+        F.max("w.no").alias("track_no"), F.min("w.named").alias("named"), *(F.max(F.when(F.col("w.side") == s, F.col("_ep"))).alias(s) for s in ("left", "right"))
+    )
+    end = lambda s, none: F.coalesce(F.concat(F.lit("EP"), s), F.lit(none)).alias(f"{s}_endpoint")
+    return out.select("doc_id", "track_no", "id", F.col("named.name").alias("name"), end("left", "START"), end("right", "STOP"))

@@ -60,9 +60,14 @@ def signals(events: DataFrame) -> DataFrame:
 
 def tlinks(events: DataFrame) -> DataFrame:
     """Links of events to their time expression, and to the event before, in one sequence."""
-    times = with_timex(events).select("doc_id", "order", F.concat(F.lit("t"), "tid_no").alias("tid"))
-    marks = signals(events).select("doc_id", F.substring("event_id", 3, 20).cast("int").alias("order"), "sid")
-    rows = events.select("doc_id", "order", "relation_to_previous").join(times, ["doc_id", "order"], "left").join(marks, ["doc_id", "order"], "left")
+    by_doc = Window.partitionBy("doc_id").orderBy("order")
+    by_time = Window.partitionBy("doc_id", "_key")
+    rows = events.select("doc_id", "order", "relation_to_previous", "relation_cue", F.when(F.col("temporal_anchor") != "", F.upper(X.trim(F.col("temporal_anchor")))).alias("_key"))
+    # An expression's number is that of the expressions that began up to its first event.
+    rows = rows.withColumn("_first", F.min("order").over(by_time)).withColumn("_begun", F.count_if(F.col("_key").isNotNull() & (F.col("order") == F.col("_first"))).over(by_doc))
+    rows = rows.withColumn("tid", F.when(F.col("_key").isNotNull(), F.concat(F.lit("t"), F.min("_begun").over(by_time))))
+    marked = (F.col("order") > 1) & (F.col("relation_cue") != "")
+    rows = rows.withColumn("sid", F.when(marked, F.concat(F.lit("s"), F.count_if(marked).over(by_doc))))
     here, before, none = F.concat(F.lit("ei"), F.col("order")), F.concat(F.lit("ei"), F.col("order") - 1), F.lit(None).cast("string")
     back = F.col("relation_to_previous") == "BEFORE"
     rel = F.when(F.col("relation_to_previous").isin("BEFORE", "AFTER"), "BEFORE").when(F.col("relation_to_previous") == "SIMULTANEOUS", "SIMULTANEOUS").otherwise("IBEFORE")

@@ -12,16 +12,30 @@ from storyloom.operators import dimensions, events, links, report, segments, tim
 class Corpus:
     """Relations of documents (doc_id, text, language). Ask for one and only what it needs is planned.
 
-    keep: keep events and segments on the executors, which pays when several relations are used.
+    keep: keep events and segments on the executors, which pays when several relations are used, until :meth:`release` or the end of a ``with`` block.
     category_model, type_model: optional models of :mod:`storyloom.operators.models`; without them rules alone decide.
     """
 
     def __init__(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text", language: str | None = "language", keep: bool = False, category_model=None, type_model=None) -> None:
         self.documents = events.documents(df, doc_id, text, language)
         self._keep, self._category_model, self._type_model = keep, category_model, type_model
+        self._kept: list[DataFrame] = []
 
     def _held(self, df: DataFrame) -> DataFrame:
-        return df.persist() if self._keep else df
+        if self._keep:
+            self._kept.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        """Frees what keep=True holds; relations are computed anew after that."""
+        while self._kept:
+            self._kept.pop().unpersist()
+
+    def __enter__(self) -> Corpus:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
 
     @cached_property
     def sentences(self) -> DataFrame:
@@ -53,7 +67,7 @@ class Corpus:
 
     @cached_property
     def tracks(self) -> DataFrame:
-        return links.tracks(self.segments, self.endpoints)
+        return links.tracks(self.chain)
 
     @cached_property
     def actors(self) -> DataFrame:
