@@ -7,6 +7,7 @@ A cell's rate is its raked weight by its tokens. A cell gives at most its
 tokens, so a second raking is bounded: each step gives the cells of one value the factor at which their tokens, full cells held at what
 they have, meet the value's share of ``budget`` tokens; documents are then drawn with the probability of their cell. A value with
 fewer tokens than its share gives all of them, and the other values share the rest by their targets.
+Small tables of cells, up to ``LOCAL``, are raked within one row by array functions, larger ones by windows over the values; the results are the same.
 The draw compares the probability with a digest of doc_id and seed, so it is the same on any cluster.
 
 The default target of a value is its share of tokens to the power ``temperature``, normalised, which lifts small sources.
@@ -81,6 +82,86 @@ def _until_settled(cells: DataFrame, step: Callable[[DataFrame, str], DataFrame]
     return cells
 
 
+# Tables of at most LOCAL cells are raked within one row: c holds the cells in order, and of each dimension d the arrays k_d (a cell's value, by number), g_d (a value's cells) and t_d
+# (its aim). All rounds are one expression, so their number costs no jobs. w stands for the cells' weights, tk for their tokens.
+LOCAL = 5000
+
+
+def _one_row(cells: DataFrame) -> DataFrame:
+    """One row with c, tk, w and, for each dimension, k_d and g_d; settled, so that what is made of them isn't made again for every use."""
+    others = [c for c in cells.columns if c not in DIMENSIONS]
+    row = settle(cells.agg(F.array_sort(F.collect_list(F.struct(*DIMENSIONS, *others))).alias("c")))
+    row = row.withColumns({f"v_{d}": F.expr(f"array_sort(array_distinct(transform(c, x -> x.{d})))") for d in DIMENSIONS})
+    row = row.withColumns(
+        {f"k_{d}": F.expr(f"transform(c, x -> cast(array_position(v_{d}, x.{d}) as int) - 1)") for d in DIMENSIONS}
+        | {f"g_{d}": F.expr(f"transform(v_{d}, v -> filter(sequence(0, size(c) - 1), i -> c[i].{d} = v))") for d in DIMENSIONS}
+        | {"tk": F.expr("transform(c, x -> cast(x.tokens as double))"), "w": F.expr("transform(c, x -> cast(x.weight as double))")}
+    )
+    return settle(row.drop(*(f"v_{d}" for d in DIMENSIONS)))
+
+
+def _sums(d: str, value: str) -> str:
+    """Of each value of d, the sum of value over its cells i."""
+    return f"transform(g_{d}, g -> aggregate(g, 0D, (s, i) -> s + {value}))"
+
+
+def _rounds(factor: Callable[[str, str], str], new: str, value: str, rounds: int, tolerance: float) -> str:
+    """The expression of all rounds: struct(w, off). factor(d, w): of each value of d; new: a cell's weight by x, its factor f, and i; value: what sums to aims, by w and i."""
+    steps, w = "", "a.w"
+    for n, d in enumerate(DIMENSIONS):
+        steps += f"transform(array(transform(array({factor(d, w)}), z -> transform({w}, (x, i) -> {new.format(f=f'z[k_{d}[i]]')}))[0]), w{n} -> "
+        w = f"w{n}"
+    off = ", ".join(f"array_max(transform(zip_with(g_{d}, {_sums(d, value.format(w=w))}, (g, s) -> struct(g, s)), (y, k) -> if(exists(y.g, i -> tk[i] > 0), abs(y.s - t_{d}[k]) / greatest(t_{d}[k], 1e-9D), 0D)))" for d in DIMENSIONS)
+    steps += f"named_struct('w', {w}, 'off', greatest({off}))" + ")[0]" * len(DIMENSIONS)
+    return f"aggregate(sequence(1, {rounds}), named_struct('w', w, 'off', cast('Infinity' as double)), (a, r) -> if(a.off <= {tolerance!r}D, a, {steps}))"
+
+
+def _back(row: DataFrame, more: dict[str, str], tolerance: float) -> DataFrame:
+    """The cells with the weights of out, and more columns by cell i; row has c and out."""
+    row = settle(row)
+    off = row.first()["out"]["off"]
+    if off > tolerance:
+        warnings.warn(f"raking ended while a sum is off by {off:.3g} of its target", stacklevel=4)
+    cells = row.select("*", F.expr("posexplode(c)").alias("i", "x")).select("x.*", *(F.expr(v).alias(f"_{k}") for k, v in ({"weight": "out.w[i]"} | more).items()))
+    for k in ("weight", *more):
+        cells = cells.drop(k).withColumnRenamed(f"_{k}", k)
+    return settle(cells)
+
+
+def _rake_row(cells: DataFrame, rounds: int, tolerance: float) -> DataFrame:
+    row = _one_row(cells)
+    row = row.withColumns({f"t_{d}": F.expr(f"transform(g_{d}, g -> c[g[0]].want_{d})") for d in DIMENSIONS})
+    program = _rounds(lambda d, w: f"zip_with({_sums(d, f'{w}[i]')}, t_{d}, (s, t) -> if(s > 0, t / s, 0D))", "x * {f}", "{w}[i]", rounds, tolerance)
+    return _back(row.withColumn("out", F.expr(program)), {}, tolerance)
+
+
+def _bound_row(cells: DataFrame, budget: float, rounds: int, tolerance: float) -> DataFrame:
+    row = _one_row(cells).withColumn("amount", F.expr(f"least({budget!r}D * aggregate(tk, 0D, (s, x) -> s + x), aggregate(zip_with(tk, w, (t, x) -> if(x > 0, t, 0D)), 0D, (s, x) -> s + x))"))
+    for d in DIMENSIONS:
+        row = row.withColumn(f"v_{d}", F.expr(f"zip_with(g_{d}, {_sums(d, 'if(w[i] > 0, tk[i], 0D)')}, (g, h) -> named_struct('held', h, 'want', if(h > 0, c[g[0]].want_{d}, 0D)))"))
+        # With values by falling need, the first of them full, the amount gives a scale; the first for which a value isn't full is the one. They are walked from the end.
+        needs = f"array_sort(transform(filter(v_{d}, v -> v.held > 0 AND v.want > 0), v -> named_struct('need', v.want / v.held, 'held', v.held, 'want', v.want)))"
+        all_ = f"aggregate(filter(v_{d}, v -> v.held > 0 AND v.want > 0), 0D, (s, v) -> s + v.held)"
+        at = "(amount - (all_ - a.seen - v.held)) / (a.free + v.want)"
+        row = row.withColumn("all_", F.expr(all_)).withColumn(
+            f"s_{d}", F.expr(f"aggregate({needs}, named_struct('free', 0D, 'seen', 0D, 'scale', 1e300D), (a, v) -> named_struct('free', a.free + v.want, 'seen', a.seen + v.held, 'scale', if({at} * v.need < 1, {at}, a.scale)), a -> a.scale)")
+        )
+        row = row.withColumn(f"t_{d}", F.expr(f"transform(v_{d}, v -> least(v.held, v.want * s_{d}))"))
+    row = settle(row.drop("all_", *(f"{x}_{d}" for x in "vs" for d in DIMENSIONS)))
+
+    def factor(d: str, w: str) -> str:
+        # With cells by falling rate, the first of them full, each number of full cells gives a factor; the largest is the one that fits. They are walked from the end.
+        held = f"array_sort(transform(g, i -> named_struct('rate', if(tk[i] > 0, {w}[i] / tk[i], 0D), 'i', -i, 't', tk[i], 'w', {w}[i])))"
+        step = "named_struct('free', b.free + e.w, 'seen', b.seen + e.t, 'best', if(b.free + e.w > 0, greatest(b.best, (aim - all_ + b.seen + e.t) / (b.free + e.w)), b.best))"
+        step = step.replace("aim", f"t_{d}[k]").replace("all_", "y")
+        walk = f"aggregate({held}, named_struct('free', 0D, 'seen', 0D, 'best', 0D), (b, e) -> {step}, b -> b.best)"
+        return f"transform(g_{d}, (g, k) -> transform(array(aggregate(g, 0D, (s, i) -> s + tk[i])), y -> {walk})[0])"
+
+    program = _rounds(factor, "least(x * {f}, tk[i] * 1e9D)", "least(tk[i], {w}[i])", rounds, tolerance)
+    out = _back(row.withColumn("out", F.expr(program)), {"rate": "if(tk[i] > 0, w[i] / tk[i], 0D)", "prob": "if(tk[i] > 0, least(tk[i], out.w[i]) / tk[i], 0D)"}, tolerance)
+    return out
+
+
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temperature: float = TEMPERATURE, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells (dimensions, tokens) with weight: the raked tokens; their total is that of tokens."""
     total = F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 0))
@@ -94,8 +175,8 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
             sums = cells.groupBy(d).agg(F.sum("tokens").alias("t")).withColumn("p", F.when(F.col("t") > 0, F.pow(F.col("t").cast("double"), F.lit(temperature))).otherwise(0.0))
             whole = float(sums.agg(F.sum("p")).first()[0] or 0) or 1.0
             out = out.join(sums.select(d, (F.col("p") / F.lit(whole) * total).alias(f"want_{d}")), d)
-    if cells.count() <= BROADCAST_CELLS:
-        out = out.coalesce(1)  # a small table of proven size needs no shuffles
+    if 0 < cells.count() <= LOCAL:
+        return _rake_row(out, rounds, tolerance)
 
     def step(now: DataFrame, d: str) -> DataFrame:
         held = F.sum("weight").over(Window.partitionBy(d))
@@ -128,6 +209,8 @@ def _rate() -> Column:
 
 def bounded(cells: DataFrame, budget: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """Raked cells with rate, and prob: at most 1, for which budget of all tokens, or all that targets allow, is expected in target shares."""
+    if 0 < cells.count() <= LOCAL:
+        return _bound_row(cells, budget, rounds, tolerance)
     usable = F.when(F.col("weight") > 0, F.col("tokens")).otherwise(0)
     total, most = (float(x or 0) for x in cells.agg(F.sum("tokens"), F.sum(usable)).first())
     amount = min(budget * total, most)
