@@ -297,3 +297,14 @@ def test_exact_dedup_broadcasts_frequent_digests_only(spark):
     for counters in (2, 8, 64):
         got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), counters).collect()}
         assert got == {k: (k, 1, True) for k in range(300)} | {1000 + k: (1000, 150, k == 0) for k in range(150)}
+
+
+def test_raking_in_one_row_and_by_windows_agree(spark, monkeypatch):
+    rnd = random.Random(29)
+    docs = spark.createDataFrame([(k, "w " * rnd.randint(0, 40) + rnd.choice(["", "@", "\n x", " | "]), rnd.choice(["en", "de", None]), rnd.choice("aaabc")) for k in range(400)], "doc_id long, text string, lang string, source string")
+    for targets in (None, {"source": {"a": 0.2, "b": 0.5, "c": 0.3}}):
+        got = []
+        for local in (5000, 0):
+            monkeypatch.setattr(mixing, "LOCAL", local)
+            got.append({r.doc_id: (r.rate, r.prob) for r in mixing.weigh(docs, targets, 0.5).collect()})
+        assert got[0].keys() == got[1].keys() and all(got[0][k] == pytest.approx(got[1][k], abs=1e-7) for k in got[0])
