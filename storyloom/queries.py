@@ -7,6 +7,7 @@ letters of ``documents`` are replaced there by one that counts as a letter; quer
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import lexicon as L
 from storyloom.functions import text as X
-from storyloom.operators import comparison, events, models, report
+from storyloom.operators import comparison, dimensions, events, links, models, report
 from storyloom.plans import render
 from storyloom.plans.corpus import Corpus
 from storyloom.sources import requests
@@ -29,29 +30,49 @@ SENTENCES = [
 ]
 
 
-def _sentence() -> str:
+RO_WHO = "CASE event_id % 5 WHEN 0 THEN 'Ion' WHEN 1 THEN 'Maria' WHEN 2 THEN 'Radu si Ana' WHEN 3 THEN 'Elena' ELSE 'Ion si Maria' END"
+#: Words that begin and end in ASCII letters: the SQL's patterns know no others at the ends of words.
+RO_SENTENCES = [
+    "{who} a plecat spre Brăila.", "Demult, {who} fusese in casa veche.", "Intre timp, {who} a calatorit singur la munte.", "{who} si-a amintit de vara aceea in Bucuresti.",
+    "Maine, {who} va merge la gara.", "{who} cauta pe Paul dupa furtuna.", "Apoi {who} a deschis usa si a asteptat in curte.", "{who} poate ar fi acolo.",
+    "De obicei {who} merge pe deal.", "In poveste printul a urcat un deal.", "{who} a plecat inainte de zori.", "{who} a spus ca nu era obosit.", "El a vazut barca, dar era tarziu.",
+    "Ploaie si vant.", "{who} este in curs de plecare; trenul va intra in gara.", "Cu 3 zile in urma {who} a gasit cheia.", "In 1999 {who} locuia langa padure.",
+    "{who} s-a gandit la mama in fiecare seara.", "Mai tarziu {who} a intalnit un prieten, deoarece s-au intalnit.", "Simultan, {who} a incercat un drum.", "In roman Paul a decis sa plece.",
+    "Ana a crezut ca Ion a disparut acum.", "Probabil {who} este acasa.", "Atunci {who} a intrebat de Elena.",
+]
+
+
+def _sentence(lang: str = "en") -> str:
     """A SQL expression that both engines read alike."""
+    who, sentences = (RO_WHO, RO_SENTENCES) if lang == "ro" else (WHO, SENTENCES)
     parts = []
-    for k, s in enumerate(SENTENCES):
+    for k, s in enumerate(sentences):
         a, _, b = s.partition("{who}")
-        parts.append(f"WHEN {k} THEN " + (f"concat('{a}', {WHO}, '{b}')" if "{who}" in s else f"'{s}'"))
-    return f"CASE event_id % {len(SENTENCES)} {' '.join(parts)} END"
+        parts.append(f"WHEN {k} THEN " + (f"concat('{a}', {who}, '{b}')" if "{who}" in s else f"'{s}'"))
+    return f"CASE event_id % {len(sentences)} {' '.join(parts)} END"
 
 
-def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", F.expr(_sentence()).alias("s"))
+def stories(spark: SparkSession, sf_dir: str, lang: str = "en") -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", F.expr(_sentence(lang)).alias("s"))
     ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "s")))
     return rows.groupBy(F.col("user_id").alias("doc_id")).agg(F.concat_ws(" ", F.transform(ordered, lambda x: x["s"])).alias("text"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dealt by doc_id before they are analysed: files of one row group are read by one task, and the windows over documents need no further exchange."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition(n, "doc_id")
+    """Dealt anew only if the scan has fewer splits than the cluster has cores, as a small file of one row group has; else texts stay where they are read."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    n = spark.sparkContext.defaultParallelism
+    return docs.repartition(n) if docs.rdd.getNumPartitions() < n else docs
 
 
-def _stories(spark: SparkSession, sf_dir: str, keep: bool = False) -> Corpus:
-    return Corpus(stories(spark, sf_dir), language=None, keep=keep)
+def _stories(spark: SparkSession, sf_dir: str, keep: bool = False, lang: str = "en") -> Corpus:
+    return Corpus(stories(spark, sf_dir, lang).withColumn("language", F.lit(lang)), keep=keep)
+
+
+def _freeing(corpus: Corpus, df: DataFrame) -> DataFrame:
+    """df, with which what the corpus holds goes."""
+    weakref.finalize(df, corpus.release)
+    return df
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> Corpus:
@@ -88,26 +109,45 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _re(name: str) -> str:
-    return _q(L.cue(name).re2)
+def _re(name: str, lang: str = "en") -> str:
+    return _q(L.cue(name, lang).re2)
 
 
 def _list(words: list[str]) -> str:
     return "[" + ", ".join(map(_q, words)) + "]"
 
 
-def _has(text: str, name: str) -> str:
-    return f"regexp_matches({text}, {_re(name)})"
+def _has(text: str, name: str, lang: str = "en") -> str:
+    return f"regexp_matches({text}, {_re(name, lang)})"
+
 
+def _first(text: str, name: str, lang: str = "en") -> str:
+    return f"regexp_extract({text}, {_re(name, lang)}, 0)"
 
-def _first(text: str, name: str) -> str:
-    return f"regexp_extract({text}, {_re(name)}, 0)"
 
+def _stop(lang: str) -> str:
+    return _list(L.RO_STOPWORDS if lang == "ro" else L.EN_STOPWORDS)
 
-def _entities(text: str) -> str:
-    found = f"regexp_extract_all({text}, {_q(L.entity().re2)})"
+
+def _entities(text: str, lang: str = "en") -> str:
+    found = f"regexp_extract_all({text}, {_q(L.entity(lang).re2)})"
     once = f"list_filter({found}, lambda x, i: list_position({found}, x) = i)"
-    return f"list_filter({once}, lambda x: len(list_filter(string_split(x, ' '), lambda p: p <> '' AND NOT list_contains({_list(L.EN_STOPWORDS)}, p))) > 0)"
+    return f"list_filter({once}, lambda x: len(list_filter(string_split(x, ' '), lambda p: p <> '' AND NOT list_contains({_stop(lang)}, p))) > 0)"
+
+
+def _place(text: str, lang: str) -> str:
+    found = f"regexp_extract({text}, {_q(L.place(lang).re2)}, 1)"
+    return f"trim(CASE WHEN {found} <> '' THEN {found} ELSE regexp_extract({text}, {_q(L.RO_ON.re2)}, 1) END)" if lang == "ro" else f"trim({found})"
+
+
+def _class(lang: str = "en") -> str:
+    has = lambda text, name: _has(text, name, lang)
+    return f"""CASE WHEN {has('text', 'perception')} THEN 'PERCEPTION' WHEN {has('text', 'reporting')} THEN 'REPORTING' WHEN {has('text', 'intention')} THEN 'I_ACTION'
+  WHEN {has('text', 'remember')} OR {has('text', 'cognition')} THEN 'I_STATE' WHEN {has('action', 'state')} THEN 'STATE' ELSE 'OCCURRENCE' END"""
+
+
+def _timex_type(lang: str = "en") -> str:
+    return "CASE " + " ".join(f"WHEN {_has('temporal_anchor', name, lang)} THEN '{kind}'" for name, kind in (("duration", "DURATION"), ("clock", "TIME"), ("recurring", "SET"))) + " ELSE 'DATE' END"
 
 
 def _value(text: str) -> str:
@@ -121,35 +161,37 @@ def _ci(text: str, part: str) -> str:
 
 
 def _tables(source: str) -> str:
+    lang = "ro" if source == "romanian" else "en"
     docs = {
+        "romanian": f"SELECT user_id AS doc_id, string_agg({_sentence('ro')}, ' ' ORDER BY ts, event_id) AS text FROM events GROUP BY user_id",
         "stories": f"SELECT user_id AS doc_id, string_agg({_sentence()}, ' ' ORDER BY ts, event_id) AS text FROM events GROUP BY user_id",
         "documents": r"SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '_', 'g') AS text FROM documents",
     }[source]
-    cut = _q(L.boundary().re2)
-    before, after = L.place_before()
+    cut = _q(L.boundary(lang).re2)
+    before, after = L.place_before(lang)
     place = _q("(?i)" + before)
     none = "'unknown'"
-    cue = "CASE " + " ".join(f"WHEN {_has('text', n)} THEN {{'relation': '{r}', 'cue': {_first('text', n)}, 'evidence': {_q(e)}}}" for n, r, e in X.CUES) + f" ELSE {{'relation': '{X.NO_CUE[0]}', 'cue': '', 'evidence': {_q(X.NO_CUE[2])}}} END"
-    kind = "CASE " + " ".join(f"WHEN {_has('text', n)} THEN '{k}'" for n, k in (("remember", "REM"), ("supposition", "SUP"), ("general", "GEN"), ("fiction", "FIC"))) + " ELSE 'NAR' END"
-    view = f"regexp_extract(text, {_q(L.viewpoint().re2)}, 1)"
+    cue = "CASE " + " ".join(f"WHEN {_has('text', n, lang)} THEN {{'relation': '{r}', 'cue': {_first('text', n, lang)}, 'evidence': {_q(e)}}}" for n, r, e in X.CUES) + f" ELSE {{'relation': '{X.NO_CUE[0]}', 'cue': '', 'evidence': {_q(X.NO_CUE[2])}}} END"
+    kind = "CASE " + " ".join(f"WHEN {_has('text', n, lang)} THEN '{k}'" for n, k in (("remember", "REM"), ("supposition", "SUP"), ("general", "GEN"), ("fiction", "FIC"))) + " ELSE 'NAR' END"
+    view = f"regexp_extract(text, {_q(L.viewpoint(lang).re2)}, 1)"
     return rf"""
 WITH docs AS MATERIALIZED ({docs}),
 tiles AS (SELECT doc_id, n, tile, coalesce(sum(len(tile)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off0
   FROM (SELECT doc_id, unnest(t) AS tile, generate_subscripts(t, 1) AS n FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]+[.!?]?|[.!?]') AS t FROM docs))),
 sents AS MATERIALIZED (SELECT doc_id, n AS sent_no, regexp_replace(tile, '^\s+|\s+$', '', 'g') AS sentence, (off0 + len(tile) - len(regexp_replace(tile, '^\s+', '')))::BIGINT AS start FROM tiles
   WHERE regexp_matches(tile, '^[^.!?]') AND regexp_matches(tile, '\S')),
-raw AS (SELECT *, CASE WHEN len(regexp_extract_all(sentence, {_re('verb')})) > 1 THEN regexp_split_to_array(sentence, {cut}) ELSE [sentence] END AS parts,
+raw AS (SELECT *, CASE WHEN len(regexp_extract_all(sentence, {_re('verb', lang)})) > 1 THEN regexp_split_to_array(sentence, {cut}) ELSE [sentence] END AS parts,
   regexp_extract_all(sentence, {cut}) AS seps FROM sents),
 pieces AS (SELECT doc_id, sent_no, start, k, parts[k] AS part, coalesce(list_sum(list_transform(parts[1:k - 1], lambda x: len(x))), 0) + CASE WHEN len(parts) > 1 THEN coalesce(list_sum(list_transform(seps[1:k - 1], lambda x: len(x))), 0) ELSE 0 END AS off0
   FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM raw)),
-clauses AS (SELECT doc_id, sent_no, k, regexp_replace(part, '^\s+|\s+$', '', 'g') AS c, start + off0 + len(part) - len(regexp_replace(part, '^\s+', '')) AS b, {_has('part', 'verb')} AS verb FROM pieces WHERE regexp_matches(part, '\S')),
+clauses AS (SELECT doc_id, sent_no, k, regexp_replace(part, '^\s+|\s+$', '', 'g') AS c, start + off0 + len(part) - len(regexp_replace(part, '^\s+', '')) AS b, {_has('part', 'verb', lang)} AS verb FROM pieces WHERE regexp_matches(part, '\S')),
 isles AS (SELECT *, coalesce(sum(verb::INT) OVER (PARTITION BY doc_id, sent_no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS isle FROM clauses),
 ev0 AS (SELECT doc_id, sent_no, isle, concat_ws(', ', string_agg(c, ' ' ORDER BY k) FILTER (NOT verb), max(c) FILTER (verb)) AS text, min(b)::BIGINT AS span_start, (max(b + len(c)) FILTER (verb))::BIGINT AS span_end
   FROM isles GROUP BY ALL HAVING bool_or(verb)),
 ev1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_no, isle) AS ord,
-  list_filter({_entities('text')}, lambda x: NOT {_has('x', 'temporal_entity')} AND NOT regexp_matches(text, {place} || x || {_q(after)})) AS own_actors, trim({_first('text', 'anchor')}) AS own_anchor,
-  trim(regexp_extract(text, {_q(L.place().re2)}, 1)) AS location, {_first('text', 'verb')} AS action,
-  CASE WHEN {_has('text', 'future')} THEN 'Future' WHEN {_has('text', 'past')} THEN 'Past' ELSE 'Present' END AS temporal_category, {cue} AS c FROM ev0),
+  list_filter({_entities('text', lang)}, lambda x: NOT {_has('x', 'temporal_entity', lang)} AND NOT regexp_matches(text, {place} || x || {_q(after)})) AS own_actors, trim({_first('text', 'anchor', lang)}) AS own_anchor,
+  {_place('text', lang)} AS location, {_first('text', 'verb', lang)} AS action,
+  CASE WHEN {_has('text', 'future', lang)} THEN 'Future' WHEN {_has('text', 'past', lang)} THEN 'Past' ELSE 'Present' END AS temporal_category, {cue} AS c FROM ev0),
 ev AS MATERIALIZED (SELECT *, 'EV' || ord AS id, coalesce(last_value(CASE WHEN len(own_actors) > 0 THEN own_actors END IGNORE NULLS) OVER w, []) AS actors,
   coalesce(last_value(nullif(own_anchor, '') IGNORE NULLS) OVER w, '') AS temporal_anchor, CASE WHEN ord = 1 THEN 'NONE' ELSE c.relation END AS relation_to_previous,
   CASE WHEN ord = 1 THEN '' ELSE c.cue END AS relation_cue, CASE WHEN ord = 1 THEN {_q(X.FIRST_EVENT[2])} ELSE c.evidence END AS relation_evidence
@@ -163,8 +205,8 @@ sg2 AS (SELECT doc_id, seg_no, string_agg(text, ' ' ORDER BY ord) AS text, flatt
   coalesce(first(location ORDER BY ord) FILTER (location <> ''), {none}) AS location, first(temporal_category ORDER BY ord) AS temporal_category, min(span_start) AS span_start, max(span_end) AS span_end,
   string_agg(id, '|' ORDER BY ord) AS event_ids, first(relation_to_previous ORDER BY ord) AS relation, first(relation_cue ORDER BY ord) AS cue, first(relation_evidence ORDER BY ord) AS evidence FROM sg1 GROUP BY ALL),
 sg3 AS (SELECT * EXCLUDE (every), list_filter(every, lambda x, i: list_position(list_transform(every, lambda y: upper(y)), upper(x)) = i) AS actors, {kind} AS type FROM sg2),
-sg4 AS (SELECT *, CASE WHEN len(actors) > 0 THEN actors ELSE {_entities('text')} END AS entities, {_has('text', 'parallel')} AS parallel, {_first('text', 'parallel')} AS parallel_cue, {_has('text', 'join')} AS joins, {_has('text', 'split')} AS splits FROM sg3),
-sg5 AS (SELECT *, CASE WHEN type = 'REM' AND len(entities) > 0 THEN entities[1] WHEN {view} <> '' AND NOT list_contains({_list(L.EN_STOPWORDS)}, {view}) THEN {view} ELSE 'narrator' END AS perspective,
+sg4 AS (SELECT *, CASE WHEN len(actors) > 0 THEN actors ELSE {_entities('text', lang)} END AS entities, {_has('text', 'parallel', lang)} AS parallel, {_first('text', 'parallel', lang)} AS parallel_cue, {_has('text', 'join', lang)} AS joins, {_has('text', 'split', lang)} AS splits FROM sg3),
+sg5 AS (SELECT *, CASE WHEN type = 'REM' AND len(entities) > 0 THEN entities[1] WHEN {view} <> '' AND NOT list_contains({_stop(lang)}, {view}) THEN {view} ELSE '{'narator' if lang == 'ro' else 'narrator'}' END AS perspective,
   CASE WHEN len(entities) > 0 THEN array_to_string(entities[1:3], '&') END AS name FROM sg4),
 sg6 AS (SELECT *, upper(concat_ws(':', CASE WHEN parallel THEN 'parallel' WHEN type = 'REM' THEN 'memory' ELSE 'main' END, coalesce(name, CASE WHEN type = 'REM' AND NOT parallel THEN 'Past' ELSE 'Narrative' END), temporal_category, perspective)) AS key FROM sg5),
 sg7 AS (SELECT *, min(seg_no) OVER (PARTITION BY doc_id, key) AS f, row_number() OVER (PARTITION BY doc_id, key ORDER BY seg_no) - CASE WHEN type = 'REM' THEN 0.35 ELSE 0 END AS story_order FROM sg6),
@@ -297,8 +339,7 @@ def story_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(_stories(spark, sf_dir).mentions, "doc_id", "id", "text", "label", "source", "span_start", "span_end", "event_id")
 
 
-@query(f"""SELECT doc_id, 'e' || ord AS eid, CASE WHEN {_has('text', 'perception')} THEN 'PERCEPTION' WHEN {_has('text', 'reporting')} THEN 'REPORTING' WHEN {_has('text', 'intention')} THEN 'I_ACTION'
-  WHEN {_has('text', 'remember')} OR {_has('text', 'cognition')} THEN 'I_STATE' WHEN {_has('action', 'state')} THEN 'STATE' ELSE 'OCCURRENCE' END AS class, action AS text, span_start + {_ci('text', 'action')} - 1 AS span_start,
+@query(f"""SELECT doc_id, 'e' || ord AS eid, {_class()} AS class, action AS text, span_start + {_ci('text', 'action')} - 1 AS span_start,
   span_start + {_ci('text', 'action')} - 1 + len(action) AS span_end, id AS source_event_id FROM ev""")
 def story_tml_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(_stories(spark, sf_dir).tml_events, "doc_id", "eid", "class", "text", "span_start", "span_end", "source_event_id")
@@ -310,7 +351,7 @@ def story_makeinstances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(_stories(spark, sf_dir).makeinstances, "doc_id", "eiid", "tense", "aspect", "polarity", "pos", "source_event_id")
 
 
-@query(f"""SELECT doc_id, 't' || tid_no AS tid, CASE WHEN {_has('temporal_anchor', 'duration')} THEN 'DURATION' WHEN {_has('temporal_anchor', 'clock')} THEN 'TIME' WHEN {_has('temporal_anchor', 'recurring')} THEN 'SET' ELSE 'DATE' END AS type,
+@query(f"""SELECT doc_id, 't' || tid_no AS tid, {_timex_type()} AS type,
   {_value('temporal_anchor')} AS value, temporal_anchor AS text, span_start + {_ci('text', 'temporal_anchor')} - 1 AS span_start, span_start + {_ci('text', 'temporal_anchor')} - 1 + len(temporal_anchor) AS span_end FROM tm WHERE ord = f""")
 def story_timex3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(_stories(spark, sf_dir).timex3, "doc_id", "tid", "type", "value", "text", "span_start", "span_end")
@@ -329,11 +370,21 @@ def story_tlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT d.doc_id, len(d.text) AS character_count, (SELECT count(*) FROM ev WHERE ev.doc_id = d.doc_id) AS event_count, (SELECT count(*) FROM sg WHERE sg.doc_id = d.doc_id) AS segment_count,
   (SELECT count(DISTINCT track_id) FROM sg WHERE sg.doc_id = d.doc_id) AS track_count, (SELECT count(*) FROM rel WHERE rel.doc_id = d.doc_id) AS relation_count, (SELECT count(*) FROM tm WHERE tm.doc_id = d.doc_id AND ord = f) AS time_ml_timex_count,
   (SELECT count(*) FROM tl WHERE tl.doc_id = d.doc_id) AS time_ml_tlink_count, (SELECT count(*) FROM ev WHERE ev.doc_id = d.doc_id AND len(actors) = 0) AS events_without_actors, (SELECT count(*) FROM sg WHERE sg.doc_id = d.doc_id AND temporal_anchor = '') AS segments_without_anchor,
-  (SELECT string_agg(type || '=' || n, '|' ORDER BY n DESC, type) FROM (SELECT type, count(*) AS n FROM sg WHERE sg.doc_id = d.doc_id GROUP BY type)) AS segment_types FROM docs d""")
+  (SELECT count(*) FROM ev WHERE ev.doc_id = d.doc_id) AS time_ml_event_count, 0::DOUBLE AS average_event_confidence, 0::DOUBLE AS average_segment_confidence,
+  (SELECT string_agg(type || '=' || n, '|' ORDER BY n DESC, type) FROM (SELECT type, count(*) AS n FROM sg WHERE sg.doc_id = d.doc_id GROUP BY type)) AS segment_types,
+  (SELECT string_agg(temporal_category || '=' || n, '|' ORDER BY n DESC, upper(temporal_category)) FROM (SELECT temporal_category, count(*) AS n FROM ev WHERE ev.doc_id = d.doc_id GROUP BY ALL)) AS temporal_categories,
+  (SELECT string_agg(rel || '=' || n, '|' ORDER BY n DESC, rel) FROM (SELECT rel, count(*) AS n FROM rel WHERE rel.doc_id = d.doc_id GROUP BY ALL)) AS relation_types,
+  (SELECT string_agg(label || '=' || n, '|' ORDER BY n DESC, label) FROM (SELECT label, count(*) AS n FROM mn WHERE mn.doc_id = d.doc_id GROUP BY ALL)) AS entity_mention_labels,
+  (SELECT string_agg(source, '|' ORDER BY upper(source)) FROM (SELECT source FROM mn WHERE mn.doc_id = d.doc_id UNION SELECT 'heuristic_fallback')) AS extraction_sources FROM docs d""")
 def story_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _stories(spark, sf_dir, keep=True).analysis
-    kinds = F.concat_ws("|", F.transform(F.map_entries("segment_types"), lambda e: F.concat_ws("=", e["key"], e["value"])))
-    return _flat(a.withColumn("segment_types", kinds), "doc_id", "character_count", "event_count", "segment_count", "track_count", "relation_count", "time_ml_timex_count", "time_ml_tlink_count", "events_without_actors", "segments_without_anchor", "segment_types")
+    c = _stories(spark, sf_dir, keep=True)
+    return _freeing(c, _flat(_counted(c.analysis), "doc_id", *render.ANALYSIS, "events_without_actors", "segments_without_anchor"))
+
+
+def _counted(analysis: DataFrame) -> DataFrame:
+    """The analysis with its maps as strings."""
+    joined = lambda m: F.concat_ws("|", F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return analysis.withColumns({m: joined(m) for m in ("segment_types", "temporal_categories", "relation_types", "entity_mention_labels")})
 
 
 @query("""SELECT doc_id, code, message FROM (
@@ -341,7 +392,8 @@ def story_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT doc_id, 'SEGMENTS_WITHOUT_TIMEX', count(*) || ' segment(s) have no explicit temporal anchor.' FROM sg WHERE temporal_anchor = '' GROUP BY doc_id
   UNION ALL SELECT doc_id, 'NO_EVENTS', 'No event-like clauses were extracted.' FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM ev))""")
 def story_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stories(spark, sf_dir, keep=True).issues.select("doc_id", "code", "message")
+    c = _stories(spark, sf_dir, keep=True)
+    return _freeing(c, c.issues.select("doc_id", "code", "message"))
 
 
 @query("""SELECT sg.doc_id, id AS segment_id, round(105 + 1015.0 / count(*) OVER (PARTITION BY sg.doc_id) * (seg_no - 1), 1)::DOUBLE AS chain_x, track_no AS row, (158 + (track_no - 1) * 86)::DOUBLE AS y,
@@ -355,25 +407,70 @@ def story_event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.event_table(_stories(spark, sf_dir).events).drop("order")
 
 
-@query()
+@query("""SELECT doc_id, seg_no, id, type, track_id, array_to_string(actors, ', ') AS actors, coalesce(nullif(temporal_anchor, ''), '-') AS anchor, replace(event_ids, '|', ', ') AS events, 'n/a' AS confidence FROM sg""")
 def story_segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.segment_table(_stories(spark, sf_dir).segments)
+    t = report.segment_table(_stories(spark, sf_dir).segments)
+    return _flat(t, *t.columns)
 
 
-@query()
+@query(rf""", lines AS (SELECT doc_id, 0 AS s, ord AS o, concat_ws('  ', 'e' || ord, action, {_class()}) AS l FROM ev
+  UNION ALL SELECT doc_id, 1, tid_no, concat_ws('  ', 't' || tid_no, temporal_anchor, {_timex_type()}, {_value('temporal_anchor')}) FROM tm WHERE ord = f
+  UNION ALL SELECT doc_id, 2, n, concat_ws('  ', 'l' || n, a || ' -> ' || coalesce(b, t), rel_type) FROM tl)
+SELECT doc_id, rtrim(concat_ws(chr(10), 'EVENT', string_agg(l, chr(10) ORDER BY o) FILTER (s = 0), '', 'TIMEX3', string_agg(l, chr(10) ORDER BY o) FILTER (s = 1), '', 'TLINK', string_agg(l, chr(10) ORDER BY o) FILTER (s = 2))) AS listing FROM lines GROUP BY doc_id""")
 def story_timeml_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _stories(spark, sf_dir)
     return report.timeml_listing(c.tml_events, c.timex3, c.tlinks)
 
 
-@query()
+@query(f"""SELECT doc_id, concat_ws('|', {', '.join(map(_q, report.NOTES + report.NOTES_BY['en']))}, CASE WHEN doc_id NOT IN (SELECT doc_id FROM sg) THEN 'No text segments were detected.' END,
+  CASE WHEN doc_id NOT IN (SELECT doc_id FROM ev) THEN 'NO_EVENTS: No event-like clauses were extracted.' END) AS warnings FROM docs""")
 def story_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(_stories(spark, sf_dir, keep=True).warnings, "doc_id", "warnings")
-
-
-@query()
+    c = _stories(spark, sf_dir, keep=True)
+    return _freeing(c, _flat(c.warnings, "doc_id", "warnings"))
+
+
+def _element(name: str, body: str | None = None, **attributes: str) -> str:
+    """SQL for a line of XML; attributes: names, with _ for -, and expressions."""
+    safe = lambda x: f"replace(replace(replace(replace(replace(coalesce(({x})::VARCHAR, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+    inside = " || ".join(f"' {k.replace('_', '-')}=\"' || {safe(v)} || '\"'" for k, v in attributes.items())
+    return f"'    <{name}' || {inside} || " + ("' />'" if body is None else f"'>' || {safe(body)} || '</{name}>'")
+
+
+def _xml_sql() -> str:
+    at = "span_start || '~' || span_end"
+    ids = "coalesce((SELECT string_agg('A' || ac.n, ',' ORDER BY k) FROM (SELECT unnest(range(1, len({t}.actors) + 1)) AS k) JOIN ac ON ac.doc_id = {t}.doc_id AND upper(ac.name) = upper({t}.actors[k])), '')"
+    where = "coalesce((SELECT 'L' || lo.n FROM lo WHERE lo.doc_id = {t}.doc_id AND upper(lo.name) = upper({t}.location)), 'L1')"
+    found = lambda part: f"CASE WHEN {_ci('text', part)} > 0 THEN span_start + {_ci('text', part)} - 1 ELSE span_start END"
+    spans = lambda part: f"({found(part)}) || '~' || (CASE WHEN {_ci('text', part)} > 0 THEN ({found(part)}) + len({part}) ELSE ({found(part)}) END)"
+    reasons = "CASE type " + " ".join(f"WHEN '{k}' THEN {_q(v)}" for k, v in links.REASONS.items()) + " END"
+    rel = dict(ID="'TI' || ord", FROM="from_id", REL="replace(rel, '_', '-')", TO="to_id", CUE="cue")
+    cross = f"CASE WHEN parallel THEN {_q(links.CROSS_PARALLEL)} ELSE {_q(links.CROSS)} END"
+    sections = [
+        ("0, 0, n", _element("TA", ID="'A' || n", NAME="name"), "(SELECT doc_id, 0 AS n, 'Narrator' AS name FROM docs UNION ALL SELECT doc_id, n, name FROM ac)"),
+        ("1, 0, n", _element("TL", ID="'L' || n", NAME="name", PARENTID="''"), "(SELECT doc_id, 1 AS n, 'unknown' AS name FROM docs UNION ALL SELECT doc_id, n, name FROM lo)"),
+        ("2, 0, n", _element("ENTITY-MENTION", ID="'EM' || n", TYPE="label", SOURCE="source", EVENT="event_id", SPANS=at, TEXT="text"), "mn"),
+        ("3, 0, ord", _element("EVENT", ID="id", SPANS=at, ACTORS=ids.format(t="ev"), LOCATION=where.format(t="ev"), TEMPORAL_ANCHOR="temporal_anchor", TENSE="temporal_category", ACTION="action", REL_PREV="relation_to_previous", REL_CUE="relation_cue", ORDER="ord", TEXT="text"), "ev"),
+        ("4, 0, ord", _element("EVENT", "action", eid="'e' || ord", **{"class": _class()}, eventRef="id", spans=spans("action")), "ev"),
+        ("4, 1, tid_no", _element("TIMEX3", "temporal_anchor", tid="'t' || tid_no", type=_timex_type(), value=_value("temporal_anchor"), functionInDocument="'NONE'", source=f"CASE WHEN {_ci('text', 'temporal_anchor')} > 0 THEN 'explicit_temporal_expression' ELSE 'inherited_temporal_anchor' END", spans=spans("temporal_anchor")), "(SELECT * FROM tm WHERE ord = f)"),
+        ("4, 2, sid_no", _element("SIGNAL", "relation_cue", sid="'s' || sid_no", eventId="id", relationHint="relation_to_previous", spans=spans("relation_cue")), "si"),
+        ("4, 3, ord", _element("MAKEINSTANCE", eiid="'ei' || ord", eventID="'e' || ord", tense="upper(temporal_category)", aspect=f"CASE WHEN {_has('text', 'perfective')} THEN 'PERFECTIVE' WHEN {_has('text', 'progressive')} THEN 'PROGRESSIVE' ELSE 'NONE' END", polarity=f"CASE WHEN {_has('text', 'negative')} THEN 'NEG' ELSE 'POS' END", pos="'VERB'", eventRef="id"), "ev"),
+        ("4, 4, n", _element("TLINK", lid="'l' || n", relType="rel_type", eventInstanceID="a", relatedToEventInstance="b", timeID="''", relatedToTime="t", signalID="s", origin="CASE WHEN k = 0 THEN 'event_temporal_anchor' WHEN s IS NULL THEN 'event_text_order' ELSE 'event_relation_signal' END"), "tl"),
+        ("5, 0, track_no", _element("TT", ID="'TT' || track_no", NAME="track_name", LEFT_EP="coalesce((SELECT 'EP' || max(ord) FROM wr WHERE wr.doc_id = t.doc_id AND wr.track = 'TT' || t.track_no AND side = 'left'), 'START')", RIGHT_EP="coalesce((SELECT 'EP' || max(ord) FROM wr WHERE wr.doc_id = t.doc_id AND wr.track = 'TT' || t.track_no AND side = 'right'), 'STOP')"), "(SELECT DISTINCT doc_id, track_no, track_name FROM sg) t"),
+        ("6, 0, ord", f"CASE WHEN from_id LIKE 'TS%' THEN {_element('TREL', **rel, EVIDENCE='evidence')} ELSE {_element('TIME', **rel, EVIDENCE=cross)} END", "(SELECT rel.*, sg.evidence, sg.parallel FROM rel JOIN sg USING (doc_id, seg_no))"),
+        ("7, 0, ord", _element("ENDPOINT", ID="'EP' || ord", TYPE="type", NAME="name", TT1="split_part(tt, '|', 1)", TT2="split_part(tt, '|', 2)", SEGMENT="segment_id"), "ep"),
+        ("8, 0, ord", _element("POINT", ID="'B' || ord", TYPE="type", FROM_TS="a", TO_TS="b", TRACKS="replace(t, '|', ' ')", REASON=reasons), "bd"),
+        ("9, 0, seg_no", _element("TS", "text", ID="id", IN_TT="track_id", SPANS=at, ACTORS=ids.format(t="sg"), LOCATION=where.format(t="sg"), NAME="id", TYPE="type", TST="temporal_category", TIME="temporal_anchor", PER="perspective", EVENTS="replace(event_ids, '|', ',')"), "sg"),
+    ]
+    lines = " UNION ALL ".join(f"SELECT doc_id, {place}, {line} FROM {rows}" for place, line, rows in sections)
+    body = ", ".join(f"'  <{name}>', string_agg(line, chr(10) ORDER BY k, o) FILTER (s = {n}), '  </{name}>'" for n, name in enumerate(render.SECTIONS))
+    return f""", lines(doc_id, s, k, o, line) AS ({lines})
+SELECT doc_id, concat_ws(chr(10), '<?xml version="1.0" encoding="utf-8"?>', '<NARRATIVE>', {body}, '</NARRATIVE>') || chr(10) AS xml FROM lines GROUP BY doc_id"""
+
+
+@query(_xml_sql())
 def story_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.xml(_stories(spark, sf_dir, keep=True))
+    c = _stories(spark, sf_dir, keep=True)
+    return _freeing(c, render.xml(c))
 
 
 @query()
@@ -383,7 +480,8 @@ def story_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def story_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.json(_stories(spark, sf_dir, keep=True))
+    c = _stories(spark, sf_dir, keep=True)
+    return _freeing(c, render.json(c))
 
 
 @query()
@@ -415,16 +513,17 @@ def compared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs
 
 
-@query()
-def compared_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(comparison.events(events.documents(stories(spark, sf_dir), language=None)), "doc_id", "n", "text", "action", "actors", "locations", "temporal_anchors", "temporal_category", "relation_to_previous")
-
-
 @query(r"SELECT doc_id, id, CASE WHEN len(text) <= 44 THEN text ELSE rtrim(text[1:43]) || '...' END AS label FROM ev")
 def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stories(spark, sf_dir).events.select("doc_id", "id", X.label(F.col("text")).alias("label"))
 
 
+@query(r"""SELECT event_id, replace(replace(replace('caf' || chr(233) || chr(160) || chr(255) || chr(256) || ' & "' || event_type || '"', '&', '&amp;'), '"', '&quot;'), chr(233) || chr(160) || chr(255), '&#233;&#160;&#255;') AS escaped FROM events""")
+def text_escape_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", X.escape(F.concat(F.lit('caf\u00e9\u00a0\u00ff\u0100 & "'), "event_type", F.lit('"'))).alias("escaped"))
+
+
 @query("SELECT event_id, replace(replace(replace(replace(replace(props || '<''&>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM events")
 def text_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -457,8 +556,6 @@ def story_track_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT e.doc_id, e.ord, string_agg('A' || ac.n, '|' ORDER BY k) AS actor_ids FROM (SELECT doc_id, ord, actors, unnest(range(1, len(actors) + 1)) AS k FROM ev) e JOIN ac ON ac.doc_id = e.doc_id AND upper(ac.name) = upper(e.actors[k]) GROUP BY ALL")
 def story_event_actor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from storyloom.operators import dimensions
-
     c = _stories(spark, sf_dir)
     return _flat(dimensions.ids_of(c.events, "order", "actors", c.actors).withColumnRenamed("order", "ord"), "doc_id", "ord", "actor_ids")
 
@@ -467,6 +564,14 @@ def _compared(name: str) -> str:
     return f"regexp_matches(chunk, {_q(_C(name, 'compared').re2)})"
 
 
+def _unique(items: str) -> str:
+    """Distinct strings whatever their case, white space collapsed; the first spelling stays."""
+    plain = rf"list_filter(list_transform({items}, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')"
+    return f"list_filter({plain}, lambda x, i: list_position(list_transform({plain}, lambda y: upper(y)), upper(x)) = i)"
+
+
+_OWN = f"list_filter({_NAMES.replace('text', 'chunk')}, lambda x: NOT list_contains({_list(L.COMPARED_STOPWORDS)}, x) AND NOT list_contains(list_transform(locations, lambda y: lower(y)), lower(x)) AND NOT list_contains(list_transform(own_anchors, lambda y: lower(y)), lower(x)))"
+
 # Ends of sentences are marked first, for patterns can't look behind here.
 _SEPARATORS = _q("(?i)" + chr(1) + "|" + L.boundary("compared").body.partition("|")[2])
 _CHUNKS = rf"""
@@ -474,12 +579,33 @@ _CHUNKS = rf"""
     SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), {_SEPARATORS}) AS parts FROM docs))),
 verbs AS (SELECT *, regexp_extract(chunk, {_q(_C("verb", "compared").re2)}, 0) AS verb FROM chunks WHERE chunk <> ''),
 isled AS (SELECT *, sum((verb <> '')::INT) OVER (PARTITION BY doc_id ORDER BY k) AS n FROM verbs),
-pe AS (SELECT doc_id, n, first(chunk ORDER BY k) AS chunk, first(verb ORDER BY k) AS action, string_agg(chunk, ' ' ORDER BY k) AS text FROM isled WHERE n > 0 GROUP BY doc_id, n)
-SELECT doc_id, n::BIGINT AS n, text, action, CASE WHEN {_compared("future")} THEN 'Future' WHEN {_compared("past")} THEN 'Past' ELSE 'Present' END AS temporal_category,
-  CASE WHEN n = 1 THEN NULL WHEN {_compared("simultaneous")} THEN 'SIMULTANEOUS' WHEN {_compared("before")} THEN 'BEFORE' WHEN {_compared("after")} THEN 'AFTER' ELSE 'IMMEDIATELY_BEFORE' END AS relation_to_previous FROM pe"""
+pe0 AS (SELECT doc_id, n, first(chunk ORDER BY k) AS chunk, first(verb ORDER BY k) AS action, string_agg(chunk, ' ' ORDER BY k) AS text FROM isled WHERE n > 0 GROUP BY doc_id, n),
+pe1 AS (SELECT *, {_unique(_PLACES.replace('text', 'chunk'))} AS locations, {_unique(_ANCHORS.replace('text', 'chunk'))} AS own_anchors FROM pe0),
+pe2 AS (SELECT *, {_unique(_OWN)} AS own_actors FROM pe1),
+pe AS (SELECT *, coalesce(last_value(CASE WHEN len(own_actors) > 0 THEN own_actors END IGNORE NULLS) OVER w, []) AS actors, coalesce(last_value(CASE WHEN len(own_anchors) > 0 THEN own_anchors END IGNORE NULLS) OVER w, []) AS temporal_anchors
+  FROM pe2 WINDOW w AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+"""
+_EVENTS_COMPARED = rf"""SELECT doc_id, n::BIGINT AS n, text, action, CASE WHEN {_compared("future")} THEN 'Future' WHEN {_compared("past")} THEN 'Past' ELSE 'Present' END AS temporal_category,
+  CASE WHEN n = 1 THEN NULL WHEN {_compared("simultaneous")} THEN 'SIMULTANEOUS' WHEN {_compared("before")} THEN 'BEFORE' WHEN {_compared("after")} THEN 'AFTER' ELSE 'IMMEDIATELY_BEFORE' END AS relation_to_previous"""
+
+
+@query(f"{_CHUNKS} {_EVENTS_COMPARED}, array_to_string(actors, '|') AS actors, array_to_string(locations, '|') AS locations, array_to_string(temporal_anchors, '|') AS temporal_anchors FROM pe")
+def compared_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(comparison.events(events.documents(stories(spark, sf_dir), language=None)), "doc_id", "n", "text", "action", "actors", "locations", "temporal_anchors", "temporal_category", "relation_to_previous")
 
 
-@query(_CHUNKS)
+_KEY = "list_sort(list_distinct(list_transform(actors, lambda x: lower(x))))"
+
+
+@query(rf"""{_CHUNKS}, pc AS ({_EVENTS_COMPARED}, {_KEY} AS key, len(temporal_anchors) AS n_anchors FROM pe),
+ps AS (SELECT *, CASE WHEN lag(key) OVER w = key AND lag(temporal_category) OVER w = temporal_category THEN 0 ELSE 1 END AS new FROM pc WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+pn AS (SELECT doc_id, count(*) AS events, sum(n_anchors)::BIGINT AS temporal_anchors, sum(new)::BIGINT AS time_segments, count(DISTINCT (key, temporal_category)) AS time_tracks FROM ps GROUP BY doc_id)
+SELECT doc_id, coalesce(events, 0) AS events, coalesce(temporal_anchors, 0) AS temporal_anchors, greatest(0, coalesce(events, 0) - 1) AS temporal_relations, coalesce(time_segments, 0) AS time_segments, coalesce(time_tracks, 0) AS time_tracks FROM docs LEFT JOIN pn USING (doc_id)""")
+def compared_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(comparison.counts(events.documents(stories(spark, sf_dir), language=None)), "doc_id", "events", "temporal_anchors", "temporal_relations", "time_segments", "time_tracks")
+
+
+@query(f"{_CHUNKS} {_EVENTS_COMPARED} FROM pe")
 def compared_event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(comparison.events(events.documents(stories(spark, sf_dir), language=None)), "doc_id", "n", "text", "action", "temporal_category", "relation_to_previous")
 
@@ -493,9 +619,134 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.validate(asked).select("doc_id", "event_id", "error")
 
 
-@query("SELECT 'storyloom' AS service, '1.0.0' AS version, true AS ok")
+@query("""SELECT 'storyloom' AS service, '1.0.0' AS version, 'non-LLM rules with optional seed classifiers and TimeML-style annotations' AS extraction, 'en|ro' AS supported_languages, 'response|json|svg|xml' AS renderings, true AS ok""")
 def service(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.describe(spark).select("service", "version", "ok")
+    d = requests.describe(spark)
+    return _flat(d, *d.columns)
+
+
+# Romanian.
+
+
+def _romanian(spark: SparkSession, sf_dir: str) -> Corpus:
+    return _stories(spark, sf_dir, lang="ro")
+
+
+@query("SELECT doc_id, id, text, array_to_string(actors, '|') AS actors, temporal_anchor, location, action, temporal_category, relation_to_previous, relation_cue, relation_evidence, span_start, span_end, 0.75::DOUBLE AS confidence, 'romanian_rule_event_temporal' AS classifier FROM ev", "romanian")
+def romanian_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_romanian(spark, sf_dir).events, "doc_id", *EVENT, "confidence", "classifier")
+
+
+@query("""SELECT sg.doc_id, id, text, track_id, track_name, type, perspective, round(story_order, 2)::DOUBLE AS story_order, array_to_string(entities, '|') AS entities, array_to_string(actors, '|') AS actors,
+  CASE WHEN lower(location) = 'unknown' THEN '' ELSE coalesce('L' || n, '') END AS location_id, temporal_anchor, temporal_category, span_start, span_end, event_ids, 0.75::DOUBLE AS confidence, 'romanian_rule_segment_type' AS classifier
+  FROM sg LEFT JOIN lo ON lo.doc_id = sg.doc_id AND upper(lo.name) = upper(sg.location)""", "romanian")
+def romanian_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _romanian(spark, sf_dir).located_segments.withColumn("story_order", F.round("story_order", 2))
+    return _flat(s, "doc_id", "id", "text", "track_id", "track_name", "type", "perspective", "story_order", "entities", "actors", "location_id", "temporal_anchor", "temporal_category", "span_start", "span_end", "event_ids", "confidence", "classifier")
+
+
+@query("SELECT doc_id, ord, from_id, rel, to_id, cue FROM rel", "romanian")
+def romanian_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_romanian(spark, sf_dir).relations, "doc_id", "ord", "from_id", "rel", "to_id", "cue")
+
+
+@query("SELECT doc_id, 'EM' || n AS id, text, label, source, span_start::BIGINT AS span_start, span_end::BIGINT AS span_end, event_id FROM mn", "romanian")
+def romanian_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_romanian(spark, sf_dir).mentions, "doc_id", "id", "text", "label", "source", "span_start", "span_end", "event_id")
+
+
+@query("SELECT doc_id, 'A' || n AS id, name FROM (SELECT doc_id, 0 AS n, 'Narator' AS name FROM docs UNION ALL SELECT doc_id, n, name FROM ac) UNION ALL SELECT doc_id, 'L' || n, name FROM (SELECT doc_id, 1 AS n, 'necunoscut' AS name FROM docs UNION ALL SELECT doc_id, n, name FROM lo)", "romanian")
+def romanian_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _romanian(spark, sf_dir)
+    return c.actors.select("doc_id", "id", "name").unionByName(c.locations.select("doc_id", "id", "name"))
+
+
+@query(rf"""SELECT doc_id, 'e' || ord AS eid, {_class('ro')} AS class, upper(temporal_category) AS tense, CASE WHEN {_has('text', 'perfective', 'ro')} THEN 'PERFECTIVE' WHEN {_has('text', 'progressive', 'ro')} THEN 'PROGRESSIVE' ELSE 'NONE' END AS aspect,
+  CASE WHEN {_has('text', 'negative', 'ro')} THEN 'NEG' ELSE 'POS' END AS polarity FROM ev""", "romanian")
+def romanian_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _romanian(spark, sf_dir)
+    return c.tml_events.select("doc_id", "eid", "class").join(c.makeinstances.select("doc_id", F.col("event_id").alias("eid"), "tense", "aspect", "polarity"), ["doc_id", "eid"])
+
+
+@query(f"SELECT doc_id, 't' || tid_no AS tid, {_timex_type('ro')} AS type, {_value('temporal_anchor')} AS value, temporal_anchor AS text FROM tm WHERE ord = f", "romanian")
+def romanian_timex3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _romanian(spark, sf_dir).timex3.select("doc_id", "tid", "type", "value", "text")
+
+
+@query("SELECT doc_id, 'l' || n AS lid, rel_type, a AS event_instance_id, b AS related_to_event_instance, t AS related_to_time, s AS signal_id FROM tl", "romanian")
+def romanian_tlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_romanian(spark, sf_dir).tlinks, "doc_id", "lid", "rel_type", "event_instance_id", "related_to_event_instance", "related_to_time", "signal_id")
+
+
+# Gates, and averages, over predictions that are made of the texts' lengths.
+
+
+def _made_up(rows: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """rows with predicted and score; some predictions are unknown labels, some are missing."""
+    n = F.length("text")
+    return rows.withColumns({"predicted": F.get(F.array(*map(F.lit, (*labels, "OTHER"))), F.pmod(n, F.lit(len(labels) + 1))), "score": F.when(n % 11 != 0, F.pmod(n * 7, F.lit(101)) / 100)})
+
+
+def _predicted(labels: tuple[str, ...]) -> str:
+    return f"{_list([*labels, 'OTHER'])}[len(text) % {len(labels) + 1} + 1] AS predicted, CASE WHEN len(text) % 11 <> 0 THEN (len(text) * 7 % 101) / 100 END AS score"
+
+
+def _gate(rule: str, labels: tuple[str, ...], least: float, conflict: str, why: str, model: str) -> str:
+    """label, confidence and source, by the rule's column."""
+    back = f"CASE WHEN score IS NULL THEN '' WHEN NOT list_contains({_list(list(labels))}, predicted) THEN '_unknown_ml_label' WHEN score < {least} THEN '_low_ml_confidence' WHEN {conflict} THEN '_{why}' END"
+    return f"CASE WHEN {back} IS NULL THEN predicted ELSE {rule} END AS label, CASE WHEN {back} IS NULL THEN score ELSE 0 END::DOUBLE AS confidence, CASE WHEN {back} IS NULL THEN '{model}' ELSE 'heuristic_fallback' || {back} END AS source"
+
+
+_CATEGORY_GATE = _gate("temporal_category", models.CATEGORIES, models.CATEGORY_LEAST, "temporal_category <> 'Present' AND predicted <> temporal_category", "explicit_tense", "mlnet_event_temporal_model")
+_TYPE_GATE = _gate("type", models.TYPES, models.TYPE_LEAST, f"type <> 'NAR' AND predicted <> type AND score < {models.TYPE_SURE}", "conflict", "mlnet_seed_model")
+
+
+@query(f"SELECT doc_id, id, {_CATEGORY_GATE} FROM (SELECT *, {_predicted(models.CATEGORIES)} FROM ev)")
+def gate_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _made_up(_stories(spark, sf_dir).events, models.CATEGORIES)
+    return rows.select("doc_id", "id", models.category_gate(F.col("predicted"), F.col("score"), F.col("temporal_category")).alias("g")).select("doc_id", "id", "g.*")
+
+
+@query(f"SELECT doc_id, id, {_TYPE_GATE} FROM (SELECT *, {_predicted(models.TYPES)} FROM sg)")
+def gate_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _made_up(_stories(spark, sf_dir).segments, models.TYPES)
+    return rows.select("doc_id", "id", models.segment_gate(F.col("predicted"), F.col("score"), F.col("type")).alias("g")).select("doc_id", "id", "g.*")
+
+
+@query(f""", ge AS (SELECT doc_id, {_CATEGORY_GATE} FROM (SELECT *, {_predicted(models.CATEGORIES)} FROM ev)), gs AS (SELECT doc_id, {_TYPE_GATE} FROM (SELECT *, {_predicted(models.TYPES)} FROM sg))
+SELECT doc_id, (SELECT round_even(avg(confidence), 3) FROM ge WHERE ge.doc_id = d.doc_id) AS average_event_confidence, (SELECT round_even(avg(confidence), 3) FROM gs WHERE gs.doc_id = d.doc_id) AS average_segment_confidence,
+  (SELECT string_agg(s, '|' ORDER BY upper(s)) FROM (SELECT source AS s FROM ge WHERE ge.doc_id = d.doc_id UNION SELECT source FROM gs WHERE gs.doc_id = d.doc_id UNION SELECT source FROM mn WHERE mn.doc_id = d.doc_id)) AS extraction_sources FROM docs d""")
+def scored_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages and sources of a corpus whose events and segments have made-up confidences."""
+    c = _stories(spark, sf_dir)
+    scored = lambda rows, labels, gate, rule: _made_up(rows, labels).withColumn("g", gate(F.col("predicted"), F.col("score"), F.col(rule))).withColumns({"confidence": F.col("g.confidence"), "classifier": F.col("g.source")})
+    evs, segs = scored(c.events, models.CATEGORIES, models.category_gate, "temporal_category"), scored(c.segments, models.TYPES, models.segment_gate, "type")
+    return _flat(report.analysis(c.documents, evs, segs, c.tracks, c.relations, c.mentions, c.tml_events, c.timex3, c.tlinks), "doc_id", "average_event_confidence", "average_segment_confidence", "extraction_sources")
+
+
+_BODIES = "CASE event_id % 5 WHEN 0 THEN concat('{\"text\": \"Adam left ', event_type, '.\", \"options\": {\"width\": 900, \"layout\": \"text_order\"}}') WHEN 1 THEN '[1]' WHEN 2 THEN '{\"text\": \" \"}' WHEN 3 THEN NULL ELSE '{\"text\": \"Da.\", \"options\": {\"language\": \"ROM\", \"include_debug\": true}}' END"
+
+
+@query(f"""SELECT event_id AS doc_id, CASE event_id % 5 WHEN 0 THEN 'Adam left ' || event_type || '.' WHEN 2 THEN ' ' WHEN 4 THEN 'Da.' END AS text, CASE event_id % 5 WHEN 0 THEN 'text_order' ELSE 'both' END AS layout, CASE event_id % 5 WHEN 0 THEN 900 ELSE 1200 END::BIGINT AS width,
+  CASE event_id % 5 WHEN 4 THEN 'ROM' ELSE 'en' END AS language, event_id % 5 = 4 AS include_debug, CASE event_id % 5 WHEN 1 THEN {_q(requests.NO_BODY)} WHEN 2 THEN {_q(requests.NO_TEXT)} WHEN 3 THEN {_q(requests.NO_BODY)} END AS error FROM events""")
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("doc_id"), F.expr(_BODIES).alias("body"))
+    return _flat(requests.parse(e), "doc_id", "text", "layout", "width", "language", "include_debug", "error")
+
+
+@query("""SELECT user_id AS doc_id, greatest(0, count(DISTINCT event_type) - 1) AS person_entities, count(DISTINCT event_type) + 2 AS named_entities, 1 AS location_entities, count(*) AS events, count(*) FILTER (event_id % 3 <> 0) AS temporal_anchors,
+  count(*) FILTER (event_id % 2 = 0) AS temporal_relations, 0 AS time_segments, count(*) AS time_tracks FROM events GROUP BY user_id""")
+def saved_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of saved responses, whose JSON is made of each user's events."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    even = F.collect_list(F.when(F.col("event_id") % 2 == 0, F.col("event_type")))
+    diagram = F.struct(
+        F.collect_set("event_type").alias("actors"), F.array(F.lit("unknown"), F.lit("house")).alias("locations"), even.alias("relations"), F.array().cast("array<string>").alias("segments"),
+        F.collect_list(F.struct(F.when(F.col("event_id") % 3 != 0, F.col("event_type")).otherwise("").alias("temporal_anchor"))).alias("events"), F.collect_list("event_type").alias("tracks"),
+    )
+    made = e.groupBy(F.col("user_id").alias("doc_id")).agg(diagram.alias("diagram")).select("doc_id", F.to_json(F.struct("diagram")).alias("json"))
+    counted = requests.saved_counts(made)
+    return _flat(counted, *counted.columns)
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
