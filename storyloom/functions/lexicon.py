@@ -155,10 +155,16 @@ COMPARED: dict[str, list[str]] = {
 }
 COMPARED_STOPWORDS = ["A", "An", "And", "He", "She", "They", "This", "When", "While", "Years", "Now", "Last", "Tomorrow"]
 
+# Words of patterns: verbs of the mind that tell a viewpoint, articles before places, and the Romanian preposition of surfaces; Romanian letters.
+EN_VIEWPOINT = ["wondered", "thought", "remembered", "imagined", "believed", "saw", "heard"]
+RO_VIEWPOINT = [r"s-a\s+gândit", r"s-a\s+gandit", r"și-a\s+amintit", r"si-a\s+amintit", r"a\s+crezut", r"a\s+văzut", r"a\s+vazut", r"a\s+auzit"]
+RO_ARTICLES = ["un", "o", "același", "aceeași", "acelasi", "aceeasi", "the"]
+RO_SURFACE = "pe"
+RO_UPPER, RO_LOWER = "A-ZĂÂÎȘȚ", "ăâîșț"
+
 # End of fixed values.
 
 LANGUAGES = {"en": EN, "ro": RO}
-RO_UPPER, RO_LOWER = "A-ZĂÂÎȘȚ", "ăâîșț"
 
 
 @dataclass(frozen=True)
@@ -205,7 +211,7 @@ def place(lang: str = "en") -> Pattern:
     return Pattern(rf"\b{any_of(RO['place_preposition'])}\s+({'|'.join(kinds)})")
 
 
-RO_ON = Pattern(rf"\bpe\s+([a-z{RO_LOWER}]+(?:\s+[a-z{RO_LOWER}]+)?)\b")
+RO_ON = Pattern(rf"\b{RO_SURFACE}\s+([a-z{RO_LOWER}]+(?:\s+[a-z{RO_LOWER}]+)?)\b")
 
 
 @lru_cache
@@ -219,14 +225,13 @@ def entity(lang: str = "en") -> Pattern:
 def viewpoint(lang: str = "en") -> Pattern:
     """A name, which is group 1, and a verb of the mind."""
     if lang != "ro":
-        return Pattern(r"\b([A-Z][a-z]+)\s+(wondered|thought|remembered|imagined|believed|saw|heard)\b", False)
-    verbs = r"s-a\s+gândit|s-a\s+gandit|și-a\s+amintit|si-a\s+amintit|a\s+crezut|a\s+văzut|a\s+vazut|a\s+auzit"
-    return Pattern(rf"\b([{RO_UPPER}](?:(?-i:\p{{Ll}})|[{RO_LOWER}])+)\s+({verbs})\b")
+        return Pattern(rf"\b([A-Z][a-z]+)\s+({'|'.join(EN_VIEWPOINT)})\b", False)
+    return Pattern(rf"\b([{RO_UPPER}](?:(?-i:\p{{Ll}})|[{RO_LOWER}])+)\s+({'|'.join(RO_VIEWPOINT)})\b")
 
 
 @lru_cache
 def place_before(lang: str = "en") -> tuple[str, str]:
     """What may stand before a place's name, and after it."""
     words = any_of(LANGUAGES[lang]["place_preposition"])
-    article = rf"(?:{'|'.join(['un', 'o', 'același', 'aceeași', 'acelasi', 'aceeasi', 'the'])})?\s*" if lang == "ro" else r"(?:the\s+)?"
+    article = rf"(?:{'|'.join(RO_ARTICLES)})?\s*" if lang == "ro" else r"(?:the\s+)?"
     return rf"\b{words}\s+{article}", r"\b"

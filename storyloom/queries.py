@@ -397,9 +397,10 @@ def story_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT sg.doc_id, id AS segment_id, round(105 + 1015.0 / count(*) OVER (PARTITION BY sg.doc_id) * (seg_no - 1), 1)::DOUBLE AS chain_x, track_no AS row, (158 + (track_no - 1) * 86)::DOUBLE AS y,
-  CASE WHEN type IN ('REM', 'SUP', 'FIC') THEN '2 6' ELSE '' END AS dash FROM sg""")
+  round(105 + step * i, 1)::DOUBLE AS x1, round(105 + step * (i + 1), 1)::DOUBLE AS x2, CASE WHEN type IN ('REM', 'SUP', 'FIC') THEN '2 6' ELSE '' END AS dash
+  FROM (SELECT *, least(145.0, 1015.0 / (max(most) OVER (PARTITION BY doc_id) + 1)) AS step FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, track_id) AS most, row_number() OVER (PARTITION BY doc_id, track_id ORDER BY story_order, seg_no) - 1 AS i FROM sg)) sg""")
 def story_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(render.layout(_stories(spark, sf_dir)), "doc_id", "segment_id", "chain_x", "row", "y", "dash")
+    return _flat(render.layout(_stories(spark, sf_dir)), "doc_id", "segment_id", "chain_x", "row", "x1", "x2", "y", "dash")
 
 
 @query("SELECT doc_id, id, temporal_category, relation_to_previous, coalesce(nullif(relation_cue, ''), '-') AS cue, 'n/a' AS confidence, text FROM ev")
@@ -605,6 +606,18 @@ def compared_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(comparison.counts(events.documents(stories(spark, sf_dir), language=None)), "doc_id", "events", "temporal_anchors", "temporal_relations", "time_segments", "time_tracks")
 
 
+_EXAMPLE = "'{\"text\":' || to_json(text) || ',\"action\":' || to_json(action) || ',\"actors\":' || to_json(actors) || ',\"locations\":' || to_json(locations) || ',\"temporal_anchors\":' || to_json(temporal_anchors) || ',\"temporal_category\":\"' || temporal_category || '\",\"relation_to_previous\":' || coalesce('\"' || relation_to_previous || '\"', 'null') || '}'"
+
+
+@query(rf"""{_CHUNKS}, pc AS ({_EVENTS_COMPARED}, actors, locations, temporal_anchors, {_KEY} AS key FROM pe),
+ps AS (SELECT *, CASE WHEN lag(key) OVER w = key AND lag(temporal_category) OVER w = temporal_category THEN 0 ELSE 1 END AS new FROM pc WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+pg AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY n) AS seg_no, {_EXAMPLE} AS j FROM ps),
+pl AS (SELECT doc_id, seg_no, '[' || string_agg(to_json(text), ',' ORDER BY n) || ']' AS g FROM pg WHERE seg_no <= {comparison.EXAMPLES} GROUP BY ALL)
+SELECT doc_id, '{{"events":[' || coalesce((SELECT string_agg(j, ',' ORDER BY n) FROM pg WHERE pg.doc_id = docs.doc_id AND n <= {comparison.EXAMPLES}), '') || '],"segments":[' || coalesce((SELECT string_agg(g, ',' ORDER BY seg_no) FROM pl WHERE pl.doc_id = docs.doc_id), '') || ']}}' AS examples FROM docs""")
+def compared_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparison.examples(events.documents(stories(spark, sf_dir), language=None))
+
+
 @query(f"{_CHUNKS} {_EVENTS_COMPARED} FROM pe")
 def compared_event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(comparison.events(events.documents(stories(spark, sf_dir), language=None)), "doc_id", "n", "text", "action", "temporal_category", "relation_to_previous")
