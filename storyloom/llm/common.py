@@ -111,6 +111,18 @@ def only_first(df: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(nth) == 1).select(*columns_of(df))
 
 
+#: Bytes of an Arrow batch that goes to Python. Spark's own bound, 64 MB, is held several times by each task: in the JVM's buffers, in Arrow, as Python's strings.
+BATCH_BYTES, _SPARKS_OWN = 4 << 20, 64 << 20
+
+
+def light(df: DataFrame) -> DataFrame:
+    """df; lowers its session's bound on Arrow batches, unless it was set, so that tasks over texts take less memory. It holds for all that the session runs."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(conf.get(key)).rstrip("bB") == str(_SPARKS_OWN):
+        conf.set(key, BATCH_BYTES)
+    return df
+
+
 def free() -> None:
     """Gives memory that this Python process holds, but doesn't use, back to the machine."""
     pa.default_memory_pool().release_unused()

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import lean, marks, only_first, row_key, settle, split_by_marks, text_of
+from storyloom.llm.common import lean, light, marks, only_first, row_key, settle, split_by_marks, text_of
 from storyloom.llm.graph import components
 
 SHINGLE, PERCENT = 3, 90
@@ -482,7 +482,7 @@ class Sets:
     def __init__(self, docs: DataFrame, size: int, percent: int) -> None:
         spark = docs.sparkSession
         self.size, self.percent = size, percent
-        self.texts = docs.select(text_of().alias("text"))
+        self.texts = light(docs).select(text_of().alias("text"))
         cells = min(MOST_CELLS, max(CELLS, 1 << (4 * docs.count()).bit_length()))
         ranks, least, mean = order_of(self.texts, size, cells)
         shared = spark.sparkContext.broadcast((ranks, least))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import lean, text_of
+from storyloom.llm.common import lean, light, text_of
 
 CONTAINMENT = 0.8
 
@@ -201,7 +201,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phrases: Map
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip([*cols[:-1], blocks], kinds, strict=True))], ["doc_id", *names])
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<line:int,lines:int,label:string,containment:double>>"
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(lean(run), schema)
+    return light(docs).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(lean(run), schema)
 
 
 def sql(containment: float = CONTAINMENT) -> str:

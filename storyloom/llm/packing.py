@@ -25,17 +25,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import lean, text_of
+from storyloom.llm.common import lean, light, text_of
 
 CAPACITY = 2048
 #: Windows that are packed at a time.
 GROUP = 256
 #: Rests longer than this part of a window are cut before differencing, so that sums come near to each other.
 CUT = 4
-#: Chunks in each of the two generations of an encoder's memory, about 60 MB each.
-MEMORY = 300_000
+#: Chunks in each of the two generations of an encoder's memory, about 30 MB each.
+MEMORY = 150_000
 #: Characters of text that are encoded at a time.
-SLICE = 8_000_000
+SLICE = 4_000_000
 
 #: The parts of a tokenizer file under which a chunk between white space may be encoded by itself, in lower case, and the ends of words be told by "</w>".
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -280,20 +280,35 @@ def _packer(path: str, last: int, capacity: int, group: int, ids_too: bool):
             docs.clear()
             return pa.RecordBatch.from_pydict(out)
 
+        names: list[int | None] = []
+        texts: list[str] = []
+        waiting = 0
+
+        def take() -> Iterator[pa.RecordBatch]:
+            nonlocal held, waiting
+            flat, counts = coder.encode(texts, last)
+            for name, ids in zip(names, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+                docs.append((name, ids))
+                held += len(ids)
+                if held >= group * capacity:
+                    yield flush()
+                    held = 0
+            names.clear()
+            texts.clear()
+            waiting = 0
+
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-            cuts = [0, *np.flatnonzero(np.diff(ends // SLICE)) + 1, len(texts)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                flat, counts = coder.encode(texts[a:b], last)
-                for name, ids in zip(names[a:b], np.split(flat, np.cumsum(counts)[:-1]), strict=True):
-                    docs.append((name, ids))
-                    held += len(ids)
-                    if held >= group * capacity:
-                        yield flush()
-                        held = 0
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                names.append(name)
+                texts.append(text)
+                waiting += len(text)
+                if waiting >= SLICE:
+                    yield from take()
+        if texts:
+            yield from take()
         if docs:
             yield flush()
+        coder.forget()  # Spark uses its Python processes again, and for other work too
 
     return pack_batches
 
@@ -310,5 +325,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, last: int = 1, capacity:
     tokenizer: path of any ``tokenizers`` file, the same on all machines; see :class:`Encoder` for those that are quick.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * ids
-    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
+    rows = light(docs).select(F.col("doc_id").cast("long"), text_of().alias("text"))
     return rows.mapInArrow(lean(_packer(tokenizer or default_tokenizer(), last, capacity, group, ids)), schema)

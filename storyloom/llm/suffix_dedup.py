@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import lean, marks, n_partitions, settle, split_by_marks, text_of
+from storyloom.llm.common import lean, light, marks, n_partitions, settle, split_by_marks, text_of
 from storyloom.llm.jaccard import U, mix
 
 LENGTH, GRAM = 100, 32
@@ -404,7 +404,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
     Where ids are unique and none is null, doc is doc_id. Else different (doc_id, text) are sorted, by digests of the texts within an id, and counted.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    texts = light(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     if texts.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
         return texts.select(F.col("doc_id").alias("doc"), "doc_id", "text")
     texts = texts.withColumn("digest", F.md5("text"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import lean, settle, text_of
+from storyloom.llm.common import lean, light, settle, text_of
 from storyloom.llm.licenses import words_of
 
 FIT_ROWS, MAX_FEATURES = 20_000, 50_000
@@ -114,7 +114,7 @@ def training(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> DataF
     """Distinct texts of at most bound labelled rows outside the held-out fold, with toxic and half."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(fold(F.col("doc_id")) != 1)
     some = settle(known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(bound))  # bounded, so it may be broadcast
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(some), "doc_id")
+    rows = light(docs).select("doc_id", text_of().alias("text")).join(F.broadcast(some), "doc_id")
     return settle(rows.groupBy("text").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("half", (F.crc32(F.encode("text", "utf-8")) % 2).cast("int")))
 
 
@@ -234,7 +234,7 @@ def score(docs: DataFrame, model: Model, passages: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, score double" + ", passages array<struct<first:long,last:long,score:double>>" * passages
-    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(lean(run), schema)
+    rows = light(docs).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(lean(run), schema)
     return rows.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), *(["passages"] * passages))
 
 
@@ -252,4 +252,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             got.append(model.score(*model.measure(segments(at, s), n)) < REJECT)
         return pd.Series(got, dtype=bool)
 
-    return docs.filter(clean(text_of()))
+    return light(docs).filter(clean(text_of()))
