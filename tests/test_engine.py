@@ -231,3 +231,64 @@ def test_entry_points():
 
     names = set(__spark_entry__.queries())
     assert set(queries.QUERIES) <= names and set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_distinct_lists_and_starts_match_plain_loops(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(31)
+    rows = [(k, [rnd.choice(["a", "A", "b", "Éa", "éA", "", "c d", "C d"]) for _ in range(rnd.choice([0, 1, 2, 7, 300, 700]))]) for k in range(40)] + [(99, None)]
+    df = spark.createDataFrame(rows, "k int, x array<string>")
+    for r in df.select("x", X.distinct_ci(F.col("x")).alias("d"), X.starts("x").alias("s")).collect():
+        if r.x is None:
+            assert r.d is None
+            continue
+        seen, first, at, begins = set(), [], 0, []
+        for x in r.x:
+            if x.upper() not in seen:
+                first.append(x)
+            seen.add(x.upper())
+            begins.append(at)
+            at += len(x)
+        assert r.d == first and r.s == begins
+
+
+def test_sentences_of_a_long_text(spark):
+    text = "".join(f"Adam left {'x' * (k % 5)}. " for k in range(3000))
+    got = events.sentences(events.documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), language=None)).orderBy("sent_no").collect()
+    assert len(got) == 3000 and all(text[r.start :].startswith(r.sentence) for r in got) and [r.start for r in got] == sorted({r.start for r in got})
+
+
+def test_what_a_corpus_holds_is_freed(spark):
+    docs = spark.createDataFrame([(1, ENGLISH, "en")], "doc_id long, text string, language string")
+    with Corpus(docs, keep=True) as c:
+        assert c.segments.count() == 6 and c.events.is_cached and c.segments.is_cached
+    assert not c.events.is_cached and not c.segments.is_cached and c.segments.count() == 6
+
+
+def test_toolkits_fall_back_to_patterns():
+    from storyloom.operators import toolkits as T
+
+    rows = [
+        T.Sentence("Adam met Karl in the house yesterday.", ["meet"], [("Adam", "PERSON"), ("ADAM", "PERSON"), ("Karl", "PERSON")]),
+        T.Sentence("A house.", [], [("house", "FAC")]),
+        T.Sentence("Then karl and Adam left Paris on Monday.", ["leave"], [("karl", "PERSON"), ("Adam", "PERSON"), ("Paris", "GPE"), ("Monday", "DATE")]),
+        T.Sentence("Karl will return.", ["return"], [("Karl", "PER")]),
+    ]
+    counts, shown = T.tally(rows, 23, [label for s in rows for _, label in s.entities])
+    assert counts == [4, 23, 9, 6, 2, 1, 2, 3, 2, 2, 2]
+    assert [(e["locations"], e["temporal_anchors"], e["temporal_category"], e["relation_to_previous"]) for e in shown["events"]] == [
+        (["the house yesterday"], ["yesterday"], "Past", None), (["Paris"], ["Monday"], "Past", "AFTER"), ([], [], "Future", "IMMEDIATELY_BEFORE"),
+    ]
+    assert shown["segments"] == [["Adam met Karl in the house yesterday.", "Then karl and Adam left Paris on Monday."], ["Karl will return."]]
+
+
+def test_runs_carry_examples_and_times(spark):
+    docs = events.documents(spark.createDataFrame([("a", ARTICLE), ("b", "")], "doc_id string, text string"), language=None)
+    runs = {r.sample_id: r for r in comparison.rule_runs(docs).collect()}
+    shown = json.loads(runs["a"].examples)
+    assert len(shown["events"]) == runs["a"].events == 4 and sum(map(len, shown["segments"])) == 4 and shown["events"][0]["relation_to_previous"] is None
+    assert json.loads(runs["b"].examples) == {"events": [], "segments": []} and runs["a"].runtime_ms > 0
+    assert comparison.report(comparison.rule_runs(docs, 1.5)).count("| 1.50 |") == 2
