@@ -49,7 +49,8 @@ class Policy:
 
 
 BASE = Policy("base", ("few_words", "repeated_windows"))
-POLICIES = {p.version: p for p in (BASE, Policy("v1", BASE.hard + ("symbols", "duplicate_lines", "exclamations", "word_length")))}
+_MORE = ("symbols", "duplicate_lines", "exclamations", "word_length")
+POLICIES = {p.version: p for p in (BASE, Policy("v1", BASE.hard + _MORE), Policy("v2", BASE.hard, _MORE, 1))}
 PRODUCTION = "v1"
 
 
@@ -106,7 +107,7 @@ def ablations(ledger_rows: DataFrame, version: str = PRODUCTION) -> DataFrame:
     return row.select("n_docs", F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(f"f_{n}").alias("n_failed"), F.col(f"a_{n}").alias("n_admitted_without")) for n in names))).alias("x")).select("x.*", "n_docs")
 
 
-SQL = r"""
+_LEDGER = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
@@ -124,7 +125,24 @@ f AS (
     + (CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END) + (CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines THEN 8 ELSE 0 END)
     + (CASE WHEN 10 * n_exclamations > 5 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 40 * n_words THEN 32 ELSE 0 END) AS fail_bits
   FROM m)
+"""
+SQL = _LEDGER + r"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept,
        fail_bits::BIGINT AS fail_bits
 FROM f
 """
+
+
+def ablations_sql(version: str) -> str:
+    """DuckDB SQL for ablations() of a policy: by rule, the documents that fail it, and those that only its removal would admit."""
+    policy = POLICIES[version]
+
+    def verdict(p: Policy) -> str:
+        mask = lambda names: sum(BIT[n] for n in names)
+        return f"(fail_bits & {mask(p.hard)}) = 0 AND bit_count(fail_bits & {mask(p.soft)}) <= {p.allowed}"
+
+    rows = []
+    for n in policy.hard + policy.soft:
+        without = Policy("", tuple(x for x in policy.hard if x != n), tuple(x for x in policy.soft if x != n), policy.allowed)
+        rows.append(f"SELECT '{n}' AS rule, count(*) FILTER ((fail_bits & {BIT[n]}) <> 0) AS n_failed, count(*) FILTER (NOT ({verdict(policy)}) AND {verdict(without)}) AS n_admitted_without, count(*) AS n_docs FROM f")
+    return _LEDGER + " UNION ALL ".join(rows)

@@ -56,6 +56,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_jaccard, op4_quality, op5_licenses, op6_sharding, op7_suffix_dedup, op8_toxicity, op9_chat, op10_packing)}
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ablations of the two policies beyond the base."""
+    held = quality.ledger(table(spark, sf_dir, "documents"))
+    one = lambda v: quality.ablations(held, v).select(F.lit(v).alias("policy"), "rule", "n_failed", "n_admitted_without", "n_docs")
+    return one("v1").unionByName(one("v2"))
 
-SQL: dict[str, str] = {"op1_mixing": mixing.sql(), "op2_exact_dedup": exact_dedup.SQL, "op4_quality": quality.SQL, "op5_licenses": licenses.sql()}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_jaccard, op4_quality, op5_licenses, op6_sharding, op7_suffix_dedup, op8_toxicity, op9_chat, op10_packing, quality_ablations)}
+
+SQL: dict[str, str] = {"op1_mixing": mixing.sql(), "op2_exact_dedup": exact_dedup.SQL, "op4_quality": quality.SQL, "op5_licenses": licenses.sql(), "quality_ablations": " UNION ALL ".join(f"SELECT '{v}' AS policy, * FROM ({quality.ablations_sql(v)})" for v in ("v1", "v2"))}
