@@ -15,6 +15,7 @@ Method.
 3. Index-level skipping. In lists that hold more than one component, entries stand in blocks by position; for each set, size and position bounds turn
    every block into a range of sizes, and blocks whose range is empty are skipped. Pairs within one component are never looked at, and every other
    pair that is left is checked by the parity bitmaps there and then.
+   Where many pairs are left, rounds come first in which each component's nearest pair is compared, and pairs that are in one component after that are dropped.
 4. Answer-level skipping. The chains' links give each set a leader, the most similar set it is known to be linked with, and the number of shingles in which they differ. For the pairs
    that step 3 leaves, the difference is counted for their leaders, once for all pairs with the same two. A pair's answer is derived from
    its leaders' by the triangle inequality; only where that leaves it open, the pair's own sets are compared.
@@ -256,7 +257,7 @@ LISTED = ["kind", "a", "b", "pack", "doc", "extra"]
 
 
 def _chains(percent: int):
-    """From rows of MADE sorted by key: pairs of neighbours in a chain (classes a, b), the entries of lists of several classes (class a, token b, pack), documents and classes (class a, n b)."""
+    """From rows of MADE sorted by key: pairs of neighbours in a chain (class a, the next class b, its place in the chain's order, the order), the entries of lists of several classes (class a, token b, pack), documents and classes (class a, n b)."""
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 4  # key, pack, class, and whether the entry was returned before
@@ -268,26 +269,27 @@ def _chains(percent: int):
             key, pack, cls, done = held
             turn = mix(mix((key.view(U) % U(CHAINS)) + U(1)) ^ cls.view(U))
             at = np.lexsort((-done, cls, turn, key))
-            key, pack, cls, done = (x[at] for x in (key, pack, cls, done))
+            key, pack, cls, done, turn = (x[at] for x in (key, pack, cls, done, turn))
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-            key, pack, cls, done = (x[new] for x in (key, pack, cls, done))  # a class that several tasks met counts once
+            key, pack, cls, done, turn = (x[new] for x in (key, pack, cls, done, turn))  # a class that several tasks met counts once
             if part and len(key) == 1:
                 held = [key, pack, cls, done]
                 return
             n, p, salt = unpack(pack)
             near = np.flatnonzero(key[1:] == key[:-1])
             near = near[may_link(n[near], p[near], n[near + 1], p[near + 1], percent)]
-            a, b = np.minimum(cls[near], cls[near + 1]), np.maximum(cls[near], cls[near + 1])
-            pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            order = (key[near].view(U) % U(CHAINS)).astype(np.int64)
+            pairs = np.unique(np.stack([cls[near], cls[near + 1], (turn[near + 1] >> U(1)).astype(np.int64), order], 1), axis=0) if len(near) else np.zeros((0, 4), np.int64)
             same = np.concatenate([[False], key[1:] == key[:-1], [False]])
             several = (same[1:] | same[:-1] | (salt > 0) | (done > 0)) & (done == 0)
             token = np.where(salt > 0, (key.view(U) ^ mix(salt.astype(U))).view(np.int64), key)[several]
             k = len(token)
-            columns = [np.concatenate([np.full(len(pairs), PAIR), np.full(k, ENTRY)]), np.concatenate([pairs[:, 0], cls[several]]), np.concatenate([pairs[:, 1], token]), np.concatenate([np.zeros(len(pairs), np.int64), pack[several]])]
+            columns = [np.concatenate([np.full(len(pairs), PAIR), np.full(k, ENTRY)]), np.concatenate([pairs[:, 0], cls[several]]), np.concatenate([pairs[:, 1], token]), np.concatenate([pairs[:, 2], pack[several]])]
+            orders = pa.concat_arrays([pa.array(pairs[:, 3]), pa.nulls(k, pa.int64())])
             k += len(pairs)
             held = [x[-1:] for x in (key, pack, cls, np.ones(len(key), np.int64))] if part else [np.zeros(0, np.int64)] * 4
             if k:
-                yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], LISTED)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), orders, pa.nulls(k, pa.binary())], LISTED)
 
         for batch in batches:
             mark = pc.is_valid(batch.column("extra"))
@@ -318,9 +320,14 @@ def _chains(percent: int):
     return chain
 
 
+def bits_apart(w: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the parity bitmaps w of sets i and j differ."""
+    return np.bitwise_count(w[:, i].view(U) ^ w[:, j].view(U)).sum(axis=0, dtype=np.int64)  # of signed numbers it would count the absolute value
+
+
 def close(w: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether sets i and j can link by their parity bitmaps w: sets differ in at least as many shingles as their bitmaps in bits."""
-    apart = np.bitwise_count(w[:, i].view(U) ^ w[:, j].view(U)).sum(axis=0, dtype=np.int64)  # of signed numbers it would count the absolute value
+    apart = bits_apart(w, i, j)
     # |A ^ B| = |A| + |B| - 2 |A & B| <= (|A| + |B|) * (100 - percent) / (100 + percent) for links.
     return apart * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
 
@@ -331,8 +338,8 @@ def bitmaps(column: pa.Array) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.int64).reshape(-1, BITS).T)
 
 
-def cross_pairs(n: np.ndarray, p: np.ndarray, cls: np.ndarray, root: np.ndarray, side: np.ndarray, w: np.ndarray, both: bool, percent: int = PERCENT) -> Iterator[np.ndarray]:
-    """Pairs of classes of different roots in an index list that may link; with both, only of different sides.
+def cross_pairs(n: np.ndarray, p: np.ndarray, cls: np.ndarray, root: np.ndarray, side: np.ndarray, w: np.ndarray, both: bool, percent: int = PERCENT, bits: bool = False) -> Iterator[np.ndarray]:
+    """Pairs of classes of different roots in an index list that may link; with both, only of different sides; with bits, the number of bits in which their bitmaps differ comes third.
 
     The list stands in blocks by position, each by size. For a set, a block is a range of sizes, often empty.
     """
@@ -360,7 +367,7 @@ def cross_pairs(n: np.ndarray, p: np.ndarray, cls: np.ndarray, root: np.ndarray,
             i, j = i[good], j[good]
             good = close(w, n, i, j, percent)
             if good.any():
-                yield np.stack([cls[i[good]], cls[j[good]]], 1)
+                yield np.stack([cls[i[good]], cls[j[good]], *([bits_apart(w, i[good], j[good])] if bits else [])], 1)
 
 
 #: Index lists of at most so many entries are paired together, by distance.
@@ -369,7 +376,7 @@ CROSSED = ["token", "i", "j", "side", "pack", "cls", "root"]
 
 
 def _crossings(percent: int):
-    """From entries (CROSSED, parity) sorted by (token, i, j): pairs of different components that may link."""
+    """From entries (CROSSED, parity) sorted by (token, i, j): pairs of different components that may link, and the bits in which their bitmaps differ."""
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * (len(CROSSED) + BITS)
@@ -393,10 +400,10 @@ def _crossings(percent: int):
                 x, y = x[good], y[good]
                 good = close(w, n, x, y, percent)
                 x, y = x[good], y[good]
-                found.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])], 1))
+                found.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y]), bits_apart(w, x, y)], 1))
             for s, size in zip(heads[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
                 e = s + size
-                for part in cross_pairs(n[s:e], p[s:e], cls[s:e], root[s:e], side[s:e], w[:, s:e], bool(i[s] != j[s]), percent):
+                for part in cross_pairs(n[s:e], p[s:e], cls[s:e], root[s:e], side[s:e], w[:, s:e], bool(i[s] != j[s]), percent, True):
                     found.append(part)
                     if sum(map(len, found)) > PAIRS:
                         yield batch_of(found)
@@ -406,7 +413,7 @@ def _crossings(percent: int):
 
         def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
             pairs = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in range(3)], ["a", "b", "bits"])
 
         for batch in batches:
             k = len(CROSSED)
@@ -430,10 +437,10 @@ def _near(percent: int):
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                n = np.concatenate([batch.column(c).to_numpy() for c in (2, 3)])
-                w = np.concatenate([bitmaps(batch.column(c)) for c in (4, 5)], axis=1)
+                n = np.concatenate([batch.column(c).to_numpy() for c in ("n_a", "n_b")])
+                w = np.concatenate([bitmaps(batch.column(c)) for c in ("parity_a", "parity_b")], axis=1)
                 i = np.arange(batch.num_rows)
-                yield batch.select([0, 1]).filter(pa.array(close(w, n, i, i + batch.num_rows, percent)))
+                yield batch.drop_columns(["n_a", "n_b", "parity_a", "parity_b"]).filter(pa.array(close(w, n, i, i + batch.num_rows, percent)))
 
     return near
 
@@ -476,7 +483,7 @@ def _common(size: int):
 class Sets:
     """The classes of a table of documents, and how their sets are compared.
 
-    rows: doc_id, n, cls, row_key. lists: cls, token, pack. chains: neighbours (a, b). nodes: cls, n, text_id, parity.
+    rows: doc_id, n, cls, row_key. lists: cls, token, pack. chains: a, the next class b, its place t in the order o. nodes: cls, n, text_id, parity.
     """
 
     def __init__(self, docs: DataFrame, size: int, percent: int) -> None:
@@ -491,16 +498,21 @@ class Sets:
         listed = settle(made.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_chains(percent)), "kind long, a long, b long, pack long, doc long, extra binary"))
         self.rows = listed.filter(f"kind = {DOCUMENT}").select(F.col("doc").alias("doc_id"), F.col("b").alias("n"), F.col("a").alias("cls"), F.lower(F.hex("extra")).alias("row_key"))
         self.nodes = listed.filter(f"kind = {CLASS}").select(F.col("a").alias("cls"), F.col("b").alias("n"), F.col("doc").alias("text_id"), F.col("extra").alias("parity"))
-        self.chains = listed.filter(f"kind = {PAIR}").select("a", "b").distinct()
+        self.chains = listed.filter(f"kind = {PAIR}").select("a", "b", F.col("doc").alias("o"), F.col("pack").alias("t")).distinct()
         self.lists = listed.filter(f"kind = {ENTRY}").select(F.col("a").alias("cls"), F.col("b").alias("token"), "pack")
 
     def side(self, s: str, *columns: str) -> DataFrame:
         return self.nodes.select(F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns))
 
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that may link by their parity bitmaps."""
-        both = pairs.join(self.side("a", "n", "parity"), "a").join(self.side("b", "n", "parity"), "b")
-        return both.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(lean(_near(self.percent)), "a long, b long")
+    def neighbours(self) -> DataFrame:
+        """Compared pairs: of each class and order, the next class of those that share a list with it and may link by the parity bitmaps.
+
+        However many lists a class is in, it has one such neighbour in each order, and a group of near copies still hangs together.
+        """
+        both = self.chains.join(self.side("a", "n", "parity"), "a").join(self.side("b", "n", "parity"), "b")
+        likely = both.select("a", "b", "o", "t", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(lean(_near(self.percent)), "a long, b long, o long, t long")
+        nearest = likely.groupBy("a", "o").agg(F.min(F.struct("t", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        return self.compared(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) with n_a, n_b, and apart: the number of shingles that one of both sets has. Only the texts that are asked for are dealt."""
@@ -519,7 +531,7 @@ class Sets:
         return F.expr(f"({apart}) < n_a + n_b AND ({apart}) * {100 + self.percent} <= (n_a + n_b) * {100 - self.percent}")
 
     def crossed(self, labelled: DataFrame) -> DataFrame:
-        """Pairs of classes of different roots that may link, from lists (token, pack, cls, root).
+        """Pairs of classes of different roots that may link, with bits, from lists (token, pack, cls, root).
 
         A list is cut in blocks: of a root of more than BLOCK entries by class, of the others together by root. Blocks of one root aren't paired with each other.
         """
@@ -534,7 +546,7 @@ class Sets:
         left = left.withColumn("other", F.explode(F.expr("filter(sequence(0, total - 1), x -> nth = 0 OR x < begin OR x >= begin + parts)")))
         left = left.select("token", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), F.col("own").cast("long").alias("side"), "pack", "cls", "root")
         left = left.join(self.nodes.select("cls", "parity"), "cls").select(*CROSSED, "parity")
-        return left.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lean(_crossings(self.percent)), "a long, b long").distinct()
+        return left.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lean(_crossings(self.percent)), "a long, b long, bits long").distinct()
 
     def derived(self, pairs: DataFrame, tried: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, derived from what their leaders differ in where that is enough; tried: compared neighbours."""
@@ -556,6 +568,29 @@ class Sets:
         return settle(sure.select("a", "b").unionByName(own.select("a", "b")))
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after links (a, b) between nodes, which needn't be in roots."""
+    name = lambda s: F.coalesce(f"r_{s}", s).alias(s)
+    over = components(links.join(_rooted(roots, "a"), "a", "left").join(_rooted(roots, "b"), "b", "left").select(name("a"), name("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    known = roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    lone = over.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return settle(known.unionByName(lone))
+
+
+def _rooted(roots: DataFrame, s: str) -> DataFrame:
+    return roots.select(F.col("node").alias(s), F.col("root").alias(f"r_{s}"))
+
+
+#: Up to so many pairs of different components are compared without rounds of merging first.
+FEW, MERGES = 10_000, 5
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b, bits) whose components differ, with these, ra and rb."""
+    rows = pairs.join(_rooted(roots, "a"), "a", "left").join(_rooted(roots, "b"), "b", "left")
+    return rows.select("a", "b", "bits", F.coalesce("r_a", "a").alias("ra"), F.coalesce("r_b", "b").alias("rb")).filter("ra <> rb")
+
+
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     return _named(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -568,8 +603,8 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataF
     sets are linked too, and to what the others of their class are linked with; they share a class and have no rows of their own.
     """
     sets = Sets(docs, size, percent)
-    tried = sets.compared(sets.near(sets.chains))
-    pairs = sets.crossed(sets.lists.withColumn("root", F.col("cls"))).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    tried = sets.neighbours()
+    pairs = sets.crossed(sets.lists.withColumn("root", F.col("cls"))).select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
     found = sets.derived(pairs, tried).unionByName(tried.filter(sets.links()).select("a", "b"))
     least = sets.rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = lambda s: least.select(F.col("cls").alias(s), F.col("least").alias(f"doc_{s}"))
@@ -579,19 +614,21 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataF
 def _named(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n, row_key, component_id and top, a class that names the component, for each row of docs."""
     sets = Sets(docs, size, percent)
-    tried = sets.compared(sets.near(sets.chains))
-    roots = components(tried.filter(sets.links()))
+    tried = sets.neighbours()
+    roots = settle(components(tried.filter(sets.links())))
     labelled = sets.lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("token", "pack", "cls", F.coalesce("root", "cls").alias("root"))
-    pairs = sets.crossed(labelled).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = sets.derived(pairs, tried)
-
-    # Components of components, then the smallest doc_id of each.
-    name = lambda s: F.coalesce(f"r_{s}", s).alias(s)
-    side = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"r_{s}"))
-    over = components(more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(name("a"), name("b")))
-    final = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(F.col("node").alias("cls"), F.coalesce("top", "root").alias("top"))
-    lone = over.join(roots, over["node"] == roots["node"], "left_anti").select(F.col("node").alias("cls"), F.col("root").alias("top"))
-    final = final.unionByName(lone)
+    pairs = settle(sets.crossed(labelled).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    for _ in range(MERGES):
+        if pairs.count() <= FEW:
+            break
+        # Of each component the pair that is nearest by the bitmaps; what it joins makes most of the other pairs needless.
+        both = apart(pairs, roots)
+        nearest = both.select(F.col("ra").alias("r"), "a", "b", "bits").unionByName(both.select(F.col("rb").alias("r"), "a", "b", "bits")).groupBy("r").agg(F.min(F.struct("bits", "a", "b")).alias("m"))
+        more = sets.compared(nearest.select("m.a", "m.b").distinct())
+        roots = merged(roots, more.filter(sets.links()).select("a", "b"))
+        tried = tried.unionByName(more)
+        pairs = settle(apart(pairs, roots).join(more.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "bits"))
+    final = merged(roots, sets.derived(pairs.select("a", "b"), tried)).select(F.col("node").alias("cls"), F.col("root").alias("top"))
 
     classes = sets.rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(final, "cls", "left").withColumn("top", F.coalesce("top", "cls"))
     tops = classes.groupBy("top").agg(F.min("least").alias("component_id"))
