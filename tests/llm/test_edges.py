@@ -112,9 +112,11 @@ def test_word_digests_tell_words_apart():
     assert all(known.setdefault(w, x) == x for w, x in zip(words_, h.tolist())) and len(set(known.values())) == len(known)
 
 
-def test_jaccard_of_many_groups(spark, monkeypatch):
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_jaccard_of_many_groups(spark, monkeypatch, few):
     """Groups of near copies at all distances: components and links, derived and compared, are those of brute force."""
     monkeypatch.setattr(jaccard, "BLOCK", 6)
+    monkeypatch.setattr(jaccard, "FEW", few)
     rnd = random.Random(26)
     rows = []
     for g in range(6):
