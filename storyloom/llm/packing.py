@@ -32,10 +32,10 @@ CAPACITY = 2048
 GROUP = 256
 #: Rests longer than this part of a window are cut before differencing, so that sums come near to each other.
 CUT = 4
-#: Chunks in each of the two generations of an encoder's memory, about 30 MB each.
-MEMORY = 150_000
+#: Different words that are encoded as one text.
+WORDS = 5000
 #: Characters of text that are encoded at a time.
-SLICE = 4_000_000
+SLICE = 6_000_000
 
 #: The parts of a tokenizer file under which a chunk between white space may be encoded by itself, in lower case, and the ends of words be told by "</w>".
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -53,16 +53,11 @@ BYTES = {b: b if b in _SHOWN else 0x100 + sum(x not in _SHOWN for x in range(b))
 # End of fixed values.
 
 
-def latin(text: str) -> bool:
-    """Whether all characters are of Latin-1."""
-    return text.isascii() or max(text) < "\u0100"
-
-
 class Encoder:
     """Token ids of texts, as ``tokenizers`` gives them for whole texts.
 
     Of a tokenizer file that cuts at white space, lowers letters and marks the ends of words (``NORMALIZER``, ``SPLITTER``), each different
-    chunk between white space is encoded once and remembered in two generations of bounded size: the younger becomes the older when full.
+    chunk between white space is encoded once for each ``SLICE`` of text: words of letters as one text of them, without the marks after them. Only one slice's words are remembered, for the next.
     With any other file, and for texts with a special token's name or with U+001C to U+001F, which not all take for white space, whole texts are encoded.
     """
 
@@ -78,16 +73,12 @@ class Encoder:
         # Special tokens are found before anything is lowered or cut; odd() knows those that begin with "<|".
         self.cuts = self.cuts and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in known["added_tokens"])
         self.ends = np.zeros(0, bool)
+        self.before = pa.array([], pa.large_string()), pa.array([], pa.large_list(pa.uint32()))
         if self.cuts:
             self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
             self.ends[[n for t, n in model["vocab"].items() if t.endswith("</w>")]] = True
             # The same model without what lowers and cuts texts, for words of lower Latin letters.
             self.merger = Tokenizer.from_str(json.dumps(known | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
-        self.forget()
-
-    def forget(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -114,7 +105,7 @@ class Encoder:
         split = pc.utf8_split_whitespace(pa.array(["" if k in odd else self.plain(t) for k, t in enumerate(texts)], pa.large_string()))
         offsets, chunks = split.offsets.to_numpy(), split.values.dictionary_encode()
         del split
-        ids, sizes = self.look_up(chunks.dictionary.to_pylist())
+        ids, sizes = self.look_up(chunks.dictionary)
         known = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(ids))
         flat = known.take(chunks.indices).values.to_numpy()
         ends = np.cumsum(sizes[chunks.indices.to_numpy()])
@@ -127,44 +118,51 @@ class Encoder:
             flat = np.concatenate(parts)
         return np.insert(flat, np.cumsum(counts), np.uint32(last)), counts + 1
 
-    def look_up(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of different chunks one after the other, and how many each has."""
-        if len(self.young) > MEMORY:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        young[""] = b""
-        found = list(map(young.get, chunks))
-        gaps = [k for k, x in enumerate(found) if x is None]
-        missing = [c for k in gaps if young.setdefault(c := chunks[k], old.get(c)) is None]
-        # Marks that end a chunk after letters are cut off from these.
-        parts = {c: (word, c[len(word) :]) for c in missing if c[-1] in MARKS and (word := c.rstrip(MARKS)).isalpha() and latin(word)}
-        for x in {y for two in parts.values() for y in two}:
-            if young.get(x) is None and young.setdefault(x, old.get(x)) is None:
-                missing.append(x)
-        self.learn([c for c in dict.fromkeys(missing) if c not in parts])
-        for c, (word, stop) in parts.items():
-            young[c] = young[word] + young[stop]
-        for k in gaps:
-            found[k] = young[chunks[k]]
-        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
-
-    def learn(self, chunks: list[str]) -> None:
-        """Letters alone are one word, so many such chunks are encoded as one text; others by themselves."""
-        words, others = [], []
-        for c in chunks:
-            (words if c.isalpha() and latin(c) else others).append(c)
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
-            text = " ".join(some).lower().encode("utf-8").decode("latin-1").translate(BYTES)
-            ids = np.array(self.merger.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            raw, a = ids.tobytes(), 0
-            for c, b in zip(some, (4 * cut).tolist(), strict=True):
-                self.young[c], a = raw[a:b], b
-        for at in range(0, len(others), 5000):
-            some = others[at : at + 5000]
-            for c, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.young[c] = np.array(x.ids, "<u4").tobytes()
+    def look_up(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different chunks one after the other, and how many each has. A chunk of letters, and of marks after these, is two units; any other is one."""
+        words = pc.utf8_rtrim(chunks, characters=MARKS)
+        plain = pc.and_(pc.utf8_is_alpha(words), pc.match_substring_regex(words, r"^[\x{00}-\x{FF}]*$"))
+        of_letters = plain.to_numpy(zero_copy_only=False)
+        words = words.filter(plain).dictionary_encode()
+        marks = pc.replace_substring_regex(chunks.filter(plain), r"^\pL+", "").dictionary_encode()
+        others = chunks.filter(pc.invert(plain)).to_pylist()
+        units = [self.known(words.dictionary), self.of_each(marks.dictionary.to_pylist()), self.of_each([*others, ""])]
+        sizes = np.concatenate([x[1] for x in units])
+        n, m = len(units[0][1]), len(units[1][1])
+        pairs = np.full((len(chunks), 2), len(sizes) - 1)  # the last unit is empty
+        pairs[of_letters, 0], pairs[of_letters, 1] = words.indices.to_numpy(), n + marks.indices.to_numpy()
+        pairs[~of_letters, 0] = n + m + np.arange(len(others))
+        known = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.concatenate([x[0] for x in units])))
+        return known.take(pa.array(pairs.ravel())).flatten().to_numpy(), sizes[pairs].sum(axis=1)
+
+    def known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of different words of Latin letters: those that the slice before had too aren't encoded again."""
+        before, lists = self.before
+        at = pc.index_in(words, value_set=before)
+        new = pc.is_null(at)
+        ids, sizes = self.of_words(words.filter(new).to_pylist())
+        fresh = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(ids, pa.uint32()))
+        place = np.where(new.to_numpy(zero_copy_only=False), len(before) + np.cumsum(new.to_numpy(zero_copy_only=False)) - 1, pc.fill_null(at, 0).to_numpy())
+        lists = pa.concat_arrays([lists, fresh]).take(pa.array(place))
+        self.before = words, lists
+        return lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
+
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of words of Latin letters: many are encoded as one text."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), WORDS):
+            text = " ".join(words[at : at + WORDS]).lower().encode("utf-8").decode("latin-1").translate(BYTES)
+            ids.append(np.array(self.merger.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+            sizes.append(np.diff(np.flatnonzero(self.ends[ids[-1]]), prepend=-1))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def of_each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(chunks), WORDS):
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(chunks[at : at + WORDS], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter((i for x in got for i in x), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -308,7 +306,6 @@ def _packer(path: str, last: int, capacity: int, group: int, ids_too: bool):
             yield from take()
         if docs:
             yield flush()
-        coder.forget()  # Spark uses its Python processes again, and for other work too
 
     return pack_batches
 
