@@ -60,9 +60,9 @@ def test_encoder_of_other_tokenizers(tmp_path, change):
     assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
 
-def test_encoder_forgets(monkeypatch):
-    """A memory that turns over gives the same ids."""
-    monkeypatch.setattr(packing, "MEMORY", 5)
+def test_encoder_of_few_words_at_a_time(monkeypatch):
+    """However many words are encoded as one text, ids are the same."""
+    monkeypatch.setattr(packing, "WORDS", 5)
     rnd = random.Random(23)
     coder = packing.Encoder(packing.default_tokenizer())
     for _ in range(30):
