@@ -582,7 +582,7 @@ def _rooted(roots: DataFrame, s: str) -> DataFrame:
 
 
 #: Up to so many pairs of different components are compared without rounds of merging first.
-FEW, MERGES = 10_000, 5
+FEW, MERGES = 100_000, 5
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -615,7 +615,7 @@ def _named(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n, row_key, component_id and top, a class that names the component, for each row of docs."""
     sets = Sets(docs, size, percent)
     tried = sets.neighbours()
-    roots = settle(components(tried.filter(sets.links())))
+    roots = components(tried.filter(sets.links()))
     labelled = sets.lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("token", "pack", "cls", F.coalesce("root", "cls").alias("root"))
     pairs = settle(sets.crossed(labelled).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     for _ in range(MERGES):
