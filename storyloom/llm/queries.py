@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import chat, exact_dedup, jaccard, licenses, mixing, packing, quality, sharding, suffix_dedup, toxicity
+from storyloom.llm import change_points, chat, exact_dedup, jaccard, licenses, mixing, packing, quality, sharding, suffix_dedup, toxicity
 from storyloom.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), ids=False)
 
 
+def op11_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return change_points.change_points(table(spark, sf_dir, "sale_lines"), "vendor_id", "shipped_at", "quantity")
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ablations of the two policies beyond the base."""
     held = quality.ledger(table(spark, sf_dir, "documents"))
@@ -63,6 +67,18 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one("v1").unionByName(one("v2"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_jaccard, op4_quality, op5_licenses, op6_sharding, op7_suffix_dedup, op8_toxicity, op9_chat, op10_packing, quality_ablations)}
-
-SQL: dict[str, str] = {"op1_mixing": mixing.sql(), "op2_exact_dedup": exact_dedup.SQL, "op4_quality": quality.SQL, "op5_licenses": licenses.sql(), "quality_ablations": " UNION ALL ".join(f"SELECT '{v}' AS policy, * FROM ({quality.ablations_sql(v)})" for v in ("v1", "v2"))}
+_ALL = (
+    op1_mixing, op2_exact_dedup, op3_jaccard, op4_quality, op5_licenses, op6_sharding, op7_suffix_dedup,
+    op8_toxicity, op9_chat, op10_packing, op11_change_points, quality_ablations,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+
+_ABLATIONS = [f"SELECT '{v}' AS policy, * FROM ({quality.ablations_sql(v)})" for v in ("v1", "v2")]
+SQL: dict[str, str] = {
+    "op1_mixing": mixing.sql(),
+    "op2_exact_dedup": exact_dedup.SQL,
+    "op4_quality": quality.SQL,
+    "op5_licenses": licenses.sql(),
+    "op11_change_points": change_points.SQL,
+    "quality_ablations": " UNION ALL ".join(_ABLATIONS),
+}
