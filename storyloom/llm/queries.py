@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import change_points, chat, exact_dedup, jaccard, licenses, mixing, packing, quality, runs, sharding, suffix_dedup, toxicity
+from storyloom.llm import change_points, chat, exact_dedup, jaccard, licenses, mixing, packing, phrases, quality, runs, sharding, suffix_dedup, toxicity
 from storyloom.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.find(runs.with_periods(table(spark, sf_dir, "documents"))))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.dedup(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ablations of the two policies beyond the base."""
     held = quality.ledger(table(spark, sf_dir, "documents"))
@@ -73,7 +77,7 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_mixing, op2_exact_dedup, op3_jaccard, op4_quality, op5_licenses, op6_sharding, op7_suffix_dedup,
-    op8_toxicity, op9_chat, op10_packing, op11_change_points, op12_runs, quality_ablations,
+    op8_toxicity, op9_chat, op10_packing, op11_change_points, op12_runs, op13_phrases, quality_ablations,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
