@@ -87,7 +87,7 @@ def test_phrases_in_many_copies_of_one_passage(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SPLIT", 4)
     rnd = random.Random(34)
     passage = words(rnd, 80)
-    rows = [(k, " ".join([*words(rnd, rnd.randint(1, 9)), *passage, f"end{k % 50}"])) for k in range(400)]
+    rows = [(k, " ".join([*(f"p{k}x{i}" for i in range(rnd.randint(1, 9))), *passage, f"end{k % 50}"])) for k in range(400)]
     got = {r[0]: r for r in run(spark, rows, 9)}
     assert got[0][2] == 0 and all(got[k][2] == 80 + (k >= 50) for k in range(1, 400))
 
