@@ -53,16 +53,38 @@ def mentions(events: DataFrame) -> DataFrame:
     return rows.select("doc_id", ord_.alias("ord"), F.concat(F.lit("EM"), ord_).alias("id"), "m.text", "m.label", "m.source", "m.span_start", "m.span_end", "event_id")
 
 
-def ids_of(rows: DataFrame, key: str, names: str, dimension: DataFrame, out: str = "actor_ids") -> DataFrame:
-    """doc_id, key and the dimension's ids for a list of names, in order; names without one are left out."""
-    flat = rows.select("doc_id", key, F.posexplode(names).alias("_pos", "_name"))
-    ids = dimension.groupBy("doc_id", F.upper("name").alias("_key")).agg(F.min(F.struct("n", "id")).alias("_d"))
-    joined = flat.withColumn("_key", F.upper("_name")).join(ids, ["doc_id", "_key"])
-    return joined.groupBy("doc_id", key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", F.col("_d.id").alias("id")))), lambda x: x["id"]).alias(out))
-
-
-def with_location_ids(rows: DataFrame, places: DataFrame, default: str, out: str = "location_id") -> DataFrame:
-    """rows with the id of their location, or the default."""
-    ids = places.select("doc_id", F.upper("name").alias("_key"), F.col("id").alias(out))
-    joined = rows.withColumn("_key", F.upper("location")).join(ids, ["doc_id", "_key"], "left").drop("_key")
-    return joined.withColumn(out, F.coalesce(F.when(F.col("location") != "", F.col(out)), F.lit(default)))
+def event_actor_ids(events: DataFrame, out: str = "actor_ids") -> DataFrame:
+    """events with the ids of their actors, in order, as :func:`actors` numbers them: without joins, in the exchange that events are dealt by.
+
+    A dictionary is made for each document by windows over its exploded names: a name's place is the first (event, position) whose upper
+    case is its own, and its number the rank of that place. Names that are the narrator's have A0. Events are put together again by
+    their order, which their document's exchange keeps in one place.
+    """
+    names = F.posexplode_outer("actors").alias("_pos", "_name")
+    rows = events.select("doc_id", "order", "lang", F.struct(*(c for c in events.columns if c not in ("doc_id", "order", "lang"))).alias("_event"), names)
+    rows = rows.withColumn("_key", F.upper("_name"))
+    # An event without actors has one row and no name; its place is none.
+    place = F.when(F.col("_name").isNotNull(), F.struct("order", "_pos"))
+    rows = rows.withColumn("_first", F.min(place).over(Window.partitionBy("doc_id", "_key")))
+    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.col("_first").asc_nulls_last()))
+    narrator = F.upper(F.when(F.col("lang") == "ro", "Narator").otherwise("Narrator"))
+    id_ = F.when(F.col("_key") == narrator, F.lit("A0")).otherwise(F.concat(F.lit("A"), rank))
+    rows = rows.withColumn("_id", F.when(F.col("_name").isNotNull(), F.struct("_pos", id_.alias("id"))))
+    held = rows.groupBy("doc_id", "order").agg(F.first("lang").alias("lang"), F.first("_event").alias("_event"), F.sort_array(F.collect_list("_id")).alias("_ids"))
+    return held.select("doc_id", "order", "lang", "_event.*", F.transform("_ids", lambda x: x["id"]).alias(out)).select(*events.columns, out)
+
+
+def place_ids(events: DataFrame, out: str = "place_id") -> DataFrame:
+    """events with the id of their location as :func:`locations` numbers them, and null where it has none: by windows of the exchange that events are dealt by."""
+    name = F.col("location")
+    key = F.when((name != "") & ~F.lower(name).isin(*UNKNOWN), F.upper(name))
+    rows = events.withColumn("_key", key)
+    first = F.when(key.isNotNull(), F.min("order").over(Window.partitionBy("doc_id", "_key")))
+    rows = rows.withColumn("_first", first)
+    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.col("_first").asc_nulls_last()))
+    return rows.withColumn(out, F.when(F.col("_first").isNotNull(), F.concat(F.lit("L"), rank + 1)).otherwise(unknown_id(name, F.col("lang")))).drop("_key", "_first")
+
+
+def unknown_id(name: Column, lang: Column) -> Column:
+    """L1 for the language's name of the unknown place, in any case; else null."""
+    return F.when(F.upper(name) == F.upper(F.when(lang == "ro", UNKNOWN[1]).otherwise(UNKNOWN[0])), F.lit("L1"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as X
+from storyloom.operators.dimensions import unknown_id
 
 BREAKS = ("BEFORE", "AFTER", "SIMULTANEOUS")
 
@@ -26,8 +27,11 @@ def segmented(events: DataFrame) -> DataFrame:
 
 
 def candidates(seg_events: DataFrame) -> DataFrame:
-    """A row for each segment, from its events in order."""
-    item = F.struct("order", "text", "actors", "temporal_anchor", "location", "id", "temporal_category", "relation_to_previous", "relation_cue", "relation_evidence")
+    """A row for each segment, from its events in order; with location_id, empty for none, if they have place_id, and with actor_ids if they have them."""
+    known = [c for c in ("place_id", "actor_ids") if c in seg_events.columns]
+    item = F.struct(
+        "order", "text", "actors", "temporal_anchor", "location", "id", "temporal_category", "relation_to_previous", "relation_cue", "relation_evidence", *known
+    )
     rows = seg_events.groupBy("doc_id", "lang", "seg_no").agg(F.sort_array(F.collect_list(item)).alias("e"), F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"))
     first_of = lambda c, default: F.coalesce(F.get(F.filter(F.transform("e", lambda x: x[c]), lambda v: v != ""), 0), F.lit(default))
     return rows.select(
@@ -35,9 +39,18 @@ def candidates(seg_events: DataFrame) -> DataFrame:
         first_of("temporal_anchor", "").alias("temporal_anchor"), first_of("location", "unknown").alias("location"), F.col("e")[0]["temporal_category"].alias("temporal_category"),
         "span_start", "span_end", F.transform("e", lambda x: x["id"]).alias("event_ids"),
         F.struct(F.col("e")[0]["relation_to_previous"].alias("relation"), F.col("e")[0]["relation_cue"].alias("cue"), F.col("e")[0]["relation_evidence"].alias("evidence")).alias("first_event"),
+        *([_place_of(first_of("location", "unknown"))] if "place_id" in known else []),
+        # A name has one id in its document, so distinct ids are those of distinct names.
+        *([F.array_distinct(F.flatten(F.transform("e", lambda x: x["actor_ids"]))).alias("actor_ids")] if "actor_ids" in known else []),
     )
 
 
+def _place_of(location: Column) -> Column:
+    """The id of the first place that the events e name, or of the unknown place."""
+    named = F.get(F.filter("e", lambda x: x["location"] != ""), 0)
+    return F.coalesce(named["place_id"], F.when(named.isNull(), unknown_id(location, F.col("lang"))), F.lit("")).alias("location_id")
+
+
 def typed(rows: DataFrame, model=None) -> DataFrame:
     """rows with type, perspective, entities, confidence and classifier."""
     t, lang, ro = F.col("text"), F.col("lang"), F.col("lang") == "ro"

@@ -45,9 +45,19 @@ class Corpus:
     def events(self) -> DataFrame:
         return self._held(events.events(self.documents, self._category_model))
 
+    @cached_property
+    def identified_events(self) -> DataFrame:
+        """Events with actor_ids and place_id, as the dimensions number them; place_id is null where the location isn't in the dimension."""
+        return self._held(dimensions.place_ids(dimensions.event_actor_ids(self.events)))
+
+    @cached_property
+    def identified_segments(self) -> DataFrame:
+        """Segments with actor_ids and location_id."""
+        return self._held(segments.segments(self.identified_events, self._type_model))
+
     @cached_property
     def segments(self) -> DataFrame:
-        return self._held(segments.segments(self.events, self._type_model))
+        return self.identified_segments if self._keep else segments.segments(self.events, self._type_model)
 
     @cached_property
     def chain(self) -> DataFrame:
@@ -84,7 +94,7 @@ class Corpus:
     @cached_property
     def located_segments(self) -> DataFrame:
         """Segments with location_id, empty where the location isn't in the dimension."""
-        return dimensions.with_location_ids(self.segments, self.locations, "")
+        return self.identified_segments if self._keep else segments.segments(dimensions.place_ids(self.events), self._type_model)
 
     @cached_property
     def tml_events(self) -> DataFrame:
