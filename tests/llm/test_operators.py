@@ -74,13 +74,13 @@ def test_exact_dedup_repeated_rows(spark):
 LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shingle_set(t):
+def shingle_set(t, size=3):
     w = (t or "").encode().translate(LOW).split()
-    return frozenset(zip(w, w[1:], w[2:], strict=False)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+    return frozenset(zip(*(w[k:] for k in range(size)), strict=False)) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
-def brute_components(rows):
-    sets = {r[0]: shingle_set(r[1]) for r in rows}
+def brute_components(rows, size=3, percent=90):
+    sets = {r[0]: shingle_set(r[1], size) for r in rows}
     up = {i: i for i in sets}
 
     def root(x):
@@ -90,7 +90,7 @@ def brute_components(rows):
 
     for a, b in itertools.combinations(sorted(sets), 2):
         both = len(sets[a] & sets[b])
-        if both and 100 * both >= 90 * len(sets[a] | sets[b]):
+        if both and 100 * both >= percent * len(sets[a] | sets[b]):
             x, y = sorted((root(a), root(b)))
             up[y] = x
     return {i: (len(sets[i]), root(i)) for i in sets}
@@ -447,7 +447,7 @@ def test_pipeline(docs, spark, tmp_path):
     for r in rows:
         groups[strip(r[1])].append(r)
     left = [min(g, key=lambda r: (-len(r[1] or ""), r[0])) for g in groups.values()]
-    named = brute_components(left)
+    named = brute_components(left, 5, 80)  # the stage's rule: five words, four fifths
     left = [r for r in left if named[r[0]][1] == r[0]]
     drawn = {r.doc_id for r in mixing.weigh(spark.createDataFrame(left, SCHEMA)).collect() if r.sampled}
     assert {r.doc_id for r in got} == drawn
