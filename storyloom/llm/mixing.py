@@ -7,14 +7,16 @@ A cell's rate is its raked weight by its tokens. A cell gives at most its
 tokens, so a second raking is bounded: each step gives the cells of one value the factor at which their tokens, full cells held at what
 they have, meet the value's share of ``budget`` tokens; documents are then drawn with the probability of their cell. A value with
 fewer tokens than its share gives all of them, and the other values share the rest by their targets.
-Small tables of cells, up to ``LOCAL``, are raked within one row by array functions, larger ones by windows over the values; the results are the same.
+Small tables of cells, up to ``LOCAL``, are raked within one row by array functions, larger ones by windows over the values; both compare sums
+with targets after the same rounds and end by the same rule, so the results are the same, also where targets can't be met. ``residual`` tells by how much they are missed.
 The draw compares the probability with a digest of doc_id and seed, so it is the same on any cluster.
 
 The default target of a value is its share of tokens to the power ``temperature``, normalised, which lifts small sources.
 Explicit targets are given by value; values without one get nothing. Only the table of cells is raked, by windows over the values of a dimension; it grows with the metadata,
 not with the documents, and is broadcast only if it has at most ``BROADCAST_CELLS`` rows; beyond that it is joined by a shuffle.
 
-Cases: null source, lang and topic are values of their own; null, empty and white texts have no tokens, and a cell
+Cases: null source, lang and topic are values of their own, told from all texts but the single character U+0000, which counts as null; rows of one
+doc_id share a draw, so those with a null one are drawn or left together; doc_id may be of any type; null, empty and white texts have no tokens, and a cell
 without tokens has rate 0; repeated rows are drawn alike; an empty table gives no rows; further columns aren't touched.
 """
 
@@ -32,8 +34,8 @@ from storyloom.llm.common import WORD, columns_of, fresh, settle, text_of
 DIMENSIONS = ("source", "lang", "topic")
 TEMPERATURE, BUDGET, SEED = 0.7, 0.6, "mix-1"
 ROUNDS, TOLERANCE = 1000, 1e-12
-#: Rounds in one job.
-STRIDE = 5
+#: After so many rounds sums are compared with their targets; raking ends where they meet, or are hardly nearer than at the last comparison.
+STRIDE, GAIN = 5, 0.999
 BROADCAST_CELLS = 100_000
 NONE = "\x00"
 
@@ -74,12 +76,17 @@ def _until_settled(cells: DataFrame, step: Callable[[DataFrame, str], DataFrame]
         if k % STRIDE == STRIDE - 1 or k == rounds - 1:
             cells = settle(cells)
             before, off = off, _off(cells, value, aim)
-            if off <= tolerance:
-                return cells
-            if off >= before * 0.999:
+            if off <= tolerance or off >= before * GAIN:
                 break
-    warnings.warn(f"raking ended while a sum is off by {off:.3g} of its target", stacklevel=3)
-    return cells
+    if off > tolerance:
+        warnings.warn(f"raking ended while a sum is off by {off:.3g} of its target", stacklevel=3)
+    return _with_residual(cells, off)
+
+
+def _with_residual(cells: DataFrame, off: float) -> DataFrame:
+    """cells with residual: by how much a sum misses its target at most, after this raking or one before."""
+    known = F.col("residual") if "residual" in cells.columns else F.lit(0.0)
+    return cells.withColumn("residual", F.greatest(known, F.lit(float(off))))
 
 
 # Tables of at most LOCAL cells are raked within one row: c holds the cells in order, and of each dimension d the arrays k_d (a cell's value, by number), g_d (a value's cells) and t_d
@@ -112,8 +119,12 @@ def _rounds(factor: Callable[[str, str], str], new: str, value: str, rounds: int
         steps += f"transform(array(transform(array({factor(d, w)}), z -> transform({w}, (x, i) -> {new.format(f=f'z[k_{d}[i]]')}))[0]), w{n} -> "
         w = f"w{n}"
     off = ", ".join(f"array_max(transform(zip_with(g_{d}, {_sums(d, value.format(w=w))}, (g, s) -> struct(g, s)), (y, k) -> if(exists(y.g, i -> tk[i] > 0), abs(y.s - t_{d}[k]) / greatest(t_{d}[k], 1e-9D), 0D)))" for d in DIMENSIONS)
-    steps += f"named_struct('w', {w}, 'off', greatest({off}))" + ")[0]" * len(DIMENSIONS)
-    return f"aggregate(sequence(1, {rounds}), named_struct('w', w, 'off', cast('Infinity' as double)), (a, r) -> if(a.off <= {tolerance!r}D, a, {steps}))"
+    # The rule of _until_settled: sums are compared every few rounds, and the last comparison may end it.
+    ended = f"o <= {tolerance!r}D OR o >= a.off * {GAIN!r}D"
+    compared = f"transform(array(greatest({off})), o -> named_struct('w', {w}, 'off', o, 'ended', {ended}))[0]"
+    steps += f"if(r % {STRIDE} = 0 OR r = {rounds}, {compared}, named_struct('w', {w}, 'off', a.off, 'ended', false))" + ")[0]" * len(DIMENSIONS)
+    start = "named_struct('w', w, 'off', cast('Infinity' as double), 'ended', false)"
+    return f"aggregate(sequence(1, {rounds}), {start}, (a, r) -> if(a.ended, a, {steps}))"
 
 
 def _back(row: DataFrame, more: dict[str, str], tolerance: float) -> DataFrame:
@@ -125,7 +136,7 @@ def _back(row: DataFrame, more: dict[str, str], tolerance: float) -> DataFrame:
     cells = row.select("*", F.expr("posexplode(c)").alias("i", "x")).select("x.*", *(F.expr(v).alias(f"_{k}") for k, v in ({"weight": "out.w[i]"} | more).items()))
     for k in ("weight", *more):
         cells = cells.drop(k).withColumnRenamed(f"_{k}", k)
-    return settle(cells)
+    return settle(_with_residual(cells, off))
 
 
 def _rake_row(cells: DataFrame, rounds: int, tolerance: float) -> DataFrame:
@@ -242,13 +253,15 @@ def draw(doc_id: Column, seed: str) -> Column:
 
 
 def probabilities(rows: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, budget: float, temperature: float) -> DataFrame:
-    """The table of cells of measured rows: dimensions, rate and prob."""
+    """The table of cells of measured rows: dimensions, rate, prob and residual."""
     cells = settle(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    return settle(bounded(rake(cells, targets, temperature), budget).select(*DIMENSIONS, "rate", "prob"))
+    return settle(bounded(rake(cells, targets, temperature), budget).select(*DIMENSIONS, "rate", "prob", "residual"))
 
 
 def weigh(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, seed: str = SEED) -> DataFrame:
-    """docs' doc_id, dimensions and n_tokens with rate, prob and sampled. Only the narrow table of these is kept, and the texts are read once."""
+    """docs' doc_id, dimensions and n_tokens with rate, prob, residual and sampled.
+
+    residual is the same in all rows: the largest part by which a marginal's sum misses its target; above 1e-9 targets can't be met together. Only the narrow table of these is kept, and the texts are read once."""
     rows = settle(measured(docs))
     cells = probabilities(rows, targets, budget, temperature)
     side = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells

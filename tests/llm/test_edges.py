@@ -310,3 +310,27 @@ def test_raking_in_one_row_and_by_windows_agree(spark, monkeypatch):
             monkeypatch.setattr(mixing, "LOCAL", local)
             got.append({r.doc_id: (r.rate, r.prob) for r in mixing.weigh(docs, targets, 0.5).collect()})
         assert got[0].keys() == got[1].keys() and all(got[0][k] == pytest.approx(got[1][k], abs=1e-7) for k in got[0])
+
+
+def test_raking_of_targets_that_cannot_be_met_agrees(spark, monkeypatch):
+    """Both ways of raking end after the same rounds, draw the same documents and tell by how much targets are missed."""
+    rnd = random.Random(41)
+    pairs = [("a", "en"), ("b", "de"), ("b", "fr"), ("c", "fr")]
+    docs = spark.createDataFrame([(k, "w " * rnd.randint(1, 30), *pairs[k % 4]) for k in range(40)], "doc_id long, text string, source string, lang string")
+    targets = {"source": {"a": 0.7, "b": 0.2, "c": 0.1}, "lang": {"en": 0.1, "de": 0.3, "fr": 0.6}}
+    got = []
+    for local in (5000, 0):
+        monkeypatch.setattr(mixing, "LOCAL", local)
+        with pytest.warns(UserWarning, match="off by"):
+            got.append({r.doc_id: (r.rate, r.prob, r.residual, r.sampled) for r in mixing.weigh(docs, targets, 0.5).collect()})
+    assert got[0].keys() == got[1].keys() and all(got[0][k] == pytest.approx(got[1][k], rel=1e-6, abs=1e-9) for k in got[0])
+    assert {k: v[3] for k, v in got[0].items()} == {k: v[3] for k, v in got[1].items()}
+    assert min(v[2] for v in got[0].values()) > 0.01
+
+
+def test_mixing_of_null_values_and_ids(spark):
+    """U+0000 is one value with null; rows without an id share their draw; targets that are met leave no residual."""
+    rows = [(None, "a b c", "s", "en")] * 3 + [(k, "a b", source, "en") for k, source in enumerate(["\x00", None, "s", "s", "t"])]
+    got = mixing.weigh(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    assert len(got) == 8 and len({r.source for r in got}) == 3
+    assert len({r.sampled for r in got if r.doc_id is None}) == 1 and all(r.residual <= 1e-9 for r in got)
