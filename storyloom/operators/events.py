@@ -32,37 +32,58 @@ def sentences(docs: DataFrame) -> DataFrame:
     return rows.filter("real AND sentence <> ''").drop("real")
 
 
-def clauses_of(sentence: Column, lang: Column) -> Column:
-    """Parts of a sentence between commas and conjunctions, if it holds more than one verb."""
-    parts = X.by_language(lang, lambda k: F.split(sentence, L.boundary(k).java))
-    parts = F.filter(F.transform(parts, X.trim), lambda p: p != "")
-    several = (X.count(sentence, "verb", lang) > 1) & (F.size(parts) > 0)
-    return F.when(several, parts).otherwise(F.array(sentence))
-
-
 def clauses(sents: DataFrame) -> DataFrame:
-    """sents with ``clauses``: an array of (text, start, end), each looked for after the end of the one before."""
-    rows = sents.withColumn("parts", clauses_of(F.col("sentence"), F.col("lang")))
-    walk = """aggregate(parts, named_struct('at', 0, 'out', cast(array() as array<struct<text:string,start:int,end:int>>)),
-      (a, p) -> transform(array(coalesce(nullif(locate(p, sentence, a.at + 1), 0) - 1, a.at)), b -> named_struct(
-        'at', least(length(sentence), b + length(p)), 'out', array_append(a.out, named_struct('text', p, 'start', start + b, 'end', start + b + length(p)))))[0],
-      a -> a.out)"""
-    return rows.withColumn("clauses", F.expr(walk)).drop("parts")
+    """sents with ``clauses``: an array of (text, start, end), the parts of a sentence between commas and conjunctions if it holds more than one verb.
+
+    A part counts as lying where it is first found after the end of the one before. That is where it was cut from, unless it also occurs in what parts
+    the two; places are sums of lengths, and only sentences with such a part, or a blank one, are walked part by part.
+    """
+    lang = F.col("lang")
+    cut = lambda make: X.by_language(lang, lambda k: make(F.lit(L.boundary(k).java)))
+    several = X.count(F.col("sentence"), "verb", lang) > 1
+    rows = sents.withColumn("_parts", F.when(several, cut(lambda r: F.split("sentence", r))))
+    rows = rows.withColumn("_seps", F.when(F.size("_parts") > 1, cut(lambda r: F.regexp_extract_all("sentence", r, F.lit(0)))))
+    rows = rows.withColumn("_tiles", F.flatten(F.transform("_parts", lambda p, i: F.array(p, F.coalesce(F.get("_seps", i), F.lit(""))))))
+    lead = lambda x: F.regexp_extract(x, r"(?U)^\s*", 0)
+    trail = lambda x: F.regexp_extract(x, r"(?U)\s*$", 0)
+
+    def found(part: Column, i: Column, at: Column) -> Column:
+        text = X.trim(part)
+        between = F.when(i > 0, F.concat(trail(F.get("_parts", i - 1)), F.get("_seps", i - 1), lead(part))).otherwise(F.lit(""))
+        true = (text != "") & (F.instr(F.concat(between, text), text) == F.length(between) + 1)
+        return F.struct(text.alias("text"), (F.get(at, 2 * i) + F.length(lead(part))).alias("at"), true.alias("true"))
+
+    # Bound, for the optimizer would put a column that is used once into the lambda, to be made again for each part.
+    rows = rows.withColumn("_found", F.when(F.size("_parts") > 1, X.bound(X.starts("_tiles"), lambda at: F.transform("_parts", lambda p, i: found(p, i, at)))))
+    place = lambda text, at: F.struct(text.alias("text"), at.cast("int").alias("start"), (at + F.length(text)).cast("int").alias("end"))
+    whole = F.array(place(F.col("sentence"), F.col("start")))
+    walked = F.when(F.exists("_found", lambda x: ~x["true"]), walk("filter(transform(_found, x -> x.text), p -> p <> '')"))
+    summed = F.transform("_found", lambda x: place(x["text"], F.col("start") + x["at"]))
+    made = F.when(F.size("_parts") > 1, F.coalesce(walked, summed)).otherwise(whole)
+    return rows.withColumn("clauses", F.when(F.size(made) > 0, made).otherwise(whole)).drop("_parts", "_seps", "_tiles", "_found")
+
+
+def walk(parts: str) -> Column:
+    """Clauses of the columns sentence and start by looking for each of the parts after the end of the one before; the work grows with the square of their number."""
+    at = "coalesce(nullif(locate(p, sentence, a.at + 1), 0) - 1, a.at)"
+    item = "named_struct('text', p, 'start', start + b, 'end', start + b + length(p))"
+    begin = "named_struct('at', 0, 'out', cast(array() as array<struct<text:string,start:int,end:int>>))"
+    step = f"transform(array({at}), b -> named_struct('at', least(length(sentence), b + length(p)), 'out', array_append(a.out, {item})))[0]"
+    return F.expr(f"aggregate({parts}, {begin}, (a, p) -> {step}, a -> a.out)")
 
 
 def event_clauses(rows: DataFrame) -> DataFrame:
     """doc_id, lang, sent_no, clause_no, text, span_start, span_end: clauses with a verb, led by the verbless ones before them in their sentence.
 
-    Verbless clauses at the end of a sentence are dropped.
+    Verbless clauses at the end of a sentence are dropped. A clause with a verb takes the slice from the one before it on.
     """
     verb = X.by_language(F.col("lang"), lambda k: F.lit(L.cue("verb", k).java))
-    walk = """aggregate(clauses, named_struct('prefix', '', 'begin', 0, 'out', cast(array() as array<struct<text:string,start:int,end:int>>)),
-      (a, c) -> if(regexp_like(c.text, verb),
-        named_struct('prefix', '', 'begin', 0, 'out', array_append(a.out, named_struct(
-          'text', if(a.prefix = '', c.text, concat(a.prefix, ', ', c.text)), 'start', if(a.prefix = '', c.start, a.begin), 'end', c.end))),
-        named_struct('prefix', if(a.prefix = '', c.text, concat(a.prefix, ' ', c.text)), 'begin', if(a.prefix = '', c.start, a.begin), 'out', a.out)),
-      a -> a.out)"""
-    rows = rows.withColumn("verb", verb).select("doc_id", "lang", "sent_no", F.posexplode(F.expr(walk)).alias("clause_no", "e"))
+    rows = rows.withColumn("verb", verb)
+    rows = rows.withColumn("_verbs", F.expr("filter(transform(clauses, (c, i) -> if(regexp_like(c.text, verb), i, null)), i -> i IS NOT NULL)"))
+    group = """transform(_verbs, (v, j) -> transform(array(slice(clauses, if(j = 0, 0, _verbs[j - 1] + 1) + 1, v - if(j = 0, -1, _verbs[j - 1]))), g -> named_struct(
+      'text', if(size(g) = 1, g[0].text, concat(array_join(transform(slice(g, 1, size(g) - 1), c -> c.text), ' '), ', ', g[size(g) - 1].text)),
+      'start', g[0].start, 'end', g[size(g) - 1].end))[0])"""
+    rows = rows.select("doc_id", "lang", "sent_no", F.posexplode(F.expr(group)).alias("clause_no", "e"))
     return rows.select("doc_id", "lang", "sent_no", "clause_no", F.col("e.text").alias("text"), F.col("e.start").alias("span_start"), F.col("e.end").alias("span_end"))
 
 
@@ -80,11 +101,15 @@ def numbered(rows: DataFrame) -> DataFrame:
     by_doc = Window.partitionBy("doc_id").orderBy("sent_no", "clause_no")
     so_far = by_doc.rowsBetween(Window.unboundedPreceding, 0)
     inherited = lambda c, empty: F.coalesce(F.last(F.when(~empty, F.col(c)), ignorenulls=True).over(so_far), F.col(c))
-    first_cue = F.struct(F.lit(X.FIRST_EVENT[0]).alias("relation"), F.lit("").alias("cue"), F.lit(X.FIRST_EVENT[2]).alias("evidence"))
     rows = rows.withColumns({"order": F.row_number().over(by_doc), "actors": inherited("own_actors", F.size("own_actors") == 0), "temporal_anchor": inherited("own_anchor", F.col("own_anchor") == "")})
+    return with_cues(rows).drop("own_actors", "own_anchor", "cue_later", "sent_no", "clause_no")
+
+
+def with_cues(rows: DataFrame) -> DataFrame:
+    """Numbered rows with their relation to the event before, and ids."""
+    first_cue = F.struct(F.lit(X.FIRST_EVENT[0]).alias("relation"), F.lit("").alias("cue"), F.lit(X.FIRST_EVENT[2]).alias("evidence"))
     cue = F.when(F.col("order") == 1, first_cue).otherwise(F.col("cue_later"))
-    rows = rows.withColumns({"relation_to_previous": cue["relation"], "relation_cue": cue["cue"], "relation_evidence": cue["evidence"], "id": F.concat(F.lit("EV"), F.col("order"))})
-    return rows.drop("own_actors", "own_anchor", "cue_later", "sent_no", "clause_no")
+    return rows.withColumns({"relation_to_previous": cue["relation"], "relation_cue": cue["cue"], "relation_evidence": cue["evidence"], "id": F.concat(F.lit("EV"), F.col("order"))})
 
 
 #: Columns of events, in order.
@@ -110,11 +135,16 @@ def classified(rows: DataFrame, model=None) -> DataFrame:
         "confidence": F.when(ro, F.lit(0.75)).otherwise(score),
         "classifier": F.when(ro, F.lit("romanian_rule_event_temporal")).otherwise(source),
     })
-    return rows.select(*COLUMNS)
+    return rows.select(*COLUMNS, *(["part"] if "part" in rows.columns else []))
+
+
+def features_of(docs: DataFrame) -> DataFrame:
+    """The clauses of documents that are events, with what they say by themselves."""
+    return features(event_clauses(clauses(sentences(docs))))
 
 
 def events(docs: DataFrame, model=None) -> DataFrame:
-    return classified(numbered(features(event_clauses(clauses(sentences(docs))))), model)
+    return classified(numbered(features_of(docs)), model)
 
 
 def sentence_split(text: Column) -> Column:

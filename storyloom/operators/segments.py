@@ -11,18 +11,23 @@ from storyloom.operators.dimensions import unknown_id
 BREAKS = ("BEFORE", "AFTER", "SIMULTANEOUS")
 
 
+def goes_on(before: Column, now: Column, cue: Column, relation: Column) -> Column:
+    """Whether an event goes on with the segment of the one before: of both, structs of temporal_category, actors and temporal_anchor."""
+    a, b = now["temporal_anchor"], before["temporal_anchor"]
+    return (
+        (before["temporal_category"] == now["temporal_category"])
+        & X.same_set(before["actors"], now["actors"])
+        & ~((cue != "") & relation.isin(*BREAKS))
+        & ((a == "") | (b == "") | (F.upper(a) == F.upper(b)))
+    )
+
+
 def segmented(events: DataFrame) -> DataFrame:
     """events with seg_no: an event goes on with the segment of the one before if category and actors are the same, no cue sets it apart, and anchors don't differ."""
     by_doc = Window.partitionBy("doc_id").orderBy("order")
-    before = lambda c: F.lag(c).over(by_doc)
-    a, b = F.col("temporal_anchor"), before("temporal_anchor")
-    goes_on = (
-        (before("temporal_category") == F.col("temporal_category"))
-        & X.same_set(before("actors"), F.col("actors"))
-        & ~((F.col("relation_cue") != "") & F.col("relation_to_previous").isin(*BREAKS))
-        & ((a == "") | (b == "") | (F.upper(a) == F.upper(b)))
-    )
-    rows = events.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    state = F.struct("temporal_category", "actors", "temporal_anchor")
+    stays = goes_on(F.lag(state).over(by_doc), state, F.col("relation_cue"), F.col("relation_to_previous"))
+    rows = events.withColumn("_new", F.when(F.coalesce(stays, F.lit(False)), 0).otherwise(1))
     return rows.withColumn("seg_no", F.sum("_new").over(by_doc).cast("int")).drop("_new")
 
 
@@ -72,8 +77,8 @@ def track_name(names, default: str):
     return F.when(F.size(names) > 0, F.concat_ws("&", F.slice(names, 1, 3))).otherwise(default)
 
 
-def tracked(rows: DataFrame) -> DataFrame:
-    """rows with track_no, track_name, story_order and whether a parallel cue is heard. A track is a key of kind, name, category and perspective, numbered by first appearance."""
+def with_track_key(rows: DataFrame) -> DataFrame:
+    """rows with the cues of their texts and track_key. A track is a key of kind, name, category and perspective."""
     t, lang, names = F.col("text"), F.col("lang"), F.col("entities")
     rows = rows.withColumns({"parallel": X.has(t, "parallel", lang), "parallel_cue": X.first(t, "parallel", lang), "joins": X.has(t, "join", lang), "splits": X.has(t, "split", lang)})
     memory = F.col("type") == "REM"
@@ -81,12 +86,23 @@ def tracked(rows: DataFrame) -> DataFrame:
         ":", F.when(F.col("parallel"), "parallel").when(memory, "memory").otherwise("main"),
         F.when(memory & ~F.col("parallel"), track_name(names, "Past")).otherwise(track_name(names, "Narrative")), F.col("temporal_category"), F.col("perspective"),
     )
+    return rows.withColumn("track_key", F.upper(key))
+
+
+def with_track_ids(rows: DataFrame) -> DataFrame:
+    """rows, of track_no and their place in the track, with story_order, id and track_id."""
+    order = F.col("_nth") - F.when(F.col("type") == "REM", 0.35).otherwise(0.0)
+    return rows.withColumns({"story_order": order, "id": F.concat(F.lit("TS"), F.col("seg_no")), "track_id": F.concat(F.lit("TT"), F.col("track_no"))})
+
+
+def tracked(rows: DataFrame) -> DataFrame:
+    """rows with track_no, track_name, story_order and whether a parallel cue is heard. Tracks are numbered by first appearance."""
     by_key = Window.partitionBy("doc_id", "track_key")
-    rows = rows.withColumn("track_key", F.upper(key)).withColumn("_first", F.min("seg_no").over(by_key))
+    rows = with_track_key(rows).withColumn("_first", F.min("seg_no").over(by_key))
     rows = rows.withColumn("track_no", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("_first")))
-    order = F.row_number().over(by_key.orderBy("seg_no")) - F.when(memory, 0.35).otherwise(0.0)
-    name = F.first(track_name(names, "Narrative")).over(by_key.orderBy("seg_no"))
-    return rows.withColumns({"story_order": order, "track_name": name, "id": F.concat(F.lit("TS"), F.col("seg_no")), "track_id": F.concat(F.lit("TT"), F.col("track_no"))}).drop("_first", "track_key")
+    name = F.first(track_name(F.col("entities"), "Narrative")).over(by_key.orderBy("seg_no"))
+    rows = rows.withColumns({"_nth": F.row_number().over(by_key.orderBy("seg_no")), "track_name": name})
+    return with_track_ids(rows).drop("_first", "_nth", "track_key")
 
 
 def segments(events: DataFrame, model=None) -> DataFrame:

@@ -5,27 +5,40 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from storyloom.operators import dimensions, events, links, report, segments, timeml
+from storyloom.operators import dimensions, events, links, report, scans, segments, timeml
 
 
 class Corpus:
     """Relations of documents (doc_id, text, language). Ask for one and only what it needs is planned.
 
     keep: keep events and segments on the executors, which pays when several relations are used, until :meth:`release` or the end of a ``with`` block.
+    parts: cut documents in parts of so many sentences, so that a document may be larger than a task (:mod:`storyloom.operators.scans`); events and
+    segments are then made part by part, and what is read more than once is held until :meth:`release`. The relations are the same.
     category_model, type_model: optional models of :mod:`storyloom.operators.models`; without them rules alone decide.
     """
 
-    def __init__(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text", language: str | None = "language", keep: bool = False, category_model=None, type_model=None) -> None:
+    def __init__(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text", language: str | None = "language", keep: bool = False, category_model=None, type_model=None, parts: int | None = None) -> None:
         self.documents = events.documents(df, doc_id, text, language)
-        self._keep, self._category_model, self._type_model = keep, category_model, type_model
+        self._keep, self._category_model, self._type_model, self._parts = keep, category_model, type_model, parts
         self._kept: list[DataFrame] = []
 
-    def _held(self, df: DataFrame) -> DataFrame:
-        if self._keep:
-            self._kept.append(df.persist())
+    @classmethod
+    def of_sentences(cls, sentences: DataFrame, **options) -> Corpus:
+        """A corpus of documents that come as sentences (doc_id, lang, sent_no, sentence, start), for texts too large for a row; its documents have no text."""
+        docs = sentences.groupBy("doc_id").agg(F.lit("").alias("text"), F.min("lang").alias("language"))
+        corpus = cls(docs, **options)
+        corpus.__dict__["sentences"] = sentences.withColumn("start", F.col("start").cast("int"))
+        return corpus
+
+    def _hold(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df.persist())
         return df
 
+    def _held(self, df: DataFrame) -> DataFrame:
+        return self._hold(df) if self._keep else df
+
     def release(self) -> None:
         """Frees what keep=True holds; relations are computed anew after that."""
         while self._kept:
@@ -41,9 +54,21 @@ class Corpus:
     def sentences(self) -> DataFrame:
         return events.sentences(self.documents)
 
+    @cached_property
+    def features(self) -> DataFrame:
+        """Clauses that are events, with what they say by themselves."""
+        return events.features(events.event_clauses(events.clauses(self.sentences)))
+
+    @cached_property
+    def _parted(self) -> DataFrame:
+        return self._hold(events.classified(scans.numbered(self._hold(self.features), self._parts), self._category_model))
+
     @cached_property
     def events(self) -> DataFrame:
-        return self._held(events.events(self.documents, self._category_model))
+        return self._held(self._parted.drop("part") if self._parts else events.classified(events.numbered(self.features), self._category_model))
+
+    def _segments(self, of: DataFrame) -> DataFrame:
+        return scans.segments_of(of, self._type_model, self._parts, self._hold) if self._parts else segments.segments(of, self._type_model)
 
     @cached_property
     def identified_events(self) -> DataFrame:
@@ -53,11 +78,15 @@ class Corpus:
     @cached_property
     def identified_segments(self) -> DataFrame:
         """Segments with actor_ids and location_id."""
-        return self._held(segments.segments(self.identified_events, self._type_model))
+        return self._held(self._segments(self._with_parts(self.identified_events)))
 
     @cached_property
     def segments(self) -> DataFrame:
-        return self.identified_segments if self._keep else segments.segments(self.events, self._type_model)
+        return self.identified_segments if self._keep else self._segments(self._parted if self._parts else self.events)
+
+    def _with_parts(self, rows: DataFrame) -> DataFrame:
+        """Events with the parts they belong to, if documents are cut."""
+        return rows.join(self._parted.select("doc_id", "order", "part"), ["doc_id", "order"]) if self._parts else rows
 
     @cached_property
     def chain(self) -> DataFrame:
@@ -94,7 +123,7 @@ class Corpus:
     @cached_property
     def located_segments(self) -> DataFrame:
         """Segments with location_id, empty where the location isn't in the dimension."""
-        return self.identified_segments if self._keep else segments.segments(dimensions.place_ids(self.events), self._type_model)
+        return self.identified_segments if self._keep else self._segments(dimensions.place_ids(self._parted if self._parts else self.events))
 
     @cached_property
     def tml_events(self) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import lexicon as L
 from storyloom.functions import text as X
-from storyloom.operators import comparison, dimensions, events, links, models, report
+from storyloom.operators import comparison, dimensions, events, links, models, report, scans
 from storyloom.plans import render
 from storyloom.plans.corpus import Corpus
 from storyloom.sources import requests
@@ -79,6 +79,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(documents(spark, sf_dir), language=None)
 
 
+#: Characters from the beginning of a sentence of the long story to the next one's.
+LONG_STEP = 1000
+
+
+def long_story(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of one document: a sentence for each event of the table."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rows.select(F.lit(0).cast("long").alias("doc_id"), F.lit("en").alias("lang"), F.col("event_id").alias("sent_no"), F.expr(_sentence()).alias("sentence"), (F.col("event_id") * LONG_STEP).alias("start"))
+
+
 def _flat(df: DataFrame, *columns: str) -> DataFrame:
     """Columns, with arrays joined by | and integers as long."""
     kinds = dict(df.dtypes)
@@ -164,9 +174,14 @@ def _tables(source: str) -> str:
     lang = "ro" if source == "romanian" else "en"
     docs = {
         "romanian": f"SELECT user_id AS doc_id, string_agg({_sentence('ro')}, ' ' ORDER BY ts, event_id) AS text FROM events GROUP BY user_id",
+        "long": "SELECT 0::BIGINT AS doc_id, '' AS text",
         "stories": f"SELECT user_id AS doc_id, string_agg({_sentence()}, ' ' ORDER BY ts, event_id) AS text FROM events GROUP BY user_id",
         "documents": r"SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '_', 'g') AS text FROM documents",
     }[source]
+    sents = r"""SELECT doc_id, n AS sent_no, regexp_replace(tile, '^\s+|\s+$', '', 'g') AS sentence, (off0 + len(tile) - len(regexp_replace(tile, '^\s+', '')))::BIGINT AS start FROM tiles
+  WHERE regexp_matches(tile, '^[^.!?]') AND regexp_matches(tile, '\S')"""
+    if source == "long":
+        sents = f"SELECT 0::BIGINT AS doc_id, event_id AS sent_no, {_sentence()} AS sentence, event_id * {LONG_STEP} AS start FROM events"
     cut = _q(L.boundary(lang).re2)
     before, after = L.place_before(lang)
     place = _q("(?i)" + before)
@@ -178,8 +193,7 @@ def _tables(source: str) -> str:
 WITH docs AS MATERIALIZED ({docs}),
 tiles AS (SELECT doc_id, n, tile, coalesce(sum(len(tile)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off0
   FROM (SELECT doc_id, unnest(t) AS tile, generate_subscripts(t, 1) AS n FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]+[.!?]?|[.!?]') AS t FROM docs))),
-sents AS MATERIALIZED (SELECT doc_id, n AS sent_no, regexp_replace(tile, '^\s+|\s+$', '', 'g') AS sentence, (off0 + len(tile) - len(regexp_replace(tile, '^\s+', '')))::BIGINT AS start FROM tiles
-  WHERE regexp_matches(tile, '^[^.!?]') AND regexp_matches(tile, '\S')),
+sents AS MATERIALIZED ({sents}),
 raw AS (SELECT *, CASE WHEN len(regexp_extract_all(sentence, {_re('verb', lang)})) > 1 THEN regexp_split_to_array(sentence, {cut}) ELSE [sentence] END AS parts,
   regexp_extract_all(sentence, {cut}) AS seps FROM sents),
 pieces AS (SELECT doc_id, sent_no, start, k, parts[k] AS part, coalesce(list_sum(list_transform(parts[1:k - 1], lambda x: len(x))), 0) + CASE WHEN len(parts) > 1 THEN coalesce(list_sum(list_transform(seps[1:k - 1], lambda x: len(x))), 0) ELSE 0 END AS off0
@@ -303,6 +317,24 @@ def story_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(s, "doc_id", "id", "text", "track_id", "type", "perspective", "story_order", "entities", "actors", "location_id", "temporal_anchor", "temporal_category", "span_start", "span_end", "event_ids")
 
 
+@query("SELECT id AS event_id, ord, text, array_to_string(actors, '|') AS actors, temporal_anchor, relation_to_previous, span_start FROM ev", "long")
+def long_story_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document of all events of the table, cut in parts (O-50 to O-52)."""
+    c = Corpus.of_sentences(long_story(spark, sf_dir), parts=scans.PART)
+    rows = c.events.withColumnRenamed("id", "event_id").withColumnRenamed("order", "ord")
+    return _freeing(c, _flat(rows, "event_id", "ord", "text", "actors", "temporal_anchor", "relation_to_previous", "span_start"))
+
+
+@query("""SELECT id, track_id, track_name, type, perspective, round(story_order, 2)::DOUBLE AS story_order, array_to_string(entities, '|') AS entities, temporal_anchor, location,
+  temporal_category, span_start, span_end, event_ids FROM sg""", "long")
+def long_story_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments and tracks of one document of all events of the table, cut in parts (O-53 to O-57)."""
+    c = Corpus.of_sentences(long_story(spark, sf_dir), parts=scans.PART)
+    rows = c.segments.withColumn("story_order", F.round("story_order", 2))
+    columns = ["id", "track_id", "track_name", "type", "perspective", "story_order", "entities", "temporal_anchor", "location", "temporal_category", "span_start", "span_end", "event_ids"]
+    return _freeing(c, _flat(rows, *columns))
+
+
 @query("SELECT doc_id, ord, from_id, rel, to_id, cue FROM rel")
 def story_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(_stories(spark, sf_dir).relations, "doc_id", "ord", "from_id", "rel", "to_id", "cue")
