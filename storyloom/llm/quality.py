@@ -97,14 +97,23 @@ def judge(ledger_rows: DataFrame, version: str = PRODUCTION) -> DataFrame:
 
 def ablations(ledger_rows: DataFrame, version: str = PRODUCTION) -> DataFrame:
     """For each rule of a policy: documents that fail it, and those that only its removal would admit. One row for each rule, from one aggregate."""
-    policy, bits = POLICIES[version], F.col("fail_bits")
-    names = policy.hard + policy.soft
-    sums = []
-    for n in names:
-        without = Policy("", tuple(x for x in policy.hard if x != n), tuple(x for x in policy.soft if x != n), policy.allowed)
-        sums += [F.count_if(bits.bitwiseAND(F.lit(BIT[n])) != 0).alias(f"f_{n}"), F.count_if(~policy.verdict(bits) & without.verdict(bits)).alias(f"a_{n}")]
-    row = ledger_rows.agg(F.count("*").alias("n_docs"), *sums)
-    return row.select("n_docs", F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(f"f_{n}").alias("n_failed"), F.col(f"a_{n}").alias("n_admitted_without")) for n in names))).alias("x")).select("x.*", "n_docs")
+    return ablations_of(ledger_rows, [version]).drop("policy")
+
+
+def ablations_of(ledger_rows: DataFrame, versions: list[str]) -> DataFrame:
+    """The ablations of several policies, told by policy, from one aggregate over the ledger: rules are evaluated once for all of them."""
+    sums, rows = [], []
+    for v in versions:
+        policy, bits = POLICIES[v], F.col("fail_bits")
+        for n in policy.hard + policy.soft:
+            without = Policy("", tuple(x for x in policy.hard if x != n), tuple(x for x in policy.soft if x != n), policy.allowed)
+            failed, admitted = f"f_{v}_{n}", f"a_{v}_{n}"
+            sums.append(F.count_if(bits.bitwiseAND(F.lit(BIT[n])) != 0).alias(failed))
+            sums.append(F.count_if(~policy.verdict(bits) & without.verdict(bits)).alias(admitted))
+            named = F.lit(v).alias("policy"), F.lit(n).alias("rule")
+            rows.append(F.struct(*named, F.col(f"`{failed}`").alias("n_failed"), F.col(f"`{admitted}`").alias("n_admitted_without")))
+    total = ledger_rows.agg(F.count("*").alias("n_docs"), *sums)
+    return total.select("n_docs", F.explode(F.array(*rows)).alias("x")).select("x.*", "n_docs")
 
 
 _LEDGER = r"""

@@ -70,9 +70,7 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ablations of the two policies beyond the base."""
-    held = quality.ledger(table(spark, sf_dir, "documents"))
-    one = lambda v: quality.ablations(held, v).select(F.lit(v).alias("policy"), "rule", "n_failed", "n_admitted_without", "n_docs")
-    return one("v1").unionByName(one("v2"))
+    return quality.ablations_of(quality.ledger(table(spark, sf_dir, "documents")), ["v1", "v2"])
 
 
 _ALL = (
