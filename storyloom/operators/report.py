@@ -68,7 +68,8 @@ def issues(report: DataFrame) -> DataFrame:
     return report.select("doc_id", F.posexplode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("ord", "i")).select("doc_id", "ord", "i.*")
 
 
-# Notes that every result carries; those of one language come last.
+# What is said of a text without segments, and notes that every result carries; those of one language come last.
+NO_SEGMENTS = "No text segments were detected."
 NOTES = [
     "Time segment types follow the paper labels: NAR, REM, SUP, GEN, and FIC.",
     "The XML output follows the paper notation: TT-SECTION, TIME-SECTION, EP-SECTION, and inline TS tags.",
@@ -86,7 +87,7 @@ def warnings(docs: DataFrame, report: DataFrame, found: DataFrame) -> DataFrame:
     notes = lambda k: F.array(*(F.lit(x) for x in NOTES + NOTES_BY[k]))
     none = F.array().cast("array<string>")
     rows = docs.select("doc_id", "lang").join(report.select("doc_id", "segment_count"), "doc_id").join(said, "doc_id", "left")
-    return rows.select("doc_id", F.concat(F.when(F.col("lang") == "ro", notes("ro")).otherwise(notes("en")), F.when(F.col("segment_count") == 0, F.array(F.lit("No text segments were detected."))).otherwise(none), F.coalesce("said", none)).alias("warnings"))
+    return rows.select("doc_id", F.concat(F.when(F.col("lang") == "ro", notes("ro")).otherwise(notes("en")), F.when(F.col("segment_count") == 0, F.array(F.lit(NO_SEGMENTS))).otherwise(none), F.coalesce("said", none)).alias("warnings"))
 
 
 def percent(score):

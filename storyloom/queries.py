@@ -419,13 +419,16 @@ def _counted(analysis: DataFrame) -> DataFrame:
     return analysis.withColumns({m: joined(m) for m in ("segment_types", "temporal_categories", "relation_types", "entity_mention_labels")})
 
 
-@query("""SELECT doc_id, code, message FROM (
-  SELECT doc_id, 'EVENTS_WITHOUT_ACTORS' AS code, count(*) || ' event(s) do not have an explicit or carried actor.' AS message FROM ev WHERE len(actors) = 0 GROUP BY doc_id
-  UNION ALL SELECT doc_id, 'SEGMENTS_WITHOUT_TIMEX', count(*) || ' segment(s) have no explicit temporal anchor.' FROM sg WHERE temporal_anchor = '' GROUP BY doc_id
-  UNION ALL SELECT doc_id, 'NO_EVENTS', 'No event-like clauses were extracted.' FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM ev))""")
+@query("""SELECT doc_id, severity, code, message, evidence FROM (
+  SELECT doc_id, 'info' AS severity, 'EVENTS_WITHOUT_ACTORS' AS code, count(*) || ' event(s) do not have an explicit or carried actor.' AS message,
+    'Actor extraction uses named-entity candidates and previous-actor carry-forward.' AS evidence FROM ev WHERE len(actors) = 0 GROUP BY doc_id
+  UNION ALL SELECT doc_id, 'info', 'SEGMENTS_WITHOUT_TIMEX', count(*) || ' segment(s) have no explicit temporal anchor.',
+    'Temporal anchors are optional; use TIMEX3 annotations when exact time evidence is needed.' FROM sg WHERE temporal_anchor = '' GROUP BY doc_id
+  UNION ALL SELECT doc_id, 'warning', 'NO_EVENTS', 'No event-like clauses were extracted.',
+    'The input did not match the configured verb and sentence patterns.' FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM ev))""")
 def story_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _stories(spark, sf_dir, keep=True)
-    return _freeing(c, c.issues.select("doc_id", "code", "message"))
+    return _freeing(c, c.issues.select("doc_id", "severity", "code", "message", "evidence"))
 
 
 @query("""SELECT sg.doc_id, id AS segment_id, round(105 + 1015.0 / count(*) OVER (PARTITION BY sg.doc_id) * (seg_no - 1), 1)::DOUBLE AS chain_x, track_no AS row, (158 + (track_no - 1) * 86)::DOUBLE AS y,
