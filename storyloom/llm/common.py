@@ -103,12 +103,19 @@ def row_key() -> Column:
     return F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.lit("\x00"), text_of()))
 
 
-def only_first(df: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of df whose :func:`row_key` is in kept (row_key), one for each, with the columns of df; df is dealt by it once."""
-    key, nth = fresh(df, "_row_key", "_nth")
+def only_first(df: DataFrame, kept: DataFrame, every: DataFrame) -> DataFrame:
+    """The rows of df whose :func:`row_key` is in kept (row_key), one for each, with the columns of df; every: the row_key of each row of df.
+
+    Keys that repeat or aren't kept are marked in a bitmap of fixed size, and rows that it doesn't name stay where they lie, so their texts aren't
+    shuffled. Of the others, repeated rows are united within each task before they are dealt by key, so none of their keys is one task's.
+    """
+    key, one, n, held = fresh(df, "_row_key", "_one", "_n", "_held")
     kept = kept.select(F.col("row_key").alias(key)).distinct()
-    rows = df.withColumn(key, row_key()).join(kept, key, "left_semi")
-    return rows.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(nth) == 1).select(*columns_of(df))
+    keys = every.groupBy(F.col("row_key").alias(key)).agg(F.count("*").alias(n))
+    doubtful = keys.join(kept.withColumn(held, F.lit(True)), key, "left").where(F.col(held).isNull() | (F.col(n) > 1)).select(key)
+    some, whole = split_by_marks(df.withColumn(key, row_key()), key, marks(doubtful, key))
+    ones = some.groupBy(key).agg(F.first(F.struct(*columns_of(df))).alias(one)).join(kept, key, "left_semi")
+    return whole.select(*columns_of(df)).unionByName(ones.select(f"{one}.*"))
 
 
 #: Bytes of an Arrow batch that goes to Python. Spark's own bound, 64 MB, is held several times by each task: in the JVM's buffers, in Arrow, as Python's strings.

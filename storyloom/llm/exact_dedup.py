@@ -71,7 +71,8 @@ def _judged(docs: DataFrame, counters: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The rows of docs that stay, with their columns."""
-    return only_first(docs, _judged(docs, counters).filter("kept"))
+    rows = settle(_judged(docs, counters).select("row_key", "kept"))
+    return only_first(docs, rows.filter("kept"), rows)
 
 
 SQL = r"""

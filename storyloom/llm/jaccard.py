@@ -641,4 +641,4 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
     named = settle(_named(docs, size, percent))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), "row_key")).alias("first")
     ones = named.filter("n > 0").groupBy("top").agg(first).select("first.row_key")
-    return only_first(docs, ones.unionByName(named.filter("n = 0").select("row_key")))
+    return only_first(docs, ones.unionByName(named.filter("n = 0").select("row_key")), named)

@@ -334,3 +334,20 @@ def test_mixing_of_null_values_and_ids(spark):
     got = mixing.weigh(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
     assert len(got) == 8 and len({r.source for r in got}) == 3
     assert len({r.sampled for r in got if r.doc_id is None}) == 1 and all(r.residual <= 1e-9 for r in got)
+
+
+def test_keeping_one_of_many_equal_rows(spark):
+    """100,000 equal rows without an id beside others: one stays, no exchange carries texts but those of doubtful rows, and further columns stay."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(" ").alias("text"), F.lit("x").alias("_one"))
+    some = spark.createDataFrame([(k, f"text {k % 7}" + " " * (k % 3), f"y{k}") for k in range(60)], "doc_id long, text string, _one string")
+    docs = many.unionByName(some).repartition(6)
+    got = exact_dedup.keep_one(docs)
+    assert got.columns == docs.columns
+    rows = sorted((r.doc_id is None, r.doc_id or 0, r.text, r._one) for r in got.collect())
+    want = {}
+    for k in range(60):
+        want.setdefault(k % 7, []).append((-(k % 3), k))
+    want = sorted((False, k, f"text {k % 7}" + " " * (k % 3), f"y{k}") for _, k in map(min, want.values()))
+    assert rows == [*want, (True, 0, " ", "x")]
