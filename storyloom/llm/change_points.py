@@ -12,7 +12,8 @@ each prefix (:func:`_fold`), a second ``aggregate`` walks the predecessors back,
 A fold costs at most the square of a series' days, which the calendar bounds, not the input; its state is a few numbers for each day.
 
 Cases: rows whose value or day is null are left out, and a key with no other rows has no segments; a null key is a series of its own;
-repeated rows count each time; negative values count as such; an empty table gives no rows; columns may have any names, others are not
+repeated rows count each time; negative values count as such; values are whole numbers (fractions are cut off), and days those of the
+session's time zone where the timestamps have a zone; an empty table gives no rows; columns may have any names, others are not
 read. Series whose n * Q passes 62 bits are folded in decimals, to the same rule; sums beyond 64 bits or n * Q beyond 38 digits fail the
 job under ANSI arithmetic, Spark's default. So does a series of more than ``MOST_DAYS`` days (87 years), with a message: one broken
 date would otherwise cost the square of the days up to it.
