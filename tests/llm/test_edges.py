@@ -337,7 +337,7 @@ def test_mixing_of_null_values_and_ids(spark):
 
 
 def test_keeping_one_of_many_equal_rows(spark):
-    """100,000 equal rows without an id beside others: one stays, no exchange carries texts but those of doubtful rows, and further columns stay."""
+    """100,000 equal rows without an id beside others: one stays, and further columns stay."""
     from pyspark.sql import functions as F
 
     many = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(" ").alias("text"), F.lit("x").alias("_one"))
