@@ -581,8 +581,8 @@ def _rooted(roots: DataFrame, s: str) -> DataFrame:
     return roots.select(F.col("node").alias(s), F.col("root").alias(f"r_{s}"))
 
 
-#: Up to so many pairs of different components are compared without rounds of merging first.
-FEW, MERGES = 100_000, 5
+#: Rounds of merging come first while there are more pairs than so many for each component that is in one, whatever the input's size. A round costs a scan.
+FEW, MERGES = 4, 5
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -619,10 +619,12 @@ def _named(docs: DataFrame, size: int, percent: int) -> DataFrame:
     labelled = sets.lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("token", "pack", "cls", F.coalesce("root", "cls").alias("root"))
     pairs = settle(sets.crossed(labelled).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     for _ in range(MERGES):
-        if pairs.count() <= FEW:
+        both = apart(pairs, roots)
+        met = both.select(F.explode(F.array("ra", "rb")).alias("r"), F.lit(1).alias("c")).groupBy("r").agg(F.sum("c").alias("c"))
+        inside, sides = met.agg(F.count("*"), F.sum("c")).first()
+        if not inside or sides <= 2 * FEW * inside:
             break
         # Of each component the pair that is nearest by the bitmaps; what it joins makes most of the other pairs needless.
-        both = apart(pairs, roots)
         nearest = both.select(F.col("ra").alias("r"), "a", "b", "bits").unionByName(both.select(F.col("rb").alias("r"), "a", "b", "bits")).groupBy("r").agg(F.min(F.struct("bits", "a", "b")).alias("m"))
         more = sets.compared(nearest.select("m.a", "m.b").distinct())
         roots = merged(roots, more.filter(sets.links()).select("a", "b"))
