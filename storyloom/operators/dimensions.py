@@ -39,7 +39,7 @@ def mentions(events: DataFrame) -> DataFrame:
         start = F.when(at >= 0, F.col("span_start") + at).otherwise(F.col("span_start"))
         end = F.when(at >= 0, start + F.length(text)).otherwise(start)
         good = (X.trim(text) != "") & (F.lower(text) != UNKNOWN[0]) & ((at >= 0) | F.lit(bool(inferred)))
-        return F.when(good, F.struct(k.alias("k"), text.alias("text"), F.lit(label).alias("label"), F.when(at >= 0, exact).otherwise(inferred).alias("source"), start.cast("int").alias("span_start"), end.cast("int").alias("span_end")))
+        return F.when(good, F.struct(k.alias("k"), text.alias("text"), F.lit(label).alias("label"), F.when(at >= 0, exact).otherwise(inferred).alias("source"), start.alias("span_start"), end.alias("span_end")))
 
     people = F.transform("actors", lambda x, i: row(i, x, "PERSON", "capitalized_actor_mention", "carried_actor_context"))
     n = F.size("actors")

@@ -32,12 +32,14 @@ def sentences(docs: DataFrame) -> DataFrame:
     return rows.filter("real AND sentence <> ''").drop("real")
 
 
-def clauses(sents: DataFrame) -> DataFrame:
+def clauses(sents: DataFrame, as_cut: bool = False) -> DataFrame:
     """sents with ``clauses``: an array of (text, start, end), the parts of a sentence between commas and conjunctions if it holds more than one verb.
 
     A part counts as lying where it is first found after the end of the one before. That is where it was cut from, unless it also occurs in what parts
-    the two; places are sums of lengths, and only sentences with such a part, or a blank one, are walked part by part.
+    the two; places are sums of lengths, and only sentences with such a part, or a blank one, are walked part by part. With as_cut, parts lie where they
+    were cut from in any case, and nothing is walked. Places are of the type of ``start``.
     """
+    kind = dict(sents.dtypes)["start"]
     lang = F.col("lang")
     cut = lambda make: X.by_language(lang, lambda k: make(F.lit(L.boundary(k).java)))
     several = X.count(F.col("sentence"), "verb", lang) > 1
@@ -50,24 +52,27 @@ def clauses(sents: DataFrame) -> DataFrame:
     def found(part: Column, i: Column, at: Column) -> Column:
         text = X.trim(part)
         between = F.when(i > 0, F.concat(trail(F.get("_parts", i - 1)), F.get("_seps", i - 1), lead(part))).otherwise(F.lit(""))
-        true = (text != "") & (F.instr(F.concat(between, text), text) == F.length(between) + 1)
-        return F.struct(text.alias("text"), (F.get(at, 2 * i) + F.length(lead(part))).alias("at"), true.alias("true"))
+        true = [] if as_cut else [((text != "") & (F.instr(F.concat(between, text), text) == F.length(between) + 1)).alias("true")]
+        return F.struct(text.alias("text"), (F.get(at, 2 * i) + F.length(lead(part))).alias("at"), *true)
 
     # Bound, for the optimizer would put a column that is used once into the lambda, to be made again for each part.
     rows = rows.withColumn("_found", F.when(F.size("_parts") > 1, X.bound(X.starts("_tiles"), lambda at: F.transform("_parts", lambda p, i: found(p, i, at)))))
-    place = lambda text, at: F.struct(text.alias("text"), at.cast("int").alias("start"), (at + F.length(text)).cast("int").alias("end"))
+    place = lambda text, at: F.struct(text.alias("text"), at.cast(kind).alias("start"), (at + F.length(text)).cast(kind).alias("end"))
     whole = F.array(place(F.col("sentence"), F.col("start")))
-    walked = F.when(F.exists("_found", lambda x: ~x["true"]), walk("filter(transform(_found, x -> x.text), p -> p <> '')"))
     summed = F.transform("_found", lambda x: place(x["text"], F.col("start") + x["at"]))
-    made = F.when(F.size("_parts") > 1, F.coalesce(walked, summed)).otherwise(whole)
+    if as_cut:
+        placed = F.filter(summed, lambda x: x["text"] != "")
+    else:
+        placed = F.coalesce(F.when(F.exists("_found", lambda x: ~x["true"]), walk("filter(transform(_found, x -> x.text), p -> p <> '')", kind)), summed)
+    made = F.when(F.size("_parts") > 1, placed).otherwise(whole)
     return rows.withColumn("clauses", F.when(F.size(made) > 0, made).otherwise(whole)).drop("_parts", "_seps", "_tiles", "_found")
 
 
-def walk(parts: str) -> Column:
-    """Clauses of the columns sentence and start by looking for each of the parts after the end of the one before; the work grows with the square of their number."""
+def walk(parts: str, kind: str = "int") -> Column:
+    """Clauses of the columns sentence and start, of type kind, by looking for each of the parts after the end of the one before; the work grows with the square of their number."""
     at = "coalesce(nullif(locate(p, sentence, a.at + 1), 0) - 1, a.at)"
     item = "named_struct('text', p, 'start', start + b, 'end', start + b + length(p))"
-    begin = "named_struct('at', 0, 'out', cast(array() as array<struct<text:string,start:int,end:int>>))"
+    begin = f"named_struct('at', 0, 'out', cast(array() as array<struct<text:string,start:{kind},end:{kind}>>))"
     step = f"transform(array({at}), b -> named_struct('at', least(length(sentence), b + length(p)), 'out', array_append(a.out, {item})))[0]"
     return F.expr(f"aggregate({parts}, {begin}, (a, p) -> {step}, a -> a.out)")
 

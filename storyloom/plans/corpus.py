@@ -16,20 +16,21 @@ class Corpus:
     keep: keep events and segments on the executors, which pays when several relations are used, until :meth:`release` or the end of a ``with`` block.
     parts: cut documents in parts of so many sentences, so that a document may be larger than a task (:mod:`storyloom.operators.scans`); events and
     segments are then made part by part, and what is read more than once is held until :meth:`release`. The relations are the same.
+    as_cut: clauses lie where they were cut from, not where they are first found (:func:`storyloom.operators.events.clauses`).
     category_model, type_model: optional models of :mod:`storyloom.operators.models`; without them rules alone decide.
     """
 
-    def __init__(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text", language: str | None = "language", keep: bool = False, category_model=None, type_model=None, parts: int | None = None) -> None:
+    def __init__(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text", language: str | None = "language", keep: bool = False, category_model=None, type_model=None, parts: int | None = None, as_cut: bool = False) -> None:
         self.documents = events.documents(df, doc_id, text, language)
-        self._keep, self._category_model, self._type_model, self._parts = keep, category_model, type_model, parts
+        self._keep, self._category_model, self._type_model, self._parts, self._as_cut = keep, category_model, type_model, parts, as_cut
         self._kept: list[DataFrame] = []
 
     @classmethod
     def of_sentences(cls, sentences: DataFrame, **options) -> Corpus:
-        """A corpus of documents that come as sentences (doc_id, lang, sent_no, sentence, start), for texts too large for a row; its documents have no text."""
+        """A corpus of documents that come as sentences (doc_id, lang, sent_no, sentence, start), for texts too large for a row; its documents have no text. Places have the type of start."""
         docs = sentences.groupBy("doc_id").agg(F.lit("").alias("text"), F.min("lang").alias("language"))
         corpus = cls(docs, **options)
-        corpus.__dict__["sentences"] = sentences.withColumn("start", F.col("start").cast("int"))
+        corpus.__dict__["sentences"] = sentences
         return corpus
 
     def _hold(self, df: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ class Corpus:
     @cached_property
     def features(self) -> DataFrame:
         """Clauses that are events, with what they say by themselves."""
-        return events.features(events.event_clauses(events.clauses(self.sentences)))
+        return events.features(events.event_clauses(events.clauses(self.sentences, self._as_cut)))
 
     @cached_property
     def _parted(self) -> DataFrame:

@@ -102,3 +102,22 @@ def test_places_of_clauses_are_those_of_a_walk(spark):
 
 def X_strip(s):
     return s.strip(" \t\n")
+
+
+def test_places_beyond_an_int(spark):
+    """Sentences that begin beyond 2**31 keep their places, in events, segments and mentions."""
+    far = 3 * 2**31
+    rows = [(0, "en", k, s, far + 1000 * k) for k, s in enumerate(["Adam walked in London.", "Sarah was there, and Adam left."])]
+    sents = spark.createDataFrame(rows, "doc_id long, lang string, sent_no long, sentence string, start long")
+    for options in ({"parts": 1}, {}):
+        with Corpus.of_sentences(sents, **options) as c:
+            assert [tuple(r) for r in c.events.orderBy("order").select("span_start", "span_end").collect()] == [(far, far + 22), (far + 1000, far + 1015), (far + 1017, far + 1031)]
+            assert c.segments.agg(F.min("span_start"), F.max("span_end")).first() == (far, far + 1031)
+            assert c.mentions.agg(F.min("span_start")).first()[0] == far
+
+
+def test_clauses_as_cut(spark):
+    """A part that also occurs in what separates it from the one before lies where it was cut from, if that is asked for."""
+    docs = spark.createDataFrame([(1, "he was there and a, she was.")], "doc_id long, text string")
+    spans = [[tuple(r) for r in Corpus(docs, language=None, as_cut=k).events.orderBy("order").select("span_start", "span_end").collect()] for k in (True, False)]
+    assert spans == [[(0, 12), (17, 28)], [(0, 12), (13, 28)]]
