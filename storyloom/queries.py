@@ -76,7 +76,7 @@ def _freeing(corpus: Corpus, df: DataFrame) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> Corpus:
-    return Corpus(documents(spark, sf_dir), language=None)
+    return Corpus(documents(spark, sf_dir), language=None, as_cut=True)
 
 
 #: Characters from the beginning of a sentence of the long story to the next one's.
@@ -275,7 +275,7 @@ def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, ord, span_start, span_end, len(own_actors) AS n_own_actors, len(actors) AS n_actors, len(location) AS n_location, len(temporal_anchor) AS n_anchor, temporal_category, relation_to_previous FROM ev", "documents")
 def document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _documents(spark, sf_dir)
-    rows = events.numbered(events.features(events.event_clauses(events.clauses(e.sentences))).withColumn("own", F.size("own_actors")))
+    rows = events.numbered(e.features.withColumn("own", F.size("own_actors")))
     big = lambda c, name: c.cast("long").alias(name)
     return rows.select("doc_id", big(F.col("order"), "ord"), big(F.col("span_start"), "span_start"), big(F.col("span_end"), "span_end"), big(F.col("own"), "n_own_actors"), big(F.size("actors"), "n_actors"), big(F.length("location"), "n_location"), big(F.length("temporal_anchor"), "n_anchor"), F.col("rule_category").alias("temporal_category"), "relation_to_previous")
 
