@@ -40,8 +40,14 @@ class Corpus:
     def _held(self, df: DataFrame) -> DataFrame:
         return self._hold(df) if self._keep else df
 
+    def hold(self, *names: str) -> Corpus:
+        """This corpus, which keeps the relations of these names on the executors until :meth:`release`; others are made of them."""
+        for name in names:
+            self.__dict__[name] = self._hold(getattr(self, name))
+        return self
+
     def release(self) -> None:
-        """Frees what keep=True holds; relations are computed anew after that."""
+        """Frees what is held; relations are computed anew after that."""
         while self._kept:
             self._kept.pop().unpersist()
 

@@ -52,8 +52,15 @@ def _sentence(lang: str = "en") -> str:
     return f"CASE event_id % {len(sentences)} {' '.join(parts)} END"
 
 
+#: Events of a task: texts, clauses and what is sorted by document are some ten times as large as the rows that are dealt.
+EVENTS_A_TASK = 25_000
+
+
 def stories(spark: SparkSession, sf_dir: str, lang: str = "en") -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", F.expr(_sentence(lang)).alias("s"))
+    """Dealt by user before anything is collected, over partitions in proportion to the rows: what a task holds doesn't grow with the table."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id")
+    n = max(spark.sparkContext.defaultParallelism, rows.count() // EVENTS_A_TASK + 1)
+    rows = rows.repartition(n, "user_id").withColumn("s", F.expr(_sentence(lang)))
     ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "s")))
     return rows.groupBy(F.col("user_id").alias("doc_id")).agg(F.concat_ws(" ", F.transform(ordered, lambda x: x["s"])).alias("text"))
 
@@ -409,7 +416,7 @@ def story_tlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
   (SELECT string_agg(label || '=' || n, '|' ORDER BY n DESC, label) FROM (SELECT label, count(*) AS n FROM mn WHERE mn.doc_id = d.doc_id GROUP BY ALL)) AS entity_mention_labels,
   (SELECT string_agg(source, '|' ORDER BY upper(source)) FROM (SELECT source FROM mn WHERE mn.doc_id = d.doc_id UNION SELECT 'heuristic_fallback')) AS extraction_sources FROM docs d""")
 def story_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _stories(spark, sf_dir, keep=True)
+    c = _stories(spark, sf_dir).hold("events", "segments")
     return _freeing(c, _flat(_counted(c.analysis), "doc_id", *render.ANALYSIS, "events_without_actors", "segments_without_anchor"))
 
 
@@ -427,7 +434,7 @@ def _counted(analysis: DataFrame) -> DataFrame:
   UNION ALL SELECT doc_id, 'warning', 'NO_EVENTS', 'No event-like clauses were extracted.',
     'The input did not match the configured verb and sentence patterns.' FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM ev))""")
 def story_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _stories(spark, sf_dir, keep=True)
+    c = _stories(spark, sf_dir).hold("events", "segments")
     return _freeing(c, c.issues.select("doc_id", "severity", "code", "message", "evidence"))
 
 
@@ -454,14 +461,14 @@ def story_segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT doc_id, 2, n, concat_ws('  ', 'l' || n, a || ' -> ' || coalesce(b, t), rel_type) FROM tl)
 SELECT doc_id, rtrim(concat_ws(chr(10), 'EVENT', string_agg(l, chr(10) ORDER BY o) FILTER (s = 0), '', 'TIMEX3', string_agg(l, chr(10) ORDER BY o) FILTER (s = 1), '', 'TLINK', string_agg(l, chr(10) ORDER BY o) FILTER (s = 2))) AS listing FROM lines GROUP BY doc_id""")
 def story_timeml_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _stories(spark, sf_dir)
-    return report.timeml_listing(c.tml_events, c.timex3, c.tlinks)
+    c = _stories(spark, sf_dir).hold("events")
+    return _freeing(c, report.timeml_listing(c.tml_events, c.timex3, c.tlinks))
 
 
 @query(f"""SELECT doc_id, concat_ws('|', {', '.join(map(_q, report.NOTES + report.NOTES_BY['en']))}, CASE WHEN doc_id NOT IN (SELECT doc_id FROM sg) THEN 'No text segments were detected.' END,
   CASE WHEN doc_id NOT IN (SELECT doc_id FROM ev) THEN 'NO_EVENTS: No event-like clauses were extracted.' END) AS warnings FROM docs""")
 def story_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _stories(spark, sf_dir, keep=True)
+    c = _stories(spark, sf_dir).hold("events", "segments")
     return _freeing(c, _flat(c.warnings, "doc_id", "warnings"))
 
 
@@ -511,7 +518,8 @@ def story_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def story_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.svg(_stories(spark, sf_dir), highlight=("Adam",))
+    c = _stories(spark, sf_dir).hold("segments")
+    return _freeing(c, render.svg(c, highlight=("Adam",)))
 
 
 @query()
@@ -766,10 +774,11 @@ SELECT doc_id, (SELECT round_even(avg(confidence), 3) FROM ge WHERE ge.doc_id =
   (SELECT string_agg(s, '|' ORDER BY upper(s)) FROM (SELECT source AS s FROM ge WHERE ge.doc_id = d.doc_id UNION SELECT source FROM gs WHERE gs.doc_id = d.doc_id UNION SELECT source FROM mn WHERE mn.doc_id = d.doc_id)) AS extraction_sources FROM docs d""")
 def scored_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Averages and sources of a corpus whose events and segments have made-up confidences."""
-    c = _stories(spark, sf_dir)
+    c = _stories(spark, sf_dir).hold("events", "segments")
     scored = lambda rows, labels, gate, rule: _made_up(rows, labels).withColumn("g", gate(F.col("predicted"), F.col("score"), F.col(rule))).withColumns({"confidence": F.col("g.confidence"), "classifier": F.col("g.source")})
     evs, segs = scored(c.events, models.CATEGORIES, models.category_gate, "temporal_category"), scored(c.segments, models.TYPES, models.segment_gate, "type")
-    return _flat(report.analysis(c.documents, evs, segs, c.tracks, c.relations, c.mentions, c.tml_events, c.timex3, c.tlinks), "doc_id", "average_event_confidence", "average_segment_confidence", "extraction_sources")
+    made = report.analysis(c.documents, evs, segs, c.tracks, c.relations, c.mentions, c.tml_events, c.timex3, c.tlinks)
+    return _freeing(c, _flat(made, "doc_id", "average_event_confidence", "average_segment_confidence", "extraction_sources"))
 
 
 _BODIES = "CASE event_id % 5 WHEN 0 THEN concat('{\"text\": \"Adam left ', event_type, '.\", \"options\": {\"width\": 900, \"layout\": \"text_order\"}}') WHEN 1 THEN '[1]' WHEN 2 THEN '{\"text\": \" \"}' WHEN 3 THEN NULL ELSE '{\"text\": \"Da.\", \"options\": {\"language\": \"ROM\", \"include_debug\": true}}' END"
