@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Evidence and reasons.
@@ -25,18 +25,25 @@ def chained(segments: DataFrame) -> DataFrame:
     return segments.withColumns(before | {"is_last": F.lead("id").over(by_doc).isNull()}).withColumn("ruptures", F.col("prev_track_id") != F.col("track_id"))
 
 
+def unfolded(rows: DataFrame, items: Column, order: str) -> DataFrame:
+    """rows with an ``r`` for each of their items, and ``ord``, its number in the document. Counted before the rows are exploded, in the order they lie in: what is exploded isn't sorted."""
+    before = Window.partitionBy("doc_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_r", items).withColumn("_before", F.coalesce(F.sum(F.size("_r")).over(before), F.lit(0)))
+    return rows.select(*(c for c in rows.columns if c not in ("_r", "_before")), "_before", F.posexplode("_r").alias("_k", "r")).withColumn("ord", (F.col("_before") + F.col("_k") + 1).cast("int")).drop("_before", "_k")
+
+
 def relations(chain: DataFrame) -> DataFrame:
     """doc_id, ord, from_id, rel, to_id, cue, evidence: between neighbours, and between their tracks if these differ."""
     cue = F.col("first_event")
     backward, same = cue["relation"] == "BEFORE", cue["relation"] == "SIMULTANEOUS"
     rel = F.when(backward, "BEFORE").when(same, "SIMULTANEOUS").when(cue["relation"] == "AFTER", "BEFORE").otherwise("IMMEDIATELY_BEFORE")
-    row = lambda k, a, r, b, c, e: F.struct(F.lit(k).alias("k"), a.alias("from_id"), r.alias("rel"), b.alias("to_id"), c.alias("cue"), e.alias("evidence"))
-    one = row(0, F.when(backward, F.col("id")).otherwise(F.col("prev_id")), rel, F.when(backward, F.col("prev_id")).otherwise(F.col("id")), cue["cue"], cue["evidence"])
+    row = lambda a, r, b, c, e: F.struct(a.alias("from_id"), r.alias("rel"), b.alias("to_id"), c.alias("cue"), e.alias("evidence"))
+    one = row(F.when(backward, F.col("id")).otherwise(F.col("prev_id")), rel, F.when(backward, F.col("prev_id")).otherwise(F.col("id")), cue["cue"], cue["evidence"])
     par = F.col("parallel")
-    two = row(1, F.col("prev_track_id"), F.when(par, "SIMULTANEOUS").otherwise("BEFORE"), F.col("track_id"), F.col("parallel_cue"), F.when(par, CROSS_PARALLEL).otherwise(CROSS))
-    rows = chain.filter("prev_id IS NOT NULL").select("doc_id", "seg_no", F.explode(F.when(F.col("ruptures"), F.array(one, two)).otherwise(F.array(one))).alias("r"))
-    ord_ = F.row_number().over(Window.partitionBy("doc_id").orderBy("seg_no", "r.k"))
-    return rows.select("doc_id", ord_.alias("ord"), "r.from_id", "r.rel", "r.to_id", "r.cue", "r.evidence")
+    two = row(F.col("prev_track_id"), F.when(par, "SIMULTANEOUS").otherwise("BEFORE"), F.col("track_id"), F.col("parallel_cue"), F.when(par, CROSS_PARALLEL).otherwise(CROSS))
+    items = F.when(F.col("ruptures"), F.array(one, two)).otherwise(F.array(one))
+    rows = unfolded(chain.filter("prev_id IS NOT NULL").select("doc_id", "seg_no", items.alias("items")), F.col("items"), "seg_no")
+    return rows.select("doc_id", "ord", "r.from_id", "r.rel", "r.to_id", "r.cue", "r.evidence")
 
 
 def _pair():
@@ -50,25 +57,23 @@ def boundaries(chain: DataFrame) -> DataFrame:
     start = F.col("prev_id").isNull()
     commute = ~start & ~rupt & ((F.col("prev_type") != F.col("type")) | (F.col("prev_perspective") != F.col("perspective")) | (F.col("prev_temporal_category") != F.col("temporal_category")))
     own, none = F.array("track_id"), F.lit(None).cast("string")
-    row = lambda k, kind, a, b, t, on: F.when(on, F.struct(F.lit(k).alias("k"), F.lit(kind).alias("type"), a.alias("a"), b.alias("b"), t.alias("track_ids"), F.lit(REASONS[kind]).alias("reason")))
+    row = lambda kind, a, b, t, on: F.when(on, F.struct(F.lit(kind).alias("type"), a.alias("a"), b.alias("b"), t.alias("track_ids"), F.lit(REASONS[kind]).alias("reason")))
     here, before = F.col("id"), F.col("prev_id")
     rows = F.array(
-        row(0, "START", none, here, own, start), row(1, "RUPTURE", before, here, _pair(), rupt), row(2, "COMMUTE", before, here, own, commute),
-        row(3, "JOIN", before, here, _pair(), F.col("joins") & rupt), row(4, "SPLIT", before, here, _pair(), F.col("splits")), row(5, "STOP", here, none, own, F.col("is_last")),
+        row("START", none, here, own, start), row("RUPTURE", before, here, _pair(), rupt), row("COMMUTE", before, here, own, commute),
+        row("JOIN", before, here, _pair(), F.col("joins") & rupt), row("SPLIT", before, here, _pair(), F.col("splits")), row("STOP", here, none, own, F.col("is_last")),
     )
-    out = chain.select("doc_id", "seg_no", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r"))
-    ord_ = F.row_number().over(Window.partitionBy("doc_id").orderBy("seg_no", "r.k"))
-    return out.select("doc_id", ord_.alias("ord"), F.concat(F.lit("B"), ord_).alias("id"), "r.type", F.col("r.a").alias("from_segment_id"), F.col("r.b").alias("to_segment_id"), "r.track_ids", "r.reason")
+    out = unfolded(chain.select("doc_id", "seg_no", F.filter(rows, lambda x: x.isNotNull()).alias("items")), F.col("items"), "seg_no")
+    return out.select("doc_id", "ord", F.concat(F.lit("B"), "ord").alias("id"), "r.type", F.col("r.a").alias("from_segment_id"), F.col("r.b").alias("to_segment_id"), "r.track_ids", "r.reason")
 
 
 def endpoints(chain: DataFrame) -> DataFrame:
     """doc_id, ord, id, type, name, track_ids, segment_id."""
     rupt = F.coalesce(F.col("ruptures"), F.lit(False))
-    row = lambda k, kind, name, on: F.when(on, F.struct(F.lit(k).alias("k"), F.lit(kind).alias("type"), name.alias("name"), _pair().alias("track_ids")))
-    rows = F.array(row(0, "JOIN", F.concat_ws("+", "prev_track_name", "track_name"), F.col("joins") & rupt), row(1, "SPLIT", F.concat(F.col("track_name"), F.lit(" split")), F.col("splits")))
-    out = chain.select("doc_id", "seg_no", F.col("id").alias("segment_id"), F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r"))
-    ord_ = F.row_number().over(Window.partitionBy("doc_id").orderBy("seg_no", "r.k"))
-    return out.select("doc_id", ord_.alias("ord"), F.concat(F.lit("EP"), ord_).alias("id"), "r.type", "r.name", "r.track_ids", "segment_id")
+    row = lambda kind, name, on: F.when(on, F.struct(F.lit(kind).alias("type"), name.alias("name"), _pair().alias("track_ids")))
+    rows = F.array(row("JOIN", F.concat_ws("+", "prev_track_name", "track_name"), F.col("joins") & rupt), row("SPLIT", F.concat(F.col("track_name"), F.lit(" split")), F.col("splits")))
+    out = unfolded(chain.select("doc_id", "seg_no", F.col("id").alias("segment_id"), F.filter(rows, lambda x: x.isNotNull()).alias("items")), F.col("items"), "seg_no")
+    return out.select("doc_id", "ord", F.concat(F.lit("EP"), "ord").alias("id"), "r.type", "r.name", "r.track_ids", "segment_id")
 
 
 def tracks(chain: DataFrame) -> DataFrame:

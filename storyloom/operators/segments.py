@@ -98,10 +98,10 @@ def with_track_ids(rows: DataFrame) -> DataFrame:
 def tracked(rows: DataFrame) -> DataFrame:
     """rows with track_no, track_name, story_order and whether a parallel cue is heard. Tracks are numbered by first appearance."""
     by_key = Window.partitionBy("doc_id", "track_key")
-    rows = with_track_key(rows).withColumn("_first", F.min("seg_no").over(by_key))
+    so_far = by_key.orderBy("seg_no")
+    name = F.first(track_name(F.col("entities"), "Narrative")).over(so_far)
+    rows = with_track_key(rows).withColumns({"_first": F.first("seg_no").over(so_far), "_nth": F.row_number().over(so_far), "track_name": name})
     rows = rows.withColumn("track_no", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("_first")))
-    name = F.first(track_name(F.col("entities"), "Narrative")).over(by_key.orderBy("seg_no"))
-    rows = rows.withColumns({"_nth": F.row_number().over(by_key.orderBy("seg_no")), "track_name": name})
     return with_track_ids(rows).drop("_first", "_nth", "track_key")
 
 
