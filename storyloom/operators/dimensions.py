@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as X
+from storyloom.operators.links import unfolded
 
 UNKNOWN = ("unknown", "necunoscut")
 
@@ -34,23 +35,29 @@ def locations(docs: DataFrame, events: DataFrame) -> DataFrame:
 def mentions(events: DataFrame) -> DataFrame:
     """doc_id, ord, id, text, label, source, span_start, span_end, event_id."""
 
-    def row(k: Column, text: Column, label: str, exact: str, inferred: str = "") -> Column:
+    def row(text: Column, label: str, exact: str, inferred: str = "") -> Column:
         at = X.index_ci(F.col("text"), text)
         start = F.when(at >= 0, F.col("span_start") + at).otherwise(F.col("span_start"))
         end = F.when(at >= 0, start + F.length(text)).otherwise(start)
         good = (X.trim(text) != "") & (F.lower(text) != UNKNOWN[0]) & ((at >= 0) | F.lit(bool(inferred)))
-        return F.when(good, F.struct(k.alias("k"), text.alias("text"), F.lit(label).alias("label"), F.when(at >= 0, exact).otherwise(inferred).alias("source"), start.alias("span_start"), end.alias("span_end")))
+        return F.when(good, F.struct(text.alias("text"), F.lit(label).alias("label"), F.when(at >= 0, exact).otherwise(inferred).alias("source"), start.alias("span_start"), end.alias("span_end")))
 
-    people = F.transform("actors", lambda x, i: row(i, x, "PERSON", "capitalized_actor_mention", "carried_actor_context"))
-    n = F.size("actors")
+    people = F.filter(F.transform("actors", lambda x: row(x, "PERSON", "capitalized_actor_mention", "carried_actor_context")), lambda x: x.isNotNull())
     others = F.array(
-        row(n, F.col("location"), "LOCATION", "preposition_location_pattern"), row(n + 1, F.col("temporal_anchor"), "DATE_TIME", "temporal_expression_pattern"), row(n + 2, F.col("action"), "EVENT_ACTION", "verb_pattern"),
+        row(F.col("location"), "LOCATION", "preposition_location_pattern"), row(F.col("temporal_anchor"), "DATE_TIME", "temporal_expression_pattern"), row(F.col("action"), "EVENT_ACTION", "verb_pattern"),
     )
-    rows = events.select("doc_id", "order", F.col("id").alias("event_id"), F.explode(F.filter(F.concat(people, others), lambda x: x.isNotNull())).alias("m"))
-    again = Window.partitionBy("doc_id", "order", "m.label", "m.span_start", "m.span_end", F.upper("m.text")).orderBy("m.k")
-    rows = rows.withColumn("_nth", F.row_number().over(again)).filter("_nth = 1")
-    ord_ = F.row_number().over(Window.partitionBy("doc_id").orderBy("order", "m.k"))
-    return rows.select("doc_id", ord_.alias("ord"), F.concat(F.lit("EM"), ord_).alias("id"), "m.text", "m.label", "m.source", "m.span_start", "m.span_end", "event_id")
+    # Only persons can be the same: of other labels an event has one mention each.
+    once = X.bound(people, lambda p: F.when(F.size(p) > 1, _once(p)).otherwise(p))
+    items = F.concat(once, F.filter(others, lambda x: x.isNotNull()))
+    rows = unfolded(events.select("doc_id", "order", F.col("id").alias("event_id"), items.alias("items")), F.col("items"), "order")
+    return rows.select("doc_id", "ord", F.concat(F.lit("EM"), "ord").alias("id"), "r.text", "r.label", "r.source", "r.span_start", "r.span_end", "event_id")
+
+
+def _once(mentions: Column) -> Column:
+    """Of mentions that are alike in place, and in text whatever its case, the first; in order. Sorted, so long lists take little more than their length."""
+    keyed = F.array_sort(F.transform(mentions, lambda m, i: F.struct(F.struct(m["span_start"].alias("a"), m["span_end"].alias("b"), F.upper(m["text"]).alias("t")).alias("k"), i.alias("i"), m.alias("m"))))
+    firsts = X.bound(keyed, lambda s: F.filter(s, lambda e, j: (j == 0) | (F.get(s, j - 1)["k"] != e["k"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda e: F.struct(e["i"].alias("i"), e["m"].alias("m")))), lambda e: e["m"])
 
 
 def event_actor_ids(events: DataFrame, out: str = "actor_ids") -> DataFrame:
@@ -61,7 +68,9 @@ def event_actor_ids(events: DataFrame, out: str = "actor_ids") -> DataFrame:
     their order, which their document's exchange keeps in one place.
     """
     names = F.posexplode_outer("actors").alias("_pos", "_name")
-    rows = events.select("doc_id", "order", "lang", F.struct(*(c for c in events.columns if c not in ("doc_id", "order", "lang"))).alias("_event"), names)
+    rows = events.select("doc_id", "order", "lang", F.struct(*(c for c in events.columns if c not in ("doc_id", "order", "lang"))).alias("_all"), names)
+    # The event goes with its first name alone.
+    rows = rows.withColumn("_event", F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_all"))).drop("_all")
     rows = rows.withColumn("_key", F.upper("_name"))
     # An event without actors has one row and no name; its place is none.
     place = F.when(F.col("_name").isNotNull(), F.struct("order", "_pos"))
@@ -70,7 +79,7 @@ def event_actor_ids(events: DataFrame, out: str = "actor_ids") -> DataFrame:
     narrator = F.upper(F.when(F.col("lang") == "ro", "Narator").otherwise("Narrator"))
     id_ = F.when(F.col("_key") == narrator, F.lit("A0")).otherwise(F.concat(F.lit("A"), rank))
     rows = rows.withColumn("_id", F.when(F.col("_name").isNotNull(), F.struct("_pos", id_.alias("id"))))
-    held = rows.groupBy("doc_id", "order").agg(F.first("lang").alias("lang"), F.first("_event").alias("_event"), F.sort_array(F.collect_list("_id")).alias("_ids"))
+    held = rows.groupBy("doc_id", "order").agg(F.first("lang").alias("lang"), F.first("_event", ignorenulls=True).alias("_event"), F.sort_array(F.collect_list("_id")).alias("_ids"))
     return held.select("doc_id", "order", "lang", "_event.*", F.transform("_ids", lambda x: x["id"]).alias(out)).select(*events.columns, out)
 
 
