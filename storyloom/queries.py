@@ -600,7 +600,8 @@ def story_track_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT e.doc_id, e.ord, string_agg('A' || ac.n, '|' ORDER BY k) AS actor_ids FROM (SELECT doc_id, ord, actors, unnest(range(1, len(actors) + 1)) AS k FROM ev) e JOIN ac ON ac.doc_id = e.doc_id AND upper(ac.name) = upper(e.actors[k]) GROUP BY ALL")
 def story_event_actor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dimensions.event_actor_ids(_stories(spark, sf_dir).events).where("size(actors) > 0")
+    events_ = _stories(spark, sf_dir).events.select("doc_id", "order", "lang", "actors")  # what isn't asked for is neither made nor exploded
+    rows = dimensions.event_actor_ids(events_).where("size(actors) > 0")
     return _flat(rows.withColumnRenamed("order", "ord"), "doc_id", "ord", "actor_ids")
 
 
