@@ -375,8 +375,25 @@ SHORT = 12
 CROSSED = ["token", "i", "j", "side", "pack", "cls", "root"]
 
 
-def _crossings(percent: int):
-    """From entries (CROSSED, parity) sorted by (token, i, j): pairs of different components that may link, and the bits in which their bitmaps differ."""
+FOUND = ["a", "b", "bits", "token"]
+
+
+def nearest(pairs: np.ndarray, cls: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Of the pairs (a, b, bits) of classes cls that have these roots, for each root the one of fewest bits."""
+    at = np.argsort(cls)
+    ends = np.concatenate([root[at][np.searchsorted(cls[at], pairs[:, c])] for c in (0, 1)])
+    a, b, bits = np.concatenate([pairs, pairs]).T
+    order = np.lexsort((b, a, bits, ends))
+    first = np.concatenate([[True], ends[order][1:] != ends[order][:-1]])
+    return pairs[np.unique(order[first] % len(pairs))]
+
+
+def _crossings(percent: int, whole: bool):
+    """From entries (CROSSED, parity) sorted by (token, i, j): pairs of different components that may link, and the bits in which their bitmaps differ.
+
+    Unless whole, a list or two blocks of more pairs than entries give the nearest pair of each component only, and a row of i, j, how many pairs they have, and
+    their token, which is null in pairs. So rows are no more than a multiple of the entries, whatever the size of a group.
+    """
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * (len(CROSSED) + BITS)
@@ -390,7 +407,7 @@ def _crossings(percent: int):
             n, p, _ = unpack(pack)
             of = np.cumsum(new) - 1
             short = sizes[of] <= SHORT
-            found = []
+            found, more = [], []
             for d in range(1, SHORT):
                 x = np.flatnonzero(short[:-d] & (of[:-d] == of[d:]) & (root[:-d] != root[d:])) if len(of) > d else ()
                 if not len(x):
@@ -403,17 +420,31 @@ def _crossings(percent: int):
                 found.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y]), bits_apart(w, x, y)], 1))
             for s, size in zip(heads[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
                 e = s + size
+                here, made = [], 0
                 for part in cross_pairs(n[s:e], p[s:e], cls[s:e], root[s:e], side[s:e], w[:, s:e], bool(i[s] != j[s]), percent, True):
-                    found.append(part)
-                    if sum(map(len, found)) > PAIRS:
-                        yield batch_of(found)
-                        found = []
+                    here.append(part)
+                    made += len(part)
+                    if sum(map(len, here)) > PAIRS:
+                        if whole:
+                            yield batch_of(here)
+                            here = []
+                        else:
+                            here = [nearest(np.concatenate(here), cls[s:e], root[s:e])]
+                if made > size and not whole:
+                    here = [nearest(np.concatenate(here), cls[s:e], root[s:e])]
+                    more.append((i[s], j[s], made, token[s]))
+                found += here
+                if sum(map(len, found)) > PAIRS:
+                    yield batch_of(found)
+                    found = []
             if found:
                 yield batch_of(found)
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.array([int(x[c]) for x in more], pa.int64()) for c in range(4)], FOUND)
 
         def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
             pairs = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in range(3)], ["a", "b", "bits"])
+            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(pairs[:, c])) for c in range(3)), pa.nulls(len(pairs), pa.int64())], FOUND)
 
         for batch in batches:
             k = len(CROSSED)
@@ -530,8 +561,8 @@ class Sets:
         """The condition that sets of n_a and n_b shingles link that differ in so many."""
         return F.expr(f"({apart}) < n_a + n_b AND ({apart}) * {100 + self.percent} <= (n_a + n_b) * {100 - self.percent}")
 
-    def crossed(self, labelled: DataFrame) -> DataFrame:
-        """Pairs of classes of different roots that may link, with bits, from lists (token, pack, cls, root).
+    def crossed(self, labelled: DataFrame, whole: bool) -> DataFrame:
+        """Pairs of classes of different roots that may link, with bits, from lists (token, pack, cls, root). Unless whole, also rows with a token: of lists that have more pairs.
 
         A list is cut in blocks: of a root of more than BLOCK entries by class, of the others together by root. Blocks of one root aren't paired with each other.
         """
@@ -546,7 +577,7 @@ class Sets:
         left = left.withColumn("other", F.explode(F.expr("filter(sequence(0, total - 1), x -> nth = 0 OR x < begin OR x >= begin + parts)")))
         left = left.select("token", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), F.col("own").cast("long").alias("side"), "pack", "cls", "root")
         left = left.join(self.nodes.select("cls", "parity"), "cls").select(*CROSSED, "parity")
-        return left.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lean(_crossings(self.percent)), "a long, b long, bits long").distinct()
+        return left.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lean(_crossings(self.percent, whole)), "a long, b long, bits long, token long").distinct()
 
     def derived(self, pairs: DataFrame, tried: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, derived from what their leaders differ in where that is enough; tried: compared neighbours."""
@@ -583,6 +614,8 @@ def _rooted(roots: DataFrame, s: str) -> DataFrame:
 
 #: Up to so many pairs of different components are compared without rounds of merging first.
 FEW, MERGES = 100_000, 5
+#: Times that lists of more pairs than entries give the nearest pair of each component before they give all.
+TURNS = 8
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -604,31 +637,48 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataF
     """
     sets = Sets(docs, size, percent)
     tried = sets.neighbours()
-    pairs = sets.crossed(sets.lists.withColumn("root", F.col("cls"))).select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = sets.crossed(sets.lists.withColumn("root", F.col("cls")), True).select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
     found = sets.derived(pairs, tried).unionByName(tried.filter(sets.links()).select("a", "b"))
     least = sets.rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = lambda s: least.select(F.col("cls").alias(s), F.col("least").alias(f"doc_{s}"))
     return found.join(named("a"), "a").join(named("b"), "b").select("a", "b", "doc_a", "doc_b")
 
 
-def _named(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, row_key, component_id and top, a class that names the component, for each row of docs."""
-    sets = Sets(docs, size, percent)
-    tried = sets.neighbours()
-    roots = components(tried.filter(sets.links()))
-    labelled = sets.lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("token", "pack", "cls", F.coalesce("root", "cls").alias("root"))
-    pairs = settle(sets.crossed(labelled).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+def answered(sets: Sets, pairs: DataFrame, roots: DataFrame, tried: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """roots and tried after all pairs (a, b, bits) have their answers."""
     for _ in range(MERGES):
         if pairs.count() <= FEW:
             break
         # Of each component the pair that is nearest by the bitmaps; what it joins makes most of the other pairs needless.
         both = apart(pairs, roots)
-        nearest = both.select(F.col("ra").alias("r"), "a", "b", "bits").unionByName(both.select(F.col("rb").alias("r"), "a", "b", "bits")).groupBy("r").agg(F.min(F.struct("bits", "a", "b")).alias("m"))
-        more = sets.compared(nearest.select("m.a", "m.b").distinct())
+        near = both.select(F.col("ra").alias("r"), "a", "b", "bits").unionByName(both.select(F.col("rb").alias("r"), "a", "b", "bits")).groupBy("r").agg(F.min(F.struct("bits", "a", "b")).alias("m"))
+        more = sets.compared(near.select("m.a", "m.b").distinct())
         roots = merged(roots, more.filter(sets.links()).select("a", "b"))
         tried = tried.unionByName(more)
         pairs = settle(apart(pairs, roots).join(more.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "bits"))
-    final = merged(roots, sets.derived(pairs.select("a", "b"), tried)).select(F.col("node").alias("cls"), F.col("root").alias("top"))
+    return merged(roots, sets.derived(pairs.select("a", "b"), tried)), tried
+
+
+def _named(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n, row_key, component_id and top, a class that names the component, for each row of docs."""
+    sets = Sets(docs, size, percent)
+    tried = sets.neighbours()
+    roots = components(tried.filter(sets.links()))
+    lists, done, whole = sets.lists, tried.select("a", "b"), False
+    for turn in range(1, TURNS + 2):
+        labelled = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("token", "pack", "cls", F.coalesce("root", "cls").alias("root"))
+        found = settle(sets.crossed(labelled, whole))
+        pairs = settle(found.filter("token IS NULL").select("a", "b", "bits").join(done, ["a", "b"], "left_anti"))
+        new = not pairs.isEmpty()
+        if new:
+            roots, tried = answered(sets, pairs, roots, tried)
+        left = found.filter("token IS NOT NULL")
+        if whole or not (most := left.agg(F.sum("bits")).first()[0]):
+            break
+        # Lists of more pairs than entries come again: most of their pairs are in one component now. If few are left, or none that is new, all are wanted.
+        whole = turn == TURNS or most <= FEW or not new
+        lists, done = sets.lists.join(left.select("token").distinct(), "token", "left_semi"), done.unionByName(pairs.select("a", "b"))
+    final = roots.select(F.col("node").alias("cls"), F.col("root").alias("top"))
 
     classes = sets.rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(final, "cls", "left").withColumn("top", F.coalesce("top", "cls"))
     tops = classes.groupBy("top").agg(F.min("least").alias("component_id"))
