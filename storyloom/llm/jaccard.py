@@ -391,7 +391,7 @@ def nearest(pairs: np.ndarray, cls: np.ndarray, root: np.ndarray) -> np.ndarray:
 def _crossings(percent: int, whole: bool):
     """From entries (CROSSED, parity) sorted by (token, i, j): pairs of different components that may link, and the bits in which their bitmaps differ.
 
-    Unless whole, a list or two blocks of more pairs than entries give the nearest pair of each component only, and a row of i, j, how many pairs they have, and
+    Unless whole, a list or two blocks of more pairs for each entry than a short list can have give the nearest pair of each component only, and a row of i, j, how many pairs they have, and
     their token, which is null in pairs. So rows are no more than a multiple of the entries, whatever the size of a group.
     """
 
@@ -430,7 +430,7 @@ def _crossings(percent: int, whole: bool):
                             here = []
                         else:
                             here = [nearest(np.concatenate(here), cls[s:e], root[s:e])]
-                if made > size and not whole:
+                if 2 * made > (SHORT - 1) * size and not whole:  # more for each entry than a short list can have
                     here = [nearest(np.concatenate(here), cls[s:e], root[s:e])]
                     more.append((i[s], j[s], made, token[s]))
                 found += here
@@ -614,7 +614,7 @@ def _rooted(roots: DataFrame, s: str) -> DataFrame:
 
 #: Up to so many pairs of different components are compared without rounds of merging first.
 FEW, MERGES = 100_000, 5
-#: Times that lists of more pairs than entries give the nearest pair of each component before they give all.
+#: Times that lists of very many pairs give the nearest pair of each component before they give all.
 TURNS = 8
 
 
@@ -675,7 +675,7 @@ def _named(docs: DataFrame, size: int, percent: int) -> DataFrame:
         left = found.filter("token IS NOT NULL")
         if whole or not (most := left.agg(F.sum("bits")).first()[0]):
             break
-        # Lists of more pairs than entries come again: most of their pairs are in one component now. If few are left, or none that is new, all are wanted.
+        # Lists of very many pairs come again: most of their pairs are in one component now. If few are left, or none that is new, all are wanted.
         whole = turn == TURNS or most <= FEW or not new
         lists, done = sets.lists.join(left.select("token").distinct(), "token", "left_semi"), done.unionByName(pairs.select("a", "b"))
     final = roots.select(F.col("node").alias("cls"), F.col("root").alias("top"))
