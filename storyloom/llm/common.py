@@ -46,6 +46,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def afresh(df: DataFrame) -> DataFrame:
+    """:func:`settle` for what is joined turn by turn: a table that remembers nothing of its plan.
+
+    A checkpoint keeps its plan's estimate of the size, and a join's estimate is the product of its inputs'. Over turns its digits double with each join, until
+    numbers of megabytes fill the driver's heap whatever the rows. A table that is made anew of the rows has no estimate; it costs a conversion of each row that is read.
+    """
+    spark, rows = df.sparkSession, settle(df)._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(rows.toJavaRDD(), rows.schema()), spark)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import lean, settle
+from storyloom.llm.common import afresh, lean
 
 #: Edges that one task may contract: tens of MB of its memory. A graph of at most so many is done in one pass.
 LOCAL = 100_000
@@ -49,11 +49,11 @@ def components(edges: DataFrame) -> DataFrame:
     answer; else rounds of large star and small star follow, in which hubs are pre-aggregated and never gathered.
     """
     kind = "a long, b long"
-    now = settle(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(lean(_contract), kind))
+    now = afresh(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(lean(_contract), kind))
     if now.count() < LOCAL:
-        now = settle(now.coalesce(1).mapInArrow(lean(_contract), kind))
+        now = afresh(now.coalesce(1).mapInArrow(lean(_contract), kind))
     else:
-        now = rounds(settle(now.distinct()))
+        now = rounds(afresh(now.distinct()))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -69,5 +69,5 @@ def rounds(now: DataFrame) -> DataFrame:
         # Small star: each node's smaller neighbours, and itself, go to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = settle(small.filter("a <> b").distinct())
+        now = afresh(small.filter("a <> b").distinct())
     return now

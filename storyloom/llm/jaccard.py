@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import lean, light, marks, only_first, row_key, settle, split_by_marks, text_of
+from storyloom.llm.common import afresh, lean, light, marks, only_first, row_key, settle, split_by_marks, text_of
 from storyloom.llm.graph import components
 
 SHINGLE, PERCENT = 3, 90
@@ -547,15 +547,15 @@ class Sets:
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) with n_a, n_b, and apart: the number of shingles that one of both sets has. Only the texts that are asked for are dealt."""
-        asked = settle(pairs.join(self.side("a", "n", "text_id"), "a").join(self.side("b", "n", "text_id"), "b"))
+        asked = afresh(pairs.join(self.side("a", "n", "text_id"), "a").join(self.side("b", "n", "text_id"), "b"))
         if asked.isEmpty():
             return asked.select("a", "b", "n_a", "n_b", F.lit(0).cast("long").alias("apart"))
         wanted = asked.select(F.explode(F.array("text_id_a", "text_id_b")).alias("text_id"))
         some, _ = split_by_marks(self.texts.select(F.xxhash64("text").alias("text_id"), "text"), "text_id", marks(wanted, "text_id"))
-        bodies = settle(some.mapInArrow(lean(_pack_texts), "text_id long, z binary").join(wanted.distinct(), "text_id", "left_semi").groupBy("text_id").agg(F.first("z").alias("z")))
+        bodies = afresh(some.mapInArrow(lean(_pack_texts), "text_id long, z binary").join(wanted.distinct(), "text_id", "left_semi").groupBy("text_id").agg(F.first("z").alias("z")))
         body = lambda s: bodies.select(F.col("text_id").alias(f"text_id_{s}"), F.col("z").alias(f"z_{s}"))
         both = asked.join(body("a"), "text_id_a").join(body("b"), "text_id_b").select("a", "b", "z_a", "z_b").mapInArrow(lean(_common(self.size)), "a long, b long, both long")
-        return settle(both.join(asked.select("a", "b", "n_a", "n_b"), ["a", "b"]).select("a", "b", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - 2 * F.col("both")).alias("apart")))
+        return afresh(both.join(asked.select("a", "b", "n_a", "n_b"), ["a", "b"]).select("a", "b", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - 2 * F.col("both")).alias("apart")))
 
     def links(self, apart: str = "apart"):
         """The condition that sets of n_a and n_b shingles link that differ in so many."""
@@ -588,15 +588,15 @@ class Sets:
         lead = lambda s: leaders.select(F.col("cls").alias(s), F.col("leader").alias(f"l_{s}"), F.col("apart").alias(f"d_{s}"))
         led = pairs.join(lead("a"), "a", "left").join(lead("b"), "b", "left").join(self.side("a", "n"), "a").join(self.side("b", "n"), "b")
         led = led.withColumns({"l_a": F.coalesce("l_a", "a"), "l_b": F.coalesce("l_b", "b"), "d": F.coalesce("d_a", F.lit(0)) + F.coalesce("d_b", F.lit(0))})
-        led = settle(led.select("a", "b", "n_a", "n_b", "d", F.least("l_a", "l_b").alias("x"), F.greatest("l_a", "l_b").alias("y")))
+        led = afresh(led.select("a", "b", "n_a", "n_b", "d", F.least("l_a", "l_b").alias("x"), F.greatest("l_a", "l_b").alias("y")))
         asked = led.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         known = tried.select("a", "b", "apart")
         told = self.compared(asked.join(known, ["a", "b"], "left_anti")).select("a", "b", "apart").unionByName(known).select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("apart").alias("far"))
-        led = settle(led.join(told, ["x", "y"], "left").withColumn("far", F.coalesce("far", F.lit(0))))  # leaders that are one set
+        led = afresh(led.join(told, ["x", "y"], "left").withColumn("far", F.coalesce("far", F.lit(0))))  # leaders that are one set
         sure = led.filter(self.links("far + d"))
         open_ = led.filter(self.links("greatest(far - d, 0)") & ~self.links("far + d")).select("a", "b")
         own = self.compared(open_).filter(self.links())
-        return settle(sure.select("a", "b").unionByName(own.select("a", "b")))
+        return afresh(sure.select("a", "b").unionByName(own.select("a", "b")))
 
 
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -605,7 +605,7 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     over = components(links.join(_rooted(roots, "a"), "a", "left").join(_rooted(roots, "b"), "b", "left").select(name("a"), name("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
     known = roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     lone = over.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
-    return settle(known.unionByName(lone))
+    return afresh(known.unionByName(lone))
 
 
 def _rooted(roots: DataFrame, s: str) -> DataFrame:
@@ -655,7 +655,7 @@ def answered(sets: Sets, pairs: DataFrame, roots: DataFrame, tried: DataFrame) -
         more = sets.compared(near.select("m.a", "m.b").distinct())
         roots = merged(roots, more.filter(sets.links()).select("a", "b"))
         tried = tried.unionByName(more)
-        pairs = settle(apart(pairs, roots).join(more.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "bits"))
+        pairs = afresh(apart(pairs, roots).join(more.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "bits"))
     return merged(roots, sets.derived(pairs.select("a", "b"), tried)), tried
 
 
@@ -667,8 +667,8 @@ def _named(docs: DataFrame, size: int, percent: int) -> DataFrame:
     lists, done, whole = sets.lists, tried.select("a", "b"), False
     for turn in range(1, TURNS + 2):
         labelled = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("token", "pack", "cls", F.coalesce("root", "cls").alias("root"))
-        found = settle(sets.crossed(labelled, whole))
-        pairs = settle(found.filter("token IS NULL").select("a", "b", "bits").join(done, ["a", "b"], "left_anti"))
+        found = afresh(sets.crossed(labelled, whole))
+        pairs = afresh(found.filter("token IS NULL").select("a", "b", "bits").join(done, ["a", "b"], "left_anti"))
         new = not pairs.isEmpty()
         if new:
             roots, tried = answered(sets, pairs, roots, tried)
